@@ -1,0 +1,13 @@
+"""The registered queries over the driver's tables and their SQL counterparts."""
+
+from __future__ import annotations
+
+FLAGSHIP = "leak_by_category"
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
