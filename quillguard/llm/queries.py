@@ -7,17 +7,34 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillguard.llm import bpe
+from quillguard.llm import bpe, mixing, quality, sharding
 from quillguard.llm.session import documents
 
 
+def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.interleave(documents(spark, sf_dir))
+
+
+def op3_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path(bpe.DEFAULT_VOCABULARY), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_byte_bpe": op4_byte_bpe}
+    return {
+        "op2_stratified_shards": op2_stratified_shards,
+        "op3_entropy_balancing": op3_entropy_balancing,
+        "op4_byte_bpe": op4_byte_bpe,
+        "op10_line_frequency": op10_line_frequency,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_frequency": quality.SQL}
