@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillguard.llm import bpe, mixing, quality, sharding
+from quillguard.llm import bpe, mixing, neardup, quality, sharding
 from quillguard.llm.session import documents
 
 
@@ -23,6 +23,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path(bpe.DEFAULT_VOCABULARY), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components_of(documents(spark, sf_dir)).drop("t1", "t2")
+
+
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
@@ -32,9 +36,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_stratified_shards": op2_stratified_shards,
         "op3_entropy_balancing": op3_entropy_balancing,
         "op4_byte_bpe": op4_byte_bpe,
+        "op9_setsketch": op9_setsketch,
         "op10_line_frequency": op10_line_frequency,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_frequency": quality.SQL}
+    return {"op9_setsketch": neardup.SQL, "op10_line_frequency": quality.SQL}
