@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillguard.llm import bpe, mixing, neardup, quality, repeats, sharding
+from quillguard.llm import bpe, mixing, neardup, quality, repeats, sharding, suffix_tree
 from quillguard.llm.session import documents
 
 
@@ -23,6 +23,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path(bpe.DEFAULT_VOCABULARY), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(documents(spark, sf_dir))
+
+
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_stratified_shards": op2_stratified_shards,
         "op3_entropy_balancing": op3_entropy_balancing,
         "op4_byte_bpe": op4_byte_bpe,
+        "op6_suffix_tree": op6_suffix_tree,
         "op7_suffix_repeats": op7_suffix_repeats,
         "op9_setsketch": op9_setsketch,
         "op10_line_frequency": op10_line_frequency,
