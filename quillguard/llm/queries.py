@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillguard.llm import bpe, mixing, neardup, quality, repeats, sharding, suffix_tree
+from quillguard.llm import bpe, language, mixing, neardup, quality, repeats, sharding, suffix_tree, topk
 from quillguard.llm.session import documents
 
 
+def op1_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.search(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(documents(spark, sf_dir))
 
@@ -23,6 +28,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path(bpe.DEFAULT_VOCABULARY), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_documents(documents(spark, sf_dir))
 
@@ -41,9 +50,11 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_va_file": op1_va_file,
         "op2_stratified_shards": op2_stratified_shards,
         "op3_entropy_balancing": op3_entropy_balancing,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_ppm_language": op5_ppm_language,
         "op6_suffix_tree": op6_suffix_tree,
         "op7_suffix_repeats": op7_suffix_repeats,
         "op9_setsketch": op9_setsketch,
@@ -52,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_setsketch": neardup.SQL, "op10_line_frequency": quality.SQL}
+    return {"op1_va_file": topk.SQL, "op9_setsketch": neardup.SQL, "op10_line_frequency": quality.SQL}

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quillguard.llm import textbytes as tb
 from quillguard.llm.session import cut
 
-DEPTH, LEAST, DIVERGENCE, PULL = 5, 2e-5, 40.0, 4.0
+DEPTH, LEAST, DIVERGENCE, PULL = 7, 1e-5, 20.0, 4.0
 HEAD = 400_000
 END = 0x0A
 CHUNK = 128
@@ -203,11 +203,11 @@ def grow(table: DataFrame, depth: int = DEPTH, least: float = LEAST) -> Tree:
     total = seen.agg(F.sum("n")).first()[0] or 0
     levels: list[dict[int, dict[int, int]]] = []
     for d in range(depth + 1):
-        mask = (1 << 8 * (d + 1)) - 1
+        mask = -1 if d == 7 else (1 << 8 * (d + 1)) - 1
         level = seen.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n"))
         if d:  # a zero byte in front marks a context that reaches over the begin of its document
-            level = level.filter(F.shiftright("key", 8 * d) != 0)
-        level = level.withColumn("context", F.shiftright("key", 8)).withColumn("byte", F.col("key").bitwiseAND(F.lit(255)))
+            level = level.filter(F.shiftrightunsigned("key", 8 * d) != 0)
+        level = level.withColumn("context", F.shiftrightunsigned("key", 8)).withColumn("byte", F.col("key").bitwiseAND(F.lit(255)))
         good = level.groupBy("context").agg(F.sum("n").alias("all")).filter(F.col("all") >= max(1.0, least * total)).select("context")
         found: dict[int, dict[int, int]] = {}
         for context, byte, n in level.join(good, "context", "left_semi").select("context", "byte", "n").toPandas().itertuples(index=False):
