@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillguard.llm import bpe, language, mixing, neardup, quality, repeats, sharding, suffix_tree, topk
+from quillguard.llm import bpe, language, mixing, neardup, pii, quality, repeats, sharding, suffix_tree, topk
 from quillguard.llm.session import documents
 
 
@@ -40,6 +41,10 @@ def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
 
+def op8_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components_of(documents(spark, sf_dir)).drop("t1", "t2")
 
@@ -57,7 +62,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ppm_language": op5_ppm_language,
         "op6_suffix_tree": op6_suffix_tree,
         "op7_suffix_repeats": op7_suffix_repeats,
+        "op8_bootstrapped_pii": op8_bootstrapped_pii,
         "op9_setsketch": op9_setsketch,
+        "pipeline": corpus_pipeline.run,
         "op10_line_frequency": op10_line_frequency,
     }
 
