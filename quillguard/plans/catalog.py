@@ -2,12 +2,397 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "leak_by_category"
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return {}
+from quillguard import sources
+from quillguard.functions import rules as R
+from quillguard.functions import text as X
+from quillguard.operators import audit, cache, compress, detect, governance, guard, ledger, mask, tenancy
+from quillguard.plans import sql as S
+
+Query = Callable[[SparkSession, str], DataFrame]
+FLAGSHIP = "payload_decision"
+RULES = {r.name: r for r in R.build()}
+MODELS = ("gpt-4o-mini-2024", "gpt-4o-latest", "Claude-Sonnet-4-x", "o3-mini", "unlisted-model")
+BASELINE = "gpt-4o"
+
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        _queries[key] = f
+        if oracle:
+            _oracles[key] = oracle
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def _talk(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/conversations.parquet")
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """The event stream as accounting records."""
+    e = _events(spark, sf)
+    k = F.get_json_object("props", "$.k").cast("long")
+    prompt = F.floor(F.col("value") * 10).cast("long")
+    return e.select(
+        "event_id", "ts", F.concat(F.lit("t"), (F.col("user_id") % 10).cast("string")).alias("tenant"), F.when(F.col("event_type") == "click", "local").when(F.col("event_type") == "view", "cache").otherwise("cloud").alias("route"),
+        F.element_at(F.array(*[F.lit(m) for m in MODELS]), (F.col("event_id") % len(MODELS) + 1).cast("int")).alias("model"), (prompt * 3).alias("baseline_tokens"), prompt.alias("prompt_tokens"), k.alias("completion_tokens"), (F.col("event_id") % 3 != 0).alias("reported"),
+    )
+
+
+RECORDS = (
+    "SELECT event_id, ts, 't' || (user_id % 10) AS tenant, CASE event_type WHEN 'click' THEN 'local' WHEN 'view' THEN 'cache' ELSE 'cloud' END AS route, "
+    f"[{', '.join(S.quote(m) for m in MODELS)}][(event_id % {len(MODELS)} + 1)::INT] AS model, 3 * floor(value * 10)::BIGINT AS baseline_tokens, floor(value * 10)::BIGINT AS prompt_tokens, "
+    "(props->>'$.k')::BIGINT AS completion_tokens, event_id % 3 <> 0 AS reported FROM events"
+)
+BOOK = "(VALUES " + ", ".join(f"({i}, '{m}', {a}, {b})" for i, (m, a, b) in enumerate(ledger.PRICES)) + ") AS b(no, prefix, ri, ro)"
+MATCHED = f"(SELECT model, arg_max(ri, (length(prefix), -no)) AS ri, arg_max(ro, (length(prefix), -no)) AS ro FROM (SELECT DISTINCT model FROM ({RECORDS})) JOIN {BOOK} ON starts_with(lower(trim(model)), prefix) GROUP BY model)"
+ACCOUNTED = (
+    f"SELECT *, CASE WHEN route <> 'cloud' THEN baseline_tokens ELSE greatest(0, baseline_tokens - prompt_tokens) END AS tokens_saved, greatest(0.0, bc - c) AS cost_saved FROM (SELECT r.*, baseline_tokens / 1e6 * 2.5 + completion_tokens / 1e6 * 10.0 AS bc, "
+    f"CASE WHEN route <> 'cloud' THEN 0.0 ELSE coalesce(prompt_tokens / 1e6 * ri + completion_tokens / 1e6 * ro, 0.0) END AS c FROM ({RECORDS}) r LEFT JOIN {MATCHED} m USING (model))"
+)
+TOTALS = (
+    "count(*) AS requests, count(*) FILTER (route = 'local') AS local_requests, count(*) FILTER (route = 'cloud') AS cloud_requests, count(*) FILTER (route = 'cache') AS cache_requests, count(*) FILTER (NOT reported) AS estimated, "
+    "sum(baseline_tokens)::BIGINT AS baseline_tokens, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, sum(tokens_saved)::BIGINT AS tokens_saved, "
+    "round(sum(bc::DECIMAL(30,12)), 6)::DOUBLE AS baseline_cost, round(sum((CASE WHEN route = 'cloud' THEN c ELSE 0.0 END)::DECIMAL(30,12)), 6)::DOUBLE AS cloud_cost, round(sum(cost_saved::DECIMAL(30,12)), 6)::DOUBLE AS cost_saved"
+)
+DOC_FINDINGS = S.resolved("documents", "doc_id")
+TALK_FINDINGS = S.resolved("conversations", "conv_id, turn")
+
+
+def _rule_query(name: str) -> None:
+    pattern = S.quote(RULES[name].pattern)
+
+    @query(f"SELECT doc_id, len(regexp_extract_all(text, {pattern}))::BIGINT AS n FROM documents WHERE regexp_matches(text, {pattern})", f"detect_{name}")
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return detect.rule_matches(_docs(spark, sf), RULES[name]).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+for _name in ("email", "ipv4", "hex_blob", "large_integer", "url", "unix_path"):
+    _rule_query(_name)
+
+
+@query(f"SELECT doc_id, pos AS start, pos + length(val) AS \"end\", val AS value FROM ({S._pieces('documents', 'doc_id', RULES['credit_card'].pattern, 0)}) WHERE {S._luhn('val')}")
+def detect_credit_card(spark: SparkSession, sf: str) -> DataFrame:
+    from quillguard.functions.checks import luhn_column
+
+    return detect.rule_matches(_docs(spark, sf), RULES["credit_card"]).filter(luhn_column(F.col("value")))
+
+
+@query(f"SELECT doc_id, s AS start, e AS \"end\", val AS text, rule, category FROM ({DOC_FINDINGS})")
+def findings_resolved(spark: SparkSession, sf: str) -> DataFrame:
+    return detect.findings(_docs(spark, sf)).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text", "rule", "category")
+
+
+@query(f"SELECT category, count(*) AS n FROM ({DOC_FINDINGS}) GROUP BY category")
+def leak_by_category(spark: SparkSession, sf: str) -> DataFrame:
+    return detect.leak_sweep(_docs(spark, sf), "category")
+
+
+@query(f"SELECT rule, count(*) AS n FROM ({DOC_FINDINGS}) GROUP BY rule")
+def leak_by_rule(spark: SparkSession, sf: str) -> DataFrame:
+    return detect.leak_sweep(_docs(spark, sf), "rule")
+
+
+@query(f"SELECT doc_id, t AS value, bits FROM ({S.entropy('documents', 'doc_id')})")
+def entropy_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return detect.entropy_tokens(_docs(spark, sf))
+
+
+@query(f"SELECT doc_id, {S.tokens('text')} AS tokens FROM documents")
+def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(f"SELECT conv_id, (sum({S.tokens('text')} + 4) + 3)::BIGINT AS tokens FROM conversations GROUP BY conv_id")
+def token_estimate_messages(spark: SparkSession, sf: str) -> DataFrame:
+    return _talk(spark, sf).groupBy("conv_id").agg((F.sum(X.token_estimate(F.col("text")) + 4) + 3).alias("tokens"))
+
+
+_TRIM = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+_LINES = rf"len(list_filter(string_split({_TRIM}, chr(10)), lambda x: regexp_matches(x, '\S')))"
+_CODE = f"regexp_matches({_TRIM}, {S.quote(governance.CODE_MARKERS)})"
+_KNOWN = f"(regexp_matches({_TRIM}, {S.quote(governance.SIMPLE_SIGNALS)}) OR regexp_matches({_TRIM}, {S.quote(governance.SIMPLE_SIGNALS_JA)}))"
+ROUTE = (
+    f"CASE WHEN {_CODE} THEN 'code or configuration' WHEN {_LINES} > 3 THEN 'many templates (' || {_LINES} || ' lines)' WHEN {S.tokens(_TRIM)} > 120 THEN 'large payload (~' || {S.tokens(_TRIM)} || ' tokens)' "
+    f"WHEN {_KNOWN} THEN 'known simple error' ELSE 'small payload' END"
+)
+TARGET = f"CASE WHEN {_CODE} OR {_LINES} > 3 OR {S.tokens(_TRIM)} > 120 THEN 'cloud' ELSE 'local' END"
+
+
+@query(f"SELECT doc_id, {TARGET} AS target, {ROUTE} AS reason FROM documents")
+def route_decision(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", governance.route(F.col("text")).alias("r")).select("doc_id", "r.*")
+
+
+@query(
+    f"SELECT doc_id, coalesce(n, 0)::BIGINT AS n_findings, coalesce(level, 0)::INT AS max_sensitivity, CASE WHEN coalesce(level, 0) > 1 THEN 'local_only' ELSE 'allow' END AS action, CASE WHEN coalesce(level, 0) > 1 THEN 'local' ELSE {TARGET} END AS target, "
+    f"{ROUTE} || CASE WHEN coalesce(level, 0) > 1 THEN '; policy: local only' ELSE '' END AS reason, {S.tokens('text')} AS baseline_tokens FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, max({S.LEVEL}) AS level FROM ({DOC_FINDINGS}) GROUP BY doc_id) USING (doc_id)"
+)
+def payload_decision(spark: SparkSession, sf: str) -> DataFrame:
+    return governance.decide(_docs(spark, sf))
+
+
+@query(f"SELECT action, count(*) AS n FROM (SELECT doc_id, CASE WHEN max(level) > 2 THEN 'deny' WHEN max(level) > 1 THEN 'local_only' ELSE 'allow' END AS action FROM (SELECT doc_id, 0 AS level FROM documents UNION ALL SELECT doc_id, {S.LEVEL} FROM ({DOC_FINDINGS})) GROUP BY doc_id) GROUP BY action")
+def policy_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return governance.decide(_docs(spark, sf), deny_above=2).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, turn, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, {S.quote(p)}) THEN '{n}' END" for n, p in governance.INJECTION) + "], lambda x: x IS NOT NULL) AS rules FROM conversations")
+def ingress_screen(spark: SparkSession, sf: str) -> DataFrame:
+    return _talk(spark, sf).select("conv_id", "turn", governance.screen(F.col("text")).alias("rules"))
+
+
+@query(f"WITH p AS (SELECT conv_id, turn, max(level)::INT AS payload_max FROM (SELECT conv_id, turn, 0 AS level FROM conversations UNION ALL SELECT conv_id, turn, {S.LEVEL} FROM ({TALK_FINDINGS})) GROUP BY conv_id, turn) SELECT conv_id, turn, payload_max, max(payload_max) OVER (PARTITION BY conv_id ORDER BY turn) AS session_max FROM p")
+def session_running_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    return mask.running_sensitivity(_talk(spark, sf))
+
+
+@query(f"SELECT conv_id, '<V' || row_number() OVER (PARTITION BY conv_id ORDER BY ft, fs) || '>' AS token, original, uses FROM (SELECT conv_id, val AS original, min((turn, s)) AS f, min((turn, s))[1] AS ft, min((turn, s))[2] AS fs, count(*) AS uses FROM ({TALK_FINDINGS}) GROUP BY conv_id, val)")
+def dictionary_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return mask.dictionary(_talk(spark, sf)).select("conv_id", "token", "original", "uses")
+
+
+@query()
+def masked_text(spark: SparkSession, sf: str) -> DataFrame:
+    return mask.mask(_talk(spark, sf)).select("conv_id", "turn", "masked")
+
+
+@query("SELECT conv_id, turn, text AS hydrated FROM conversations")
+def hydrate_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    talk = _talk(spark, sf)
+    return mask.hydrate(mask.mask(talk), mask.dictionary(talk)).select("conv_id", "turn", "hydrated")
+
+
+@query()
+def shape_keys(spark: SparkSession, sf: str) -> DataFrame:
+    talk = mask.mask(_talk(spark, sf)).groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "masked"))), lambda x: x["masked"]).alias("texts"))
+    return talk.select("conv_id", X.cache_key(F.lit("model-a"), X.shape(F.col("texts")), F.lit(0.2), F.lit(256)).alias("cache_key"))
+
+
+@query("SELECT conv_id, sha256('model-a' || chr(0) || string_agg(text || chr(0), '' ORDER BY turn) || 't=0.2000m=256') AS cache_key FROM conversations GROUP BY conv_id")
+def text_keys(spark: SparkSession, sf: str) -> DataFrame:
+    talk = _talk(spark, sf).groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
+    return talk.select("conv_id", X.cache_key(F.lit("model-a"), F.col("texts"), F.lit(0.2), F.lit(256)).alias("cache_key"))
+
+
+_LINE = "SELECT source AS file, line FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''"
+
+
+@query(
+    f"WITH l AS ({_LINE}), c AS (SELECT file, line, count(*) AS n FROM l GROUP BY ALL), f AS (SELECT file, sum(n)::BIGINT AS lines, count(*) AS texts, count(*) AS shapes, count(*) FILTER (n = 1) AS singletons FROM c GROUP BY file), "
+    "a AS (SELECT * FROM f UNION ALL SELECT 'ALL', sum(lines)::BIGINT, sum(texts)::BIGINT, sum(shapes)::BIGINT, sum(singletons)::BIGINT FROM f) "
+    "SELECT *, round((lines - texts) / lines, 6) AS text_hit_rate, round((lines - shapes) / lines, 6) AS shape_hit_rate, round(singletons / lines, 6) AS headroom FROM a"
+)
+def cache_hit_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return cache.hit_rates(cache.shaped_lines(_docs(spark, sf), "source", "text"), "source")
+
+
+@query()
+def cache_hit_rates_masked(spark: SparkSession, sf: str) -> DataFrame:
+    docs = mask.mask(_docs(spark, sf).withColumn("turn", F.lit(0)), "source", ("doc_id",))
+    return cache.hit_rates(cache.shaped_lines(docs, "source", "masked"), "source")
+
+
+_OPS = "SELECT event_id, 'k' || (user_id % 40) AS k, ts, event_type IN ('signup', 'purchase') AS put FROM events"
+
+
+@query(f"WITH o AS ({_OPS}) SELECT g.event_id, p.ts AS put_at, coalesce(g.ts - p.ts <= INTERVAL 15 MINUTE, false) AS hit FROM (SELECT * FROM o WHERE NOT put) g ASOF LEFT JOIN (SELECT * FROM o WHERE put) p ON g.k = p.k AND g.ts >= p.ts")
+def cache_lookups(spark: SparkSession, sf: str) -> DataFrame:
+    e = _events(spark, sf).select("event_id", F.concat(F.lit("k"), (F.col("user_id") % 40).cast("string")).alias("k"), "ts", F.col("event_type").isin("signup", "purchase").alias("put"))
+    return cache.lookups(e, "k", "ts", "put", 900, "event_id").select("event_id", "put_at", "hit")
+
+
+@query(f"WITH o AS ({_OPS}), h AS (SELECT coalesce(g.ts - p.ts <= INTERVAL 15 MINUTE, false) AS hit FROM (SELECT * FROM o WHERE NOT put) g ASOF LEFT JOIN (SELECT * FROM o WHERE put) p ON g.k = p.k AND g.ts >= p.ts) SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*), 6) AS hit_rate FROM h")
+def cache_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return cache.statistics(cache_lookups(spark, sf))
+
+
+@query()
+def drain_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return compress.templates(_docs(spark, sf))
+
+
+@query()
+def bench_stage_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    docs = mask.mask(_docs(spark, sf).select("doc_id", "text").withColumn("turn", F.lit(0)), "doc_id")
+    folded = mask.fold_references(compress.templated(docs, text_col="masked"), text_col="templated")
+    return compress.stage_report(folded.withColumn("pruned", compress.pruned(F.col("folded"))), ["text", "masked", "templated", "folded", "pruned"])
+
+
+_DOT = S.quote(mask.DOTTED)
+
+
+@query(f"SELECT doc_id, identifier, count(*) AS uses FROM (SELECT doc_id, unnest(regexp_extract_all(text, {_DOT})) AS identifier FROM documents) WHERE length(identifier) >= 16 GROUP BY ALL HAVING count(*) >= 2")
+def refdict_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return mask.reference_candidates(_docs(spark, sf)).drop("token")
+
+
+@query()
+def guard_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return guard.inspect(_talk(spark, sf)).select("conv_id", "turn", F.explode("guard_findings").alias("f")).select("conv_id", "turn", "f.*")
+
+
+@query()
+def guard_withheld(spark: SparkSession, sf: str) -> DataFrame:
+    return _talk(spark, sf).select("conv_id", "turn", guard.withheld(F.col("text")).alias("text"))
+
+
+def _accounted(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.accounted(_records(spark, sf), ledger.price_book(spark), BASELINE)
+
+
+@query(f"SELECT {TOTALS}, 0::BIGINT AS unpriced FROM ({ACCOUNTED})")
+def ledger_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.totals(_accounted(spark, sf))
+
+
+@query(f"SELECT tenant, {TOTALS} FROM ({ACCOUNTED}) GROUP BY tenant")
+def ledger_by_tenant(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.by_tenant(_accounted(spark, sf))
+
+
+@query(f"SELECT route, count(*) AS requests, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share FROM ({RECORDS}) GROUP BY route")
+def route_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.route_shares(_records(spark, sf))
+
+
+@query(f"SELECT tenant, date_trunc('minute', ts) AS minute, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens FROM ({RECORDS}) GROUP BY ALL")
+def spend_per_minute(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.per_minute(_records(spark, sf))
+
+
+@query(f"SELECT tenant, sum(prompt_tokens + completion_tokens)::BIGINT AS tokens FROM ({RECORDS}) WHERE date_trunc('minute', ts) >= TIMESTAMP '2024-01-15 06:30:00' GROUP BY tenant")
+def consumed_since(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.consumed(ledger.per_minute(_records(spark, sf)), F.lit("2024-01-15 06:30:20").cast("timestamp"))
+
+
+@query(f"SELECT m.model, ri AS rate_in, ro AS rate_out FROM (SELECT DISTINCT model FROM ({RECORDS})) m LEFT JOIN {MATCHED} x ON x.model = m.model")
+def price_longest_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.priced(_records(spark, sf).select("model").distinct(), ledger.price_book(spark), "model")
+
+
+_PERIOD = "date_trunc('month', ts + INTERVAL 9 HOUR) - INTERVAL 9 HOUR"
+
+
+@query(f"SELECT tenant, {_PERIOD} AS period, count(*) AS requests, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, sum(baseline_tokens)::BIGINT AS baseline_tokens FROM ({RECORDS}) GROUP BY ALL")
+def budget_periods(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.per_period(_records(spark, sf))
+
+
+# The first request that finds the budget spent is refused, and so are all after it, so spending before tells admission.
+@query(f"WITH r AS (SELECT *, {_PERIOD} AS period FROM ({RECORDS})) SELECT event_id, coalesce(sum(prompt_tokens) OVER (PARTITION BY tenant, period ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 20000 AS admitted FROM r")
+def budget_admissions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _records(spark, sf).select("event_id", "ts", "tenant", "prompt_tokens", ledger.period_start(F.col("ts")).alias("period"))
+    return ledger.budget(rows, "tenant", "period", "ts", "event_id", "prompt_tokens", 20_000).select("event_id", "admitted")
+
+
+@query()
+def rate_limits(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.rate_limit(_records(spark, sf).select("event_id", "ts", "tenant"), "tenant", "ts", "event_id", 0.02, 3).select("event_id", "allowed")
+
+
+@query()
+def breaker_states(spark: SparkSession, sf: str) -> DataFrame:
+    e = _events(spark, sf).select("event_id", "ts", (F.col("user_id") % 4).alias("backend"), (F.col("event_type") != "error").alias("ok"))
+    return ledger.breaker(e, "backend", "ts", "event_id", "ok", 2, 7200.0).groupBy("backend", "state").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT route, model, count(*) AS n, round(avg(prompt_tokens), 6) AS mean, round(stddev_pop(prompt_tokens), 6) AS sd, max(prompt_tokens) AS most FROM ({RECORDS}) GROUP BY route, model")
+def eval_mean_sd(spark: SparkSession, sf: str) -> DataFrame:
+    r = _records(spark, sf).withColumn("k", F.struct("route", "model"))
+    return ledger.mean_and_spread(r, "k", "prompt_tokens").select("k.route", "k.model", "n", "mean", "sd", "most")
+
+
+_EVENT = "'{\"tenant\":\"' || tenant || '\",\"route\":\"' || route || '\",\"prompt_tokens\":' || prompt_tokens || '}'"
+
+
+@query(f"SELECT tenant, row_number() OVER (PARTITION BY tenant ORDER BY ts, event_id) AS seq, {_EVENT} AS event, sha256({_EVENT}) AS event_hash FROM ({RECORDS})")
+def audit_events(spark: SparkSession, sf: str) -> DataFrame:
+    rows = audit.numbered(_records(spark, sf).withColumn("event", audit.event_json(["tenant", "route", "prompt_tokens"])), ["ts", "event_id"], "tenant")
+    return rows.select("tenant", "seq", "event", F.sha2("event", 256).alias("event_hash"))
+
+
+@query(f"SELECT tenant, count(*) AS records, 0::BIGINT AS dropped, NULL::BIGINT AS first_break, 1::BIGINT AS first_seq, count(*) AS last_seq FROM ({RECORDS}) GROUP BY tenant")
+def hash_chain_verify(spark: SparkSession, sf: str) -> DataFrame:
+    rows = audit.numbered(_records(spark, sf), ["ts", "event_id"], "tenant").select("tenant", "seq", F.col("ts").cast("string").alias("ts"), F.lit("request").alias("kind"), audit.event_json(["route", "prompt_tokens"]).alias("event"), F.lit(0).cast("long").alias("dropped"))
+    return audit.report(audit.verify(audit.chain(rows, "tenant"), "tenant"), "tenant").drop("head")
+
+
+@query(f"SELECT event_id FROM (SELECT event_id, max(ts) OVER (PARTITION BY event_id // 100) AS newest, event_id // 100 AS segment FROM ({RECORDS})) WHERE newest > TIMESTAMP '2024-01-20 00:00:00' OR segment = 0")
+def retention_prune(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _records(spark, sf).withColumn("segment", F.floor(F.col("event_id") / 100))
+    return audit.prune(rows, "segment", "ts", F.lit("2024-01-20").cast("timestamp"), F.lit(0)).select("event_id")
+
+
+@query(f"SELECT 'requests_total{{tenant=\"' || tenant || '\",route=\"' || route || '\"}} ' || count(*) AS line FROM ({RECORDS}) GROUP BY tenant, route")
+def metrics_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.metrics(_records(spark, sf), "requests_total", ["tenant", "route"])
+
+
+@query(
+    "SELECT event_id, user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session_no FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)"
+)
+def session_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return tenancy.sessions(_events(spark, sf), "user_id", "ts", "event_id").select("event_id", "user_id", "session_no")
+
+
+@query("SELECT user_id AS stream_id, (event_id % 3)::INT AS index, string_agg(event_type, '' ORDER BY event_id) AS arguments FROM events GROUP BY ALL")
+def tool_call_reassembly(spark: SparkSession, sf: str) -> DataFrame:
+    e = _events(spark, sf).select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 3).cast("int").alias("index"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), F.col("event_type").alias("args"))
+    return sources.tool_calls(e).select("stream_id", "index", "arguments")
+
+
+@query("SELECT c_custkey, coalesce(CASE n_name WHEN 'JAPAN' THEN 0 WHEN 'FRANCE' THEN 0 END, 1) AS cloud_max FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def tenant_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    customers = spark.read.parquet(f"{sf}/customer.parquet").join(spark.read.parquet(f"{sf}/nation.parquet"), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.col("n_name").alias("tenant"))
+    tenants = spark.createDataFrame([("JAPAN", 0), ("FRANCE", 0)], "tenant string, cloud_max int")
+    return tenancy.with_overrides(customers, tenants, {"cloud_max": 1}).select("c_custkey", "cloud_max")
+
+
+@query("SELECT s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name NOT IN ('ASIA', 'EUROPE')")
+def unmapped_tenants(spark: SparkSession, sf: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf}/supplier.parquet").join(spark.read.parquet(f"{sf}/nation.parquet"), F.col("n_nationkey") == F.col("s_nationkey")).join(spark.read.parquet(f"{sf}/region.parquet"), F.col("r_regionkey") == F.col("n_regionkey"))
+    mapping = spark.createDataFrame([("ASIA", "a"), ("EUROPE", "e")], "claim string, tenant string")
+    return tenancy.mapped_tenant(s.select("s_suppkey", F.array("n_name", "r_name").alias("claims")), mapping)[1].select("s_suppkey")
+
+
+@query("SELECT doc_id, line_no::INT AS line_no FROM (SELECT doc_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(line) <> ''")
+def line_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return sources.lines(_docs(spark, sf), ("doc_id",)).select("doc_id", "line_no")
+
+
+@query("SELECT needed, role, role_no >= needed_no AS ok FROM (VALUES ('caller', 1), ('operator', 2), ('admin', 3)) a(role, role_no), (VALUES ('caller', 1), ('operator', 2), ('admin', 3)) b(needed, needed_no)")
+def role_access(spark: SparkSession, sf: str) -> DataFrame:
+    roles = spark.createDataFrame([(r, n) for r in tenancy.ROLES for n in tenancy.ROLES], "role string, needed string")
+    return roles.withColumn("ok", tenancy.allowed(F.col("role"), F.col("needed")))
+
+
+@query()
+def rule_list(spark: SparkSession, sf: str) -> DataFrame:
+    return R.rules_table(spark, list(RULES.values()))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
