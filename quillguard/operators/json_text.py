@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,20 +11,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-class _Raw(float):
-    """A number that prints as it was written."""
+#: Numbers travel as marked strings, so they are written back as they were read.
+_MARK = "\0number:"
+_MARKED = re.compile(r'"\\u0000number:([^"]*)"')
 
-    def __new__(cls, text: str):
-        out = super().__new__(cls, text)
-        out.text = text
-        return out
 
-    def __repr__(self) -> str:
-        return self.text
+def _load(text: str):
+    return json.loads(text, parse_float=lambda n: _MARK + n, parse_int=lambda n: _MARK + n)
 
 
-def _load(text: str):
-    return json.loads(text, parse_float=_Raw)
+def _dump(value) -> str:
+    return _MARKED.sub(r"\1", json.dumps(value, ensure_ascii=False, separators=(",", ":")))
 
 
 def leaves(value) -> list[str]:
@@ -67,7 +65,7 @@ def rewrite_descriptions(text: Column, rewrite: Callable[[str], str]) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         def one(t):
             try:
-                return t if t is None else json.dumps(walk(_load(t)), ensure_ascii=False, separators=(",", ":"))
+                return t if t is None else _dump(walk(_load(t)))
             except ValueError:
                 return t
 
