@@ -71,14 +71,10 @@ def block_features(block: tb.Block) -> list[pa.Array]:
 
     # Lines that hold a word: raw bytes for repeats within the document, words for the normalised form.
     feed = np.flatnonzero(data == 0x0A)
-    begin = np.sort(np.concatenate([block.offsets[:-1], feed + 1]))
+    begin = np.unique(np.concatenate([block.offsets[:-1], feed + 1]))
     owner = np.searchsorted(block.offsets, begin, "right") - 1
-    good = (owner < n) & (begin <= block.offsets[np.minimum(owner + 1, n)])
-    # a line feed that ends a document opens an empty line, which has no word
-    begin, owner = begin[good], owner[good]
-    stop = np.minimum(np.append(begin[1:] - 1, len(data)), len(data))
-    last_of_document = np.append(owner[1:] != owner[:-1], True) if len(owner) else np.zeros(0, bool)
-    stop = np.where(last_of_document, block.offsets[np.minimum(owner + 1, n)], stop)
+    begin, owner = begin[owner < n], owner[owner < n]
+    stop = np.minimum(np.append(feed, len(data))[np.searchsorted(feed, begin)], block.offsets[owner + 1])
     from_word, to_word = np.searchsorted(w.start, begin), np.searchsorted(w.start, stop)
     held = (to_word > from_word) & (stop > begin)
     begin, stop, owner, from_word, to_word = begin[held], stop[held], owner[held], from_word[held], to_word[held]
