@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillguard import sources
 from quillguard.functions import rules as R
 from quillguard.functions import text as X
-from quillguard.operators import audit, cache, compress, detect, governance, guard, ledger, mask, tenancy
+from quillguard.operators import audit, cache, compress, detect, governance, guard, harness, ledger, mask, names, tenancy
 from quillguard.plans import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -390,6 +390,28 @@ def rule_list(spark: SparkSession, sf: str) -> DataFrame:
     return R.rules_table(spark, list(RULES.values()))
 
 
+@query()
+def name_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return names.findings(_docs(spark, sf), ("doc_id",))
+
+
+@query("WITH a AS (SELECT doc_id, quality, n_chars FROM labels JOIN documents USING (doc_id)), p AS (SELECT 'q' || quality AS c, quality::DOUBLE AS raw, (n_chars % 7)::DOUBLE AS gated, n_chars AS rt, n_chars // 2 AS gt FROM a) SELECT c AS \"case\", count(*) AS runs, round(avg(raw), 6) AS raw, round(stddev_pop(raw), 6) AS raw_sd, round(avg(gated), 6) AS gated, round(stddev_pop(gated), 6) AS gated_sd, round(avg(gated) - avg(raw), 6) AS delta, round(100.0 * (sum(rt) - sum(gt)) / sum(rt), 6) AS saved FROM p GROUP BY c")
+def eval_arms(spark: SparkSession, sf: str) -> DataFrame:
+    a = spark.read.parquet(f"{sf}/labels.parquet").join(_docs(spark, sf), "doc_id")
+    arm = lambda score, tokens: a.select(F.concat(F.lit("q"), F.col("quality").cast("string")).alias("case"), F.col("doc_id").alias("run"), score.cast("double").alias("score"), tokens.alias("tokens"))
+    return harness.summary(harness.compared(arm(F.col("quality"), F.col("n_chars")), arm(F.col("n_chars") % 7, F.floor(F.col("n_chars") / 2).cast("long"))))
+
+
+@query(f"SELECT count(*) * 12 AS calls, (6 * sum({S.tokens('text')}) + 6 * sum({S.tokens('text')} + 1) + count(*) * 2400)::BIGINT AS tokens_in, count(*) * 2760 AS tokens_out, round((6 * sum({S.tokens('text')})) / 1e6 * 2.5 + count(*) * 2400 / 1e6 * 10.0 + (6 * sum({S.tokens('text')} + 1) + count(*) * 2400) / 1e6 * 1.25 + count(*) * 360 / 1e6 * 10.0, 6) AS cost, count(*) FILTER ({TARGET} = 'local') AS local_cases FROM benchmark")
+def eval_dry_run(spark: SparkSession, sf: str) -> DataFrame:
+    return harness.dry_run(spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("text").alias("prompt"), F.lit("good").alias("rubric")), 3, (2.5, 10.0), (1.25, 10.0))
+
+
+@query("SELECT conv_id, turn, true AS roundtrip FROM conversations")
+def payload_explained(spark: SparkSession, sf: str) -> DataFrame:
+    return harness.explain_payload(_talk(spark, sf)).select("conv_id", "turn", "roundtrip")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
