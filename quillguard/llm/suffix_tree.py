@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillguard.llm import textbytes as tb
-from quillguard.llm.session import cut
+from quillguard.llm.session import written
 
-DEPTH, LEAST, DIVERGENCE, PULL = 7, 1e-5, 20.0, 4.0
-HEAD = 400_000
+DEPTH, LEAST, DIVERGENCE, PULL = 6, 1e-5, 20.0, 4.0
+HEAD = 1_000_000
 END = 0x0A
 CHUNK = 128
 #: Distinct n-grams that a worker gathers before it hands them on.
@@ -225,7 +225,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (fold(id_col, parts) == held).alias("held_out"), F.xxhash64(F.lit(5), F.col(id_col), F.col(text_col)).alias("rk"))
-    table = cut(counts(rows.filter("not held_out").select("text")))
+    table = written(counts(rows.filter("not held_out").select("text")), "counts")
     words = table.filter("kind = 0")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = table.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
