@@ -10,9 +10,8 @@ sizes; what cannot be excluded is verified on the full sets.
 
 Documents with equal sets form one class before any pairing.  A bucket compares
 its classes with one hub, not all pairs; components of the confirmed links then
-show which buckets still hold classes of different components, and only such
-pairs are compared, less those that the triangle inequality of the Jaccard
-distance to the hub rules out.
+show which buckets still hold classes of different components, and only those
+buckets are compared in full, in cells of fixed size that give out a spanning set of links.
 """
 
 from __future__ import annotations
@@ -35,8 +34,8 @@ REGISTERS = BANDS * WIDTH
 BASE, RATE, LIMIT = 1.001, 20.0, 65_534
 #: Standard errors below the threshold at which an estimate excludes a candidate.
 MARGIN = 6.0
-#: Cross-component pairs of all buckets that are compared at once; beyond it, another hub round comes first.
-DIRECT_PAIRS, HUB_ROUNDS = 2_000_000, 8
+#: Classes of one side of a cell in which a bucket is compared, and shingles that are counted at a time.
+CELL, COLUMNS = 1024, 4096
 
 _MULTIPLIERS = np.random.default_rng(20240303).integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -204,35 +203,13 @@ def components_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = buckets.groupBy("bk").agg(F.count("*").alias("size"), F.min("cid").alias("hub")).filter("size > 1")
     members = cut(buckets.join(shared, "bk"))
     pairs = members.filter("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    tested = cut(_likely(pairs, classes, percent))
     texts = _text_table(plain, classes, members)
-    known = links = label = None
-    for turn in range(HUB_ROUNDS + 1):
-        found = cut(_verified(tested, texts, k))
-        known = found if known is None else cut(known.unionByName(found))
-        links = known.filter(F.lit(100) * F.col("inter") >= F.lit(percent) * F.col("uni")).select("a", "b")
-        label = components(links)
-        if turn == HUB_ROUNDS or members.filter("size > 2").isEmpty():
-            break
-        labelled = members.filter("size > 2").join(label, members["cid"] == label["node"], "left").withColumn("label", F.coalesce("label", "cid")).drop("node")
-        parts = labelled.groupBy("bk", "label").agg(F.count("*").alias("n"))
-        mixed = parts.groupBy("bk").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max("label").alias("top"), F.count("*").alias("labels")).filter("labels > 1")
-        open_rows = cut(labelled.join(mixed.select("bk", "top", "all", "same"), "bk"))
-        cross = open_rows.groupBy("bk").agg(((F.first("all") * F.first("all") - F.first("same")) / 2).alias("x")).agg(F.sum("x")).first()[0]
-        if not cross:
-            break
-        last = cross <= DIRECT_PAIRS or turn == HUB_ROUNDS - 1
-        fresh = _cross_pairs(open_rows, known, percent) if last else _second_hub(open_rows)
-        ordered = fresh.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tested = cut(_likely(ordered.join(done, ["a", "b"], "left_anti"), classes, percent))
-        if last:
-            if not tested.isEmpty():
-                found = cut(_verified(tested, texts, k))
-                extra = found.filter(F.lit(100) * F.col("inter") >= F.lit(percent) * F.col("uni")).select("a", "b")
-                if not extra.isEmpty():
-                    label = components(links.unionByName(extra))
-            break
+    tested = _verified(_likely(pairs, classes, percent), texts, k)
+    links = cut(tested.filter(F.lit(100) * F.col("inter") >= F.lit(percent) * F.col("uni")).select("a", "b"))
+    label = components(links)
+    extra = cut(_open_links(members, label, texts, k, percent))
+    if not extra.isEmpty():
+        label = components(links.unionByName(extra))
     named = classes.select("cid", "least").join(label, classes["cid"] == label["node"], "left").withColumn("label", F.coalesce("label", "cid")).drop("node")
     lowest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = named.join(lowest, "label").select("cid", "component_id")
@@ -247,22 +224,56 @@ def _text_table(plain: DataFrame, classes: DataFrame, members: DataFrame) -> Dat
     return cut(held.groupBy("cid").agg(F.first("text").alias("text")))
 
 
-def _second_hub(rows: DataFrame) -> DataFrame:
-    """Pairs of another hub, from the component of the largest label, with the rest of its bucket."""
-    hubs = rows.filter("label = top").groupBy("bk").agg(F.min("cid").alias("a"))
-    return rows.filter("label <> top").join(hubs, "bk").select("a", F.col("cid").alias("b"))
+def _open_links(members: DataFrame, label: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: links between classes of one bucket that the links found so far leave in different components.
 
-
-def _cross_pairs(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and two components that distances to the bucket's hub do not rule out."""
-    apart = known.select(F.col("a").alias("hub"), F.col("b").alias("cid"), (1 - F.col("inter") / F.col("uni")).alias("d"))
-    # a member without a verified distance was excluded by its size or estimate: nothing is ruled out for it
-    near = rows.join(apart, ["hub", "cid"], "left").withColumn("d", F.when(F.col("cid") == F.col("hub"), F.lit(0.0)).otherwise(F.col("d")))
-    x = near.select("bk", F.col("cid").alias("a"), F.col("label").alias("la"), F.col("d").alias("da"), F.col("n_shingles").alias("na"))
-    y = near.select("bk", F.col("cid").alias("b"), F.col("label").alias("lb"), F.col("d").alias("db"), F.col("n_shingles").alias("nb"))
-    most = 1 - percent / 100 + 1e-9
-    fits = (x["a"] < y["b"]) & (x["la"] != y["lb"]) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("da").isNull() | F.col("db").isNull() | (F.abs(F.col("da") - F.col("db")) <= most))
-    return x.join(y, (x["bk"] == y["bk"]) & fits).select("a", "b")
+    Buckets of equal content are compared once.  A bucket is compared in cells
+    of at most 2 x CELL classes, so no task holds more; pairs are counted inside
+    a cell as products of shingle matrices, and only as many links come out as
+    join its labels.
+    """
+    labelled = members.filter("size > 2").join(label, members["cid"] == label["node"], "left").select("bk", "size", "cid", F.coalesce("label", "cid").alias("label"))
+    mixed = labelled.groupBy("bk").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.xxhash64("cid").cast("decimal(30,0)")).alias("content"), F.count("*").alias("n"))
+    chosen = mixed.filter("lo <> hi").groupBy("content", "n").agg(F.min("bk").alias("bk")).select("bk")
+    blocks = F.ceil(F.col("size") / CELL).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(9), "cid"), blocks).cast("int")
+    cells = labelled.join(chosen, "bk").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = cells.select("bk", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "label").join(texts, "cid")
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = linked_pairs(np.asarray(table.column("label")), table.column("text").combine_chunks(), k, percent)
+        cid = np.asarray(table.column("cid"))
+        return pa.table({"a": pa.array(cid[found[0]], pa.int64()), "b": pa.array(cid[found[1]], pa.int64())})
+
+    return placed.groupBy("bk", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def linked_pairs(label: np.ndarray, text: pa.Array, k: int = WORDS, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked pairs of texts whose labels differ: enough to join all labels that links join."""
+    keys, owner = [], []
+    for block in tb.blocks(text):
+        a, b = shingle_sets(block, k)
+        keys.append(a)
+        owner.append(b + block.lo)
+    key, row = np.concatenate(keys), np.concatenate(owner)
+    n = len(label)
+    size = np.bincount(row, minlength=n).astype(np.float32)
+    _, column, times = np.unique(key, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    _, column = np.unique(column[shared], return_inverse=True)
+    row = row[shared]
+    inter = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    width = column[-1] + 1 if len(column) else 0
+    for lo in range(0, width, COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        part = np.zeros((n, min(COLUMNS, width - lo)), np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        inter += part @ part.T
+    link = 100 * inter >= percent * (size[:, None] + size[None, :] - inter)
+    link &= np.triu(np.ones((n, n), bool), 1) & (label[:, None] != label[None, :])
+    return np.nonzero(link)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
