@@ -6,14 +6,12 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillguard.llm import bpe, mixing, neardup, pii, quality
-from quillguard.llm.session import documents, ensure_checkpoint_dir
+from quillguard.llm.session import documents, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written to the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = f"{folder.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "corpus")
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         out = f"{base}/{k}-{name}"

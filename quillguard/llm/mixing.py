@@ -110,7 +110,8 @@ def mix(df: DataFrame, seed: int = SEED, cap: int = MOST_COPIES, keep: tuple[str
 
 def repeat_documents(df: DataFrame, seed: int = SEED, cap: int = MOST_COPIES, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixture itself: every row as often as its copies, with its columns as they were."""
-    every = [F.col(c) for c in df.columns]
+    # maps can't be hashed; as JSON they can
+    every = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in df.schema.fields]
     keyed = df.withColumn("__k1", F.xxhash64(F.lit(1), *every)).withColumn("__k2", F.xxhash64(F.lit(2), *every))
     times = mix(keyed, seed, cap, ("__k1", "__k2"), text_col, source_col).groupBy("__k1", "__k2").agg(F.sum("copies").alias("__copies"))
     rows = keyed.groupBy("__k1", "__k2").agg(*[F.first(c).alias(c) for c in df.columns])

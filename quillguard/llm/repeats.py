@@ -21,7 +21,6 @@ Strings are compared by 64-bit hashes of their bytes.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillguard.llm import textbytes as tb
-from quillguard.llm.session import cut, ensure_checkpoint_dir
+from quillguard.llm.session import cut, written
 
 LENGTH, GRAM = 200, 40
 SPAN = LENGTH - GRAM + 1
@@ -40,15 +39,6 @@ BUCKET_CONTEXTS, SAMPLES_PER_BUCKET = 20_000, 20
 WORDS = LENGTH // 8
 
 
-def _written(df: DataFrame, spark) -> DataFrame:
-    """A table in the checkpoint folder, compressed and readable in columns."""
-    ensure_checkpoint_dir(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/repeats-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
-
-
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """Least of values[i:i + width] for every i, by prefix and suffix minima of blocks."""
     n = len(values)
@@ -213,7 +203,6 @@ def _context_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _sorted_repeats(contexts: DataFrame) -> DataFrame:
     """context, offset of the strings that occur again, by sorting the contexts' suffixes in buckets."""
-    spark = contexts.sparkSession
     contexts = cut(contexts.withColumn("head", F.expr(f"substring(data, place + 1, {LENGTH})")))
     total = contexts.count()
     buckets = max(1, -(-total // BUCKET_CONTEXTS))
@@ -249,12 +238,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeats of each other; strings are judged on the input, overlaps count.  An
     empty table gives an empty result.  Other columns of the input are ignored.
     """
-    spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.lit(3), text).alias("t1"))
-    anchors = _written(_anchor_table(rows.filter(F.octet_length("text") >= LENGTH)), spark)
-    grams = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).filter("n > 1")
-    live = cut(anchors.join(grams.select("gram", (F.col("lo") != F.col("hi")).alias("mixed")), "gram"))
+    anchors = written(_anchor_table(rows.filter(F.octet_length("text") >= LENGTH)), "anchors")
+    again = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    live = cut(anchors.join(again, "gram"))
+    kinds = live.groupBy("gram").agg((F.min("context") != F.max("context")).alias("mixed"))
+    live = cut(live.join(kinds, "gram"))
     contexts = live.filter("mixed").groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("t1", "position", "first", "last")).alias("at")).select("context", "times", "at.*")
     contexts = cut(contexts)
     whole = contexts.filter("times > 1").select("context").withColumn("offsets", F.lit(None).cast("array<int>"))
