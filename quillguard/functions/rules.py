@@ -6,6 +6,7 @@ Rules are written for a matcher whose ``\\b \\d \\w \\s`` are ASCII.  Python's
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from dataclasses import dataclass
@@ -136,6 +137,11 @@ def build(packs: tuple[str, ...] = (), disable: tuple[str, ...] = (), extra: tup
     return [r for r in rules if not r.disabled and r.name not in disable]
 
 
+def fingerprint(rules: list[Rule]) -> str:
+    """Changes when any rule, or their order, does; part of a cache's key, so a change empties the cache."""
+    return hashlib.sha256("\0".join(repr(r) for r in rules).encode()).hexdigest()
+
+
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """The active rules as a table."""
     rows = [(r.name, r.category, SENSITIVITY[r.category], r.priority, r.validator, r.pattern) for r in rules]

@@ -52,6 +52,13 @@ def chain(df: DataFrame, by: str) -> DataFrame:
     return df.repartition(by).sortWithinPartitions(by, "seq").mapInPandas(run, fields)
 
 
+def segments(records: DataFrame, by: str, most_bytes: int = 64 << 20, checkpoint_every: int = 1000) -> DataFrame:
+    """Adds segment (a new one whenever the bytes of a chain pass another ``most_bytes``) and checkpoint marks."""
+    size = F.octet_length("event").cast("long") + 200
+    before = Window.partitionBy(by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return records.withColumn("segment", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / most_bytes).cast("long")).withColumn("checkpoint", F.col("seq") % checkpoint_every == 0)
+
+
 def verify(records: DataFrame, by: str) -> DataFrame:
     """Adds problem: null for a sound record, else what is wrong with its number, link or hash."""
     order = Window.partitionBy(by).orderBy("seq")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillguard.functions import shell
@@ -13,6 +13,11 @@ _MAY_RUN = r"(?im)`|~~~|:\s*\(|^\s*(?:[$#>%]\s+)?(?:[-*+]\s+)?(?:[\w./-]+=\S*\s+
 FINDING = "struct<rule:string,severity:string,match:string,scope:string,line:int,end_line:int>"
 
 
+def rule_table(spark: SparkSession, overrides: dict[str, str] | None = None) -> DataFrame:
+    """name, severity of the rules as they are enforced."""
+    return spark.createDataFrame([(r.name, (overrides or {}).get(r.name, r.severity)) for r in shell.RULES], "name string, severity string")
+
+
 def guard_findings(text: Column, overrides: dict[str, str] | None = None) -> Column:
     @F.pandas_udf(f"array<{FINDING}>")
     def run(texts: pd.Series) -> pd.Series:

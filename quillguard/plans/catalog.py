@@ -385,6 +385,16 @@ def role_access(spark: SparkSession, sf: str) -> DataFrame:
     return roles.withColumn("ok", tenancy.allowed(F.col("role"), F.col("needed")))
 
 
+@query("SELECT tenant, seq, floor(coalesce(sum(octet_length(encode(event)) + 200) OVER (PARTITION BY tenant ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 20000.0)::BIGINT AS segment, seq % 100 = 0 AS checkpoint FROM (SELECT tenant, row_number() OVER (PARTITION BY tenant ORDER BY ts, event_id) AS seq, " + _EVENT + " AS event FROM (" + RECORDS + "))")
+def audit_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.segments(audit_events(spark, sf), "tenant", 20_000, 100).select("tenant", "seq", "segment", "checkpoint")
+
+
+@query()
+def guard_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return guard.rule_table(spark, {"rm_recursive_force": "block"})
+
+
 @query()
 def rule_list(spark: SparkSession, sf: str) -> DataFrame:
     return R.rules_table(spark, list(RULES.values()))

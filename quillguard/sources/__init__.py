@@ -63,6 +63,25 @@ def deltas(df: DataFrame, line_col: str = "value", keep: tuple[str, ...] = ()) -
     return rows.select(*keep, choice["delta"]["content"].alias("content"), choice["delta"]["tool_calls"].alias("tool_calls"), choice["finish_reason"].alias("finish_reason")).filter("coalesce(content, '') <> '' or tool_calls is not null or finish_reason is not null")
 
 
+BLOCK_EVENT = "struct<type:string,index:int,delta:struct<type:string,text:string,partial_json:string,stop_reason:string>,content_block:struct<type:string,id:string,name:string>,error:struct<type:string,message:string>>"
+
+
+def block_deltas(df: DataFrame, line_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same of a stream that sends typed blocks: text, tool fragments by block index, stop reason, error."""
+    event = F.from_json(F.trim(F.substring(F.col(line_col), 6, 1 << 30)), BLOCK_EVENT)
+    rows = df.filter(F.startswith(F.col(line_col), F.lit("data:"))).select(*keep, event.alias("e"))
+    text = F.when(F.col("e.delta.type") == "text_delta", F.col("e.delta.text"))
+    tool = F.when((F.col("e.content_block.type") == "tool_use") | (F.col("e.delta.type") == "input_json_delta"), F.struct(F.col("e.index").alias("index"), F.col("e.content_block.id").alias("id"), F.col("e.content_block.name").alias("name"), F.col("e.delta.partial_json").alias("args")))
+    out = rows.select(*keep, text.alias("content"), tool.alias("tool"), finish_reason(F.col("e.delta.stop_reason")).alias("finish_reason"), F.col("e.error.message").alias("error"))
+    return out.filter("coalesce(content, '') <> '' or tool is not null or finish_reason is not null or error is not null")
+
+
+def assembled(messages: Column, preamble: str) -> Column:
+    """The messages with the preamble in front as a system message."""
+    first = F.struct(F.lit("system").alias("role"), F.lit(preamble).alias("content"))
+    return F.concat(F.array(first), F.transform(messages, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))))
+
+
 def finish_reason(reason: Column) -> Column:
     """One vocabulary for why an answer ended."""
     return F.when(reason.isin("end_turn", "stop_sequence", "stop"), "stop").when(reason.isin("max_tokens", "length"), "length").when(reason.isin("tool_use", "tool_calls"), "tool_calls").otherwise(reason)

@@ -38,3 +38,9 @@ def test_guard_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.stream_id: (r.released, r.sealed) for r in spark.table("released").collect()}
     assert got == {"s": ("ok line\n", "rm_recursive_force_root"), "t": ("fine", "")}
+
+
+def test_block_stream(spark):
+    lines = ['data: {"type":"content_block_delta","index":0,"delta":{"type":"text_delta","text":"hi"}}', 'data: {"type":"content_block_start","index":1,"content_block":{"type":"tool_use","id":"t","name":"f"}}', 'data: {"type":"message_delta","delta":{"stop_reason":"end_turn"}}', "event: ping", 'data: {"type":"ping"}']
+    got = sources.block_deltas(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [(r.content, r.tool.name if r.tool else None, r.finish_reason) for r in got] == [("hi", None, None), (None, "f", None), (None, None, "stop")]
