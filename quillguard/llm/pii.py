@@ -38,6 +38,8 @@ WORD_RUN = r"[\x20\x09-\x0D]+"
 #: A pattern needs so many different sensitive finds and so much confidence; rounds over the graph.
 MIN_FINDS, MIN_CONFIDENCE, ROUNDS = 3, 0.8, 3
 CONTEXT_CHARS = 200
+#: So many patterns, counted first, are sent to all tasks; more are joined with counts of all word pairs.
+FEW_PATTERNS = 50_000
 
 
 def _keys(text: Column) -> list[Column]:
@@ -96,13 +98,18 @@ def _discover(texts: DataFrame, finds: DataFrame) -> DataFrame | None:
     seeds = base.filter("context is not null").select("context", _value().alias("value"))
     able = seeds.groupBy("context", "value").agg(F.count("*").alias("n")).groupBy("context").agg(F.count("*").alias("finds")).filter(F.col("finds") >= MIN_FINDS).select("context")
     able = cut(able)
-    if able.isEmpty():
+    n_able = able.count()
+    if not n_able:
         return None
     instances = cut(instances.join(able, "context"))
     edges = cut(seeds.join(able, "context").groupBy("context", "value").agg(F.count("*").alias("n")).withColumn("seed", F.lit(1.0)).unionByName(instances.groupBy("context", "value").agg(F.count("*").alias("n")).withColumn("seed", F.lit(0.0))))
     words = F.split(F.lower(F.trim(F.regexp_replace("text", WORD_RUN, " "))), " ")
     pairs = texts.select(words.alias("w")).filter(F.size("w") > 2).select(F.explode(F.transform(F.slice("w", F.lit(1), F.size("w") - 2), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1)))).alias("context"))
-    total = cut(pairs.join(able, "context", "left_semi").groupBy("context").agg(F.count("*").alias("total")))
+    if n_able <= FEW_PATTERNS:
+        total = pairs.join(F.broadcast(able), "context", "left_semi").groupBy("context").agg(F.count("*").alias("total"))
+    else:
+        total = pairs.groupBy("context").agg(F.count("*").alias("total")).join(able, "context", "left_semi")
+    total = cut(total)
     score = edges.groupBy("value").agg(F.max("seed").alias("score"))
     trust = None
     for _ in range(ROUNDS):
