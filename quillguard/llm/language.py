@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillguard.llm import textbytes as tb
+from quillguard.llm.native import spread
 from quillguard.llm.suffix_tree import fold, grams, stream
 
 ORDER, TRAIN_DOCUMENTS, SEED = 3, 1500, 20240305
@@ -66,9 +67,15 @@ class ContextTree:
 
 def train(df: DataFrame, lang_col: str, text_col: str, per_language: int = TRAIN_DOCUMENTS, order: int = ORDER) -> dict[str, ContextTree]:
     """A tree for every language of the labelled rows."""
-    chance = F.xxhash64(F.lit(SEED), F.col(text_col))
-    ranked = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), chance.alias("h"))
-    sample = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_language).select("lang", "text")
+    labelled = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), spread(F.col(text_col), seed=SEED).alias("h"))
+    # one number per language, as there is one tree per language later
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 2.0 * per_language / n))])
+    # about twice the wanted documents pass the hash's threshold, wherever they lie; only those are ranked
+    drawn = labelled.filter(F.col("h") / 2.0**63 <= F.element_at(share, F.col("lang")))
+    sample = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_language).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
