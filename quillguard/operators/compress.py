@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillguard.functions.text import token_estimate
 
 # White space of Unicode, and tokens that stand for earlier substitutions.
-SPACE = "\t\n\v\f\r\x20\x85\xa0  -     　"
+SPACE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SUBSTITUTE = r"^(<(\*|id|str|int|type)>$|#REF|<V[0-9]+>)"
 SIMILAR = 0.5
 
