@@ -26,11 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Distinct pieces whose encoding a worker remembers, and the longest such piece in characters.
-CACHE_PIECES, CACHE_CHARS = 600_000, 48
-
-OUTPUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string, token_ids binary"
+#: What a worker remembers: encodings of chunks (a space and what follows), of other pieces, and token pairs, each
+#: up to a bound at which it starts anew; together about 100 MB.  Longer keys, in characters, aren't remembered.
+CACHE_CHUNKS, CACHE_PIECES, CACHE_PAIRS, CACHE_CHARS = 250_000, 50_000, 250_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -162,7 +160,7 @@ class Coder:
 
     def stays(self, left: int, right: int) -> bool:
         """True if the bytes of two tokens encode as just these two tokens."""
-        if len(self.known_pairs) >= CACHE_PIECES:
+        if len(self.known_pairs) >= CACHE_PAIRS:
             self.known_pairs.clear()
         known = self.known_pairs[left << 32 | right] = self._pair(left, right)
         return known
@@ -206,9 +204,9 @@ class Coder:
         return self._remember(self._pieces, piece, packed)
 
     @staticmethod
-    def _remember(cache: dict[str, bytes], key: str, packed: bytes) -> bytes:
+    def _remember(cache: dict[str, bytes], key: str, packed: bytes, most: int = CACHE_PIECES) -> bytes:
         if len(key) <= CACHE_CHARS:
-            if len(cache) >= CACHE_PIECES:
+            if len(cache) >= most:
                 cache.clear()
             cache[key] = packed
         return packed
@@ -218,7 +216,7 @@ class Coder:
         return b"".join([known(p) or pack(p) for p in self.split(text)])
 
     def pack_chunk(self, chunk: str) -> bytes:
-        return self._remember(self._chunks, chunk, self.pack(" " + chunk))
+        return self._remember(self._chunks, chunk, self.pack(" " + chunk), CACHE_CHUNKS)
 
     def pack_head(self, chunk: str) -> bytes:
         return self._remember(self._heads, chunk, self.pack(chunk))
