@@ -203,7 +203,7 @@ def _context_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _sorted_repeats(contexts: DataFrame) -> DataFrame:
     """context, offset of the strings that occur again, by sorting the contexts' suffixes in buckets."""
-    contexts = cut(contexts.withColumn("head", F.expr(f"substring(data, place + 1, {LENGTH})")))
+    contexts = written(contexts, "contexts").withColumn("head", F.expr(f"substring(data, place + 1, {LENGTH})"))
     total = contexts.count()
     buckets = max(1, -(-total // BUCKET_CONTEXTS))
     if buckets > 1:
@@ -225,7 +225,7 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
         rows = [(c, o, 0, 0) for c, o in same] + [(c, o, h, t) for h, t, c, o in beyond]
         return pd.DataFrame(rows, columns=["context", "offset", "hash", "times"]).astype({"context": "int64", "offset": "int32", "hash": "int64", "times": "int64"})
 
-    found = cut(contexts.withColumn("bucket", bucket("head")).groupBy("bucket").applyInPandas(compare, "context long, offset int, hash long, times long"))
+    found = cut(contexts.withColumn("bucket", bucket("head")).drop("head").groupBy("bucket").applyInPandas(compare, "context long, offset int, hash long, times long"))
     across = found.filter("times > 0")
     again = across.groupBy("hash").agg(F.sum("times").alias("n")).filter("n > 1").select("hash")
     return found.filter("times = 0").select("context", "offset").unionByName(across.join(again, "hash", "left_semi").select("context", "offset"))
@@ -242,9 +242,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.lit(3), text).alias("t1"))
     anchors = written(_anchor_table(rows.filter(F.octet_length("text") >= LENGTH)), "anchors")
     again = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    live = cut(anchors.join(again, "gram"))
+    live = written(anchors.join(again, "gram"), "live")
     kinds = live.groupBy("gram").agg((F.min("context") != F.max("context")).alias("mixed"))
-    live = cut(live.join(kinds, "gram"))
+    live = written(live.join(kinds, "gram"), "live")
     contexts = live.filter("mixed").groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("t1", "position", "first", "last")).alias("at")).select("context", "times", "at.*")
     contexts = cut(contexts)
     whole = contexts.filter("times > 1").select("context").withColumn("offsets", F.lit(None).cast("array<int>"))
