@@ -35,9 +35,8 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
 CONTEXT = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$"
 WORD_RUN = r"[\x20\x09-\x0D]+"
 
-#: A pattern needs so many different sensitive finds, this share of all different finds, and so much confidence.
-#: The share bounds how many patterns there are, at any size of the input; chance alone makes ever more small ones.
-MIN_FINDS, MIN_SHARE, MIN_CONFIDENCE = 3, 0.001, 0.8
+#: A pattern needs so many different sensitive finds and so much confidence.
+MIN_FINDS, MIN_CONFIDENCE = 3, 0.8
 #: Rounds over the graph.
 ROUNDS = 3
 CONTEXT_CHARS = 200
@@ -99,7 +98,7 @@ def _discover(texts: DataFrame, finds: DataFrame) -> DataFrame | None:
     free = ordered.withColumn("earlier", earlier).withColumn("later", later).filter((F.col("of") == 0) & (F.coalesce("earlier", F.lit(0)) <= F.col("start")) & (F.col("later").isNull() | (F.col("later") >= F.col("end"))))
     instances = free.filter("context is not null").select("t1", "t2", "start", "end", "context", _value().alias("value")).filter("value <> ''")
     seeds = base.filter("context is not null").select("context", _value().alias("value"))
-    able = seeds.groupBy("context", "value").agg(F.count("*").alias("n")).groupBy("context").agg(F.count("*").alias("finds")).filter(F.col("finds") >= max(MIN_FINDS, MIN_SHARE * seeds.select("value").distinct().count())).select("context")
+    able = seeds.groupBy("context", "value").agg(F.count("*").alias("n")).groupBy("context").agg(F.count("*").alias("finds")).filter(F.col("finds") >= MIN_FINDS).select("context")
     able = cut(able)
     n_able = able.count()
     if not n_able:

@@ -317,6 +317,14 @@ def test_bootstrapping(spark):
     assert clean[12] == "please contact me at [ID] now" and clean[14] == texts[14] and "[EMAIL]" in clean[0] and "@" not in clean[0]
 
 
+def test_patterns_need_no_share_of_all_finds(spark):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    many = " ".join(f"{word(i)} {word(i + 9)} {word(i)}@other.org" for i in range(6000))
+    texts = [f"contact me at u{i}@mail.com {prose(3)}" for i in range(5)] + ["please contact me at user#4471x now", many]
+    at = texts[5].index("user#")
+    assert {r.doc_id: r.spans for r in pii.find(frame(spark, texts)).collect()}[5] == f"id:{at}:{at + 10}"
+
+
 # quality
 
 
