@@ -106,11 +106,12 @@ def _discover(texts: DataFrame, finds: DataFrame) -> DataFrame | None:
     instances = cut(instances.join(able, "context"))
     edges = cut(seeds.join(able, "context").groupBy("context", "value").agg(F.count("*").alias("n")).withColumn("seed", F.lit(1.0)).unionByName(instances.groupBy("context", "value").agg(F.count("*").alias("n")).withColumn("seed", F.lit(0.0))))
     words = F.split(F.lower(F.trim(F.regexp_replace("text", WORD_RUN, " "))), " ")
-    pairs = texts.select(words.alias("w")).filter(F.size("w") > 2).select(F.explode(F.transform(F.slice("w", F.lit(1), F.size("w") - 2), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1)))).alias("context"))
+    pairs = lambda d: d.select("t1", "t2", words.alias("w")).filter(F.size("w") > 2).select("t1", "t2", F.posexplode(F.transform(F.slice("w", F.lit(1), F.size("w") - 2), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1)))).alias("i", "context"))
+    # like finds, word pairs count once per distinct text: a place in a text counts once, however many copies hold it
     if n_able <= FEW_PATTERNS:
-        total = pairs.join(F.broadcast(able), "context", "left_semi").groupBy("context").agg(F.count("*").alias("total"))
+        total = pairs(texts).join(F.broadcast(able), "context", "left_semi").dropDuplicates(["t1", "t2", "i"]).groupBy("context").agg(F.count("*").alias("total"))
     else:
-        total = pairs.groupBy("context").agg(F.count("*").alias("total")).join(able, "context", "left_semi")
+        total = pairs(texts.dropDuplicates(["t1", "t2"])).groupBy("context").agg(F.count("*").alias("total")).join(able, "context", "left_semi")
     total = cut(total)
     score = edges.groupBy("value").agg(F.max("seed").alias("score"))
     trust = None

@@ -325,6 +325,16 @@ def test_patterns_need_no_share_of_all_finds(spark):
     assert {r.doc_id: r.spans for r in pii.find(frame(spark, texts)).collect()}[5] == f"id:{at}:{at + 10}"
 
 
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_copies_do_not_lower_trust(spark, monkeypatch, few):
+    monkeypatch.setattr(pii, "FEW_PATTERNS", few)
+    texts = [f"{prose(5)} contact me at u{i}@mail.com {prose(3)}" for i in range(12)] + ["please contact me at user#4471x now", "the at user#4471x"]
+    texts += [texts[0]] * 300
+    got = {r.doc_id: r.spans for r in pii.find(frame(spark, texts)).collect()}
+    at = texts[12].index("user#")
+    assert got[12] == f"id:{at}:{at + 10}" and got[13] == "" and got[313] == got[0] != ""
+
+
 # quality
 
 
