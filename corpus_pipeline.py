@@ -15,8 +15,8 @@ from quillguard.llm.session import documents, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    return quality.keep_good(docs)
+    """Rejected documents go, and common lines of the others; n_chars follows the text."""
+    return quality.keep_good(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Every line is normalised (A-Z lowered, white space between words ignored),
 hashed and counted: in how many documents of a host does it occur.  Documents
 with equal text count once, so copies of one page do not make its own lines
 common.  Lines above the limit are boilerplate; a document that loses too large
-a share of its words with them is depleted and rejected.
+a share of its words with them is depleted and rejected, the others lose the lines.
 
 The documents are read once; what later steps need of them (counts and line
 hashes, a few bytes a line) is written to the checkpoint folder.
@@ -39,6 +39,28 @@ def _ragged(values: np.ndarray, document: np.ndarray, n: int, kind: pa.DataType)
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
 
 
+def _line_spans(block: tb.Block, w: tb.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end (its line feed not included), document, first word and end of words of every line that holds a word."""
+    data, n = block.data, block.size
+    feed = np.flatnonzero(data == 0x0A)
+    begin = np.unique(np.concatenate([block.offsets[:-1], feed + 1]))
+    owner = np.searchsorted(block.offsets, begin, "right") - 1
+    begin, owner = begin[owner < n], owner[owner < n]
+    stop = np.minimum(np.append(feed, len(data))[np.searchsorted(feed, begin)], block.offsets[owner + 1])
+    from_word, to_word = np.searchsorted(w.start, begin), np.searchsorted(w.start, stop)
+    held = (to_word > from_word) & (stop > begin)
+    return begin[held], stop[held], owner[held], from_word[held], to_word[held]
+
+
+def _normal(block: tb.Block, w: tb.Words, from_word: np.ndarray, to_word: np.ndarray) -> np.ndarray:
+    """Hashes of the lines' lowered words."""
+    low = tb.span_hash(tb.prefix_hash(block.data, lower=True), w.start, w.end)
+    sequence = np.zeros(len(low) + 1, np.uint64)
+    up, down = tb.powers(len(low) + 1)
+    np.cumsum(low * up[: len(low)], out=sequence[1:])
+    return tb.mix((sequence[to_word] - sequence[from_word]) * down[from_word])
+
+
 def block_features(block: tb.Block) -> list[pa.Array]:
     """The columns of FEATURES for the documents of a block."""
     data, n = block.data, block.size
@@ -70,25 +92,13 @@ def block_features(block: tb.Block) -> list[pa.Array]:
     repeats = np.bincount(document[covered[: len(hashes)]], minlength=n)
 
     # Lines that hold a word: raw bytes for repeats within the document, words for the normalised form.
-    feed = np.flatnonzero(data == 0x0A)
-    begin = np.unique(np.concatenate([block.offsets[:-1], feed + 1]))
-    owner = np.searchsorted(block.offsets, begin, "right") - 1
-    begin, owner = begin[owner < n], owner[owner < n]
-    stop = np.minimum(np.append(feed, len(data))[np.searchsorted(feed, begin)], block.offsets[owner + 1])
-    from_word, to_word = np.searchsorted(w.start, begin), np.searchsorted(w.start, stop)
-    held = (to_word > from_word) & (stop > begin)
-    begin, stop, owner, from_word, to_word = begin[held], stop[held], owner[held], from_word[held], to_word[held]
+    begin, stop, owner, from_word, to_word = _line_spans(block, w)
     line_raw = tb.span_hash(raw, begin, stop)
     keys, owners = tb.distinct(line_raw, owner)
     lines_all = np.bincount(owner, minlength=n)
     duplicates = lines_all - np.bincount(owners, minlength=n)
 
-    lowered = tb.prefix_hash(data, lower=True)
-    low = tb.span_hash(lowered, w.start, w.end)
-    sequence = np.zeros(len(low) + 1, np.uint64)
-    up, down = tb.powers(len(low) + 1)
-    np.cumsum(low * up[: len(low)], out=sequence[1:])
-    normal = tb.mix((sequence[to_word] - sequence[from_word]) * down[from_word])
+    normal = _normal(block, w, from_word, to_word)
     weight = (to_word - from_word).astype(np.int64)
     order = np.lexsort((normal, owner))
     normal, own, weight = normal[order], owner[order], weight[order]
@@ -139,13 +149,8 @@ def common_lines(rows: DataFrame, min_documents: int = LINE_MIN_DOCUMENTS, max_s
     return over.groupBy("host").agg(F.collect_set("line").alias("common"))
 
 
-def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", keep: tuple[str, ...] = ("doc_id",), min_documents: int = LINE_MIN_DOCUMENTS, max_share: float = LINE_MAX_SHARE, least_left_percent: int = LEAST_LEFT_PERCENT) -> DataFrame:
-    """One row per input row: kept columns, the counts, lines and words lost to common lines, base_failed, kept.
-
-    Null or empty text has no words, fails the base rule and is not kept.  A null
-    host is a host of its own.  Repeated rows are judged alike.  An empty table
-    gives an empty result.  Other columns of the input are ignored.
-    """
+def _judged(df: DataFrame, text_col: str, host_col: str, keep: tuple[str, ...], min_documents: int, max_share: float, least_left_percent: int) -> DataFrame:
+    """The columns of ``judge``, and ``hit``: the common lines of the row."""
     plain = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__t"), _host(host_col).alias("host"))
     rows = cut(features(plain, "__t", (*keep, "host")))
     flagged = common_lines(rows, min_documents, max_share)
@@ -156,18 +161,63 @@ def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", keep:
     out = joined.withColumn("n_common_lines", F.size("hit").cast("long")).withColumn("n_common_words", F.aggregate("hit", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_common_words")
-    return out.withColumn("base_failed", failed).select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (100 * left >= least_left_percent * F.col("n_words"))).alias("kept"), "n_common_lines", "n_common_words")
+    return out.withColumn("base_failed", failed).select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (100 * left >= least_left_percent * F.col("n_words"))).alias("kept"), "n_common_lines", "n_common_words", F.col("hit.line").alias("hit"))
+
+
+def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", keep: tuple[str, ...] = ("doc_id",), min_documents: int = LINE_MIN_DOCUMENTS, max_share: float = LINE_MAX_SHARE, least_left_percent: int = LEAST_LEFT_PERCENT) -> DataFrame:
+    """One row per input row: kept columns, the counts, lines and words lost to common lines, base_failed, kept.
+
+    Null or empty text has no words, fails the base rule and is not kept.  A null
+    host is a host of its own.  Repeated rows are judged alike.  An empty table
+    gives an empty result.  Other columns of the input are ignored.
+    """
+    return _judged(df, text_col, host_col, keep, min_documents, max_share, least_left_percent).drop("hit")
+
+
+def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text's other lines, joined by line feeds."""
+    pieces, at = [], 0
+    for begin, stop in spans:
+        pieces.append(text[at:begin])
+        at = min(stop + 1, len(text))
+    out = b"".join(pieces) + text[at:]
+    return out[:-1] if spans and spans[-1][1] == len(text) and out.endswith(b"\n") else out
+
+
+def cut_lines(df: DataFrame, text_col: str, lines_col: str) -> DataFrame:
+    """The rows without the lines whose hashes ``lines_col`` holds, and without that column; no text is null."""
+    schema = df.drop(lines_col).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in tb.blocks(batch.column(text_col)):
+                part = batch.slice(block.lo, block.size)
+                wanted = part.column(lines_col)
+                w = tb.words(block)
+                begin, stop, owner, from_word, to_word = _line_spans(block, w)
+                normal = _normal(block, w, from_word, to_word).view(np.int64)
+                first = np.searchsorted(owner, np.arange(block.size + 1))
+                texts = [block.text(k) for k in range(block.size)]
+                for k in np.flatnonzero(np.asarray(wanted.value_lengths())):
+                    at = slice(first[k], first[k + 1])
+                    gone = np.isin(normal[at], np.asarray(wanted[int(k)].values))
+                    base = block.offsets[k]
+                    texts[k] = _without(texts[k], list(zip((begin[at][gone] - base).tolist(), (stop[at][gone] - base).tolist())))
+                clean = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([clean if n == text_col else part.column(n) for n in schema.names], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows that the rules keep, with their columns as they were.
+    """The rows that the rules keep, their texts without common lines, other columns as they were.
 
     Rows are matched to their verdict by text and host, so null or repeated ids do no harm.
     """
     key = lambda d: d.withColumn("__k", F.struct(F.xxhash64(F.lit(1), F.col(text_col)), F.xxhash64(F.lit(2), F.col(text_col))).cast("string")).withColumn("__h", _host(host_col))
     keyed = key(df)
-    verdict = judge(keyed, text_col, host_col, keep=("__k", "__h")).filter("kept").select("__k", "__h").groupBy("__k", "__h").agg(F.lit(1).alias("__one"))
-    return keyed.join(verdict.drop("__one"), ["__k", "__h"], "left_semi").drop("__k", "__h")
+    verdict = _judged(keyed, text_col, host_col, ("__k", "__h"), LINE_MIN_DOCUMENTS, LINE_MAX_SHARE, LEAST_LEFT_PERCENT).filter("kept").groupBy("__k", "__h").agg(F.first("hit").alias("__hit"))
+    return cut_lines(keyed.join(verdict, ["__k", "__h"]).select(*df.columns, "__hit"), text_col, "__hit")
 
 
 SQL = r"""

@@ -372,6 +372,19 @@ def test_quality(spark):
     assert out.columns == df.columns and collections.Counter(r.doc_id for r in out.collect()) == kept
 
 
+def test_common_lines_are_cut(spark):
+    import corpus_pipeline
+
+    own = ["\n".join(prose(40) + f" é{i} {j}" for j in range(2)) for i in range(14)]
+    texts = [f"Read MORE here\n{t}\n\n read more  HERE" if i % 2 else t.replace("\n", "\nread more here\n") + "\n" for i, t in enumerate(own)]
+    want = [t + "\n" for t in own]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)] + [(50, texts[1], "en", None, 0), (None, texts[1], "en", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert quality.cut_lines(df.limit(0).selectExpr("*", "array(1L) l"), "text", "l").collect() == []
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality_rules(spark, df, "").collect()}
+    assert got == {i: (t, len(t)) for i, t in [*enumerate(want), (50, texts[1]), (None, want[1])]}
+
+
 def test_empty_tables(spark):
     df = frame(spark, []).withColumnRenamed("n_words", "lang").selectExpr("doc_id", "text", "source", "cast(lang as string) lang")
     import public_tokenizers
