@@ -28,5 +28,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if tuple(mark) == seen:
             break
         seen = tuple(mark)
+    else:
+        raise RuntimeError(f"links still changed after {rounds} rounds")
     label = edges.groupBy("v").agg(F.min("u").alias("label")).withColumnRenamed("v", "node")
     return cut(label.unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()).groupBy("node").agg(F.min("label").alias("label")))

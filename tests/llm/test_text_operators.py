@@ -112,6 +112,11 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
 
 
+def test_components_never_returns_unfinished_labels(spark):
+    with pytest.raises(RuntimeError):
+        graph.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), rounds=1)
+
+
 # byte pair encoding
 
 
