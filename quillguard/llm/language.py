@@ -7,8 +7,8 @@ context's escape probability (distinct bytes / (bytes + distinct bytes)) and
 then the next shorter context, down to 8 bits for a byte never seen.  The
 statistics are frozen after training; the language of the shortest code wins.
 
-The classifier is fitted on a bounded sample: TRAIN_DOCUMENTS labelled documents
-of each language, chosen by a seeded hash.  Every document is scored in full.
+The classifier is fitted on a bounded sample: TRAIN_DOCUMENTS different labelled
+texts of each language, chosen by a seeded hash.  Every document is scored in full.
 """
 
 from __future__ import annotations
@@ -69,12 +69,12 @@ def train(df: DataFrame, lang_col: str, text_col: str, per_language: int = TRAIN
     """A tree for every language of the labelled rows."""
     labelled = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), spread(F.col(text_col), seed=SEED).alias("h"))
     # one number per language, as there is one tree per language later
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 2.0 * per_language / n))])
-    # about twice the wanted documents pass the hash's threshold, wherever they lie; only those are ranked
-    drawn = labelled.filter(F.col("h") / 2.0**63 <= F.element_at(share, F.col("lang")))
+    # about twice the wanted texts pass the hash's threshold, wherever they lie; only those are ranked, copies once
+    drawn = labelled.filter(F.col("h") / 2.0**63 <= F.element_at(share, F.col("lang"))).dropDuplicates(["lang", "text"])
     sample = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_language).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -182,6 +182,16 @@ def test_languages(spark):
     assert [r.lang_pred for r in language.identify(unlabelled).collect()] == ["und"]
 
 
+def test_copies_take_no_place_in_the_sample(spark):
+    rows = [(lang, prose(20)) for lang in ("aa", "bb") for _ in range(40)]
+    copied = rows + [r for r in rows[::2] for _ in range(30)]
+    once, more = [language.train(spark.createDataFrame(r, "lang string, text string"), "lang", "text", 15) for r in (rows, copied)]
+    assert list(once) == list(more) == ["aa", "bb"]
+    for lang in once:
+        for a, b in zip(once[lang].levels, more[lang].levels):
+            assert all(np.array_equal(x, y) for x, y in zip(a, b))
+
+
 def test_code_lengths():
     text = b"abracadabra"
     keys, times = np.unique(suffix_tree.grams(np.frombuffer(b"\n" + text + b" \n", np.uint8), np.array([0, len(text) + 3]), 2), return_counts=True)
