@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillguard.llm import bpe, language, mixing, neardup, pii, quality, repeats, sharding, suffix_tree, topk
+from quillguard.llm import bpe, corpus, language, mixing, neardup, pii, quality, repeats, sharding, suffix_tree, topk
 from quillguard.llm.session import documents
 
 
@@ -64,7 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_suffix_repeats": op7_suffix_repeats,
         "op8_bootstrapped_pii": op8_bootstrapped_pii,
         "op9_setsketch": op9_setsketch,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": corpus.run,
         "op10_line_frequency": op10_line_frequency,
     }
 
