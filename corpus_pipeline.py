@@ -1,62 +1,7 @@
-"""From raw documents to token ids: quality rules, near duplicates, personal data, mixing, encoding.
-
-Every stage takes all that its predecessor kept; all but the last return the
-columns of ``documents``.
-"""
+"""From raw documents to token ids: the stages of the subpackage's corpus module."""
 
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quillguard.llm import bpe, mixing, neardup, pii, quality
-from quillguard.llm.session import documents, shared_folder
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go, and common lines of the others; n_chars follows the text."""
-    return quality.keep_good(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group stays."""
-    return neardup.keep_one(docs)
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Finds are replaced by their kind; n_chars follows the text."""
-    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture takes it."""
-    return mixing.repeat_documents(docs)
-
-
-def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and the digests of ids and decoded bytes."""
-    return bpe.encode_documents(docs, public_tokenizers.path(bpe.DEFAULT_VOCABULARY), public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "n_chars"))
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("personal_data", personal_data),
-    ("mixture", mixture),
-    ("token_ids", token_ids),
-]
-
-#: Byte-pair encoding can't be said in SQL; tests hold the pipeline against a brute-force version.
-ORACLE_SQL = None
-
+from quillguard.llm.corpus import ORACLE_SQL, STAGES, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written to the shared folder and read again."""
-    base = shared_folder(spark, "corpus")
-    docs = documents(spark, sf_dir)
-    for k, (name, stage) in enumerate(STAGES):
-        out = f"{base}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
