@@ -3,11 +3,13 @@
 Every line is normalised (A-Z lowered, white space between words ignored),
 hashed and counted: in how many documents of a host does it occur.  Documents
 with equal text count once, so copies of one page do not make its own lines
-common.  Lines above the limit are boilerplate; a document that loses too large
-a share of its words with them is depleted and rejected, the others lose the lines.
+common.  Lines above the limit are boilerplate, in a host of any size; a document
+that loses too large a share of its words with them is depleted and rejected,
+the others lose the lines.
 
 The documents are read once; what later steps need of them (counts and line
-hashes, a few bytes a line) is written to the checkpoint folder.
+hashes, a few bytes a line) is written to the shared folder.  Lines and verdicts
+meet by (host, line) and by (host, text), never by host alone.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillguard.llm import textbytes as tb
-from quillguard.llm.session import cut
+from quillguard.llm.session import fresh, quoted, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A line is common above this many documents of its host and this share of them.
-LINE_MIN_DOCUMENTS, LINE_MAX_SHARE = 10, 0.10
+#: A line is common above this many documents of its host.
+LINE_MAX_DOCUMENTS = 10
 #: A document is depleted below this share of its words.
 LEAST_LEFT_PERCENT = 25
 
@@ -117,7 +119,7 @@ def block_features(block: tb.Block) -> list[pa.Array]:
 
 def features(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and FEATURES of every row."""
-    source = df.select(*keep, F.col(text_col).alias("__text"))
+    source = df.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text_col)).alias("__text"))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,45 +135,39 @@ def features(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
 
 def _host(col: str) -> F.Column:
     """The host as a key that is never null."""
-    return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit(""))
+    return F.coalesce(F.concat(F.lit("="), F.col(quoted(col)).cast("string")), F.lit(""))
 
 
-def common_lines(rows: DataFrame, min_documents: int = LINE_MIN_DOCUMENTS, max_share: float = LINE_MAX_SHARE) -> DataFrame:
-    """host, lines above the limit; from columns host, text_key and lines.
+def common_lines(seen: DataFrame, max_documents: int = LINE_MAX_DOCUMENTS) -> DataFrame:
+    """host, line above the limit; seen has host and line once for every different text."""
+    return seen.groupBy("host", "line").agg(F.count("*").alias("documents")).filter(F.col("documents") > max_documents).select("host", "line")
 
-    A host has at most (its lines / (max_share x its documents)) such lines, that
-    is 1 / max_share times the mean number of lines a document.
-    """
-    seen = rows.select("host", "text_key", F.explode("lines").alias("line")).groupBy("host", "line", "text_key").agg(F.lit(1).alias("one"))
-    lines = seen.groupBy("host", "line").agg(F.count("*").alias("documents"))
-    sizes = rows.select("host", "text_key").groupBy("host", "text_key").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("total"))
-    over = lines.filter(F.col("documents") > min_documents).join(sizes, "host").filter(F.col("documents") > F.col("total") * F.lit(max_share))
-    return over.groupBy("host").agg(F.collect_set("line").alias("common"))
-
-
-def _judged(df: DataFrame, text_col: str, host_col: str, keep: tuple[str, ...], min_documents: int, max_share: float, least_left_percent: int) -> DataFrame:
-    """The columns of ``judge``, and ``hit``: the common lines of the row."""
-    plain = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__t"), _host(host_col).alias("host"))
-    rows = cut(features(plain, "__t", (*keep, "host")))
-    flagged = common_lines(rows, min_documents, max_share)
-    hit = F.when(F.col("common").isNull(), F.array().cast("array<struct<line:long,words:int>>")).otherwise(
-        F.filter(F.arrays_zip(F.col("lines").alias("line"), F.col("line_words").alias("words")), lambda x: F.array_contains(F.col("common"), x["line"]))
-    )
-    joined = rows.join(flagged, "host", "left").withColumn("hit", hit)
-    out = joined.withColumn("n_common_lines", F.size("hit").cast("long")).withColumn("n_common_words", F.aggregate("hit", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
+
+def _judged(df: DataFrame, text_col: str, host_col: str, keep: tuple[str, ...], max_documents: int, least_left_percent: int) -> DataFrame:
+    """The columns of ``judge``, and ``hit``: the common lines of the row, or null; keep must not hold the names used here."""
+    plain = df.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text_col)).alias("__t"), _host(host_col).alias("host"))
+    rows = written(features(plain, "__t", (*keep, "host")), "lines")
+    text = ["host", "text_key", "n_words", "word_chars"]
+    # a line counts once for each different text of a host
+    seen = rows.select(*text, F.explode(F.arrays_zip(F.col("lines").alias("line"), F.col("line_words").alias("words"))).alias("l")).select(*text, "l.line", "l.words").groupBy(*text, "line").agg(F.first("words").alias("words"))
+    hits = seen.join(common_lines(seen, max_documents), ["host", "line"]).groupBy(*text).agg(F.sum("words").alias("lost"), F.collect_list("line").alias("hit"))
+    joined = rows.drop("lines", "line_words").join(hits, text, "left")
+    out = joined.withColumn("n_common_lines", F.when(F.col("hit").isNull(), F.lit(0)).otherwise(F.size("hit")).cast("long")).withColumn("n_common_words", F.coalesce("lost", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_common_words")
-    return out.withColumn("base_failed", failed).select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (100 * left >= least_left_percent * F.col("n_words"))).alias("kept"), "n_common_lines", "n_common_words", F.col("hit.line").alias("hit"))
+    return out.withColumn("base_failed", failed).select(*[F.col(quoted(c)) for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (100 * left >= least_left_percent * F.col("n_words"))).alias("kept"), "n_common_lines", "n_common_words", "hit")
 
 
-def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", keep: tuple[str, ...] = ("doc_id",), min_documents: int = LINE_MIN_DOCUMENTS, max_share: float = LINE_MAX_SHARE, least_left_percent: int = LEAST_LEFT_PERCENT) -> DataFrame:
-    """One row per input row: kept columns, the counts, lines and words lost to common lines, base_failed, kept.
+def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id", max_documents: int = LINE_MAX_DOCUMENTS, least_left_percent: int = LEAST_LEFT_PERCENT) -> DataFrame:
+    """One row per input row: doc_id, the counts, lines and words lost to common lines, base_failed, kept.
 
     Null or empty text has no words, fails the base rule and is not kept.  A null
-    host is a host of its own.  Repeated rows are judged alike.  An empty table
-    gives an empty result.  Other columns of the input are ignored.
+    host is a host of its own.  Repeated rows are judged alike.  Very long texts
+    are read whole.  An empty table gives an empty result.  Other columns of the
+    input are ignored, whatever their names.
     """
-    return _judged(df, text_col, host_col, keep, min_documents, max_share, least_left_percent).drop("hit")
+    rows = df.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"), F.col(quoted(host_col)).alias("source"))
+    return _judged(rows, "text", "source", ("doc_id",), max_documents, least_left_percent).drop("hit")
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -212,12 +208,16 @@ def cut_lines(df: DataFrame, text_col: str, lines_col: str) -> DataFrame:
 def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows that the rules keep, their texts without common lines, other columns as they were.
 
-    Rows are matched to their verdict by text and host, so null or repeated ids do no harm.
+    Rows are matched to their verdict by text and host, so null or repeated ids
+    do no harm; columns may have any names.  An empty table gives an empty result.
     """
-    key = lambda d: d.withColumn("__k", F.struct(F.xxhash64(F.lit(1), F.col(text_col)), F.xxhash64(F.lit(2), F.col(text_col))).cast("string")).withColumn("__h", _host(host_col))
-    keyed = key(df)
-    verdict = _judged(keyed, text_col, host_col, ("__k", "__h"), LINE_MIN_DOCUMENTS, LINE_MAX_SHARE, LEAST_LEFT_PERCENT).filter("kept").groupBy("__k", "__h").agg(F.first("hit").alias("__hit"))
-    return cut_lines(keyed.join(verdict, ["__k", "__h"]).select(*df.columns, "__hit"), text_col, "__hit")
+    key, host, hit = fresh(df, "k", "h", "hit")
+    text = F.col(quoted(text_col))
+    keyed = df.withColumn(key, F.struct(F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)).cast("string")).withColumn(host, _host(host_col))
+    plain = keyed.select(F.col(key).alias("k"), F.col(host).alias("h"), text.alias("text"), F.col(quoted(host_col)).alias("source"))
+    verdict = _judged(plain, "text", "source", ("k", "h"), LINE_MAX_DOCUMENTS, LEAST_LEFT_PERCENT).filter("kept").groupBy("k", "h").agg(F.first("hit").alias("hit"))
+    verdict = verdict.select(F.col("k").alias(key), F.col("h").alias(host), F.coalesce("hit", F.expr("array()").cast("array<bigint>")).alias(hit))
+    return cut_lines(keyed.join(verdict, [key, host]).select(*[F.col(quoted(c)) for c in df.columns], hit), text_col, hit)
 
 
 SQL = r"""
@@ -229,8 +229,7 @@ rep AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest([i,
 ln AS (SELECT r, host, text, line, regexp_extract_all(lower_az, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT r, host, text, line, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM (SELECT r, host, text, unnest(ls) AS line FROM w)) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln GROUP BY r),
 nl AS (SELECT r, host, text, array_to_string(lw, ' ') AS norm, sum(len(lw)) AS nw FROM ln GROUP BY r, host, text, norm),
-tot AS (SELECT host, count(DISTINCT text) AS total FROM d GROUP BY host),
-com AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT text) AS n FROM nl GROUP BY host, norm) JOIN tot USING (host) WHERE n > 10 AND n > total * 0.10),
+com AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT text) AS n FROM nl GROUP BY host, norm) WHERE n > 10),
 lost AS (SELECT r, count(*) AS n_common_lines, sum(nw) AS n_common_words FROM nl JOIN com USING (host, norm) GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
   (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,

@@ -425,11 +425,10 @@ def test_redaction_keeps_odd_columns(spark):
 # quality
 
 
-def quality_brute(rows, min_documents, share, least):
+def quality_brute(rows, limit, least):
     texts = {(s, t or "") for _, t, s in rows}
-    hosts = collections.Counter(s for s, _ in texts)
     seen = collections.Counter((s, line) for s, t in texts for line in {" ".join(lowered(x)) for x in t.split("\n")} - {""})
-    common = {k for k, n in seen.items() if n > min_documents and n > hosts[k[0]] * share}
+    common = {k for k, n in seen.items() if n > limit}
     out = []
     for i, t, s in rows:
         t = t or ""
@@ -451,16 +450,27 @@ def test_quality(spark):
         rows.append((i, "\n".join(lines) + random.choice(["", "\n", "\n\n"]), random.choice(["a", None])))
     rows += [(500, rows[-1][1], rows[-1][2])] * 2
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, n_words int")
-    got = quality.judge(df, min_documents=5, max_share=0.1, least_left_percent=60).drop("n_common_lines", "n_common_words").collect()
-    want = quality_brute(rows, 5, 0.1, 60)
+    got = quality.judge(df, max_documents=5, least_left_percent=60).drop("n_common_lines", "n_common_words").collect()
+    want = quality_brute(rows, 5, 60)
     assert collections.Counter(map(tuple, got)) == collections.Counter(want) and 0 < sum(w[-1] for w in want) < len(want)
-    kept = collections.Counter(w[0] for w in quality_brute(rows, 10, 0.1, 25) if w[-1])
+    kept = collections.Counter(w[0] for w in quality_brute(rows, 10, 25) if w[-1])
     out = quality.keep_good(df)
     assert out.columns == df.columns and collections.Counter(r.doc_id for r in out.collect()) == kept
 
 
+def test_verdict_rejects_depleted_documents(spark):
+    boiler = [prose(30) for _ in range(3)]
+    rows = [(i, "\n".join([prose(60) + f" {i}"] + boiler[:1]), "big", 1) for i in range(200)]
+    rows += [(1000 + i, "\n".join([*boiler, f"only {i} is new here"]), "big", 1) for i in range(15)]
+    rows += [(2000, rows[-1][1], "big", 1), (2001, rows[-1][1], "other", 1), (2002, rows[-1][1], None, 1)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` int")).collect()}
+    assert all(got[i].kept and got[i].n_common_lines == 1 for i in range(200))
+    assert not any(got[1000 + i].kept or got[1000 + i].base_failed for i in range(15)) and not got[2000].kept
+    assert got[2001].kept and got[2002].kept
+
+
 def test_common_lines_are_cut(spark):
-    import corpus_pipeline
+    from quillguard.llm import corpus
 
     own = ["\n".join(prose(40) + f" é{i} {j}" for j in range(2)) for i in range(14)]
     texts = [f"Read MORE here\n{t}\n\n read more  HERE" if i % 2 else t.replace("\n", "\nread more here\n") + "\n" for i, t in enumerate(own)]
@@ -468,7 +478,7 @@ def test_common_lines_are_cut(spark):
     rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)] + [(50, texts[1], "en", None, 0), (None, texts[1], "en", "a", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert quality.cut_lines(df.limit(0).selectExpr("*", "array(1L) l"), "text", "l").collect() == []
-    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality_rules(spark, df, "").collect()}
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus.quality_rules(spark, df, "").collect()}
     assert got == {i: (t, len(t)) for i, t in [*enumerate(want), (50, texts[1]), (None, want[1])]}
 
 
