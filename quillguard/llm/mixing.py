@@ -4,9 +4,11 @@ Every document gets the rate that is closest to 1 in relative entropy while its
 source's words meet the target: exp(lambda x size), held at the copy limit.
 Rates depend on source and size only, so the dual is solved over the table of
 (source, size) counts: Newton steps, each one distributed aggregation, kept
-inside a bracket.  Rates then become whole copies: classes take copies from the
-longest documents to the shortest, each carrying its remainder to the next, and
-within a class a seeded hash decides who has one copy more.
+inside a bracket.  Rates then become whole copies: along a source's classes, from
+the longest documents to the shortest, the running sum of copies is rounded, so a
+class has the difference of two rounded sums.  What the words of a source then
+miss is made up for by a ladder of at most 64 of its classes, one for each power
+of two of the length.  Within a class a seeded hash decides who has one copy more.
 
 Sums are taken over decimals, so their order, and with it the cluster's timing,
 cannot change a result.
@@ -18,10 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillguard.llm.native import BUCKET_ROWS, WHITE_RUN, leading, null_last, rank_in, spread
-from quillguard.llm.session import cut
+from quillguard.llm.session import cut, fresh, quoted
 
 SEED, MOST_COPIES = 20240302, 3
-STEPS, CLOSE = 40, 1e-7
+STEPS, CLOSE = 200, 1e-7
 
 
 def word_count(text: Column) -> Column:
@@ -65,24 +67,33 @@ def solve(classes: DataFrame, goals: DataFrame, cap: int = MOST_COPIES) -> DataF
         state = cut(moved.select("__s", "target", "__cap", "longest", F.when(done, F.col("lam")).when(inside, newton).otherwise(between).alias("lam"), "lo", "hi", done.alias("done")))
         if state.filter(~F.col("done")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"the rates still miss their targets after {STEPS} steps")
     return state.select("__s", "target", "__cap", "longest", "lam")
 
 
 def _copies(classes: DataFrame, solved: DataFrame, cap: int) -> DataFrame:
     """__s, size, n, rate, k: whole copies that each class takes together.
 
-    A source's classes are as many as it has different document lengths; they
-    are folded in one row per source, longest first.
+    A source's classes are as many as it has different document lengths; their
+    running sums are taken in one ordered pass.  Only its ladder, at most one class
+    for each power of two, is gathered in a row.
     """
     rate = F.when(F.col("target") >= F.col("__cap"), F.lit(float(cap))).when(F.col("target") <= 0, F.lit(0.0)).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("longest"), F.lit(700.0)))))
-    rated = classes.filter("size > 0").join(solved, "__s").withColumn("rate", rate)
-    lists = rated.groupBy("__s").agg(F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("all"))
-    folded = F.expr(f"""aggregate(all,
-        named_struct('carry', cast(0 as double), 'out', cast(array() as array<struct<size:bigint,n:bigint,rate:double,k:bigint>>)),
-        (a, x) -> named_struct(
-            'carry', a.carry + x.n * x.rate * x.size - x.size * greatest(0L, least({cap} * x.n, cast(floor((a.carry + x.n * x.rate * x.size) / x.size + 1e-9) as bigint))),
-            'out', array_append(a.out, named_struct('size', x.size, 'n', x.n, 'rate', x.rate, 'k', greatest(0L, least({cap} * x.n, cast(floor((a.carry + x.n * x.rate * x.size) / x.size + 1e-9) as bigint))))))).out""")
-    return lists.select("__s", F.explode(folded).alias("c")).select("__s", "c.*")
+    rated = classes.filter("size > 0").join(solved, "__s").withColumn("rate", rate).withColumn("want", F.col("n") * F.col("rate"))
+    longest_first = Window.partitionBy("__s").orderBy(F.desc("size"))
+    upto = F.floor(F.sum("want").over(longest_first.rowsBetween(Window.unboundedPreceding, 0)) + 0.5)
+    summed = rated.withColumn("upto", upto).withColumn("k", F.col("upto") - F.coalesce(F.lag("upto").over(longest_first), F.lit(0)))
+    whole = cut(summed.select("__s", "size", "n", "rate", "target", F.greatest(F.lit(0), F.least(F.lit(cap) * F.col("n"), F.col("k"))).cast("long").alias("k")))
+    missed = whole.groupBy("__s").agg((F.first("target") - F.sum(F.col("size") * F.col("k"))).alias("missed"))
+    step = F.floor(F.log2(F.col("size").cast("double"))).cast("int")
+    rungs = whole.groupBy("__s", step.alias("step")).agg(F.min(F.struct("size", "n", "k")).alias("c"))
+    ladders = rungs.groupBy("__s").agg(F.sort_array(F.collect_list("c"), asc=False).alias("all")).join(missed, "__s")
+    move = f"greatest(-x.k, least({cap} * x.n - x.k, cast(a.rest / x.size + sign(a.rest) * 1e-9 as bigint)))"
+    folded = F.expr(f"""aggregate(all, named_struct('rest', missed, 'out', cast(array() as array<struct<size:bigint,more:bigint>>)),
+        (a, x) -> named_struct('rest', a.rest - x.size * {move}, 'out', array_append(a.out, named_struct('size', x.size, 'more', {move})))).out""")
+    more = ladders.select("__s", F.explode(folded).alias("c")).select("__s", "c.size", "c.more")
+    return whole.join(more, ["__s", "size"], "left").select("__s", "size", "n", "rate", (F.col("k") + F.coalesce("more", F.lit(0))).alias("k"))
 
 
 def mix(df: DataFrame, seed: int = SEED, cap: int = MOST_COPIES, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -92,27 +103,31 @@ def mix(df: DataFrame, seed: int = SEED, cap: int = MOST_COPIES, keep: tuple[str
     own, last; an empty table gives an empty result; among rows with equal kept
     columns any may have the copy more, which is the same result.  The taken words of a
     source differ from its target by less than its shortest document, as long as
-    the copy limit leaves room.
+    the copy limit leaves room.  Raises if the rates do not meet their targets.
+    Other columns of the input are ignored; the kept ones must not have the names
+    of the columns that are added.
     """
-    base = cut(df.select(*keep, null_last(source_col).alias("__s"), word_count(F.col(text_col)).alias("size")).withColumn("__h", spread(*[F.col(c) for c in keep], seed=seed)))
+    base = cut(df.select(*[F.col(quoted(c)) for c in keep], null_last(source_col).alias("__s"), word_count(F.col(quoted(text_col))).alias("size")).withColumn("__h", spread(*[F.col(quoted(c)) for c in keep], seed=seed)))
     classes = cut(base.groupBy("__s", "size").agg(F.count("*").alias("n")))
     sizes = classes.groupBy("__s").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.max("size").alias("longest"))
     goals = cut(targets(sizes, cap))
     chosen = _copies(classes, solve(classes, goals, cap), cap)
     bits = F.when(F.col("n") > BUCKET_ROWS, F.ceil(F.log2(F.col("n") / BUCKET_ROWS))).otherwise(0)
     rows = base.join(chosen, ["__s", "size"], "left").withColumn("__b", leading(F.col("__h"), F.coalesce(bits, F.lit(0))))
-    ranked = rank_in(rows, ["__s", "size"], "__b", [F.col("__h"), *[F.col(c) for c in keep]], "__r")
+    ranked = rank_in(rows, ["__s", "size"], "__b", [F.col("__h"), *[F.col(quoted(c)) for c in keep]], "__r")
     extra = F.when(F.col("__r") <= F.col("k") % F.col("n"), 1).otherwise(0)
     copies = F.coalesce(F.expr("k div n") + extra, F.lit(0)).cast("int")
     out = ranked.withColumn("copies", copies).join(goals.select("__s", "source_size", "target"), "__s")
-    return out.select(*keep, "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.coalesce("rate", F.lit(1.0)).alias("rate"), "copies")
+    return out.select(*[F.col(quoted(c)) for c in keep], "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.coalesce("rate", F.lit(1.0)).alias("rate"), "copies")
 
 
 def repeat_documents(df: DataFrame, seed: int = SEED, cap: int = MOST_COPIES, text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixture itself: every row as often as its copies, with its columns as they were."""
+    """The mixture itself: every row as often as its copies, with its columns as they were, whatever their names."""
+    k1, k2, copies, place = fresh(df, "k1", "k2", "copies", "place")
     # maps can't be hashed; as JSON they can
-    every = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in df.schema.fields]
-    keyed = df.withColumn("__k1", F.xxhash64(F.lit(1), *every)).withColumn("__k2", F.xxhash64(F.lit(2), *every))
-    times = mix(keyed, seed, cap, ("__k1", "__k2"), text_col, source_col).groupBy("__k1", "__k2").agg(F.sum("copies").alias("__copies"))
-    rows = keyed.groupBy("__k1", "__k2").agg(*[F.first(c).alias(c) for c in df.columns])
-    return rows.join(times.filter("__copies > 0"), ["__k1", "__k2"]).withColumn("__i", F.explode(F.expr("sequence(1, cast(__copies as int))"))).select(*df.columns)
+    every = [F.to_json(F.struct(F.col(quoted(f.name)).alias("x"))) if "map<" in f.dataType.simpleString() else F.col(quoted(f.name)) for f in df.schema.fields]
+    keyed = df.withColumn(k1, F.xxhash64(F.lit(1), *every)).withColumn(k2, F.xxhash64(F.lit(2), *every))
+    plain = keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(quoted(text_col)).alias("text"), F.col(quoted(source_col)).alias("source"))
+    times = mix(plain, seed, cap, ("k1", "k2")).groupBy("k1", "k2").agg(F.sum("copies").alias("n")).filter("n > 0").select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("n").alias(copies))
+    rows = keyed.groupBy(k1, k2).agg(*[F.first(F.col(quoted(c))).alias(c) for c in df.columns])
+    return rows.join(times, [k1, k2]).withColumn(place, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(quoted(c)) for c in df.columns])

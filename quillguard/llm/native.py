@@ -7,6 +7,8 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillguard.llm.session import quoted
+
 #: Rows that one ordered bucket should hold.
 BUCKET_ROWS = 20_000
 
@@ -44,4 +46,5 @@ def rank_in(df: DataFrame, keys: list[str], bucket: str, order: list[Column], ou
 
 def null_last(col: str) -> Column:
     """A string key that is never null and sorts by code point with null after all values."""
-    return F.when(F.col(col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(col).cast("string")))
+    c = F.col(quoted(col))
+    return F.when(c.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), c.cast("string")))

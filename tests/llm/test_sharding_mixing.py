@@ -78,3 +78,17 @@ def test_repeats_whole_rows(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert sharding.interleave(df).collect() == [] and mixing.mix(df).collect() == [] and mixing.repeat_documents(df).collect() == []
+
+
+def test_repeats_rows_with_odd_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 5, {"k": 1}, 1), (2, "c", "y", 6, None, 2)], "doc_id int, text string, source string, k1 int, `m.x` map<string,int>, copies int")
+    out = mixing.repeat_documents(df)
+    assert out.columns == df.columns and {r.k1 for r in out.collect()} <= {5, 6}
+
+
+def test_many_lengths_miss_by_less_than_the_shortest(spark):
+    rows = [(i, "w " * (i + 3), f"s{i % 2}", 0) for i in range(900)] + [(5000, "w " * 40_000, "s0", 0)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    for parity in (0, 1):
+        mine = [r for r in got if (r.doc_id if r.doc_id < 5000 else 0) % 2 == parity]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 4 and all(0 <= r.copies <= 3 for r in mine)
