@@ -9,7 +9,9 @@ still reaches the k-th exact score.  After that the result is certain.
 
 Vectors of equal content can only win with their smallest ids, so no more than
 k + 1 of them enter the search.  Queries and approximations meet in blocks of
-fixed size; nothing is broadcast.
+fixed size on a grid: a block of queries goes to every block of the file, which
+itself is sent once, so no key holds more than one file block (two or three by
+chance) and what is sent is the smaller side.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillguard.llm.session import cut
+from quillguard.llm.session import cut, quoted
 
 K, SCALE, CELLS = 10, 1024, 256
 #: Rows of a block of approximations and of a block of queries.
@@ -31,9 +33,9 @@ BLOCK_ROWS, BLOCK_QUERIES = 8192, 256
 
 def _quantised(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """vec_id, v (array<long>) of the vectors that take part."""
-    whole = F.transform(F.col(vec_col), lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")))
-    good = F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & ~F.exists(F.col(vec_col), lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
-    return df.filter(good & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v")).distinct()
+    whole = F.transform(F.col(quoted(vec_col)), lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")))
+    good = F.col(quoted(vec_col)).isNotNull() & (F.size(quoted(vec_col)) > 0) & ~F.exists(F.col(quoted(vec_col)), lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
+    return df.filter(good & F.col(quoted(id_col)).isNotNull()).select(F.col(quoted(id_col)).cast("long").alias("vec_id"), whole.alias("v")).distinct()
 
 
 def _exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -67,9 +69,9 @@ def search(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id"
     content = Window.partitionBy("v").orderBy("vec_id")
     useful = cut(rows.withColumn("__r", F.row_number().over(content)).filter(F.col("__r") <= k + 1).drop("__r"))
     dims = [r[0] for r in useful.select("dim").distinct().collect()]
-    n_queries = asked.count()
-    query_blocks = max(1, -(-n_queries // BLOCK_QUERIES))
-    parts = [_search_dim(spark, useful.filter(F.col("dim") == d), asked.filter(F.col("dim") == d), d, k, query_blocks) for d in sorted(dims)]
+    n_queries, n_rows = asked.count(), useful.count()
+    query_blocks, file_blocks = max(1, -(-n_queries // BLOCK_QUERIES)), max(1, -(-n_rows // BLOCK_ROWS))
+    parts = [_search_dim(spark, useful.filter(F.col("dim") == d), asked.filter(F.col("dim") == d), d, k, query_blocks, file_blocks) for d in sorted(dims)]
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = parts[0]
@@ -78,7 +80,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id"
     return out
 
 
-def _search_dim(spark, rows: DataFrame, asked: DataFrame, dim: int, k: int, query_blocks: int) -> DataFrame:
+def _search_dim(spark, rows: DataFrame, asked: DataFrame, dim: int, k: int, query_blocks: int, file_blocks: int) -> DataFrame:
     ends = rows.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("d").collect()
     low = np.array([r["lo"] for r in ends], np.int64)
     width = np.array([max(1, -(-(r["hi"] - r["lo"] + 1) // CELLS)) for r in ends], np.int64)
@@ -95,10 +97,10 @@ def _search_dim(spark, rows: DataFrame, asked: DataFrame, dim: int, k: int, quer
         v = np.stack(frame["v"].to_numpy()).astype(np.int64)
         return pd.DataFrame({"qb": [frame["qb"].iloc[0]], "qids": [frame["vec_id"].to_numpy(np.int64).tobytes()], "qv": [v.tobytes()]})
 
-    file = cut(rows.select("vec_id", "v").mapInArrow(approximate, "ids binary, codes binary"))
-    # a block of queries holds BLOCK_QUERIES rows on average; each meets every block of the file
+    file = cut(rows.select("vec_id", "v").mapInArrow(approximate, "ids binary, codes binary").withColumn("fb", F.pmod(F.xxhash64("ids"), F.lit(file_blocks)).cast("int")))
+    # a block of queries holds BLOCK_QUERIES rows on average; each goes to every block of the file
     packed = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).groupBy("qb").applyInPandas(pack, "qb int, qids binary, qv binary")
-    copies = file.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    copies = packed.withColumn("fb", F.explode(F.sequence(F.lit(0), F.lit(file_blocks - 1))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +117,7 @@ def _search_dim(spark, rows: DataFrame, asked: DataFrame, dim: int, k: int, quer
                 a, b = np.nonzero((most >= bar[:, None]) & (qids[:, None] != ids[None, :]))
                 yield pa.RecordBatch.from_arrays([pa.array(qids[a]), pa.array(ids[b]), pa.array(least[a, b]), pa.array(most[a, b])], names=["query_id", "vec_id", "least", "most"])
 
-    near = copies.join(F.broadcast(packed) if query_blocks == 1 else packed, "qb").select("ids", "codes", "qids", "qv").mapInArrow(scan, "query_id long, vec_id long, least double, most double")
+    near = file.join(copies, "fb").select("ids", "codes", "qids", "qv").mapInArrow(scan, "query_id long, vec_id long, least double, most double")
     near = cut(near)
     place = Window.partitionBy("query_id").orderBy(F.desc("least"), "vec_id")
     bar = near.withColumn("r", F.row_number().over(place)).filter(F.col("r") <= k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("least")).alias("bar"))
@@ -125,11 +127,12 @@ def _search_dim(spark, rows: DataFrame, asked: DataFrame, dim: int, k: int, quer
     score = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0).cast("long"), lambda a, x: a + x)
     read = lambda pairs: pairs.join(rows.select("vec_id", "v"), "vec_id").join(q, "query_id").select("query_id", "vec_id", score.alias("score"))
     by_bound = Window.partitionBy("query_id").orderBy(F.desc("most"), "vec_id")
-    ordered = left.withColumn("r", F.row_number().over(by_bound))
-    first = cut(read(ordered.filter(F.col("r") <= 2 * k)))
+    # only the first 2 k of a query are ranked, and cut to as many before they are sent
+    first = cut(read(left.withColumn("r", F.row_number().over(by_bound)).filter(F.col("r") <= 2 * k)))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
-    rest = ordered.filter(F.col("r") > 2 * k).join(kth, "query_id", "left").filter(F.col("kth").isNull() | (F.col("most") >= F.col("kth")))
+    unread = left.join(first.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti")
+    rest = unread.join(kth, "query_id", "left").filter(F.col("kth").isNull() | (F.col("most") >= F.col("kth")))
     scored = first.unionByName(read(rest))
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
