@@ -6,16 +6,22 @@ GRAM-byte grams) at the same offset in both places.  So only suffixes that
 start at minimisers enter the array, and of these only those whose gram occurs
 again.  A suffix's *context* is the span of all strings it is the minimiser of.
 
-1. Minimisers of every document, their grams counted over all documents.
-2. Contexts whose bytes occur twice as a whole are repeats altogether.
-3. The other contexts of repeated grams are sorted: sampled splitters
+1. Minimisers of every document; their grams are counted over all documents, and
+   those that occur once are out.
+2. Equal contexts become one entry with a multiplicity.  They are told by 128
+   bits: the hash of the gram and one of all their bytes, over different units.
+3. Entries whose gram has other contexts too are sorted: sampled splitters
    range-partition them by the leading bytes of their suffix, buckets sort
-   locally by multikey quicksort on 8-byte words, strings are compared inside
-   runs of equal grams, and strings that a run shares with a neighbouring bucket
-   are compared across the boundary by an exchange of their hashes.
-4. Repeated strings are joined into spans per text and cut out.
-
-Strings are compared by 64-bit hashes of their bytes.
+   locally by multikey quicksort on 8-byte words, once the suffixes and once the
+   bytes before them, read backwards.  A string with o bytes before its minimiser
+   occurs again if another entry shares LENGTH - o bytes with its suffix and o
+   bytes before it; the bytes that neighbours in the two orders share decide that.
+   Equal suffixes may fall into several buckets, so a bucket's size is bounded
+   even if one passage follows on very many texts; strings that a bucket shares
+   with its first or last suffix are compared across its boundary.
+4. Repeated strings are joined into spans per row and cut out.
+
+Rows are known by their id and text, so copies of a text never meet in one task.
 """
 
 from __future__ import annotations
@@ -24,19 +30,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillguard.llm import textbytes as tb
-from quillguard.llm.session import cut, written
+from quillguard.llm.session import quoted, written
 
 LENGTH, GRAM = 200, 40
 SPAN = LENGTH - GRAM + 1
-#: Contexts that a bucket should hold, and sampled suffixes per bucket for its splitters.
-BUCKET_CONTEXTS, SAMPLES_PER_BUCKET = 20_000, 20
-WORDS = LENGTH // 8
+#: Contexts that a bucket should hold.
+BUCKET_CONTEXTS = 20_000
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -79,7 +83,7 @@ def minimisers(block: tb.Block, length: int = LENGTH, gram: int = GRAM) -> tuple
     tail = np.append(head[1:], len(at)) - 1
     first, last, position = at[head], at[tail], place[head]
     document = np.searchsorted(offsets, position, "right") - 1
-    context = tb.mix(tb.span_hash(prefix, first, last + length) * np.uint64(31) + (position - first).astype(np.uint64))
+    context = tb.mix(tb.span_hash(tb.prefix_hash_8(data), first, last + length - 7) * np.uint64(31) + (position - first).astype(np.uint64))
     base = offsets[document]
     return document, position - base, first - base, last - base, grams[position], context
 
@@ -144,138 +148,160 @@ def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(word == a.shape[1], a.shape[1] * 8, word * 8 + zero)
 
 
-def _suffix_words(suffix: list[bytes], length: int) -> np.ndarray:
-    raw = b"".join(x[:length].ljust(length, b"\0") for x in suffix)
-    return np.frombuffer(raw, ">u8").reshape(len(suffix), length // 8).astype(np.uint64)
+def _words(pieces: list[bytes], length: int) -> np.ndarray:
+    raw = b"".join(x[:length].ljust(length, b"\0") for x in pieces)
+    return np.frombuffer(raw, ">u8").reshape(len(pieces), length // 8).astype(np.uint64)
+
 
+def compare_bucket(times: np.ndarray, data: list[bytes], place: np.ndarray, edges: bool = True, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, int, int, int]]]:
+    """Rows and offsets of the repeated strings of a bucket, and what other buckets may hold too.
 
-def compare_bucket(context: np.ndarray, times: np.ndarray, data: list[bytes], place: np.ndarray, edge: tuple[bool, bool] = (True, True), length: int = LENGTH, gram: int = GRAM) -> tuple[list[tuple], list[tuple]]:
-    """Repeated strings (context, offset) of a bucket, and (hash, times, context, offset) of those to be compared with other buckets."""
+    Row k is a context: its bytes, where its minimiser is, and how often it
+    occurs.  The third result has a 128-bit digest of a string, how often the
+    bucket holds it, and one row and offset of it.
+    """
     n = len(data)
-    words = _suffix_words([d[p:] for d, p in zip(data, place)], length)
-    order = multikey_sort(words)
-    words = words[order]
-    shared = common_prefix(words[1:], words[:-1]) if n > 1 else np.zeros(0, np.int64)
-    run = np.concatenate([[0], np.cumsum(shared < gram)])
-    to_first = common_prefix(words, np.broadcast_to(words[:1], words.shape))
-    to_last = common_prefix(words, np.broadcast_to(words[-1:], words.shape))
-    reach = np.maximum(np.where(edge[0], to_first, 0), np.where(edge[1], to_last, 0))
-    sizes = np.bincount(run)
-    chosen = np.flatnonzero((sizes[run] > 1) | (reach >= gram))
-    if not len(chosen):
-        return [], []
-    pieces = [data[k] for k in order[chosen]]
-    width = np.array([len(x) for x in pieces])
-    begin = np.concatenate([[0], np.cumsum(width)[:-1]])
-    count = width - length + 1
-    row = np.repeat(chosen, count)
-    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    start = np.repeat(begin, count) + offset
-    h = tb.span_hash(tb.prefix_hash(np.frombuffer(b"".join(pieces), np.uint8)), start, start + length)
-    _, inverse = np.unique(h, return_inverse=True)
-    total = np.bincount(inverse, times[order][row])
-    repeated = total[inverse] > 1
-    right = length - (place[order][row] - offset)  # bytes of the string from the minimiser on
-    beyond = reach[row] >= right  # also where repeated: another bucket may hold the string once
-    ids = context[order][row]
-    return list(zip(ids[repeated].tolist(), offset[repeated].tolist())), list(zip(h[beyond].view(np.int64).tolist(), times[order][row][beyond].tolist(), ids[beyond].tolist(), offset[beyond].tolist()))
-
-
-def _anchor_table(texts: DataFrame) -> DataFrame:
-    """t1, position, first, last, gram, context of every minimiser; texts has t1, text."""
+    order = multikey_sort(_words([d[p:] for d, p in zip(data, place.tolist())], length))
+    words = _words([data[k][place[k] :] for k in order.tolist()], length)
+    shared = common_prefix(words[1:], words[:-1])
+    reach = np.maximum(common_prefix(words, np.broadcast_to(words[:1], words.shape)), common_prefix(words, np.broadcast_to(words[-1:], words.shape))) if edges else np.zeros(n, np.int64)
+    before = _words([data[k][: place[k]][::-1] for k in order.tolist()], -(-(length - gram) // 8) * 8)
+    backwards = multikey_sort(before)
+    before = before[backwards]
+    shared_before = common_prefix(before[1:], before[:-1])
+    at, weight = place[order], times[order]
+    lowest = at - (np.array([len(data[k]) for k in order.tolist()]) - length)  # the fewest bytes that its strings have before it
+    alone = np.ones(n, bool)
+    alone[1:] &= shared < gram
+    alone[:-1] &= shared < gram
+    taking_part = ~alone | (reach >= gram)
+    rows, offsets, beyond = [], [], []
+    after_id, before_id = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for o in range(length - gram + 1):
+        mine = np.flatnonzero(taking_part & (lowest <= o) & (o <= at))
+        if not len(mine):
+            continue
+        np.cumsum(shared < length - o, out=after_id[1:])
+        before_id[backwards[1:]] = np.cumsum(shared_before < o)
+        before_id[backwards[0]] = 0
+        _, first, group = np.unique(after_id[mine] * n + before_id[mine], return_index=True, return_inverse=True)
+        total = np.bincount(group, weight[mine])
+        again = total[group] > 1
+        rows.append(order[mine[again]])
+        offsets.append(at[mine[again]] - o)
+        for g in np.flatnonzero(reach[mine[first]] >= length - o).tolist():
+            k = int(order[mine[first[g]]])
+            j = int(place[k]) - o
+            beyond.append((hashlib.blake2b(data[k][j : j + length], digest_size=16).digest(), int(total[g]), k, j))
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *rows]), np.concatenate([empty, *offsets]), beyond
+
+
+def _runs(row: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last offset of runs of offsets."""
+    order = np.lexsort((offset, row))
+    row, offset = row[order], offset[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)
+    head = np.flatnonzero(new)
+    return row[head], offset[head], offset[np.append(head[1:], len(row)) - 1] if len(head) else offset
+
+
+def _anchor_table(rows: DataFrame) -> DataFrame:
+    """rk1, rk2, position, first, last, gram, context of every minimiser; rows has rk1, rk2, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys = [np.asarray(batch.column(x)) for x in ("rk1", "rk2")]
             for block in tb.blocks(batch.column("text")):
                 document, position, first, last, gram, context = minimisers(block)
-                key = np.asarray(batch.column("t1"))[block.lo : block.hi]
-                yield pa.RecordBatch.from_arrays([pa.array(key[document]), *(pa.array(x.astype(np.int32)) for x in (position, first, last)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], names=["t1", "position", "first", "last", "gram", "context"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(k[block.lo : block.hi][document]) for k in keys), *(pa.array(x.astype(np.int32)) for x in (position, first, last)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], names=["rk1", "rk2", "position", "first", "last", "gram", "context"])
 
-    return texts.select("t1", "text").mapInArrow(run, "t1 long, position int, first int, last int, gram long, context long")
+    return rows.select("rk1", "rk2", "text").mapInArrow(run, "rk1 long, rk2 int, position int, first int, last int, gram long, context long")
 
 
-def _context_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """context, times, place, data of the wanted contexts (context, times, t1, position, first, last)."""
-    lists = wanted.groupBy("t1").agg(F.collect_list(F.struct("context", "times", "position", "first", "last")).alias("all"))
-    held = texts.join(lists, "t1").withColumn("__b", F.col("text").cast("binary")).select(F.explode("all").alias("c"), "__b")
-    return held.select("c.context", "c.times", (F.col("c.position") - F.col("c.first")).alias("place"), F.expr("substring(__b, c.first + 1, c.last - c.first + %d)" % LENGTH).alias("data")).dropDuplicates(["context"])
+def _context_bytes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """gram, context, times, place, data, head (the suffix) of the wanted contexts."""
+    lists = wanted.groupBy("rk1", "rk2").agg(F.collect_list(F.struct("gram", "context", "times", "position", "first", "last")).alias("all"))
+    held = rows.select("rk1", "rk2", "text").join(lists, ["rk1", "rk2"]).withColumn("b", F.col("text").cast("binary")).select(F.explode("all").alias("c"), "b")
+    out = held.select("c.gram", "c.context", "c.times", (F.col("c.position") - F.col("c.first")).alias("place"), F.expr(f"substring(b, c.first + 1, c.last - c.first + {LENGTH})").alias("data"))
+    # rows that repeat with id and text bring the same bytes
+    return out.withColumn("head", F.expr(f"substring(data, place + 1, {LENGTH})"))
 
 
 def _sorted_repeats(contexts: DataFrame) -> DataFrame:
-    """context, offset of the strings that occur again, by sorting the contexts' suffixes in buckets."""
-    contexts = written(contexts, "contexts").withColumn("head", F.expr(f"substring(data, place + 1, {LENGTH})"))
-    total = contexts.count()
-    buckets = max(1, -(-total // BUCKET_CONTEXTS))
-    if buckets > 1:
-        # a bounded sample: SAMPLES_PER_BUCKET suffixes for each bucket
-        share = min(1.0, 1.5 * buckets * SAMPLES_PER_BUCKET / total)
-        sample = contexts.filter(F.pmod("context", F.lit(1_000_003)) < int(share * 1_000_003)).select("head").orderBy("head")
-        heads = [bytes(r[0]) for r in sample.collect()]
-        splitters = heads[:: max(1, len(heads) // buckets)][1:]
-    else:
-        splitters = []
-    cuts = np.array(splitters, dtype=object)
-
-    @F.pandas_udf("int")
-    def bucket(head: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, np.array([bytes(x) for x in head], dtype=object), "right").astype(np.int32)) if len(cuts) else pd.Series(np.zeros(len(head), np.int32))
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        same, beyond = compare_bucket(frame["context"].to_numpy(), frame["times"].to_numpy(), [bytes(x) for x in frame["data"]], frame["place"].to_numpy())
-        rows = [(c, o, 0, 0) for c, o in same] + [(c, o, h, t) for h, t, c, o in beyond]
-        return pd.DataFrame(rows, columns=["context", "offset", "hash", "times"]).astype({"context": "int64", "offset": "int32", "hash": "int64", "times": "int64"})
-
-    found = cut(contexts.withColumn("bucket", bucket("head")).drop("head").groupBy("bucket").applyInPandas(compare, "context long, offset int, hash long, times long"))
-    across = found.filter("times > 0")
-    again = across.groupBy("hash").agg(F.sum("times").alias("n")).filter("n > 1").select("hash")
-    return found.filter("times = 0").select("context", "offset").unionByName(across.join(again, "hash", "left_semi").select("context", "offset"))
+    """gram, context, lo, hi: runs of offsets of strings that occur again, by sorting the contexts in buckets."""
+    contexts = written(contexts, "contexts")
+    buckets = max(1, -(-contexts.count() // BUCKET_CONTEXTS))
+    edges = buckets > 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        ids = {}  # rows that repeat bring a context twice
+        for k, x in enumerate(zip(table.column("gram").to_pylist(), table.column("context").to_pylist())):
+            ids.setdefault(x, k)
+        table = table.take(pa.array(list(ids.values())))
+        gram, context = table.column("gram").to_numpy(), table.column("context").to_numpy()
+        row, offset, beyond = compare_bucket(table.column("times").to_numpy(), table.column("data").to_pylist(), table.column("place").to_numpy().astype(np.int64), edges)
+        row, lo, hi = _runs(row, offset)
+        out = np.array([x[2] for x in beyond], np.int64)
+        at = np.array([x[3] for x in beyond], np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([gram[row], gram[out]])), pa.array(np.concatenate([context[row], context[out]])), pa.array(np.concatenate([lo, at]).astype(np.int32)), pa.array(np.concatenate([hi, at]).astype(np.int32)),
+                pa.array([None] * len(row) + [x[0] for x in beyond], pa.binary()), pa.array(np.concatenate([np.zeros(len(row), np.int64), np.array([x[1] for x in beyond], np.int64)])),
+            ], names=["gram", "context", "lo", "hi", "digest", "times"],
+        )
+
+    dealt = contexts.repartitionByRange(buckets, "head", "gram", "context").select("gram", "context", "times", "place", "data")
+    found = written(dealt.mapInArrow(run, "gram long, context long, lo int, hi int, digest binary, times long"), "found")
+    across = found.filter("digest is not null")
+    again = written(across.groupBy("digest").agg(F.sum("times").alias("n")).filter("n > 1").select("digest"), "across")
+    late = across.filter("times = 1").join(again, "digest", "left_semi")
+    return found.filter("digest is null").select("gram", "context", "lo", "hi").unionByName(late.select("gram", "context", "lo", "hi"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
 
     Null counts as empty; texts under LENGTH bytes lose nothing; repeated rows are
-    repeats of each other; strings are judged on the input, overlaps count.  An
-    empty table gives an empty result.  Other columns of the input are ignored.
+    repeats of each other; strings are judged on the input, overlaps count.  Very
+    long texts are read whole.  An empty table gives an empty result.  Other
+    columns of the input are ignored, whatever their names.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.lit(3), text).alias("t1"))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    rows = df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.withColumn("rk1", F.xxhash64(F.lit(3), "doc_id", "text")).withColumn("rk2", F.hash(F.lit(4), "text", "doc_id"))
     anchors = written(_anchor_table(rows.filter(F.octet_length("text") >= LENGTH)), "anchors")
-    again = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    live = written(anchors.join(again, "gram"), "live")
-    kinds = live.groupBy("gram").agg((F.min("context") != F.max("context")).alias("mixed"))
-    live = written(live.join(kinds, "gram"), "live")
-    contexts = live.filter("mixed").groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("t1", "position", "first", "last")).alias("at")).select("context", "times", "at.*")
-    contexts = cut(contexts)
-    whole = contexts.filter("times > 1").select("context").withColumn("offsets", F.lit(None).cast("array<int>"))
-    part = _sorted_repeats(_context_bytes(rows, contexts)).groupBy("context").agg(F.collect_set("offset").alias("offsets"))
-    known = part.join(whole.select("context"), "context", "left_anti").unionByName(whole)
-    mixed = live.filter("mixed").join(known, "context").select("t1", "first", "last", "offsets")
-    plain = live.filter("not mixed").select("t1", "first", "last", F.lit(None).cast("array<int>").alias("offsets"))
-    hits = mixed.unionByName(plain).groupBy("t1").agg(F.collect_set(F.struct("first", "last", "offsets")).alias("hits"))
-    joined = rows.join(hits, "t1", "left").select("doc_id", "text", "hits")
+    # each filter is a table of its own, so that Spark can split the join of a gram that very many rows hold
+    again = written(anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "again")
+    live = written(anchors.join(again, "gram", "left_semi"), "live")
+    one = [F.first(x).alias(x) for x in ("rk1", "rk2", "position", "first", "last")]
+    contexts = written(live.groupBy("gram", "context").agg(F.count("*").alias("times"), *one), "entries")
+    several = written(contexts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "several")
+    part = _sorted_repeats(_context_bytes(rows, contexts.join(several, "gram", "left_semi")))
+    whole = contexts.filter("times > 1").select("gram", "context", F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
+    known = written(part.unionByName(whole), "known")
+    runs = live.join(known, ["gram", "context"]).select("rk1", "rk2", (F.col("first") + F.coalesce("lo", F.lit(0))).alias("start"), (F.coalesce(F.col("first") + F.col("hi"), F.col("last")) + LENGTH).alias("end"))
+    hits = runs.groupBy("rk1", "rk2").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    joined = rows.join(hits, ["rk1", "rk2"], "left").select("doc_id", "text", "starts", "ends")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = tb.column_bytes(batch.column("text"))
+            starts, ends = batch.column("starts"), batch.column("ends")
             out = []
-            hits = batch.column("hits")
             for i in range(batch.num_rows):
                 data = raw[at[i] : at[i + 1]]
-                found = hits[i].as_py()
-                if not found:
+                if not starts[i].is_valid:
                     kept = data.tobytes()
                     out.append((len(data), 0, 0, hashlib.sha256(kept).hexdigest(), kept))
                     continue
-                edge = np.zeros(len(data) + 1, np.int32)
-                for x in found:
-                    if x["offsets"] is None:
-                        edge[x["first"]] += 1
-                        edge[x["last"] + LENGTH] -= 1
-                    else:
-                        start = np.array(x["offsets"], np.int64) + x["first"]
-                        np.add.at(edge, start, 1)
-                        np.add.at(edge, start + LENGTH, -1)
+                # runs' starts and ends are counted apart, so their order in the two lists does not matter
+                edge = np.bincount(np.asarray(starts[i].values), minlength=len(data) + 1) - np.bincount(np.asarray(ends[i].values), minlength=len(data) + 1)
                 gone = np.cumsum(edge[:-1]) > 0
                 spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                 kept = data[~gone].tobytes()

@@ -290,6 +290,22 @@ def test_repeats(spark, monkeypatch, bucket):
     assert [got[i] for i in range(len(texts))] == repeats_brute(texts)
 
 
+def test_one_passage_after_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BUCKET_CONTEXTS", 100)
+    passage = prose(60)
+    texts = [prose(random.randint(0, 40)) + f" {i} " + passage + (prose(5) if i % 3 else "") for i in range(1500)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(frame(spark, texts, "gram int")).collect()}
+    assert [got[i] for i in range(len(texts))] == repeats_brute(texts)
+
+
+def test_repeats_odd_rows(spark):
+    long = " ".join(f"{i}" for i in range(90_000))
+    rows = [(None, "x" * 300), (1, "\0" * 250), (1, "\0" * 250), (2, long), (3, "y" + long[5:]), (4, None), (5, "ab" * 99), (6, "ab" * 100), (7, "ba" * 101)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, `a.b` int")
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df).collect())
+    assert got == collections.Counter((i, *b) for (i, _), b in zip(rows, repeats_brute([t for _, t in rows])))
+
+
 def test_multikey_sort():
     words = np.random.default_rng(1).integers(0, 3, (400, 25)).astype(np.uint64)
     order = repeats.multikey_sort(words)
