@@ -17,8 +17,10 @@ again.  A suffix's *context* is the span of all strings it is the minimiser of.
    occurs again if another entry shares LENGTH - o bytes with its suffix and o
    bytes before it; the bytes that neighbours in the two orders share decide that.
    Equal suffixes may fall into several buckets, so a bucket's size is bounded
-   even if one passage follows on very many texts; strings that a bucket shares
-   with its first or last suffix are compared across its boundary.
+   even if one passage follows on very many texts.  Strings that a bucket shares
+   with its first or last suffix are compared across its boundary: first what all
+   strings of BLOCK neighbouring offsets have in common, and where another bucket
+   has that too, the strings themselves.
 4. Repeated strings are joined into spans per row and cut out.
 
 Rows are known by their id and text, so copies of a text never meet in one task.
@@ -39,8 +41,8 @@ from quillguard.llm.session import quoted, written
 
 LENGTH, GRAM = 200, 40
 SPAN = LENGTH - GRAM + 1
-#: Contexts that a bucket should hold.
-BUCKET_CONTEXTS = 20_000
+#: Contexts that a bucket should hold, and neighbouring offsets that are compared across buckets at once.
+BUCKET_CONTEXTS, BLOCK = 20_000, 16
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -153,12 +155,14 @@ def _words(pieces: list[bytes], length: int) -> np.ndarray:
     return np.frombuffer(raw, ">u8").reshape(len(pieces), length // 8).astype(np.uint64)
 
 
-def compare_bucket(times: np.ndarray, data: list[bytes], place: np.ndarray, edges: bool = True, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, int, int, int]]]:
+def compare_bucket(times: np.ndarray, data: list[bytes], place: np.ndarray, edges: bool = True, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, int, list[int], list[int]]]]:
     """Rows and offsets of the repeated strings of a bucket, and what other buckets may hold too.
 
     Row k is a context: its bytes, where its minimiser is, and how often it
-    occurs.  The third result has a 128-bit digest of a string, how often the
-    bucket holds it, and one row and offset of it.
+    occurs.  The third result has, for one row and BLOCK neighbouring numbers of
+    bytes before the minimiser, a digest of the bytes that all their strings
+    share, the row, the offsets of strings to be compared, and how often the bucket
+    holds each; a string that it holds twice is compared once.
     """
     n = len(data)
     order = multikey_sort(_words([d[p:] for d, p in zip(data, place.tolist())], length))
@@ -175,7 +179,7 @@ def compare_bucket(times: np.ndarray, data: list[bytes], place: np.ndarray, edge
     alone[1:] &= shared < gram
     alone[:-1] &= shared < gram
     taking_part = ~alone | (reach >= gram)
-    rows, offsets, beyond = [], [], []
+    rows, offsets, beyond = [], [], {}
     after_id, before_id = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for o in range(length - gram + 1):
         mine = np.flatnonzero(taking_part & (lowest <= o) & (o <= at))
@@ -190,11 +194,18 @@ def compare_bucket(times: np.ndarray, data: list[bytes], place: np.ndarray, edge
         rows.append(order[mine[again]])
         offsets.append(at[mine[again]] - o)
         for g in np.flatnonzero(reach[mine[first]] >= length - o).tolist():
-            k = int(order[mine[first[g]]])
-            j = int(place[k]) - o
-            beyond.append((hashlib.blake2b(data[k][j : j + length], digest_size=16).digest(), int(total[g]), k, j))
+            beyond.setdefault((int(order[mine[first[g]]]), o // BLOCK), []).append((o, int(total[g])))
+    out = []
+    for (k, b), found in beyond.items():
+        p = int(place[k])
+        core = data[k][p - b * BLOCK : p + length - b * BLOCK - BLOCK + 1]
+        out.append((_digest(core + b"%d" % b), k, [p - o for o, _ in found], [n for _, n in found]))
     empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *rows]), np.concatenate([empty, *offsets]), beyond
+    return np.concatenate([empty, *rows]), np.concatenate([empty, *offsets]), out
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def _runs(row: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,23 +256,34 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
             ids.setdefault(x, k)
         table = table.take(pa.array(list(ids.values())))
         gram, context = table.column("gram").to_numpy(), table.column("context").to_numpy()
-        row, offset, beyond = compare_bucket(table.column("times").to_numpy(), table.column("data").to_pylist(), table.column("place").to_numpy().astype(np.int64), edges)
+        data = table.column("data").to_pylist()
+        row, offset, beyond = compare_bucket(table.column("times").to_numpy(), data, table.column("place").to_numpy().astype(np.int64), edges)
         row, lo, hi = _runs(row, offset)
-        out = np.array([x[2] for x in beyond], np.int64)
-        at = np.array([x[3] for x in beyond], np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([gram[row], gram[out]])), pa.array(np.concatenate([context[row], context[out]])), pa.array(np.concatenate([lo, at]).astype(np.int32)), pa.array(np.concatenate([hi, at]).astype(np.int32)),
-                pa.array([None] * len(row) + [x[0] for x in beyond], pa.binary()), pa.array(np.concatenate([np.zeros(len(row), np.int64), np.array([x[1] for x in beyond], np.int64)])),
-            ], names=["gram", "context", "lo", "hi", "digest", "times"],
-        )
+        out, none = np.array([x[1] for x in beyond], np.int64), [None] * len(row)
+        bases = [min(x[2]) for x in beyond]
+        columns = [
+            pa.array(np.concatenate([gram[row], gram[out]])), pa.array(np.concatenate([context[row], context[out]])), pa.array([*lo.tolist(), *bases], pa.int32()), pa.array([*hi.tolist(), *bases], pa.int32()),
+            pa.array([*none, *(x[0] for x in beyond)], pa.binary()), pa.array(np.full(len(row) + len(out), gram[0] ^ context[0])), pa.array([*none, *(x[2] for x in beyond)], pa.list_(pa.int32())), pa.array([*none, *(x[3] for x in beyond)], pa.list_(pa.int64())),
+            pa.array([*none, *(data[x[1]][base : max(x[2]) + LENGTH] for x, base in zip(beyond, bases))], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["gram", "context", "lo", "hi", "core", "bucket", "offsets", "times", "piece"])
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(g, c, o, n, _digest(piece[o - base : o - base + LENGTH])) for g, c, base, offsets, times, piece in zip(*(batch.column(x).to_pylist() for x in ("gram", "context", "lo", "offsets", "times", "piece"))) for o, n in zip(offsets, times)]
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["gram", "context", "lo", "times", "digest"])
 
     dealt = contexts.repartitionByRange(buckets, "head", "gram", "context").select("gram", "context", "times", "place", "data")
-    found = written(dealt.mapInArrow(run, "gram long, context long, lo int, hi int, digest binary, times long"), "found")
-    across = found.filter("digest is not null")
-    again = written(across.groupBy("digest").agg(F.sum("times").alias("n")).filter("n > 1").select("digest"), "across")
-    late = across.filter("times = 1").join(again, "digest", "left_semi")
-    return found.filter("digest is null").select("gram", "context", "lo", "hi").unionByName(late.select("gram", "context", "lo", "hi"))
+    found = written(dealt.mapInArrow(run, "gram long, context long, lo int, hi int, core binary, bucket long, offsets array<int>, times array<long>, piece binary"), "found")
+    inside = found.filter("core is null").select("gram", "context", "lo", "hi")
+    if not edges:
+        return inside
+    across = found.filter("core is not null")
+    shared = written(across.groupBy("core").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).filter("a <> b").select("core"), "cores")
+    late = written(across.join(shared, "core", "left_semi").select("gram", "context", "lo", "offsets", "times", "piece").mapInArrow(strings, "gram long, context long, lo int, times long, digest binary"), "across")
+    again = written(late.groupBy("digest").agg(F.sum("times").alias("n")).filter("n > 1").select("digest"), "again")
+    return inside.unionByName(late.filter("times = 1").join(again, "digest", "left_semi").select("gram", "context", "lo", F.col("lo").alias("hi")))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
