@@ -196,6 +196,8 @@ class GuardRule:
     any_word: tuple[str, ...] = ()
     word_prefix: str = ""
     text: tuple[str, ...] = ()
+    next_after: tuple[str, ...] = ()
+    next_ends: tuple[str, ...] = ()
     operand: str = ""
     skip: int = 0
     piped_from: tuple[str, ...] = ()
@@ -217,6 +219,7 @@ class GuardRule:
             and (not self.any_word or any(w in c.argv for w in self.any_word))
             and (not self.word_prefix or any(a.startswith(self.word_prefix) for a in c.argv))
             and (not self.text or any(t in joined for t in self.text))
+            and (not self.next_after or any(a in self.next_after and b.endswith(self.next_ends) for a, b in zip(c.argv, c.argv[1:])))
             and (self.operand != "root" or any(map(dangerous, operands)))
             and (self.operand != "device" or any(o.startswith("/dev/") for o in operands))
             and (self.operand != "halt" or operands[:1] in (["0"], ["6"]))
@@ -245,7 +248,7 @@ _RECURSIVE, _FORCE = ("rR", ("recursive",)), ("f", ("force",))
 RULES = (
     GuardRule("rm_recursive_force_root", "block", ("rm",), flags=(_RECURSIVE,), operand="root"),
     GuardRule("rm_recursive_force", "warn", ("rm",), flags=(_RECURSIVE, _FORCE)),
-    _either("find_delete_root", "block", _part(names=("find",), words=("-delete",), operand="root"), *(_part(names=("find",), words=(w,), text=tuple(f"{w} {p}{b}" for p in ("", "/bin/", "/usr/bin/") for b in ("rm", "shred")), operand="root") for w in ("-exec", "-execdir", "-ok"))),
+    _either("find_delete_root", "block", _part(names=("find",), words=("-delete",), operand="root"), _part(names=("find",), next_after=("-exec", "-execdir", "-ok"), next_ends=("rm", "shred"), operand="root")),
     _either("mkfs", "block", _part(names=("mkswap",), prefix="mkfs", operand="device"), _part(names=("wipefs",))),
     GuardRule("dd_to_device", "block", ("dd",), word_prefix="of=/dev/"),
     GuardRule("write_block_device", "block", regex=r">\s*/dev/(?:sd|nvme|hd|vd|mmcblk|disk)"),
@@ -265,7 +268,7 @@ RULES = (
     GuardRule("service_stop", "warn", ("systemctl", "service"), any_word=("stop", "disable", "mask")),
     _either("container_prune", "warn", _part(names=("docker", "podman"), words=("prune",)), _part(names=("docker", "podman"), words=("rm",), flags=(_FORCE,))),
     GuardRule("terraform_destroy", "block", ("terraform",), words=("destroy", "-auto-approve")),
-    _either("git_force_push", "warn", _part(names=("git",), words=("push",), flags=(("f", ("force",)),))),
+    _either("git_force_push", "warn", _part(names=("git",), words=("push",), flags=(("f", ("force",)),)), _part(names=("git",), words=("push", "--force-with-lease"))),
 )
 
 

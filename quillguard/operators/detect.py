@@ -20,6 +20,13 @@ NEEDS = {
     "jp_phone_intl": "+81", "jp_postal_code": "〒", "private_key_block": "-----BEGIN", "gcp_api_key": "AIza", "slack_token": "xox", "npm_token": "npm_",
     "llm_api_key": "sk-", "jwt": "eyJ", "dsn_password": "://", "jp_phone_mobile": "0", "jp_phone_landline": "0",
 }
+#: What a text must hold for a rule to match, for Java's matcher; rules not named here look at every text.
+HINTS = {
+    "email": "@", "mac_address": ":", "ipv6": ":", "ipv4": "[0-9]", "url": "://", "uuid": "-", "timestamp_iso8601": "[0-9]", "timestamp_syslog": "[0-9]", "hex_blob": "[0-9]|[A-Fa-f]{16}", "large_integer": "[0-9]", "unix_path": "/",
+    "credit_card": "[0-9]", "jp_mynumber": "[0-9]", "jp_corporate_number": "[0-9]", "jp_passport": "[0-9]", "jp_phone_intl": "[0-9]", "jp_phone_mobile": "[0-9]", "jp_phone_landline": "[0-9]", "jp_postal_code": "[0-9]", "jp_address": "[都道府県]",
+    "private_key_block": "-----BEGIN", "aws_access_key": "A[KS]IA", "gcp_api_key": "AIza", "github_token": "gh[pousr]_", "slack_token": "xox[abprs]-", "stripe_key": "[sr]k_", "npm_token": "npm_", "llm_api_key": "sk-", "jwt": "eyJ",
+    "auth_header": r"[Bb](?:earer|asic)\s", "dsn_password": "://", "key_value": "[:=]", "internal_hostname": r"[.]\S", ENTROPY_RULE: r"[A-Za-z0-9+/=_.-]{24}",
+}
 _NO_CITY = re.compile("[都道府県]")
 
 
@@ -71,8 +78,19 @@ class Detector:
         return [{"start": c[0], "end": c[1], "text": c[2], "rule": c[3], "category": c[4]} for c in resolve(self.candidates(text))]
 
 
+def may_hold(text: Column, rules: list[Rule], entropy: bool = True) -> Column:
+    """False only for texts in which no rule can find anything."""
+    names = [r.name for r in rules] + [ENTROPY_RULE] * entropy
+    if any(n not in HINTS for n in names):
+        return F.lit(True)
+    return text.rlike("|".join(dict.fromkeys(HINTS[n] for n in names))) if names else F.lit(False)
+
+
 def findings_column(text: Column, rules: list[Rule] | None = None, entropy: bool = True) -> Column:
-    """Array of findings of a text, by one pass of an Arrow UDF; offsets are code points."""
+    """Array of findings of a text, by one pass of an Arrow UDF; offsets are code points.
+
+    Texts without any rule's hint do not go to Python at all.
+    """
     detector_rules = build() if rules is None else rules
 
     @F.pandas_udf(f"array<{FINDING}>")
@@ -81,7 +99,7 @@ def findings_column(text: Column, rules: list[Rule] | None = None, entropy: bool
         for texts in batches:
             yield texts.map(detector.detect)
 
-    return run(text)
+    return run(F.when(may_hold(text, detector_rules, entropy), text))
 
 
 def with_findings(df: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, entropy: bool = True) -> DataFrame:

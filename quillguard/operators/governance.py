@@ -59,10 +59,14 @@ def cloud_fallback(action: Column) -> Column:
     return action == "allow"
 
 
-def route(text: Column) -> Column:
-    """target and reason; the first test that holds decides."""
-    t = F.regexp_replace(text, r"^\s+|\s+$", "")
-    lines, tokens = non_blank_lines(t), token_estimate(t)
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def route(text: Column, tokens: Column | None = None) -> Column:
+    """target and reason; the first test that holds decides.  tokens: the estimate of the trimmed text, if known."""
+    t = trimmed(text)
+    lines, tokens = non_blank_lines(t), token_estimate(t) if tokens is None else tokens
     code, many, large = t.rlike(to_java(CODE_MARKERS)), lines > MAX_LOCAL_LINES, tokens > MAX_LOCAL_TOKENS
     known = t.rlike(to_java(SIMPLE_SIGNALS)) | t.rlike(SIMPLE_SIGNALS_JA)
     reason = (
@@ -91,7 +95,9 @@ def screen(text: Column) -> Column:
 
 def decide(df: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", rules: list[Rule] | None = None, cloud_max: int = 1, deny_above: int | None = None) -> DataFrame:
     """What a payload holds, where it may go and which tier takes it."""
-    text = F.col(text_col)
-    found = df.select(*id_cols, text.alias("__t"), findings_column(text, rules).alias("__f"))
-    decided = found.withColumn("max_sensitivity", max_sensitivity(F.col("__f"))).withColumn("__p", policy(F.col("max_sensitivity"), cloud_max, deny_above)).withColumn("__r", override(route(F.col("__t")), F.col("__p.action")))
-    return decided.select(*id_cols, F.size("__f").cast("long").alias("n_findings"), "max_sensitivity", F.col("__p.action").alias("action"), F.col("__r.target").alias("target"), F.col("__r.reason").alias("reason"), token_estimate(F.col("__t")).alias("baseline_tokens"))
+    text, t = F.col(text_col), F.col("__t")
+    # one estimate a row: the untrimmed text is counted again only where trimming took more than blanks
+    read = df.select(*id_cols, text.alias("__t"), findings_column(text, rules).alias("__f"), token_estimate(trimmed(text)).alias("__n"))
+    decided = read.withColumn("max_sensitivity", max_sensitivity(F.col("__f"))).withColumn("__p", policy(F.col("max_sensitivity"), cloud_max, deny_above)).withColumn("__r", override(route(t, F.col("__n")), F.col("__p.action")))
+    tokens = F.when(trimmed(t) == t, F.col("__n")).otherwise(token_estimate(t))
+    return decided.select(*id_cols, F.size("__f").cast("long").alias("n_findings"), "max_sensitivity", F.col("__p.action").alias("action"), F.col("__r.target").alias("target"), F.col("__r.reason").alias("reason"), tokens.alias("baseline_tokens"))

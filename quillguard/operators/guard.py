@@ -24,7 +24,7 @@ def guard_findings(text: Column, overrides: dict[str, str] | None = None) -> Col
         keep = ("rule", "severity", "match", "scope", "line", "end_line")
         return texts.map(lambda t: [] if not t else [{k: f[k] for k in keep} for f in shell.inspect(t, overrides) if "repeat" not in f])
 
-    return F.when(text.rlike(_MAY_RUN), run(text)).otherwise(F.array().cast(f"array<{FINDING}>"))
+    return run(F.when(text.rlike(_MAY_RUN), text))
 
 
 def verdict(findings: Column) -> Column:

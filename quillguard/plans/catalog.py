@@ -12,6 +12,7 @@ from quillguard.functions import rules as R
 from quillguard.functions import text as X
 from quillguard.operators import audit, cache, compress, detect, governance, guard, harness, ledger, mask, names, tenancy
 from quillguard.plans import sql as S
+from quillguard.sources import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "payload_decision"
@@ -35,7 +36,7 @@ def query(oracle: str | None = None, name: str | None = None):
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
 def _talk(spark: SparkSession, sf: str) -> DataFrame:

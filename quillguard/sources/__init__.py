@@ -16,6 +16,16 @@ PARTS = "array<struct<type:string,text:string>>"
 DELTA = "struct<choices:array<struct<index:int,finish_reason:string,delta:struct<content:string,tool_calls:array<struct<index:int,id:string,function:struct<name:string,arguments:string>>>>>>>"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows, dealt anew if they come in fewer pieces than there are cores.
+
+    A small table often lies in one file, which one task would read; a large one
+    has more pieces than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """path, text: one row per file of a known extension, folders included."""
     pattern = "*.{" + ",".join(x for e in EXTENSIONS for x in (e, e.upper())) + "}"

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -100,3 +101,19 @@ def test_redact_and_sensitivity(spark):
     df = detect.with_findings(spark.createDataFrame([("a@b.io at 10.0.0.1 é",), ("plain",), (None,)], "text string"))
     out = df.select(detect.redact(F.col("text"), F.col("findings"), lambda f: F.concat(F.lit("<"), f["rule"], F.lit(">"))).alias("t"), detect.max_sensitivity(F.col("findings")).alias("s")).collect()
     assert [(r.t, r.s) for r in out] == [("<email> at <ipv4> é", 2), ("plain", 0), (None, 0)]
+
+
+def test_no_text_with_findings_lacks_a_hint():
+    rng = random.Random(5)
+    union = re.compile("|".join(detect.HINTS.values()))
+    parts = [
+        "a.b@c.de", "aa:bb:cc:dd:ee:ff", "fe:dc:ba::", "http://x", "abcdefab-abcd-abcd-abcd-abcdefabcdef", "/var/log", "deadbeefdeadbeef", "東京都港区", "-----BEGIN PRIVATE KEY-----x-----END PRIVATE KEY-----", "AIza" + "x" * 35,
+        "ghp_" + "x" * 36, "xoxb-" + "a" * 10, "sk_live_" + "a" * 16, "npm_" + "a" * 36, "sk-" + "a" * 20, "eyJa.b.c", "Bearer abcdefghijkl", "amqp://u:pass@h", "password = hunter", "db.corp", "QwErTyUiOpAsDfGhJkLzXcVbNm", "Jan  1 10:00:00", "plain", "words", " ", "\n", ".", "=",
+    ]
+    detector, found = detect.Detector(rules.build()), set()
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))
+        hits = detector.detect(text)
+        found |= {h["rule"] for h in hits}
+        assert not hits or union.search(text), text
+    assert len(found) >= 18
