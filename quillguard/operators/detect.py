@@ -20,12 +20,13 @@ NEEDS = {
     "jp_phone_intl": "+81", "jp_postal_code": "〒", "private_key_block": "-----BEGIN", "gcp_api_key": "AIza", "slack_token": "xox", "npm_token": "npm_",
     "llm_api_key": "sk-", "jwt": "eyJ", "dsn_password": "://", "jp_phone_mobile": "0", "jp_phone_landline": "0",
 }
-#: What a text must hold for a rule to match, for Java's matcher; rules not named here look at every text.
-HINTS = {
-    "email": "@", "mac_address": ":", "ipv6": ":", "ipv4": "[0-9]", "url": "://", "uuid": "-", "timestamp_iso8601": "[0-9]", "timestamp_syslog": "[0-9]", "hex_blob": "[0-9]|[A-Fa-f]{16}", "large_integer": "[0-9]", "unix_path": "/",
-    "credit_card": "[0-9]", "jp_mynumber": "[0-9]", "jp_corporate_number": "[0-9]", "jp_passport": "[0-9]", "jp_phone_intl": "[0-9]", "jp_phone_mobile": "[0-9]", "jp_phone_landline": "[0-9]", "jp_postal_code": "[0-9]", "jp_address": "[都道府県]",
-    "private_key_block": "-----BEGIN", "aws_access_key": "A[KS]IA", "gcp_api_key": "AIza", "github_token": "gh[pousr]_", "slack_token": "xox[abprs]-", "stripe_key": "[sr]k_", "npm_token": "npm_", "llm_api_key": "sk-", "jwt": "eyJ",
-    "auth_header": r"[Bb](?:earer|asic)\s", "dsn_password": "://", "key_value": "[:=]", "internal_hostname": r"[.]\S", ENTROPY_RULE: r"[A-Za-z0-9+/=_.-]{24}",
+#: What a text must hold for a rule to match: one of some characters (in brackets), one of some literals, or a pattern
+#: for Java's matcher (a string); rules not named here look at every text.
+HINTS: dict[str, list[str] | tuple[str, ...] | str] = {
+    **dict.fromkeys(("ipv4", "timestamp_iso8601", "timestamp_syslog", "large_integer", "credit_card", "jp_mynumber", "jp_corporate_number", "jp_passport", "jp_phone_intl", "jp_phone_mobile", "jp_phone_landline", "jp_postal_code"), ["0-9"]),
+    "email": ["@"], "mac_address": [":"], "ipv6": [":"], "url": [":"], "uuid": ["\\-"], "unix_path": ["/"], "jp_address": ["都道府県"], "dsn_password": [":"], "key_value": [":="], "github_token": ["_"], "stripe_key": ["_"], "npm_token": ["_"], "llm_api_key": ["\\-"], "slack_token": ["\\-"], "private_key_block": ["\\-"],
+    "aws_access_key": ("AKIA", "ASIA"), "gcp_api_key": ("AIza",), "jwt": ("eyJ",), "auth_header": ("earer", "asic"),
+    "hex_blob": r"[0-9]|(?<![A-Fa-f])[A-Fa-f]{16}", "internal_hostname": r"[.]\S", ENTROPY_RULE: r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/=_.-]{24}",
 }
 _NO_CITY = re.compile("[都道府県]")
 
@@ -83,7 +84,14 @@ def may_hold(text: Column, rules: list[Rule], entropy: bool = True) -> Column:
     names = [r.name for r in rules] + [ENTROPY_RULE] * entropy
     if any(n not in HINTS for n in names):
         return F.lit(True)
-    return text.rlike("|".join(dict.fromkeys(HINTS[n] for n in names))) if names else F.lit(False)
+    hints = [HINTS[n] for n in names]
+    chars = "".join(dict.fromkeys(h[0] for h in hints if isinstance(h, list)))
+    tests = [text.rlike(f"[{chars}]")] if chars else []
+    tests += [F.contains(text, F.lit(x)) for h in hints if isinstance(h, tuple) for x in h] + [text.rlike(h) for h in hints if isinstance(h, str)]
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
 
 
 def findings_column(text: Column, rules: list[Rule] | None = None, entropy: bool = True) -> Column:
