@@ -2,12 +2,19 @@
 
 The tree predicts a document as the bytes of its lowered words, each followed by
 a space, and one end mark.  Contexts are the last bytes read, up to DEPTH of
-them.  A context is a candidate if its empirical probability reaches LEAST
-(so there are at most 1 / LEAST of each length, whatever the corpus) and stays
-if its next-byte distribution diverges from that of its own suffix by more than
-DIVERGENCE nats over all its occurrences.  Distributions are smoothed towards
-the suffix's, at the root towards uniform.  Scoring always uses the longest
-suffix of what was read that stayed; an automaton over the contexts keeps it.
+them.  A context stays if it occurs LEAST times in the training text or more and
+its next-byte distribution diverges from that of its own suffix by DIVERGENCE
+nats or more over all its occurrences; both are tested in Spark, on counts of all
+the training text, so the tree grows with the corpus.  A distribution is smoothed
+towards that of the longest suffix that stayed, with PULL imagined occurrences
+for each byte seen after the context; the root's towards uniform.  Scoring uses
+the longest suffix of what was read that stayed.
+
+Only the contexts that stayed leave the executors.  The tree is sent out in parts
+of about PART_NODES nodes: a part has all contexts that end in some pairs of
+bytes, so every position of a document belongs to one part, and a document's
+score is the sum over the parts.  A tree of more parts costs more passes, not
+more memory.
 
 The unigram base needs the count of every word.  Words above 1 / HEAD of all
 tokens (at most HEAD of them) are looked up in a table that every worker holds;
@@ -24,14 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillguard.llm import textbytes as tb
-from quillguard.llm.session import written
+from quillguard.llm.session import quoted, written
 
-DEPTH, LEAST, DIVERGENCE, PULL = 6, 1e-5, 20.0, 4.0
+DEPTH, LEAST, DIVERGENCE, PULL = 7, 32, 16.0, 3.0
 HEAD = 1_000_000
 END = 0x0A
-CHUNK = 128
+#: Nodes of the tree that a worker holds at a time.
+PART_NODES = 4_000_000
 #: Distinct n-grams that a worker gathers before it hands them on.
-GATHER = 3_000_000
+GATHER = 2_000_000
 
 
 def fold(id_col: str, parts: int) -> Column:
@@ -110,110 +118,113 @@ def counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-class Tree:
-    """The frozen tree as arrays: byte classes, an automaton over the contexts, log10 probabilities."""
-
-    def __init__(self, levels: list[dict[int, dict[int, int]]]):
-        """levels[d]: context of d bytes as a number -> {next byte: count}."""
-        root = levels[0].get(0, {})
-        total = sum(root.values())
-        seen = sorted(root)
-        self.classes = np.full(256, len(seen), np.int32)
-        self.classes[seen] = np.arange(len(seen))
-        self.width = len(seen) + 2  # the seen bytes, any other byte, the begin mark
-        base = np.full(len(seen) + 1, 1 / 256.0)
-        dist = {(0, 0): self._smooth(root, total, base)}
-        for d in range(1, len(levels)):
-            for context, nexts in levels[d].items():
-                shorter = context & ((1 << 8 * (d - 1)) - 1)
-                parent = next(dist[key] for up in range(d - 1, -1, -1) if (key := (up, shorter & ((1 << 8 * up) - 1))) in dist)
-                n = sum(nexts.values())
-                p = np.zeros(len(base))
-                ids = self.classes[list(nexts)]
-                p[ids] = np.array(list(nexts.values())) / n
-                mask = p > 0
-                if n * float((p[mask] * np.log(p[mask] / parent[mask])).sum()) >= DIVERGENCE:
-                    dist[(d, context)] = self._smooth(nexts, n, parent)
-        self.contexts = len(dist)
-        self._automaton(dist)
-
-    def _smooth(self, nexts: dict[int, int], n: int, parent: np.ndarray) -> np.ndarray:
-        p = parent * PULL
-        if nexts:
-            p[self.classes[list(nexts)]] += list(nexts.values())
-        return p / (n + PULL)
-
-    def _automaton(self, dist: dict) -> None:
-        """States are all prefixes of the contexts; each points to the longest context that ends it."""
-        strings = {b"": 0}
-        for d, context in sorted(dist):
-            s = context.to_bytes(d, "big")
-            for k in range(1, d + 1):
-                strings.setdefault(s[:k], len(strings))
-        n = len(strings)
-        by_length = sorted(strings, key=len)
-        order = {s: i for i, s in enumerate(by_length)}
-        self.next = np.zeros((n, self.width), np.int32)
-        logs = {}
-        held = np.zeros(n, np.int32)
-        table = []
-        for s, i in order.items():
-            best = next(k for k in range(len(s) + 1) if (len(s) - k, int.from_bytes(s[k:], "big")) in dist)
-            key = (len(s) - best, int.from_bytes(s[best:], "big"))
-            if key not in logs:
-                logs[key] = len(table)
-                p = dist[key]
-                table.append(np.append(np.log10(p), 0.0))
-            held[i] = logs[key]
-            fail = next((order[s[k:]] for k in range(1, len(s) + 1) if s[k:] in order), 0)
-            if i:
-                self.next[i] = self.next[fail]
-            for byte in np.flatnonzero(self.classes < self.width - 2):
-                child = order.get(s + bytes([byte]))
-                if child is not None:
-                    self.next[i, self.classes[byte]] = child
-        self.next[:, self.width - 2] = 0
-        self.next[:, self.width - 1] = order.get(bytes([END]), 0)
-        self.logs = np.array(table)[held].astype(np.float32)
-
-    def score(self, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """log10 probability of each document of a stream; all chunks step together."""
-        symbols = self.classes[data].astype(np.int64)
-        symbols[begin[:-1]] = self.width - 1
-        n = len(symbols)
-        chunks = -(-n // CHUNK)
-        warm = DEPTH + 1
-        # the state after `warm` bytes does not depend on what came before them
-        padded = np.concatenate([np.full(warm, self.width - 1), symbols, np.full(chunks * CHUNK - n, self.width - 1)])
-        state = np.zeros(chunks, np.int64)
-        at = np.arange(chunks) * CHUNK
-        logs, following = self.logs.reshape(-1), self.next.reshape(-1)
-        out = np.empty((CHUNK, chunks), np.float64)
-        for t in range(warm + CHUNK):
-            cell = state * self.width + padded[at + t]
-            if t >= warm:
-                out[t - warm] = logs[cell]
-            state = following[cell].astype(np.int64)
-        return np.add.reduceat(out.T.reshape(-1)[:n], begin[:-1]) if n else np.zeros(0)
-
-
-def grow(table: DataFrame, depth: int = DEPTH, least: float = LEAST) -> Tree:
-    """Collects, for each length, the contexts of probability ``least`` or more: at most 1 / least each."""
-    seen = table.filter("kind = 1")
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    levels: list[dict[int, dict[int, int]]] = []
+def _level(depth: int) -> int:
+    """Bits of a key that hold a context of so many bytes and the byte after it."""
+    return -1 if depth == 7 else (1 << 8 * (depth + 1)) - 1
+
+
+def kept_contexts(table: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
+    """d, key, n, total, distinct of the nodes (context, next byte) of the contexts that stay; table: ``counts``."""
+    seen, parent, out = table.filter("kind = 1"), None, None
     for d in range(depth + 1):
-        mask = -1 if d == 7 else (1 << 8 * (d + 1)) - 1
-        level = seen.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n"))
+        level = seen.groupBy(F.col("key").bitwiseAND(F.lit(_level(d))).alias("key")).agg(F.sum("n").alias("n"))
         if d:  # a zero byte in front marks a context that reaches over the begin of its document
             level = level.filter(F.shiftrightunsigned("key", 8 * d) != 0)
-        level = level.withColumn("context", F.shiftrightunsigned("key", 8)).withColumn("byte", F.col("key").bitwiseAND(F.lit(255)))
-        good = level.groupBy("context").agg(F.sum("n").alias("all")).filter(F.col("all") >= max(1.0, least * total)).select("context")
-        found: dict[int, dict[int, int]] = {}
-        for context, byte, n in level.join(good, "context", "left_semi").select("context", "byte", "n").toPandas().itertuples(index=False):
-            found.setdefault(int(context), {})[int(byte)] = int(n)
-        levels.append(found)
-    return Tree(levels)
+        level = level.withColumn("context", F.shiftrightunsigned("key", 8))
+        sums = level.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
+        level = written(level.join(sums.filter(F.col("total") >= least) if d else sums, "context"), "level")
+        kept = level
+        if d:
+            up = parent.select(F.col("key").alias("up"), F.col("n").alias("n_up"), F.col("total").alias("total_up"))
+            both = level.withColumn("up", F.col("key").bitwiseAND(F.lit(_level(d - 1)))).join(up, "up")
+            gain = F.sum(F.col("n") * F.ln((F.col("n") / F.col("total")) / (F.col("n_up") / F.col("total_up"))))
+            stay = both.groupBy("context").agg(gain.alias("gain")).filter(F.col("gain") >= divergence).select("context")
+            kept = level.join(stay, "context", "left_semi")
+        kept = kept.select(F.lit(d).alias("d"), "key", "n", "total", "distinct")
+        out = kept if out is None else out.unionByName(kept)
+        parent = level
+    return written(out, "tree")
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, at
+
+
+class Tree:
+    """Nodes of the frozen tree, sorted by level: what a byte costs after its context, and what it costs to fall back."""
+
+    def __init__(self, d: np.ndarray, key: np.ndarray, n: np.ndarray, total: np.ndarray, distinct: np.ndarray, depth: int = DEPTH):
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        for level in range(depth + 1):
+            mine = np.flatnonzero(d == level)
+            mine = mine[np.argsort(key[mine])]
+            keys, pull = key[mine], PULL * distinct[mine]
+            up = 10.0 ** self.logs(keys)
+            logs = np.log10((n[mine] + pull * up) / (total[mine] + pull))
+            contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
+            back = np.log10(pull[first] / (total[mine][first] + pull[first]))
+            self.levels.append((keys, logs.astype(np.float32), contexts, back.astype(np.float32)))
+
+    def logs(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each n-gram after the bytes before it."""
+        out, left = np.zeros(len(keys)), np.arange(len(keys))
+        for d in range(len(self.levels) - 1, -1, -1):
+            nodes, logs, contexts, back = self.levels[d]
+            key = keys[left] if d == 7 else keys[left] & np.uint64(_level(d))
+            held, at = _find(contexts, key >> np.uint64(8))
+            held = np.flatnonzero(held)  # only these can have the node
+            hit, node = _find(nodes, key[held])
+            out[left[held[hit]]] += logs[node[hit]]
+            out[left[held[~hit]]] += back[at[held[~hit]]]
+            rest = np.ones(len(left), bool)
+            rest[held[hit]] = False
+            left = left[rest]
+        out[left] += np.log10(1 / 256)
+        return out
+
+    def score(self, data: np.ndarray, begin: np.ndarray, mine: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each document of a stream; with ``mine``, of the positions after its pairs of bytes."""
+        if len(begin) < 2:
+            return np.zeros(0)
+        keys, inverse = np.unique(grams(data, begin, len(self.levels) - 1), return_inverse=True)
+        logs = self.logs(keys)
+        if mine is not None:
+            logs[~mine[(keys >> np.uint64(8)).astype(np.int64) & 0xFFFF]] = 0.0
+        return np.add.reduceat(logs[inverse], begin[:-1] - np.arange(len(begin) - 1))
+
+
+def grow(table: DataFrame, depth: int = DEPTH) -> list[tuple[Tree, np.ndarray | None]]:
+    """The tree's parts, each with the pairs of bytes whose positions it scores (none: all)."""
+    nodes = kept_contexts(table, depth)
+    pair = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFF))
+    sizes = {r["pair"]: r["n"] for r in nodes.filter("d > 1").groupBy(pair.alias("pair")).agg(F.count("*").alias("n")).collect()}  # 65,536 at most
+    part_of, part, held = np.zeros(1 << 16, np.int64), 0, 0
+    for k in sorted(sizes):
+        if held and held + sizes[k] > PART_NODES:
+            part, held = part + 1, 0
+        part_of[k] = part
+        held += sizes[k]
+    spark, out = table.sparkSession, []
+    if part:
+        dealt = spark.createDataFrame([(int(k), int(part_of[k])) for k in sizes], "pair int, part int")
+        nodes = nodes.withColumn("pair", pair).join(F.broadcast(dealt), "pair", "left")
+    for p in range(part + 1):
+        mine = (nodes.filter((F.col("d") < 2) | (F.col("part") == p)) if part else nodes).select("d", "key", "n", "total", "distinct").toArrow()
+        d, key, n, total, distinct = (mine.column(x).to_numpy() for x in mine.column_names)
+        out.append((Tree(d, key.view(np.uint64), n, total, distinct, depth), (part_of == p) if part else None))
+    return out
+
+
+def _part_score(tree):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in tb.blocks(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("rk").slice(block.lo, block.size), pa.array(tree.value[0].score(*stream(block, tb.words(block)), tree.value[1]))], names=["rk", "more"])
+
+    return run
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, held: int = 2) -> DataFrame:
@@ -221,19 +232,22 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null text is empty: one token, the end.  Null ids count as empty text in the
     fold.  Repeated rows score alike.  With no training rows every count is 0 and
-    the tree is uniform.  Other columns of the input are ignored.
+    the tree is uniform.  Very long texts are read whole.  An empty table gives an
+    empty result.  Other columns of the input are ignored, whatever their names.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (fold(id_col, parts) == held).alias("held_out"), F.xxhash64(F.lit(5), F.col(id_col), F.col(text_col)).alias("rk"))
+    named = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    rows = named.select(F.col("id").cast("long").alias("doc_id"), "text", (fold("id", parts) == held).alias("held_out"), F.xxhash64(F.lit(5), "id", "text").alias("rk"))
     table = written(counts(rows.filter("not held_out").select("text")), "counts")
     words = table.filter("kind = 0")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = table.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, distinct = total + ends, distinct + (ends > 0)
     scale = float(np.log10(total + distinct + 1))
-    head = words.filter(F.col("n") >= max(1.0, total / HEAD)).toPandas().sort_values("key")
-    known = spark.sparkContext.broadcast((head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64)))
-    tree = spark.sparkContext.broadcast(grow(table))
+    head = words.filter(F.col("n") >= max(1.0, total / HEAD)).select("key", "n").toArrow().sort_by("key")
+    known = spark.sparkContext.broadcast((head.column("key").to_numpy(), head.column("n").to_numpy()))
+    trees = [spark.sparkContext.broadcast(x) for x in grow(table)]
+    tree = trees[0]
 
     def lookup(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, n = known.value
@@ -259,7 +273,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 value = np.array([sums[b] - sums[a] for a, b in zip(first[:-1], first[1:])]) if block.size else sums[:0]
                 part = batch.slice(block.lo, block.size)
                 count = np.diff(first) + 1
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), part.column("rk"), pa.array(count), pa.array(hits[first[1:]] - hits[first[:-1]] + int(ends > 0)), pa.array(value + np.log10(ends + 1.0)), pa.array(tree.value.score(*stream(block, w)))], names=["doc_id", "held_out", "rk", "n_tokens", "head_known", "head_sum", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), part.column("rk"), pa.array(count), pa.array(hits[first[1:]] - hits[first[:-1]] + int(ends > 0)), pa.array(value + np.log10(ends + 1.0)), pa.array(tree.value[0].score(*stream(block, w), tree.value[1]))], names=["doc_id", "held_out", "rk", "n_tokens", "head_known", "head_sum", "score"])
 
     def tail_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,6 +298,13 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same = rows.groupBy("rk").agg(F.count("*").alias("copies"))
     per_row = tail.join(same, "rk").select("rk", F.expr("tail_known div copies").alias("tail_known"), (F.col("tail_sum") / F.col("copies")).alias("tail_sum"))
     joined = whole.join(per_row, "rk", "left")
+    if len(trees) > 1:  # repeated rows have one sum in each part
+        others = None
+        for k, t in enumerate(trees[1:]):
+            one = rows.select("rk", "text").mapInArrow(_part_score(t), "rk long, more double").withColumn("part", F.lit(k))
+            others = one if others is None else others.unionByName(one)
+        sums = others.groupBy("rk", "part").agg(F.first("more").alias("more")).groupBy("rk").agg(F.sum("more").alias("more"))
+        joined = joined.join(sums, "rk").withColumn("score", F.col("score") + F.col("more"))
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(scale)).alias("base_score"), "score",

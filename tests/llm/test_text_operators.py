@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillguard.llm import bpe, graph, language, neardup, pii, quality, repeats, suffix_tree
 from quillguard.llm import textbytes as tb
@@ -234,30 +235,50 @@ def test_scores(spark):
     assert noise == [] and sum(r.score for r in known) / sum(r.n_tokens for r in known) > -8
 
 
-def test_tree_uses_the_longest_context():
-    text = ("ab" * 200 + "ac") * 5
-    block = next(tb.blocks(pa.array([text])))
-    data, begin = suffix_tree.stream(block, tb.words(block))
-    keys, times = np.unique(suffix_tree.grams(data, begin, 3), return_counts=True)
-    levels = []
-    for d in range(4):
-        level = collections.defaultdict(collections.Counter)
-        for k, n in zip(keys.tolist(), times.tolist()):
-            k &= (1 << 8 * (d + 1)) - 1
-            if not d or k >> 8 * d:
-                level[k >> 8][k & 255] += n
-        levels.append({c: dict(x) for c, x in level.items()})
-    tree = suffix_tree.Tree(levels)
-    assert 1 < tree.contexts < sum(map(len, levels))
-    total = tree.score(data, begin)
-    state, want = 0, 0.0
-    for i, byte in enumerate(data):
-        if i == 0:
-            state = tree.next[state, tree.width - 1]
-            continue
-        want += tree.logs[state, tree.classes[byte]]
-        state = tree.next[state, tree.classes[byte]]
-    assert total[0] == pytest.approx(want, rel=1e-5)
+def scores_brute(texts, held, least, divergence, pull, depth=7):
+    """The tree from dictionaries of byte strings, straight from the definition; and the number of its contexts."""
+    read = [b"\n" + b"".join(w.encode() + b" " for w in lowered(t)) + b"\n" for t in texts]
+    count = collections.defaultdict(collections.Counter)
+    for data, h in zip(read, held):
+        for i in range(1, len(data)) if not h else ():
+            for d in range(min(i, depth) + 1):
+                count[data[i - d : i]][data[i]] += 1
+    tree = {b""} if count else set()
+    for c, nexts in count.items():
+        n, up = sum(nexts.values()), count[c[1:]]
+        if c and n >= least and sum(k * math.log((k / n) / (up[x] / sum(up.values()))) for x, k in nexts.items()) >= divergence:
+            tree.add(c)
+
+    def p(context, byte):
+        while context and context not in tree:
+            context = context[1:]
+        if context not in tree:
+            return 1 / 256
+        nexts, n = count[context], sum(count[context].values())
+        w = pull * len(nexts)
+        return (nexts[byte] + w * (p(context[1:], byte) if context else 1 / 256)) / (n + w)
+
+    return [sum(math.log10(p(data[max(0, i - depth) : i], data[i])) for i in range(1, len(data))) for data in read], len(tree)
+
+
+@pytest.mark.parametrize("part", [10_000_000, 60])
+def test_scores_against_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(suffix_tree, "PART_NODES", part)
+    texts = ODD + [prose(60) for _ in range(60)]
+    texts += [texts[20], "an\u00e4\U0001f642 new ones"]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    want, contexts = scores_brute(texts, held, suffix_tree.LEAST, suffix_tree.DIVERGENCE, suffix_tree.PULL)
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(frame(spark, texts, "total int")).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-5) and contexts > 50
+
+
+def test_the_tree_grows_with_the_corpus_and_beats_words(spark):
+    phrases = [prose(4) for _ in range(12)]
+    texts = [" ".join(random.choice(phrases) for _ in range(30)) for _ in range(160)]
+    size = lambda t: suffix_tree.kept_contexts(suffix_tree.counts(frame(spark, t).select("text"))).select("d", F.shiftrightunsigned("key", 8)).distinct().count()
+    assert size(texts[:40]) < size(texts)
+    rows = [r for r in suffix_tree.score_documents(frame(spark, texts)).collect() if r.held_out]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
 # repeats
