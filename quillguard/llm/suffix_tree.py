@@ -2,10 +2,11 @@
 
 The tree predicts a document as the bytes of its lowered words, each followed by
 a space, and one end mark.  Contexts are the last bytes read, up to DEPTH of
-them.  A context stays if it occurs LEAST times in the training text or more and
-its next-byte distribution diverges from that of its own suffix by DIVERGENCE
-nats or more over all its occurrences; both are tested in Spark, on counts of all
-the training text, so the tree grows with the corpus.  A distribution is smoothed
+them.  A context stays if it occurs often enough in the training text, ROOT times
+the square root of the text's bytes and LEAST times at least, and if its next-byte
+distribution diverges from that of its own suffix by DIVERGENCE nats for each of
+those occurrences, over all its own.  Both are tested on the executors, on counts of
+all the training text: the tree grows with the corpus, though more slowly.  A distribution is smoothed
 towards that of the longest suffix that stayed, with PULL imagined occurrences
 for each byte seen after the context; the root's towards uniform.  Scoring uses
 the longest suffix of what was read that stayed.
@@ -33,13 +34,15 @@ from pyspark.sql import functions as F
 from quillguard.llm import textbytes as tb
 from quillguard.llm.session import quoted, written
 
-DEPTH, LEAST, DIVERGENCE, PULL = 7, 32, 16.0, 3.0
+DEPTH, LEAST, ROOT, DIVERGENCE, PULL = 7, 8, 0.02, 0.3, 3.0
 HEAD = 1_000_000
 END = 0x0A
 #: Nodes of the tree that a worker holds at a time.
-PART_NODES = 4_000_000
-#: Distinct n-grams that a worker gathers before it hands them on.
-GATHER = 2_000_000
+PART_NODES = 2_000_000
+#: Contexts that share so many of their nearest bytes are tested in one task.
+NEAR = 3
+#: n-grams, repeats included, that a worker gathers before it counts them and hands them on; distinct words likewise.
+GATHER, GATHER_WORDS = 12_000_000, 500_000
 
 
 def fold(id_col: str, parts: int) -> Column:
@@ -71,15 +74,19 @@ def grams(data: np.ndarray, begin: np.ndarray, depth: int = DEPTH) -> np.ndarray
 
     Places before a document's mark hold zero.
     """
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    # every place reads the 8 bytes that end there; only the first places of a document see beyond its mark
+    padded = np.concatenate([np.zeros(7, np.uint8), data])
+    out = np.ndarray((len(data),), ">u8", padded, strides=(1,)).astype(np.uint64)
+    if depth < 7:
+        out &= np.uint64((1 << 8 * (depth + 1)) - 1)
+    for k in range(1, depth):
+        place = begin[:-1] + k
+        out[place[place < begin[1:]]] &= np.uint64((1 << 8 * (k + 1)) - 1)
     at = np.ones(len(data), bool)
     at[begin[:-1]] = False
-    place = np.flatnonzero(at)
-    start = np.repeat(begin[:-1], np.diff(begin) - 1)
-    out = data[place].astype(np.uint64)
-    for k in range(1, depth + 1):
-        byte = np.where(place - k >= start, data[np.maximum(place - k, 0)], 0).astype(np.uint64)
-        out |= byte << np.uint64(8 * k)
-    return out
+    return out[at]
 
 
 def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,33 +96,79 @@ def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return keys, np.bincount(inverse, times).astype(np.int64)
 
 
+def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often they occur; sorts the keys in place."""
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(new)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _family(keys: np.ndarray) -> np.ndarray:
+    """The nearest NEAR bytes of the keys' contexts, mixed."""
+    return tb.mix((keys >> np.uint64(8)) & np.uint64((1 << 8 * NEAR) - 1))
+
+
+def _planes(keys: np.ndarray) -> bytes:
+    """The keys byte by byte, first all first bytes: equal bytes lie together and compress."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
+
+
 def counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """kind, key, n: 0 hashes of words, 1 n-grams, 2 ends; the training rows have one column text."""
+    """kind, key, n, keys, times of the training rows, which have one column text.
+
+    kind 0: a word's hash and its count; kind 2: ends, in n; kind 1: n-grams and
+    counts as bytes, many in a row, whose families share the bucket in ``key``, and
+    the sum of the counts in n; one n-gram may come in several rows.
+    """
+    buckets = max(64, 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, ends = [], [], 0
+        words, seen, held, ends = [], np.zeros(0, np.uint64), 0, 0
+
+        def rows(kind: int, keys: np.ndarray, n: np.ndarray, packed: list[tuple[bytes, bytes]] | None = None) -> pa.RecordBatch:
+            packed = packed or [(None, None)] * len(keys)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n), *(pa.array([p[i] for p in packed], pa.binary()) for i in (0, 1))], names=["kind", "key", "n", "keys", "times"])
 
-        def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=["kind", "key", "n"])
+        def grams_of(keys: np.ndarray) -> pa.RecordBatch:
+            keys, n = _tally(keys)
+            bucket = (_family(keys) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+            order = np.argsort(bucket, kind="stable")
+            keys, n, bucket = keys[order], n[order].astype(np.uint32), bucket[order]
+            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            ends_at = np.append(cut[1:], len(keys))
+            return rows(1, bucket[cut].astype(np.int64), np.add.reduceat(n, cut, dtype=np.int64), [(_planes(keys[a:b]), n[a:b].tobytes()) for a, b in zip(cut, ends_at)])
 
         for batch in batches:
             for block in tb.blocks(batch.column(0)):
                 w = tb.words(block)
                 ends += block.size
                 words.append(np.unique(tb.span_hash(tb.prefix_hash(block.data, lower=True), w.start, w.end), return_counts=True))
-                seen.append(np.unique(grams(*stream(block, w), depth), return_counts=True))
-                for held, kind in ((words, 0), (seen, 1)):
-                    if sum(len(p[0]) for p in held) > GATHER:
-                        held[:] = [_counted(held)]
-                        if len(held[0][0]) > GATHER // 2:
-                            yield rows(kind, *held.pop())
-        for held, kind in ((words, 0), (seen, 1)):
-            if held:
-                yield rows(kind, *_counted(held))
+                if sum(len(p[0]) for p in words) > GATHER_WORDS:
+                    words[:] = [_counted(words)]
+                    if len(words[0][0]) > GATHER_WORDS // 2:
+                        yield rows(0, *words.pop())
+                found = grams(*stream(block, w), depth)
+                if held and held + len(found) > max(len(seen), GATHER):
+                    yield grams_of(seen[:held])
+                    held = 0
+                if held + len(found) > len(seen):  # the buffer grows up to GATHER, or to the longest text
+                    seen = np.concatenate([seen[:held], np.empty(max(len(found), min(GATHER, 3 * held + len(found))), np.uint64)])
+                seen[held : held + len(found)] = found
+                held += len(found)
+        if words:
+            yield rows(0, *_counted(words))
+        if held:
+            yield grams_of(seen[:held])
         if ends:
             yield rows(2, np.zeros(1, np.uint64), np.array([ends]))
 
-    return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "kind int, key long, n long, keys binary, times binary")
 
 
 def _level(depth: int) -> int:
@@ -123,27 +176,73 @@ def _level(depth: int) -> int:
     return -1 if depth == 7 else (1 << 8 * (depth + 1)) - 1
 
 
-def kept_contexts(table: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
-    """d, key, n, total, distinct of the nodes (context, next byte) of the contexts that stay; table: ``counts``."""
-    seen, parent, out = table.filter("kind = 1"), None, None
+def _near_levels(low: DataFrame, depth: int, least: float, divergence: float) -> DataFrame:
+    """d, key, n, total, distinct of the contexts of up to ``depth`` bytes that stay, by joins of each level with the one below; low has key, n."""
+    parent, out = None, None
     for d in range(depth + 1):
-        level = seen.groupBy(F.col("key").bitwiseAND(F.lit(_level(d))).alias("key")).agg(F.sum("n").alias("n"))
+        level = low.groupBy(F.col("key").bitwiseAND(F.lit(_level(d))).alias("key")).agg(F.sum("n").alias("n"))
         if d:  # a zero byte in front marks a context that reaches over the begin of its document
             level = level.filter(F.shiftrightunsigned("key", 8 * d) != 0)
         level = level.withColumn("context", F.shiftrightunsigned("key", 8))
         sums = level.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
-        level = written(level.join(sums.filter(F.col("total") >= least) if d else sums, "context"), "level")
-        kept = level
+        level = kept = level.join(sums.filter(F.col("total") >= least) if d else sums, "context")
         if d:
             up = parent.select(F.col("key").alias("up"), F.col("n").alias("n_up"), F.col("total").alias("total_up"))
             both = level.withColumn("up", F.col("key").bitwiseAND(F.lit(_level(d - 1)))).join(up, "up")
             gain = F.sum(F.col("n") * F.ln((F.col("n") / F.col("total")) / (F.col("n_up") / F.col("total_up"))))
-            stay = both.groupBy("context").agg(gain.alias("gain")).filter(F.col("gain") >= divergence).select("context")
-            kept = level.join(stay, "context", "left_semi")
-        kept = kept.select(F.lit(d).alias("d"), "key", "n", "total", "distinct")
+            kept = level.join(both.groupBy("context").agg(gain.alias("gain")).filter(F.col("gain") >= divergence).select("context"), "context", "left_semi")
+        kept = kept.select(F.lit(d).cast("tinyint").alias("d"), "key", F.col("n").cast("float").alias("n"), F.col("total").cast("float").alias("total"), F.col("distinct").cast("smallint").alias("distinct"))
         out = kept if out is None else out.unionByName(kept)
         parent = level
-    return written(out, "tree")
+    return out
+
+
+def kept_contexts(table: DataFrame, depth: int = DEPTH, least: float | None = None, divergence: float | None = None) -> DataFrame:
+    """d, key, n, total, distinct: a row for every (context, next byte) of the contexts that stay; table: ``counts``.
+
+    Contexts are dealt out by their nearest NEAR bytes, so a context and the suffix
+    that it is tested against meet in one task, which adds up the counts of all
+    levels by itself.  Counts of NEAR bytes and the byte after them come out as
+    level -1, and the shorter contexts are tested by joins.  Unless given, least and
+    divergence follow from the size of the training text.
+    """
+    near = min(depth, NEAR)
+    if least is None:
+        least = max(LEAST, ROOT * (table.filter("kind = 1").agg(F.sum("n")).first()[0] or 0) ** 0.5)
+    divergence = DIVERGENCE * least if divergence is None else divergence
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(_from_planes(k), np.frombuffer(t, np.uint32)) for b in batches for k, t in zip(b.column("keys").to_pylist(), b.column("times").to_pylist())]
+        if not parts:
+            return
+        keys, n = _counted(parts)
+        del parts
+
+        def rows(d: int, keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+            n, total, distinct = columns or (np.zeros(0), np.zeros(0), np.zeros(0))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), d, np.int8)), pa.array(keys.view(np.int64)), pa.array(n, pa.float64()), pa.array(total, pa.float64()), pa.array(distinct.astype(np.int16))], names=["d", "key", "n", "total", "distinct"])
+
+        nodes = []
+        for d in range(depth, near - 1, -1):
+            if d < depth:
+                keys, inverse = np.unique(keys & np.uint64(_level(d)), return_inverse=True)
+                n = np.bincount(inverse, n)
+            # a zero byte in front marks a context that reaches over the begin of its document
+            whole = keys >> np.uint64(8 * d) != 0
+            _, of = np.unique(keys[whole] >> np.uint64(8), return_inverse=True)
+            nodes.append((d, keys[whole], n[whole].astype(np.float64), np.bincount(of, n[whole]), np.bincount(of), of))
+        yield rows(-1, keys, n.astype(np.float64), np.zeros(len(keys)), np.zeros(len(keys)))
+        for (d, keys, n, total, distinct, of), (_, up, n_up, total_up, _, of_up) in zip(nodes, nodes[1:]):
+            if len(keys):
+                _, at = _find(up, keys & np.uint64(_level(d - 1)))
+                gain = np.bincount(of, n * np.log((n / total[of]) / (n_up[at] / total_up[of_up[at]])))
+                stay = ((total >= least) & (gain >= divergence))[of]
+                yield rows(d, keys[stay], n[stay], total[of][stay], distinct[of][stay])
+
+    dealt = table.filter("kind = 1").select("key", "keys", "times").repartition("key").select("keys", "times")
+    far = written(dealt.mapInArrow(run, "d tinyint, key long, n double, total double, distinct smallint"), "levels")
+    low = far.filter("d = -1").select("key", F.col("n").cast("long").alias("n"))
+    return written(_near_levels(low, near, least, divergence).unionByName(far.filter("d >= 0").select("d", "key", F.col("n").cast("float").alias("n"), F.col("total").cast("float").alias("total"), "distinct")), "tree")
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +260,7 @@ class Tree:
         for level in range(depth + 1):
             mine = np.flatnonzero(d == level)
             mine = mine[np.argsort(key[mine])]
-            keys, pull = key[mine], PULL * distinct[mine]
+            keys, pull = key[mine], PULL * distinct[mine].astype(np.float64)
             up = 10.0 ** self.logs(keys)
             logs = np.log10((n[mine] + pull * up) / (total[mine] + pull))
             contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
@@ -196,8 +295,8 @@ class Tree:
         return np.add.reduceat(logs[inverse], begin[:-1] - np.arange(len(begin) - 1))
 
 
-def grow(table: DataFrame, depth: int = DEPTH) -> list[tuple[Tree, np.ndarray | None]]:
-    """The tree's parts, each with the pairs of bytes whose positions it scores (none: all)."""
+def grow(table: DataFrame, depth: int = DEPTH) -> Iterator[tuple[Tree, np.ndarray | None]]:
+    """The tree's parts, one after the other, each with the pairs of bytes whose positions it scores (none: all)."""
     nodes = kept_contexts(table, depth)
     pair = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFF))
     sizes = {r["pair"]: r["n"] for r in nodes.filter("d > 1").groupBy(pair.alias("pair")).agg(F.count("*").alias("n")).collect()}  # 65,536 at most
@@ -207,15 +306,15 @@ def grow(table: DataFrame, depth: int = DEPTH) -> list[tuple[Tree, np.ndarray |
             part, held = part + 1, 0
         part_of[k] = part
         held += sizes[k]
-    spark, out = table.sparkSession, []
+    spark = table.sparkSession
     if part:
         dealt = spark.createDataFrame([(int(k), int(part_of[k])) for k in sizes], "pair int, part int")
         nodes = nodes.withColumn("pair", pair).join(F.broadcast(dealt), "pair", "left")
     for p in range(part + 1):
         mine = (nodes.filter((F.col("d") < 2) | (F.col("part") == p)) if part else nodes).select("d", "key", "n", "total", "distinct").toArrow()
         d, key, n, total, distinct = (mine.column(x).to_numpy() for x in mine.column_names)
-        out.append((Tree(d, key.view(np.uint64), n, total, distinct, depth), (part_of == p) if part else None))
-    return out
+        del mine
+        yield Tree(d, key.view(np.uint64), n, total, distinct, depth), (part_of == p) if part else None
 
 
 def _part_score(tree):
@@ -239,7 +338,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     rows = named.select(F.col("id").cast("long").alias("doc_id"), "text", (fold("id", parts) == held).alias("held_out"), F.xxhash64(F.lit(5), "id", "text").alias("rk"))
     table = written(counts(rows.filter("not held_out").select("text")), "counts")
-    words = table.filter("kind = 0")
+    words = written(table.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("n")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = table.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, distinct = total + ends, distinct + (ends > 0)

@@ -264,10 +264,11 @@ def scores_brute(texts, held, least, divergence, pull, depth=7):
 @pytest.mark.parametrize("part", [10_000_000, 60])
 def test_scores_against_brute_force(spark, monkeypatch, part):
     monkeypatch.setattr(suffix_tree, "PART_NODES", part)
+    monkeypatch.setattr(suffix_tree.kept_contexts, "__defaults__", (7, 12, 6.0))
     texts = ODD + [prose(60) for _ in range(60)]
     texts += [texts[20], "an\u00e4\U0001f642 new ones"]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
-    want, contexts = scores_brute(texts, held, suffix_tree.LEAST, suffix_tree.DIVERGENCE, suffix_tree.PULL)
+    want, contexts = scores_brute(texts, held, 12, 6.0, suffix_tree.PULL)
     got = {r.doc_id: r.score for r in suffix_tree.score_documents(frame(spark, texts, "total int")).collect()}
     assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-5) and contexts > 50
 
