@@ -43,6 +43,8 @@ PART_NODES = 2_000_000
 NEAR = 3
 #: n-grams, repeats included, that a worker gathers before it counts them and hands them on; distinct words likewise.
 GATHER, GATHER_WORDS = 12_000_000, 500_000
+#: Distinct n-grams are handed on in so many pieces, each with some of the buckets.
+PIECES = 16
 
 
 def fold(id_col: str, parts: int) -> Column:
@@ -101,8 +103,12 @@ def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys.sort()
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
-    first = np.flatnonzero(new)
-    return keys[first], np.diff(np.append(first, len(keys)))
+    first, kept = np.flatnonzero(new), keys[new]
+    del new
+    times = np.empty(len(kept), np.uint32)
+    np.subtract(first[1:], first[:-1], out=times[:-1], casting="unsafe")
+    times[-1:] = len(keys) - first[-1:]
+    return kept, times
 
 
 def _family(keys: np.ndarray) -> np.ndarray:
@@ -135,14 +141,21 @@ def counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
             packed = packed or [(None, None)] * len(keys)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n), *(pa.array([p[i] for p in packed], pa.binary()) for i in (0, 1))], names=["kind", "key", "n", "keys", "times"])
 
-        def grams_of(keys: np.ndarray) -> pa.RecordBatch:
+        def grams_of(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
             keys, n = _tally(keys)
-            bucket = (_family(keys) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
-            order = np.argsort(bucket, kind="stable")
-            keys, n, bucket = keys[order], n[order].astype(np.uint32), bucket[order]
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            ends_at = np.append(cut[1:], len(keys))
-            return rows(1, bucket[cut].astype(np.int64), np.add.reduceat(n, cut, dtype=np.int64), [(_planes(keys[a:b]), n[a:b].tobytes()) for a, b in zip(cut, ends_at)])
+            bucket = np.empty(len(keys), np.uint16 if buckets < 1 << 16 else np.int64)
+            for a in range(0, len(keys), tb.BLOCK):
+                bucket[a : a + tb.BLOCK] = _family(keys[a : a + tb.BLOCK]) % np.uint64(buckets)
+            step = -(-buckets // PIECES)
+            for low in range(0, buckets, step):
+                at = np.flatnonzero((bucket >= low) & (bucket < low + step))
+                if not len(at):
+                    continue
+                at = at[np.argsort(bucket[at], kind="stable")]
+                mine, some, times = bucket[at], keys[at], n[at]
+                cut = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+                ends_at = np.append(cut[1:], len(some))
+                yield rows(1, mine[cut].astype(np.int64), np.add.reduceat(times, cut, dtype=np.int64), [(_planes(some[a:b]), times[a:b].tobytes()) for a, b in zip(cut, ends_at)])
 
         for batch in batches:
             for block in tb.blocks(batch.column(0)):
@@ -155,7 +168,7 @@ def counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
                         yield rows(0, *words.pop())
                 found = grams(*stream(block, w), depth)
                 if held and held + len(found) > max(len(seen), GATHER):
-                    yield grams_of(seen[:held])
+                    yield from grams_of(seen[:held])
                     held = 0
                 if held + len(found) > len(seen):  # the buffer grows up to GATHER, or to the longest text
                     seen = np.concatenate([seen[:held], np.empty(max(len(found), min(GATHER, 3 * held + len(found))), np.uint64)])
@@ -164,7 +177,7 @@ def counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
         if words:
             yield rows(0, *_counted(words))
         if held:
-            yield grams_of(seen[:held])
+            yield from grams_of(seen[:held])
         if ends:
             yield rows(2, np.zeros(1, np.uint64), np.array([ends]))
 
