@@ -132,7 +132,8 @@ def counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     counts as bytes, many in a row, whose families share the bucket in ``key``, and
     the sum of the counts in n; one n-gram may come in several rows.
     """
-    buckets = max(64, 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # a bucket holds what a quarter of an input partition brings, however large the table
+    buckets = max(64, 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * texts.rdd.getNumPartitions())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, held, ends = [], np.zeros(0, np.uint64), 0, 0
@@ -225,16 +226,18 @@ def kept_contexts(table: DataFrame, depth: int = DEPTH, least: float | None = No
     divergence = DIVERGENCE * least if divergence is None else divergence
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(_from_planes(k), np.frombuffer(t, np.uint32)) for b in batches for k, t in zip(b.column("keys").to_pylist(), b.column("times").to_pylist())]
-        if not parts:
-            return
-        keys, n = _counted(parts)
-        del parts
-
-        def rows(d: int, keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-            n, total, distinct = columns or (np.zeros(0), np.zeros(0), np.zeros(0))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), d, np.int8)), pa.array(keys.view(np.int64)), pa.array(n, pa.float64()), pa.array(total, pa.float64()), pa.array(distinct.astype(np.int16))], names=["d", "key", "n", "total", "distinct"])
-
+        held: dict[int, list[tuple[bytes, bytes]]] = {}
+        for b in batches:
+            for bucket, k, t in zip(*(b.column(x).to_pylist() for x in ("key", "keys", "times"))):
+                held.setdefault(bucket, []).append((k, t))
+        for bucket in list(held):  # a task may have several, and unpacks one at a time
+            yield from tested(*_counted([(_from_planes(k), np.frombuffer(t, np.uint32)) for k, t in held.pop(bucket)]))
+
+    def rows(d: int, keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        n, total, distinct = columns or (np.zeros(0), np.zeros(0), np.zeros(0))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), d, np.int8)), pa.array(keys.view(np.int64)), pa.array(n, pa.float64()), pa.array(total, pa.float64()), pa.array(distinct.astype(np.int16))], names=["d", "key", "n", "total", "distinct"])
+
+    def tested(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         nodes = []
         for d in range(depth, near - 1, -1):
             if d < depth:
@@ -252,7 +255,7 @@ def kept_contexts(table: DataFrame, depth: int = DEPTH, least: float | None = No
                 stay = ((total >= least) & (gain >= divergence))[of]
                 yield rows(d, keys[stay], n[stay], total[of][stay], distinct[of][stay])
 
-    dealt = table.filter("kind = 1").select("key", "keys", "times").repartition("key").select("keys", "times")
+    dealt = table.filter("kind = 1").select("key", "keys", "times").repartition("key")
     far = written(dealt.mapInArrow(run, "d tinyint, key long, n double, total double, distinct smallint"), "levels")
     low = far.filter("d = -1").select("key", F.col("n").cast("long").alias("n"))
     return written(_near_levels(low, near, least, divergence).unionByName(far.filter("d >= 0").select("d", "key", F.col("n").cast("float").alias("n"), F.col("total").cast("float").alias("total"), "distinct")), "tree")
