@@ -11,6 +11,7 @@ from quillguard import sources
 from quillguard.functions import rules as R
 from quillguard.functions import text as X
 from quillguard.operators import audit, cache, compress, detect, governance, guard, harness, ledger, mask, names, tenancy
+from quillguard.plans import fixtures as FX
 from quillguard.plans import sql as S
 from quillguard.sources import spread
 
@@ -171,7 +172,7 @@ def dictionary_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return mask.dictionary(_talk(spark, sf)).select("conv_id", "token", "original", "uses")
 
 
-@query()
+@query(FX.masked("conversations"))
 def masked_text(spark: SparkSession, sf: str) -> DataFrame:
     return mask.mask(_talk(spark, sf)).select("conv_id", "turn", "masked")
 
@@ -182,7 +183,8 @@ def hydrate_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return mask.hydrate(mask.mask(talk), mask.dictionary(talk)).select("conv_id", "turn", "hydrated")
 
 
-@query()
+# a session is masked by first use, which is the order of its shape too
+@query(f"SELECT conv_id, sha256('model-a' || chr(0) || string_agg(masked || chr(0), '' ORDER BY turn) || 't=0.2000m=256') AS cache_key FROM ({FX.masked('conversations')}) GROUP BY conv_id")
 def shape_keys(spark: SparkSession, sf: str) -> DataFrame:
     talk = mask.mask(_talk(spark, sf)).groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "masked"))), lambda x: x["masked"]).alias("texts"))
     return talk.select("conv_id", X.cache_key(F.lit("model-a"), X.shape(F.col("texts")), F.lit(0.2), F.lit(256)).alias("cache_key"))
@@ -305,12 +307,21 @@ def budget_admissions(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.budget(rows, "tenant", "period", "ts", "event_id", "prompt_tokens", 20_000).select("event_id", "admitted")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE r AS MATERIALIZED (SELECT event_id, ts, tenant, row_number() OVER (PARTITION BY tenant ORDER BY ts, event_id) AS i FROM ({RECORDS})), s AS (SELECT tenant, i, event_id, ts, 2.0::DOUBLE AS level, true AS allowed FROM r WHERE i = 1 UNION ALL "
+    "SELECT tenant, i, event_id, ts, CASE WHEN l >= 1 THEN l - 1 ELSE l END, l >= 1 FROM (SELECT r.tenant, r.i, r.event_id, r.ts, least(3.0::DOUBLE, s.level + (epoch(r.ts) - epoch(s.ts)) / 60.0 * 0.02::DOUBLE) AS l FROM s JOIN r ON r.tenant = s.tenant AND r.i = s.i + 1)) SELECT event_id, allowed FROM s"
+)
 def rate_limits(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.rate_limit(_records(spark, sf).select("event_id", "ts", "tenant"), "tenant", "ts", "event_id", 0.02, 3).select("event_id", "allowed")
 
 
-@query()
+@query(
+    "WITH RECURSIVE r AS MATERIALIZED (SELECT user_id % 4 AS backend, epoch(ts) AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS i FROM events), "
+    "s AS (SELECT backend, i, 'closed' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS failures, NULL::DOUBLE AS opened FROM r WHERE i = 1 UNION ALL "
+    "SELECT backend, i, state, CASE WHEN state = 'open' THEN failures WHEN ok THEN 0 ELSE met + 1 END, CASE WHEN state = 'open' THEN opened WHEN NOT ok AND met + 1 >= 2 THEN t END FROM ("
+    "SELECT r.backend, r.i, r.t, r.ok, s.failures, s.opened, CASE WHEN s.opened IS NULL THEN 'closed' WHEN r.t - s.opened < 7200 THEN 'open' ELSE 'half_open' END AS state, CASE WHEN s.opened IS NULL THEN s.failures ELSE 1 END AS met FROM s JOIN r ON r.backend = s.backend AND r.i = s.i + 1)) "
+    "SELECT backend, state, count(*) AS n FROM s GROUP BY backend, state"
+)
 def breaker_states(spark: SparkSession, sf: str) -> DataFrame:
     e = _events(spark, sf).select("event_id", "ts", (F.col("user_id") % 4).alias("backend"), (F.col("event_type") != "error").alias("ok"))
     return ledger.breaker(e, "backend", "ts", "event_id", "ok", 2, 7200.0).groupBy("backend", "state").agg(F.count("*").alias("n"))
@@ -423,6 +434,79 @@ def payload_explained(spark: SparkSession, sf: str) -> DataFrame:
     return harness.explain_payload(_talk(spark, sf)).select("conv_id", "turn", "roundtrip")
 
 
+# Queries over fixtures: tables in which every rule has something to find.
+
+
+@query(FX.TALK_SQL + f"SELECT conv_id, turn, s AS start, e AS \"end\", val AS text, rule, category FROM ({S.resolved('fixture', 'conv_id, turn')})")
+def fixture_findings(spark: SparkSession, sf: str) -> DataFrame:
+    found = detect.findings(FX.talk(spark), ("conv_id", "turn"))
+    return found.select("conv_id", "turn", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text", "rule", "category")
+
+
+@query(FX.TALK_SQL + f"SELECT conv_id, turn, t AS value, bits FROM ({S.entropy('fixture', 'conv_id, turn')})")
+def fixture_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    rows = FX.talk(spark).withColumn("id", F.struct("conv_id", "turn"))
+    return detect.entropy_tokens(rows, "id").select("id.*", "value", "bits")
+
+
+@query(FX.TALK_SQL + f"SELECT conv_id, token, original, uses FROM ({FX.dictionary(S.resolved('fixture', 'conv_id, turn'))})")
+def fixture_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    return mask.dictionary(FX.talk(spark)).select("conv_id", "token", "original", "uses")
+
+
+@query(FX.TALK_SQL + FX.masked("fixture"))
+def fixture_masked(spark: SparkSession, sf: str) -> DataFrame:
+    return mask.mask(FX.talk(spark)).select("conv_id", "turn", "masked")
+
+
+_STRONGEST = f"(SELECT conv_id, val, max({S.LEVEL}) AS level FROM f GROUP BY conv_id, val)"
+
+
+@query(
+    FX.TALK_SQL.rstrip() + f", f AS ({S.resolved('fixture', 'conv_id, turn')}), r AS (SELECT conv_id, turn, count(DISTINCT val) AS n_distinct, count(*) AS n_total, max(level) AS level FROM f JOIN {_STRONGEST} USING (conv_id, val) GROUP BY conv_id, turn) "
+    "SELECT conv_id, turn, text AS hydrated, coalesce(n_distinct, 0)::INT AS n_distinct, coalesce(n_total, 0)::INT AS n_total, coalesce(level, 0)::INT AS level FROM fixture LEFT JOIN r USING (conv_id, turn)"
+)
+def fixture_hydrated(spark: SparkSession, sf: str) -> DataFrame:
+    talk = FX.talk(spark)
+    return mask.hydrate(mask.mask(talk), mask.dictionary(talk)).select("conv_id", "turn", "hydrated", "n_distinct", "n_total", "level")
+
+
+@query(
+    FX.TALK_SQL.rstrip() + f", p AS (SELECT conv_id, turn, max(level)::INT AS payload_max FROM (SELECT conv_id, turn, 0 AS level FROM fixture UNION ALL SELECT conv_id, turn, {S.LEVEL} FROM ({S.resolved('fixture', 'conv_id, turn')})) GROUP BY conv_id, turn) "
+    "SELECT conv_id, turn, payload_max, max(payload_max) OVER (PARTITION BY conv_id ORDER BY turn) AS session_max FROM p"
+)
+def fixture_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    return mask.running_sensitivity(FX.talk(spark))
+
+
+@query(FX.with_values("fixture", "conv_id, turn, text", FX.STEERED) + "SELECT * FROM (SELECT conv_id, turn, unnest([" + ", ".join(f"CASE WHEN regexp_matches(text, {S.quote(p)}) THEN '{n}' END" for n, p in governance.INJECTION) + "]) AS rule FROM fixture) WHERE rule IS NOT NULL")
+def fixture_screen(spark: SparkSession, sf: str) -> DataFrame:
+    return FX.talk(spark, FX.STEERED).select("conv_id", "turn", F.explode(governance.screen(F.col("text"))).alias("rule"))
+
+
+@query(FX.with_values("wanted", "case_no, rule, severity", [(i, *f) for i, (_, found) in enumerate(FX.GUARDED) for f in found]) + "SELECT * FROM wanted")
+def fixture_guard(spark: SparkSession, sf: str) -> DataFrame:
+    found = guard.inspect(FX.numbered(spark, [text for text, _ in FX.GUARDED]))
+    return found.select("case_no", F.explode("guard_findings").alias("f")).select("case_no", "f.rule", "f.severity")
+
+
+@query(FX.with_values("wanted", "case_no, text", [(i, kept) for i, (_, kept) in enumerate(FX.WITHHELD)]) + "SELECT * FROM wanted")
+def fixture_withheld(spark: SparkSession, sf: str) -> DataFrame:
+    return FX.numbered(spark, [text for text, _ in FX.WITHHELD]).select("case_no", guard.withheld(F.col("text")).alias("text"))
+
+
+@query(FX.with_values("wanted", "case_no, text", [(i, "\n".join(shapes)) for i, (_, shapes) in enumerate(FX.SHAPED)]) + "SELECT * FROM wanted")
+def fixture_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, list(texts)) for i, (texts, _) in enumerate(FX.SHAPED)], "case_no long, texts array<string>")
+    return rows.select("case_no", F.array_join(X.shape(F.col("texts")), "\n").alias("text"))
+
+
+@query(FX.with_values("wanted", "case_no, start, \"end\", text", [(i, *f) for i, (_, found) in enumerate(FX.NAMED) for f in found]) + "SELECT * FROM wanted")
+def fixture_names(spark: SparkSession, sf: str) -> DataFrame:
+    found = names.findings(FX.numbered(spark, [text for text, _ in FX.NAMED]), ("case_no",))
+    return found.select("case_no", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
