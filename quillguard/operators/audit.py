@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, order: list[str], partition: str | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], partition: str) -> DataFrame:
     """Adds seq from 1 in order, within each chain; one chain per partition value keeps it parallel."""
-    over = Window.partitionBy(partition if partition else F.lit(0)).orderBy(*order)
+    over = Window.partitionBy(partition).orderBy(*order)
     return df.withColumn("seq", F.row_number().over(over).cast("long"))
 
 

@@ -168,7 +168,7 @@ def _fold(df: DataFrame, keys: list[str], order: list[str], out: str, kind: str,
         key, state = None, None
         for frame in frames:
             values = []
-            for row in frame.to_dict("records"):
+            for row in (dict(zip(frame.columns, r)) for r in frame.itertuples(index=False, name=None)):
                 this = tuple(row[k] for k in keys)
                 if this != key:
                     key, state = this, start()
@@ -193,12 +193,13 @@ def rate_limit(df: DataFrame, key: str, at: str, tie: str, per_minute_: float, b
 
 
 def budget(df: DataFrame, key: str, period: str, at: str, tie: str, spend: str, limit: int) -> DataFrame:
-    """Adds ``admitted``: refused once what was spent before has reached the limit; refused requests spend nothing."""
+    """Adds ``admitted``: refused once what was spent before has reached the limit; refused requests spend nothing.
 
-    def step(spent, row):
-        return (spent, False) if spent >= limit else (spent + int(row[spend]), True)
-
-    return _fold(df, [key, period], [at, tie], "admitted", "boolean", lambda: 0, step)
+    Spending never falls, so the first refusal is followed by refusals only, and
+    what all requests before a request ask for tells whether it is admitted.
+    """
+    before = Window.partitionBy(key, period).orderBy(at, tie).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("admitted", F.coalesce(F.sum(spend).over(before), F.lit(0)) < limit)
 
 
 def breaker(df: DataFrame, key: str, at: str, tie: str, ok: str, threshold: int = 5, cooldown: float = 30.0) -> DataFrame:
