@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillguard.llm import bpe, corpus, language, mixing, neardup, pii, quality, repeats, sharding, suffix_tree, topk
+from quillguard.llm import bpe, codebooks, corpus, infill, language, mixing, neardup, pii, quality, repeats, sharding, suffix_tree, topk
 from quillguard.llm.session import documents
 
 
@@ -52,6 +52,14 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_va_file": op1_va_file,
@@ -65,8 +73,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_setsketch": op9_setsketch,
         "pipeline": corpus.run,
         "op10_line_frequency": op10_line_frequency,
+        "op11_vector_codes": op11_vector_codes,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_va_file": topk.SQL, "op9_setsketch": neardup.SQL, "op10_line_frequency": quality.SQL}
+    return {"op1_va_file": topk.SQL, "op9_setsketch": neardup.SQL, "op10_line_frequency": quality.SQL, "op11_vector_codes": codebooks.SQL, "op13_fill_in_middle": infill.SQL}
