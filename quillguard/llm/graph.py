@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +33,27 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         raise RuntimeError(f"links still changed after {rounds} rounds")
     label = edges.groupBy("v").agg(F.min("u").alias("label")).withColumnRenamed("v", "node")
     return cut(label.unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()).groupBy("node").agg(F.min("label").alias("label")))
+
+
+def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As many of the links a, b as join the same labels: fewer than there are labels."""
+    names, place = np.unique(label, return_inverse=True)
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    _, first = np.unique(place[a].astype(np.int64) * len(names) + place[b], return_index=True)
+    keep, apart = [], len(names)
+    for i, x, y in zip(first.tolist(), place[a[first]].tolist(), place[b[first]].tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            root[y] = x
+            keep.append(i)
+            apart -= 1
+            if apart == 1:
+                break
+    return a[keep], b[keep]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillguard.llm import textbytes as tb
-from quillguard.llm.graph import components
+from quillguard.llm.graph import components, spanning
 from quillguard.llm.session import cut
 
 WORDS, PERCENT = 5, 75
@@ -273,31 +273,7 @@ def linked_pairs(label: np.ndarray, text: pa.Array, k: int = WORDS, percent: int
         inter += part @ part.T
     link = 100 * inter >= percent * (size[:, None] + size[None, :] - inter)
     link &= np.triu(np.ones((n, n), bool), 1) & (label[:, None] != label[None, :])
-    return _spanning(label, *np.nonzero(link))
-
-
-def _spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As many of the links a, b as join the same labels: fewer than there are labels."""
-    names, place = np.unique(label, return_inverse=True)
-    root = list(range(len(names)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    _, first = np.unique(place[a].astype(np.int64) * len(names) + place[b], return_index=True)
-    keep, apart = [], len(names)
-    for i, x, y in zip(first.tolist(), place[a[first]].tolist(), place[b[first]].tolist()):
-        x, y = find(x), find(y)
-        if x != y:
-            root[y] = x
-            keep.append(i)
-            apart -= 1
-            if apart == 1:
-                break
-    return a[keep], b[keep]
+    return spanning(label, *np.nonzero(link))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

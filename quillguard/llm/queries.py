@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillguard.llm import bpe, codebooks, corpus, infill, language, mixing, neardup, pii, quality, repeats, sharding, suffix_tree, topk
+from quillguard.llm import bpe, codebooks, corpus, infill, language, mixing, neardup, pii, quality, repeats, setjoin, sharding, suffix_tree, topk
 from quillguard.llm.session import documents
 
 
@@ -56,6 +56,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.components_of(documents(spark, sf_dir))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(documents(spark, sf_dir))
 
@@ -74,9 +78,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": corpus.run,
         "op10_line_frequency": op10_line_frequency,
         "op11_vector_codes": op11_vector_codes,
+        "op12_set_relations": op12_set_relations,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_va_file": topk.SQL, "op9_setsketch": neardup.SQL, "op10_line_frequency": quality.SQL, "op11_vector_codes": codebooks.SQL, "op13_fill_in_middle": infill.SQL}
+    return {"op1_va_file": topk.SQL, "op9_setsketch": neardup.SQL, "op10_line_frequency": quality.SQL, "op11_vector_codes": codebooks.SQL, "op12_set_relations": setjoin.SQL, "op13_fill_in_middle": infill.SQL}
