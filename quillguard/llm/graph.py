@@ -35,6 +35,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return cut(label.unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()).groupBy("node").agg(F.min("label").alias("label")))
 
 
+def merged(label: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """The labels of ``components`` after further links: components are joined by their labels, nodes aren't gone through again."""
+    new = links.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    named = lambda df, c: df.join(label.select(F.col("node").alias(f"n_{c}"), F.col("label").alias(f"l_{c}")), F.col(c) == F.col(f"n_{c}"), "left").withColumn(f"l_{c}", F.coalesce(f"l_{c}", c))
+    ends = cut(named(named(new, "a"), "b").select("l_a", "l_b"))
+    top = components(ends, "l_a", "l_b").select(F.col("node").alias("l"), F.col("label").alias("top"))
+    nodes = label.unionByName(ends.select(F.explode(F.array("l_a", "l_b")).alias("node")).select("node", F.col("node").alias("label"))).distinct()
+    return cut(nodes.join(top, nodes["label"] == top["l"], "left").select("node", F.coalesce("top", "label").alias("label")).distinct())
+
+
 def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As many of the links a, b as join the same labels: fewer than there are labels."""
     names, place = np.unique(label, return_inverse=True)

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillguard.llm import textbytes as tb
-from quillguard.llm.graph import components, spanning
+from quillguard.llm.graph import components, merged, spanning
 from quillguard.llm.neardup import shingle_sets
 from quillguard.llm.session import cut, quoted, written
 
 WORDS, PERCENT = 4, 85
 #: The table of counts has 2^COUNT_BITS numbers, whatever the corpus.
-COUNT_BITS = 21
+COUNT_BITS = 20
 #: A list of more entries than this (above the table's mean) is dealt out in parts of about so many.
 LIST = 512
 #: Sets of a chunk, and of one side of a cell.
@@ -71,13 +71,13 @@ def shingle_counts(df: DataFrame, text_col: str, k: int) -> np.ndarray:
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], names=["at", "n"])
 
-    def add(a, row):
-        a = np.zeros(size, np.int64) if a is None else a
-        a[np.frombuffer(row.at, np.int32)] += np.frombuffer(row.n, np.int64)
-        return a
+    def merge(a, b):  # 32 bits a number, and no further
+        return a if b is None else b if a is None else np.minimum(a.astype(np.int64) + b, 2**32 - 1).astype(np.uint32)
 
-    def merge(a, b):
-        return a if b is None else b if a is None else a + b
+    def add(a, row):
+        one = np.zeros(size, np.uint32)
+        one[np.frombuffer(row.at, np.int32)] = np.minimum(np.frombuffer(row.n, np.int64), 2**32 - 1)
+        return merge(a, one)
 
     counts = df.select(F.col(quoted(text_col)).cast("string")).mapInArrow(run, "at binary, n binary").rdd.treeAggregate(None, add, merge, 3)
     return np.zeros(size, np.int64) if counts is None else counts
@@ -442,7 +442,7 @@ def components_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label = components(links)
     extra = cut(_open_links(members, label, classes, texts, k, percent))
     if not extra.isEmpty():
-        label = components(links.unionByName(extra))
+        label = merged(label, extra)
     named = classes.select(*same, "least", "cid").join(label, F.col("cid") == label["node"], "left").withColumn("label", F.coalesce("label", "cid"))
     lowest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = named.join(lowest, "label").select(*same, "component_id")
