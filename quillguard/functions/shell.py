@@ -98,7 +98,7 @@ def dangerous(path: str) -> bool:
     return p in DANGEROUS_ROOTS or clean in roots or (p.endswith("/*") and p[:-2] in roots)
 
 
-_LEX = re.compile(r"""(?P<space>[ \t\r]+)|(?P<end>&&|\|\||[;&\n])|(?P<pipe>\|)|'(?P<single>[^']*)(?:'|$)|"(?P<double>(?:[^"\\]|\\.)*)(?:"|$)|\\(?P<escaped>.?)|(?P<plain>[^ \t\r;&|\n'"\\]+)""", re.S)
+LEXER = re.compile(r"""(?P<space>[ \t\r]+)|(?P<end>&&|\|\||[;&\n])|(?P<pipe>\|)|'(?P<single>[^']*)(?:'|$)|"(?P<double>(?:[^"\\]|\\.)*)(?:"|$)|\\(?P<escaped>.?)|(?P<plain>[^ \t\r;&|\n'"\\]+)""", re.S)
 
 
 def split_commands(source: str) -> list[Command]:
@@ -120,7 +120,7 @@ def split_commands(source: str) -> list[Command]:
             piped = False
         argv = []
 
-    for m in _LEX.finditer(source):
+    for m in LEXER.finditer(source):
         kind = m.lastgroup
         if kind == "space":
             if word:
@@ -274,8 +274,12 @@ RULES = (
 
 def inspect(text: str, overrides: dict[str, str] | None = None, rules: tuple[GuardRule, ...] = RULES) -> list[dict]:
     """Findings, each (rule, match) once, the severest first and otherwise in the order they were met."""
+    return inspect_segments(segments(text), overrides, rules)
+
+
+def inspect_segments(parts: list[Segment], overrides: dict[str, str] | None = None, rules: tuple[GuardRule, ...] = RULES) -> list[dict]:
     out, seen = [], set()
-    for s in segments(text):
+    for s in parts:
         commands = split_commands(s.text)
         for r in rules:
             severity = (overrides or {}).get(r.name, r.severity)

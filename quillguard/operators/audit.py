@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,29 +31,29 @@ def record_hash(seq: Column, ts: Column, kind: Column, prev: Column, event: Colu
 def chain(df: DataFrame, by: str) -> DataFrame:
     """Adds prev and hash to records of seq, ts, kind, event, dropped: each hash covers the one before.
 
-    A chain is sequential by nature; chains of different ``by`` values run in parallel.
+    A chain is sequential by nature; chains of different ``by`` values run in
+    parallel.  Null fields are hashed as nothing, and null keys are one chain.
     """
-    import hashlib
-    from collections.abc import Iterator
-
-    import pandas as pd
-
+    names, n = df.columns, len(df.columns)
+    picked = [F.col(by), F.col("seq"), *[F.col(c).cast("string") for c in ("ts", "kind", "event", "dropped")]]
+    source = df.select("*", *[c.alias(f"__p{i}") for i, c in enumerate(picked)])
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "prev string, hash string"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, prev = object(), ""
-        for frame in frames:
+        for batch in batches:
             before, after = [], []
-            for k, seq, ts, kind, event, dropped in zip(frame[by], frame["seq"], frame["ts"], frame["kind"], frame["event"], frame["dropped"]):
+            for k, *values in zip(*[c.to_pylist() for c in batch.columns[n:]]):
+                k = "nan" if k != k else k
                 if k != key:
                     key, prev = k, ""
-                digest = hashlib.sha256("".join(f"{x}\0" for x in (seq, ts, kind, prev, dropped, event)).encode()).hexdigest()
+                seq, ts, kind, event, dropped = ("" if x is None else x for x in values)
                 before.append(prev)
-                after.append(digest)
-                prev = digest
-            yield frame.assign(prev=before, hash=after)
+                prev = hashlib.sha256("".join(f"{x}\0" for x in (seq, ts, kind, prev, dropped, event)).encode()).hexdigest()
+                after.append(prev)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*names, "prev", "hash"])
 
-    return df.repartition(by).sortWithinPartitions(by, "seq").mapInPandas(run, fields)
+    return source.repartition("__p0").sortWithinPartitions("__p0", "__p1").mapInArrow(run, fields)
 
 
 def segments(records: DataFrame, by: str, most_bytes: int = 64 << 20, checkpoint_every: int = 1000) -> DataFrame:

@@ -145,7 +145,12 @@ def max_sensitivity(found: Column) -> Column:
 
 def redact(text: Column, found: Column, replace) -> Column:
     """The text with every finding replaced by ``replace(finding)``; nothing is scanned twice."""
-    before = F.transform(found, lambda f, i: F.concat(F.substring(text, F.when(i == 0, F.lit(1)).otherwise(F.get(found, i - 1)["end"] + 1), f["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get(found, i - 1)["end"])), replace(f)))
+    return redact_at(text, found, lambda f, i: replace(f))
+
+
+def redact_at(text: Column, found: Column, replace) -> Column:
+    """The same with ``replace(finding, place)``."""
+    before = F.transform(found, lambda f, i: F.concat(F.substring(text, F.when(i == 0, F.lit(1)).otherwise(F.get(found, i - 1)["end"] + 1), f["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get(found, i - 1)["end"])), replace(f, i)))
     last = F.when(F.size(found) > 0, F.element_at(found, -1)["end"]).otherwise(F.lit(0))
     return F.when(F.size(found) == 0, text).otherwise(F.concat(F.array_join(before, ""), F.substring(text, last + 1, F.char_length(text))))
 

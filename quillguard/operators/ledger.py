@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -156,40 +156,62 @@ def merge_periods(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).groupBy("tenant", "period").agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def _fold(df: DataFrame, keys: list[str], order: list[str], out: str, kind: str, start, step) -> DataFrame:
-    """A recurrence over the rows of a key in order: step(state, row) -> (state, value).
+def _fold(df: DataFrame, keys: list[str], order: list[str], used: list[Column], out: str, kind: str, start, step) -> DataFrame:
+    """A recurrence over the rows of a key in order: step(state, *used) -> (state, value).
 
     Groups arrive in batches, so a key of very many rows never has to be in
     memory at once: the state is carried over batches of the sorted partition.
+    Null keys are a key like any other.
     """
+    types = {"boolean": pa.bool_(), "string": pa.string()}
+    names, n, m = df.columns, len(df.columns), len(used)
+    source = df.select("*", *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c.alias(f"__u{i}") for i, c in enumerate(used)])
+    ordered = source.repartition(*[F.col(f"__k{i}") for i in range(len(keys))]).sortWithinPartitions(*[f"__k{i}" for i in range(len(keys))], *order)
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"{out} {kind}"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
-        for frame in frames:
+        for batch in batches:
             values = []
-            for row in (dict(zip(frame.columns, r)) for r in frame.itertuples(index=False, name=None)):
-                this = tuple(row[k] for k in keys)
+            columns = [c.to_pylist() for c in batch.columns[n:]]
+            for row in zip(*columns):
+                this = tuple("nan" if x != x else x for x in row[:-m])
                 if this != key:
                     key, state = this, start()
-                state, value = step(state, row)
+                state, value = step(state, *row[-m:])
                 values.append(value)
-            yield frame.assign(**{out: values})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(values, types[kind])], names=[*names, out])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, fields)
+    return ordered.mapInArrow(run, fields)
 
 
-def rate_limit(df: DataFrame, key: str, at: str, tie: str, per_minute_: float, burst: float | None = None) -> DataFrame:
-    """Adds ``allowed``: a token bucket per key that refills by the minute up to its burst."""
-    most = burst or per_minute_
+def seconds(at: Column) -> Column:
+    """A time as seconds; fractions to the microsecond."""
+    return at.cast("timestamp").cast("double")
 
-    def step(state, row):
-        level, last = state
-        now = row[at].timestamp()
-        level = min(most, level + (now - last) / 60 * per_minute_) if last is not None else most
-        return ((level - 1, now), True) if level >= 1 else ((level, now), False)
 
-    return _fold(df, [key], [at, tie], "allowed", "boolean", lambda: (most, None), step)
+def take_token(state: tuple | None, now: float | None, per_minute_: float | None, burst: float | None) -> tuple[tuple | None, bool]:
+    """One request of a token bucket: state is level, time, limit and burst.
+
+    No limit, or one of 0 and less, allows everything.  Where limits have changed,
+    the bucket is first cut to the new burst; time never runs backwards, and a
+    request without a time finds the bucket as it was.
+    """
+    if per_minute_ is None or per_minute_ <= 0:
+        return state, True
+    most = float(burst) if burst is not None and burst > 0 else float(per_minute_)
+    level, last = (min(state[0], most), state[1]) if state else (most, None)
+    if now is not None and last is not None and now > last:
+        level = min(most, level + (now - last) / 60 * per_minute_)
+    last = now if last is None else max(last, now) if now is not None else last
+    return ((level - 1, last), True) if level >= 1 else ((level, last), False)
+
+
+def rate_limit(df: DataFrame, key: str, at: str, tie: str, per_minute_: float | Column, burst: float | Column | None = None) -> DataFrame:
+    """Adds ``allowed``: a token bucket per key that refills by the minute up to its burst; limits may be columns."""
+    limits = [x if isinstance(x, Column) else F.lit(x) for x in (per_minute_, burst)]
+    used = [seconds(F.col(at)), *[x.cast("double") for x in limits]]
+    return _fold(df, [key], [at, tie], used, "allowed", "boolean", lambda: None, take_token)
 
 
 def budget(df: DataFrame, key: str, period: str, at: str, tie: str, spend: str, limit: int) -> DataFrame:
@@ -202,22 +224,22 @@ def budget(df: DataFrame, key: str, period: str, at: str, tie: str, spend: str,
     return df.withColumn("admitted", F.coalesce(F.sum(spend).over(before), F.lit(0)) < limit)
 
 
+def call(state: tuple | None, now: float | None, ok: bool | None, threshold: int, cooldown: float) -> tuple[tuple, str]:
+    """One call of a backend: state is failures and, where the breaker is open, since when; a call without a result has failed."""
+    failures, opened = state or (0, None)
+    if opened is not None and (now is None or now - opened < cooldown):
+        return (failures, opened), "open"
+    name = "closed" if opened is None else "half_open"
+    failures = threshold - 1 if opened is not None else failures
+    if ok:
+        return (0, None), name
+    failures += 1
+    return (failures, now if failures >= threshold else None), name
+
+
 def breaker(df: DataFrame, key: str, at: str, tie: str, ok: str, threshold: int = 5, cooldown: float = 30.0) -> DataFrame:
     """Adds ``state`` (closed, open, half_open) in which each call of a backend was made; open calls aren't made."""
-
-    def step(state, row):
-        failures, opened = state
-        now = row[at].timestamp()
-        if opened is not None and now - opened < cooldown:
-            return (failures, opened), "open"
-        name = "closed" if opened is None else "half_open"
-        failures = threshold - 1 if opened is not None else failures
-        if row[ok]:
-            return (0, None), name
-        failures += 1
-        return (failures, now if failures >= threshold else None), name
-
-    return _fold(df, [key], [at, tie], "state", "string", lambda: (0, None), step)
+    return _fold(df, [key], [at, tie], [seconds(F.col(at)), F.col(ok)], "state", "string", lambda: None, lambda state, now, good: call(state, now, good, threshold, cooldown))
 
 
 def mean_and_spread(df: DataFrame, by: str, value: str) -> DataFrame:

@@ -6,47 +6,92 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillguard.functions.rules import Rule, to_java
-from quillguard.functions.text import placeholders, rewrite_placeholders
-from quillguard.operators.detect import findings_column, max_sensitivity, redact, sensitivity
+from quillguard.functions.text import PLACEHOLDER, placeholders
+from quillguard.operators.detect import findings_column, max_sensitivity, redact_at, sensitivity
+from quillguard.operators.stored import stored
 
 # What counts as a repeated dotted identifier.
 DOTTED = r"\b(?:[A-Za-z_][A-Za-z0-9_]*\.){2,}[A-Za-z_][A-Za-z0-9_]*\b"
 MIN_LENGTH, MIN_USES = 16, 2
+#: Number of a row among those whose findings are stored.
+ROW = "__row"
+
+
+def detected(df: DataFrame, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
+    """The rows with their findings and a number of their own, as a table: the detector runs once for all that reads it."""
+    return stored(df.withColumn("findings", findings_column(F.col(text_col), rules)).withColumn(ROW, F.monotonically_increasing_id()), "detected")
+
+
+def _with_findings(df: DataFrame, text_col: str, rules: list[Rule] | None) -> DataFrame:
+    return df if {"findings", ROW} <= set(df.columns) else detected(df, text_col, rules)
+
+
+def _literals(df: DataFrame, session: str, text_col: str) -> DataFrame:
+    """session, taken: numbers of the placeholders that a session's texts hold themselves, ascending."""
+    numbers = F.transform(F.regexp_extract_all(F.col(text_col), F.lit(r"<V(\d{1,9})>"), F.lit(1)), lambda x: x.cast("long"))
+    found = df.filter(F.contains(text_col, F.lit("<V"))).select(F.col(session).alias("__s"), F.explode(numbers).alias("n")).distinct()
+    return found.groupBy("__s").agg(F.sort_array(F.collect_list("n")).alias("taken"))
 
 
 def dictionary(df: DataFrame, session: str = "conv_id", order: tuple[str, ...] = ("turn",), text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """session, number, token, original, category, uses: values numbered by first use over the whole session.
 
     One value keeps one token whatever rules claim it, and its strongest category.
+    Rows without a session are one session.  A placeholder that stands in a text
+    itself keeps its number: no value gets it, so hydration leaves it alone.
     """
-    found = df.select(session, *order, findings_column(F.col(text_col), rules).alias("f")).select(session, *order, F.explode("f").alias("f"))
+    rows = _with_findings(df, text_col, rules)
+    found = rows.select(session, *order, F.explode("findings").alias("f"))
     place = F.struct(*[F.col(c) for c in order], F.col("f.start").alias("start"))
     values = found.groupBy(session, F.col("f.text").alias("original")).agg(F.min(place).alias("first"), F.max(F.struct(sensitivity(F.col("f.category")).alias("level"), F.col("f.category").alias("category")))["category"].alias("category"), F.count("*").alias("uses"))
-    number = F.row_number().over(Window.partitionBy(session).orderBy("first"))
-    return values.withColumn("number", number).select(session, "number", F.concat(F.lit("<V"), F.col("number").cast("string"), F.lit(">")).alias("token"), "original", "category", "uses")
+    ranked = values.withColumn("number", F.row_number().over(Window.partitionBy(session).orderBy("first", "original")))
+    literal = _literals(rows, session, text_col)
+    free = F.aggregate(F.coalesce("taken", F.array().cast("array<bigint>")), F.col("number").cast("long"), lambda n, x: F.when(x <= n, n + 1).otherwise(n))
+    numbered = ranked.join(literal, F.col(session).eqNullSafe(F.col("__s")), "left").withColumn("number", free.cast("int"))
+    return numbered.select(session, "number", F.concat(F.lit("<V"), F.col("number").cast("string"), F.lit(">")).alias("token"), "original", "category", "uses")
+
 
+def substituted(rows: DataFrame, key: str, session: str, values: Column, words: DataFrame, original: str, *wanted: str) -> DataFrame:
+    """key, subs: for each of the row's values in order, the columns ``wanted`` of its word (null where there is none).
+
+    Words are joined by (session, value), so that no row carries a session's
+    dictionary and no session's words are ever one value.
+    """
+    asked = rows.select(key, F.col(session).alias("__s"), F.posexplode(values).alias("i", "__v"))
+    told = words.select(F.col(session).alias("__ws"), F.col(original).alias("__wv"), F.struct(*wanted).alias("__w"))
+    met = asked.join(told, F.col("__s").eqNullSafe(F.col("__ws")) & (F.col("__v") == F.col("__wv")), "left")
+    return met.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "__w"))), lambda x: x["__w"]).alias("subs"))
 
-def mask(df: DataFrame, session: str = "conv_id", order: tuple[str, ...] = ("turn",), text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
-    """The rows with a column masked: every finding replaced by its session token."""
-    found = df.withColumn("findings", findings_column(F.col(text_col), rules))
-    words = dictionary(df, session, order, text_col, rules)
-    lookup = words.groupBy(session).agg(F.map_from_entries(F.collect_list(F.struct("original", "token"))).alias("dict"))
-    joined = found.join(lookup, session, "left")
-    return joined.withColumn("masked", redact(F.col(text_col), F.col("findings"), lambda f: F.try_element_at(F.col("dict"), f["text"]))).drop("dict", "findings")
+
+def mask(df: DataFrame, session: str = "conv_id", order: tuple[str, ...] = ("turn",), text_col: str = "text", rules: list[Rule] | None = None, words: DataFrame | None = None) -> DataFrame:
+    """The rows with a column masked: every finding replaced by its session token.
+
+    A finding without a word (of a dictionary that was given) becomes ``<V0>``,
+    never nothing and never itself.
+    """
+    rows = _with_findings(df, text_col, rules)
+    words = dictionary(rows, session, order, text_col) if words is None else words
+    subs = substituted(rows.filter(F.size("findings") > 0), ROW, session, F.transform("findings", lambda f: f["text"]), words, "original", "token")
+    joined = rows.join(subs, ROW, "left")
+    token = lambda f, i: F.coalesce(F.get("subs", i)["token"], F.lit("<V0>"))
+    return joined.withColumn("masked", redact_at(F.col(text_col), F.col("findings"), token)).drop("subs", "findings", ROW)
 
 
 def hydrate(df: DataFrame, words: DataFrame, session: str = "conv_id", text_col: str = "masked") -> DataFrame:
     """The rows with hydrated text and a report: distinct and total substitutions, strongest sensitivity."""
-    lookup = words.groupBy(session).agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct("original", "category")))).alias("dict"))
-    joined = df.join(lookup, session, "left").withColumn("used", F.filter(placeholders(F.col(text_col)), lambda p: F.coalesce(F.map_contains_key("dict", p), F.lit(False))))
-    value = lambda p: F.coalesce(F.try_element_at(F.col("dict"), p)["original"], p)
-    level = F.coalesce(F.array_max(F.transform("used", lambda p: sensitivity(F.try_element_at(F.col("dict"), p)["category"]))), F.lit(0))
+    rows = stored(df.withColumn(ROW, F.monotonically_increasing_id()), "answers")
+    subs = substituted(rows, ROW, session, placeholders(F.col(text_col)), words, "token", "token", "original", "category")
+    joined = rows.join(subs, ROW, "left").withColumn("used", F.filter(F.coalesce("subs", F.array().cast(subs.schema["subs"].dataType)), lambda s: s.isNotNull()))
+    pieces = F.split(F.col(text_col), PLACEHOLDER, -1)
+    told = F.transform(placeholders(F.col(text_col)), lambda p, i: F.coalesce(F.get("subs", i)["original"], p))
+    text = F.array_join(F.zip_with(pieces, F.concat(told, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    level = F.coalesce(F.array_max(F.transform("used", lambda s: sensitivity(s["category"]))), F.lit(0))
     return (
-        joined.withColumn("hydrated", F.when(F.col("dict").isNull(), F.col(text_col)).otherwise(rewrite_placeholders(F.col(text_col), value)))
-        .withColumn("n_distinct", F.size(F.array_distinct("used")))
+        joined.withColumn("hydrated", F.when(F.size("used") == 0, F.col(text_col)).otherwise(text))
+        .withColumn("n_distinct", F.size(F.array_distinct(F.transform("used", lambda s: s["token"]))))
         .withColumn("n_total", F.size("used"))
         .withColumn("level", level)
-        .drop("dict", "used")
+        .drop("subs", "used", ROW)
     )
 
 
@@ -79,3 +124,71 @@ def enumeration(distinct: Column, size: Column, least: int = 12, share: float =
     """True where an answer recites most of a dictionary that isn't small."""
     return (size >= least) & (distinct > 0) & (distinct / size > share)
 
+
+
+def running_statistics(df: DataFrame, session: str = "conv_id", order: tuple[str, ...] = ("turn",), text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
+    """What each payload's session holds so far: session, order, distinct values, findings by category, rules that fired, level.
+
+    A value counts where its session uses it first, so running counts are sums
+    of flags; the rules that have fired are gathered from first occurrences too.
+    """
+    rows = _with_findings(df, text_col, rules)
+    keys = [session, *order]
+    found = rows.select(*keys, ROW, F.posexplode("findings").alias("i", "f"))
+    first = lambda *by: F.row_number().over(Window.partitionBy(session, *by).orderBy(*order, ROW, "i")) == 1
+    flagged = found.withColumn("new_value", first("f.text")).withColumn("new_rule", first("f.rule"))
+    count = lambda c: F.count_if(F.col("f.category") == c).alias(f"n_{c}")
+    level = F.max(sensitivity(F.col("f.category"))).alias("level")
+    by_row = flagged.groupBy(ROW).agg(F.count_if("new_value").alias("values"), *[count(c) for c in CATEGORIES], F.sort_array(F.collect_list(F.when(F.col("new_rule"), F.col("f.rule")))).alias("rules"), level)
+    joined = rows.select(*keys, ROW).join(by_row, ROW, "left")
+    upto = Window.partitionBy(session).orderBy(*order, ROW).rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).over(upto).alias(c)
+    fired = F.array_sort(F.flatten(F.collect_list(F.coalesce("rules", F.array().cast("array<string>"))).over(upto))).alias("rules")
+    return joined.select(*keys, total("values"), *[total(f"n_{c}") for c in CATEGORIES], fired, F.max(F.coalesce("level", F.lit(0))).over(upto).alias("level"))
+
+
+def session_dictionary(df: DataFrame, session: str = "conv_id", order: tuple[str, ...] = ("turn",), text_col: str = "text", rules: list[Rule] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The payloads with ``compressed`` text, and the one dictionary that all stages of a session share.
+
+    The stages are masking, reference folding and the values of code, one after
+    another on each payload, payloads in their order.  A value takes its number
+    where it is first substituted, as ``<Vn>`` (findings and code values) or
+    ``#REFn`` (references), and keeps that token for all stages after; values of
+    code are only shown by their kind, but are numbered all the same.  The result
+    is that of going through the stages payload by payload: what comes out first
+    is decided by one ranking over the substitutions of all stages.
+    """
+    # tokens of the first stage alone tell values apart; they are renumbered at the end
+    rows = _with_findings(df, text_col, rules)
+    words = dictionary(rows, session, order, text_col)
+    masked = stored(mask(rows, session, order, text_col, words=words).withColumn(ROW, F.monotonically_increasing_id()).withColumn("__ref", F.monotonically_increasing_id()), "masked")
+    place = lambda stage, at: F.struct(*[F.col(c) for c in order], F.col(ROW).alias("row"), F.lit(stage).alias("stage"), at.alias("at"))
+    first_stage = masked.select(session, *order, ROW, F.posexplode(F.filter(placeholders(F.col("masked")), lambda p: F.startswith(p, F.lit("<")))).alias("at", "token"))
+    known = words.select(F.col(session).alias("__ws"), F.col("token").alias("__wt"), "original", "category")
+    values = first_stage.join(known, F.col(session).eqNullSafe(F.col("__ws")) & (F.col("token") == F.col("__wt"))).select(session, "original", "category", F.lit("var").alias("class"), place(1, F.col("at")).alias("first"))
+    folded = stored(fold_references(masked, "__ref", "masked").withColumn("code", code_language(F.col("folded"))), "folded")
+    refs = reference_candidates(masked, "__ref", "masked").join(masked.select("__ref", session, *order, ROW), "__ref").select(session, F.col("identifier").alias("original"), F.lit(None).cast("string").alias("category"), F.lit("ref").alias("class"), place(2, F.regexp_extract("token", r"\\d+", 0).cast("int")).alias("first"))
+    code = folded.filter(F.col("code").isNotNull()).select(session, *order, ROW, F.posexplode(code_values(F.col("folded"), F.col("code"))).alias("at", "original"))
+    literals = code.select(session, "original", F.lit(None).cast("string").alias("category"), F.lit("var").alias("class"), place(3, F.col("at")).alias("first"))
+    used = values.unionByName(refs).unionByName(literals)
+    strongest = F.max(F.struct(sensitivity(F.col("category")).alias("level"), F.col("category").alias("category")))["category"]
+    each = used.groupBy(session, "original").agg(F.min(F.struct("first", "class")).alias("f"), strongest.alias("category"), F.count("*").alias("uses")).select(session, "original", "category", "uses", "f.first", "f.class")
+    number = F.row_number().over(Window.partitionBy(session, "class").orderBy("first", "original"))
+    literal = _literals(rows, session, text_col)
+    free = F.when(F.col("class") == "var", F.aggregate(F.coalesce("taken", F.array().cast("array<bigint>")), F.col("number").cast("long"), lambda n, x: F.when(x <= n, n + 1).otherwise(n))).otherwise(F.col("number").cast("long")).cast("string")
+    numbered = each.withColumn("number", number).join(literal, F.col(session).eqNullSafe(F.col("__s")), "left")
+    token = F.when(F.col("class") == "ref", F.concat(F.lit("#REF"), free)).otherwise(F.concat(F.lit("<V"), free, F.lit(">")))
+    final = stored(numbered.select(session, "original", token.alias("token"), "category", "uses", "first"), "words")
+
+    # the tokens of the stages, as they stand in the folded text, and what they become
+    of_values = known.join(final.select(F.col(session).alias("__fs"), F.col("original").alias("__fo"), F.col("token").alias("final")), F.col("__ws").eqNullSafe(F.col("__fs")) & (F.col("original") == F.col("__fo"))).select(F.col("__ws").alias(session), F.col("__wt").alias("token"), "final")
+    texts = folded.withColumn("__refs", F.coalesce("__refs_of", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+    var = substituted(texts, ROW, session, placeholders(F.col("folded")), of_values, "token", "final")
+    original = F.transform(placeholders(F.col("folded")), lambda p: F.coalesce(F.try_element_at("__refs", p), F.lit("")))
+    ref = substituted(texts, ROW, session, original, final, "original", "token")
+    joined = texts.join(var.withColumnRenamed("subs", "__var"), ROW, "left").join(ref.withColumnRenamed("subs", "__ref_subs"), ROW, "left")
+    pieces = F.split(F.col("folded"), PLACEHOLDER, -1)
+    renamed = F.transform(placeholders(F.col("folded")), lambda p, i: F.coalesce(F.get("__ref_subs", i)["token"], F.get("__var", i)["final"], p))
+    text = F.array_join(F.zip_with(pieces, F.concat(renamed, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    payloads = joined.withColumn("numbered", F.when(F.col("folded").isNull(), F.col("folded")).otherwise(text))
+    return payloads, final

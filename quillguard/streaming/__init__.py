@@ -1,100 +1,15 @@
-"""Stateful streams: guarded answers, tool calls, sessions, spend."""
+"""Stateful streams: guarded answers, chains, ledgers, limits, caches, sessions, spend."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from quillguard.functions import shell
-
-#: Characters that a stream may hold back before it is sealed.
-BUFFER, HARD_LIMIT = 1 << 20, 1 << 22
-
-
-class Scanner:
-    """Releases whole safe lines of an answer; a fence is held until it ends, a blocked part seals the stream.
-
-    A fence's text is only released with its closing line, a line only with its
-    end, so what is released at any split of the input is what the whole text
-    would release.
-    """
-
-    def __init__(self, held: str = "", fence: str = "", sealed: str = ""):
-        self.held, self.fence, self.sealed = held, fence, sealed
-
-    def write(self, delta: str) -> str:
-        if self.sealed:
-            return ""
-        self.held += delta
-        if len(self.held) > (HARD_LIMIT if self.fence else BUFFER):
-            self.sealed, self.held = "stream_unbounded_hold", ""
-            return ""
-        return self._release(False)
 
-    def close(self) -> str:
-        return "" if self.sealed else self._release(True)
+from quillguard.streaming.caches import bounded_stream, enumeration_stream
+from quillguard.streaming.guard import Scanner, guard_stream, released
+from quillguard.streaming.limits import breaker_stream, budget_stream, rate_limit_stream
 
-    def _release(self, last: bool) -> str:
-        out = []
-        while self.held and not self.sealed:
-            end = self._end(last)
-            if end <= 0:
-                break
-            part, self.held = self.held[:end], self.held[end:]
-            hit = next((f for f in shell.inspect(part) if f["severity"] == "block"), None)
-            if hit:
-                self.sealed, self.held = hit["rule"], ""
-                break
-            out.append(part)
-        return "".join(out)
-
-    def _end(self, last: bool) -> int:
-        """Length of the next part that can be judged: a line, or a fence with both of its marks."""
-        line_end = self.held.find("\n") + 1
-        if not line_end:
-            self.fence = ""
-            return len(self.held) if last else 0
-        mark = self.held[:line_end].strip()[:3]
-        if mark not in ("```", "~~~"):
-            self.fence = ""
-            return line_end
-        self.fence, at = mark, line_end
-        while at < len(self.held):
-            stop = self.held.find("\n", at) + 1
-            line = self.held[at : stop or len(self.held)].strip()
-            if line.startswith(mark) and not line.strip("`~") and (stop or last):
-                self.fence = ""
-                return stop or len(self.held)
-            if not stop:
-                break
-            at = stop
-        return len(self.held) if last else 0
-
-
-def guard_stream(deltas: DataFrame, stream: str = "stream_id", seq: str = "seq", text: str = "delta", done: str = "done") -> DataFrame:
-    """stream, released, sealed for every batch of a stream's deltas; state lives in the stream's own key."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        scanner = Scanner(*state.get) if state.exists else Scanner()
-        rows = pd.concat(list(frames)).sort_values(seq)
-        out = "".join(scanner.write(x or "") for x in rows[text])
-        ended = bool(rows[done].any())
-        if ended:
-            out += scanner.close()
-            state.remove()
-        else:
-            state.update((scanner.held, scanner.fence, scanner.sealed))
-            state.setTimeoutDuration(30 * 60 * 1000)
-        yield pd.DataFrame({stream: [key[0]], "released": [out], "sealed": [scanner.sealed]})
-
-    return deltas.groupBy(stream).applyInPandasWithState(run, f"{stream} string, released string, sealed string", "held string, fence string, sealed string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+__all__ = ["Scanner", "bounded_stream", "breaker_stream", "budget_stream", "cached_stream", "enumeration_stream", "guard_stream", "rate_limit_stream", "released", "session_stream", "spend_stream"]
 
 
 def spend_stream(events: DataFrame, at: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -107,26 +22,6 @@ def session_stream(events: DataFrame, key: str, at: str = "ts", idle: str = "30
     return events.withWatermark(at, late).groupBy(key, F.session_window(at, idle).alias("w")).agg(F.count("*").alias("events")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
-def cached_stream(ops: DataFrame, key: str = "cache_key", ttl_ms: int = 900_000) -> DataFrame:
-    """key, seq, answer, hit of every get: entries live for the time to live after their put."""
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        answer, put_at = state.get if state.exists else (None, None)
-        rows = []
-        for r in pd.concat(list(frames)).sort_values("seq").itertuples():
-            now = r.ts.value // 1_000_000
-            if r.op == "put":
-                if r.answer:
-                    answer, put_at = r.answer, now
-            else:
-                hit = put_at is not None and now - put_at <= ttl_ms
-                rows.append((k[0], int(r.seq), answer if hit else None, hit))
-        if put_at is not None:
-            state.update((answer, put_at))
-            state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(rows, columns=[key, "seq", "answer", "hit"])
-
-    return ops.groupBy(key).applyInPandasWithState(run, f"{key} string, seq long, answer string, hit boolean", "answer string, put_at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def cached_stream(ops: DataFrame, key: str = "cache_key", ttl_ms: int = 900_000, bound: int = 10_000, shards: int = 64) -> DataFrame:
+    """The operations (ts, seq, op, answer, tokens) of a bounded cache with hit, found, evicted, avoided."""
+    return bounded_stream(ops, key, "ts", "seq", "op", "answer", "tokens", bound, ttl_ms / 1000, shards)
