@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quillguard.llm import textbytes as tb
 from quillguard.llm.graph import components, merged, spanning
 from quillguard.llm.neardup import shingle_sets
-from quillguard.llm.session import cut, quoted, written
+from quillguard.llm.session import cut, quoted, removed, shared_folder, written
 
 WORDS, PERCENT = 4, 85
 #: The table of counts has 2^COUNT_BITS numbers, whatever the corpus.
@@ -425,10 +425,13 @@ def components_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(quoted(text_col)).cast("string")
     plain = df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.lit(1), text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2"))
     level, parts = levels(shingle_counts(plain, "text", k))
-    rows = written(features(plain, level, k, percent), "sets")
-    same = ["s1", "s2", "n_shingles"]
-    heads = rows.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("least"), F.min(F.struct("t1", "t2", "pre", "bits")).alias("head"))
+    spark, same = df.sparkSession, ["s1", "s2", "n_shingles"]
+    path = shared_folder(spark, "sets")
+    sets = written(features(plain, level, k, percent), "sets", path)
+    rows = written(sets.select("doc_id", *same), "rows")
+    heads = sets.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("least"), F.min(F.struct("t1", "t2", "pre", "bits")).alias("head"))
     classes = written(heads.select(*same, "least", "head.*", F.monotonically_increasing_id().alias("cid")), "classes")
+    removed(spark, path)
 
     lists = entries(classes, parts).repartition("key", "part").sortWithinPartitions("key", "part", "cid")
     members = written(with_hubs(lists, percent), "lists")
