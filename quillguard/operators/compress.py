@@ -125,6 +125,19 @@ def skeleton(source: str, language: str) -> str:
     return line
 
 
+def values_of(source: str, language: str) -> list[str]:
+    """The values of code in their order: what a skeleton shows by its kind, names aside."""
+    return [m[0] for m in _LEX[language].finditer(source) if m.lastgroup in ("str", "rune", "float", "int")]
+
+
+def code_values(text: Column, language: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series, languages: pd.Series) -> pd.Series:
+        return pd.Series([values_of(t, lang) if t and lang else [] for t, lang in zip(texts, languages)])
+
+    return run(text, language)
+
+
 def pruned(text: Column) -> Column:
     """Texts that look like code as skeletons, others unchanged."""
 

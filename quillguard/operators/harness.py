@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillguard.functions.text import token_estimate
-from quillguard.operators import detect, mask
+from quillguard.operators import mask
 from quillguard.operators.governance import route
 from quillguard.operators.json_text import first_object
+from quillguard.operators.stored import stored
 
 # What a dry run assumes of one case and run.
 CALLS, ANSWER_TOKENS, VERDICT_TOKENS = 4, 400, 60
@@ -47,8 +48,8 @@ def explain_payload(df: DataFrame, session: str = "conv_id", order: tuple[str, .
 
     Holds what masking hides: for debugging only, never for a sink.
     """
-
-
-    masked = mask.mask(df, session, order, text_col)
-    back = mask.hydrate(masked, mask.dictionary(df, session, order, text_col), session)
-    return back.select(session, *order, F.col(text_col).alias("original"), "masked", "hydrated", detect.findings_column(F.col(text_col)).alias("findings"), route(F.col("masked")).alias("route"), F.col("hydrated").eqNullSafe(F.col(text_col)).alias("roundtrip"))
+    found = mask.detected(df, text_col)
+    words = stored(mask.dictionary(found, session, order, text_col), "words")
+    masked = mask.mask(found, session, order, text_col, words=words, keep_findings=True)
+    back = mask.hydrate(masked, words, session)
+    return back.select(session, *order, F.col(text_col).alias("original"), "masked", "hydrated", "findings", route(F.col("masked")).alias("route"), F.col("hydrated").eqNullSafe(F.col(text_col)).alias("roundtrip"))

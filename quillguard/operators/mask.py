@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillguard.functions.rules import Rule, to_java
+from quillguard.functions.rules import CATEGORIES, Rule, to_java
 from quillguard.functions.text import PLACEHOLDER, placeholders
+from quillguard.operators.compress import code_language, code_values
 from quillguard.operators.detect import findings_column, max_sensitivity, redact_at, sensitivity
 from quillguard.operators.stored import stored
 
@@ -27,10 +28,17 @@ def _with_findings(df: DataFrame, text_col: str, rules: list[Rule] | None) -> Da
 
 
 def _literals(df: DataFrame, session: str, text_col: str) -> DataFrame:
-    """session, taken: numbers of the placeholders that a session's texts hold themselves, ascending."""
-    numbers = F.transform(F.regexp_extract_all(F.col(text_col), F.lit(r"<V(\d{1,9})>"), F.lit(1)), lambda x: x.cast("long"))
-    found = df.filter(F.contains(text_col, F.lit("<V"))).select(F.col(session).alias("__s"), F.explode(numbers).alias("n")).distinct()
-    return found.groupBy("__s").agg(F.sort_array(F.collect_list("n")).alias("taken"))
+    """session, taken, taken_refs: numbers of the placeholders that a session's texts hold themselves, ascending."""
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(1)).alias("found")) for kind, pattern in (("var", r"<V(\d{1,9})>"), ("ref", r"#REF(\d{1,9})"))])
+    held = df.filter(F.contains(text_col, F.lit("<V")) | F.contains(text_col, F.lit("#REF"))).select(F.col(session).alias("__s"), F.explode(kinds).alias("k")).select("__s", "k.kind", F.explode("k.found").alias("n"))
+    distinct = held.select("__s", "kind", F.col("n").cast("long").alias("n")).distinct()
+    of = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("n"))))
+    return distinct.groupBy("__s").agg(of("var").alias("taken"), of("ref").alias("taken_refs"))
+
+
+def _free(rank: Column, taken: Column) -> Column:
+    """The number of that rank among those that aren't taken."""
+    return F.aggregate(F.coalesce(taken, F.array().cast("array<bigint>")), rank.cast("long"), lambda n, x: F.when(x <= n, n + 1).otherwise(n)).cast("int")
 
 
 def dictionary(df: DataFrame, session: str = "conv_id", order: tuple[str, ...] = ("turn",), text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
@@ -46,8 +54,7 @@ def dictionary(df: DataFrame, session: str = "conv_id", order: tuple[str, ...] =
     values = found.groupBy(session, F.col("f.text").alias("original")).agg(F.min(place).alias("first"), F.max(F.struct(sensitivity(F.col("f.category")).alias("level"), F.col("f.category").alias("category")))["category"].alias("category"), F.count("*").alias("uses"))
     ranked = values.withColumn("number", F.row_number().over(Window.partitionBy(session).orderBy("first", "original")))
     literal = _literals(rows, session, text_col)
-    free = F.aggregate(F.coalesce("taken", F.array().cast("array<bigint>")), F.col("number").cast("long"), lambda n, x: F.when(x <= n, n + 1).otherwise(n))
-    numbered = ranked.join(literal, F.col(session).eqNullSafe(F.col("__s")), "left").withColumn("number", free.cast("int"))
+    numbered = ranked.join(literal, F.col(session).eqNullSafe(F.col("__s")), "left").withColumn("number", _free(F.col("number"), F.col("taken")))
     return numbered.select(session, "number", F.concat(F.lit("<V"), F.col("number").cast("string"), F.lit(">")).alias("token"), "original", "category", "uses")
 
 
@@ -63,7 +70,7 @@ def substituted(rows: DataFrame, key: str, session: str, values: Column, words:
     return met.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "__w"))), lambda x: x["__w"]).alias("subs"))
 
 
-def mask(df: DataFrame, session: str = "conv_id", order: tuple[str, ...] = ("turn",), text_col: str = "text", rules: list[Rule] | None = None, words: DataFrame | None = None) -> DataFrame:
+def mask(df: DataFrame, session: str = "conv_id", order: tuple[str, ...] = ("turn",), text_col: str = "text", rules: list[Rule] | None = None, words: DataFrame | None = None, keep_findings: bool = False) -> DataFrame:
     """The rows with a column masked: every finding replaced by its session token.
 
     A finding without a word (of a dictionary that was given) becomes ``<V0>``,
@@ -74,7 +81,7 @@ def mask(df: DataFrame, session: str = "conv_id", order: tuple[str, ...] = ("tur
     subs = substituted(rows.filter(F.size("findings") > 0), ROW, session, F.transform("findings", lambda f: f["text"]), words, "original", "token")
     joined = rows.join(subs, ROW, "left")
     token = lambda f, i: F.coalesce(F.get("subs", i)["token"], F.lit("<V0>"))
-    return joined.withColumn("masked", redact_at(F.col(text_col), F.col("findings"), token)).drop("subs", "findings", ROW)
+    return joined.withColumn("masked", redact_at(F.col(text_col), F.col("findings"), token)).drop("subs", ROW, *([] if keep_findings else ["findings"]))
 
 
 def hydrate(df: DataFrame, words: DataFrame, session: str = "conv_id", text_col: str = "masked") -> DataFrame:
@@ -105,8 +112,12 @@ def reference_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def fold_references(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with those identifiers replaced by their tokens, in one pass."""
+    return _folded(df, reference_candidates(df, id_col, text_col), id_col, text_col)
+
+
+def _folded(df: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
     java = to_java(DOTTED)
-    lookup = reference_candidates(df, id_col, text_col).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("identifier", "token"))).alias("refs"))
+    lookup = named.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("identifier", "token"))).alias("refs"))
     pieces = F.split(F.col(text_col), java, -1)
     hits = F.transform(F.regexp_extract_all(F.col(text_col), F.lit(f"({java})"), F.lit(1)), lambda h: F.coalesce(F.try_element_at(F.col("refs"), h), h))
     folded = F.array_join(F.zip_with(pieces, F.concat(hits, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
@@ -147,48 +158,58 @@ def running_statistics(df: DataFrame, session: str = "conv_id", order: tuple[str
     return joined.select(*keys, total("values"), *[total(f"n_{c}") for c in CATEGORIES], fired, F.max(F.coalesce("level", F.lit(0))).over(upto).alias("level"))
 
 
+def _renamed(rows: DataFrame, key: str, session: str, text: str, mapping: DataFrame, out: str) -> DataFrame:
+    """The rows with ``out``: the text with its placeholders under their final tokens; others stay."""
+    subs = substituted(rows, key, session, placeholders(F.col(text)), mapping, "token", "final")
+    names = F.transform(placeholders(F.col(text)), lambda p, i: F.coalesce(F.get("subs", i)["final"], p))
+    whole = F.array_join(F.zip_with(F.split(F.col(text), PLACEHOLDER, -1), F.concat(names, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return rows.join(subs, key, "left").withColumn(out, F.when(F.col("subs").isNull(), F.col(text)).otherwise(whole)).drop("subs")
+
+
 def session_dictionary(df: DataFrame, session: str = "conv_id", order: tuple[str, ...] = ("turn",), text_col: str = "text", rules: list[Rule] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The payloads with ``compressed`` text, and the one dictionary that all stages of a session share.
+    """The payloads with ``numbered`` text, and the one dictionary that all stages of a session share.
 
     The stages are masking, reference folding and the values of code, one after
     another on each payload, payloads in their order.  A value takes its number
     where it is first substituted, as ``<Vn>`` (findings and code values) or
-    ``#REFn`` (references), and keeps that token for all stages after; values of
-    code are only shown by their kind, but are numbered all the same.  The result
-    is that of going through the stages payload by payload: what comes out first
-    is decided by one ranking over the substitutions of all stages.
+    ``#REFn`` (references), and keeps that token in all stages after.  Values of
+    code stay in ``numbered`` (a skeleton shows their kind), but are numbered all
+    the same.  The result is that of going through the stages payload by payload:
+    which comes first is decided by one ranking over the substitutions of all
+    stages.  A row's place among equal ``order`` is open.
     """
-    # tokens of the first stage alone tell values apart; they are renumbered at the end
     rows = _with_findings(df, text_col, rules)
+    # provisional tokens, one for each value and identifier of a session, tell values apart until all are ranked
     words = dictionary(rows, session, order, text_col)
-    masked = stored(mask(rows, session, order, text_col, words=words).withColumn(ROW, F.monotonically_increasing_id()).withColumn("__ref", F.monotonically_increasing_id()), "masked")
-    place = lambda stage, at: F.struct(*[F.col(c) for c in order], F.col(ROW).alias("row"), F.lit(stage).alias("stage"), at.alias("at"))
-    first_stage = masked.select(session, *order, ROW, F.posexplode(F.filter(placeholders(F.col("masked")), lambda p: F.startswith(p, F.lit("<")))).alias("at", "token"))
+    masked = stored(mask(rows, session, order, text_col, words=words).withColumn(ROW, F.monotonically_increasing_id()), "masked")
+    keys = [session, *order, ROW]
+    literal = stored(_literals(rows, session, text_col), "literals")
+    candidates = stored(reference_candidates(masked, ROW, "masked").withColumn("at", F.regexp_extract("token", r"\d+", 0).cast("int")).drop("token").join(masked.select(*keys), ROW), "references")
+    top = F.coalesce(F.array_max("taken_refs"), F.lit(0))
+    number = F.row_number().over(Window.partitionBy("__ps").orderBy("identifier"))
+    provisional = candidates.select(F.col(session).alias("__ps"), "identifier").distinct().withColumn("n", number).join(literal, F.col("__ps").eqNullSafe(F.col("__s")), "left").select("__ps", F.col("identifier").alias("__id"), F.concat(F.lit("#REF"), (F.col("n") + top).cast("string")).alias("token"))
+    named = candidates.join(provisional, F.col(session).eqNullSafe(F.col("__ps")) & (F.col("identifier") == F.col("__id"))).select(ROW, "identifier", "token")
+    folded = stored(_folded(masked, named, ROW, "masked").withColumn("code", code_language(F.col("folded"))), "folded")
+
+    place = lambda stage: F.struct(*[F.col(c) for c in order], F.col(ROW).alias("row"), F.lit(stage).alias("stage"), F.col("at").cast("int").alias("at"))
+    used = lambda rows, stage, kind, category: rows.select(session, "original", category.alias("category"), F.lit(kind).alias("class"), place(stage).alias("first"))
+    shown = masked.select(*keys, F.posexplode(placeholders(F.col("masked"))).alias("at", "token"))
     known = words.select(F.col(session).alias("__ws"), F.col("token").alias("__wt"), "original", "category")
-    values = first_stage.join(known, F.col(session).eqNullSafe(F.col("__ws")) & (F.col("token") == F.col("__wt"))).select(session, "original", "category", F.lit("var").alias("class"), place(1, F.col("at")).alias("first"))
-    folded = stored(fold_references(masked, "__ref", "masked").withColumn("code", code_language(F.col("folded"))), "folded")
-    refs = reference_candidates(masked, "__ref", "masked").join(masked.select("__ref", session, *order, ROW), "__ref").select(session, F.col("identifier").alias("original"), F.lit(None).cast("string").alias("category"), F.lit("ref").alias("class"), place(2, F.regexp_extract("token", r"\\d+", 0).cast("int")).alias("first"))
-    code = folded.filter(F.col("code").isNotNull()).select(session, *order, ROW, F.posexplode(code_values(F.col("folded"), F.col("code"))).alias("at", "original"))
-    literals = code.select(session, "original", F.lit(None).cast("string").alias("category"), F.lit("var").alias("class"), place(3, F.col("at")).alias("first"))
-    used = values.unionByName(refs).unionByName(literals)
+    values = shown.join(known, F.col(session).eqNullSafe(F.col("__ws")) & (F.col("token") == F.col("__wt")))
+    code = folded.filter(F.col("code").isNotNull()).select(*keys, F.posexplode(code_values(F.col("folded"), F.col("code"))).alias("at", "original"))
+    none = F.lit(None).cast("string")
+    every = used(values, 1, "var", F.col("category")).unionByName(used(candidates.withColumnRenamed("identifier", "original"), 2, "ref", none)).unionByName(used(code, 3, "var", none))
     strongest = F.max(F.struct(sensitivity(F.col("category")).alias("level"), F.col("category").alias("category")))["category"]
-    each = used.groupBy(session, "original").agg(F.min(F.struct("first", "class")).alias("f"), strongest.alias("category"), F.count("*").alias("uses")).select(session, "original", "category", "uses", "f.first", "f.class")
-    number = F.row_number().over(Window.partitionBy(session, "class").orderBy("first", "original"))
-    literal = _literals(rows, session, text_col)
-    free = F.when(F.col("class") == "var", F.aggregate(F.coalesce("taken", F.array().cast("array<bigint>")), F.col("number").cast("long"), lambda n, x: F.when(x <= n, n + 1).otherwise(n))).otherwise(F.col("number").cast("long")).cast("string")
-    numbered = each.withColumn("number", number).join(literal, F.col(session).eqNullSafe(F.col("__s")), "left")
-    token = F.when(F.col("class") == "ref", F.concat(F.lit("#REF"), free)).otherwise(F.concat(F.lit("<V"), free, F.lit(">")))
-    final = stored(numbered.select(session, "original", token.alias("token"), "category", "uses", "first"), "words")
-
-    # the tokens of the stages, as they stand in the folded text, and what they become
-    of_values = known.join(final.select(F.col(session).alias("__fs"), F.col("original").alias("__fo"), F.col("token").alias("final")), F.col("__ws").eqNullSafe(F.col("__fs")) & (F.col("original") == F.col("__fo"))).select(F.col("__ws").alias(session), F.col("__wt").alias("token"), "final")
-    texts = folded.withColumn("__refs", F.coalesce("__refs_of", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
-    var = substituted(texts, ROW, session, placeholders(F.col("folded")), of_values, "token", "final")
-    original = F.transform(placeholders(F.col("folded")), lambda p: F.coalesce(F.try_element_at("__refs", p), F.lit("")))
-    ref = substituted(texts, ROW, session, original, final, "original", "token")
-    joined = texts.join(var.withColumnRenamed("subs", "__var"), ROW, "left").join(ref.withColumnRenamed("subs", "__ref_subs"), ROW, "left")
-    pieces = F.split(F.col("folded"), PLACEHOLDER, -1)
-    renamed = F.transform(placeholders(F.col("folded")), lambda p, i: F.coalesce(F.get("__ref_subs", i)["token"], F.get("__var", i)["final"], p))
-    text = F.array_join(F.zip_with(pieces, F.concat(renamed, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    payloads = joined.withColumn("numbered", F.when(F.col("folded").isNull(), F.col("folded")).otherwise(text))
-    return payloads, final
+    each = every.groupBy(session, "original").agg(F.min(F.struct("first", "class")).alias("f"), strongest.alias("category"), F.count("*").alias("uses")).select(session, "original", "category", "uses", "f.first", "f.class")
+    rank = F.row_number().over(Window.partitionBy(session, "class").orderBy("first", "original"))
+    taken = F.when(F.col("class") == "ref", F.col("taken_refs")).otherwise(F.col("taken"))
+    ranked = each.withColumn("number", rank).join(literal, F.col(session).eqNullSafe(F.col("__s")), "left").withColumn("number", _free(F.col("number"), taken))
+    token = F.when(F.col("class") == "ref", F.concat(F.lit("#REF"), F.col("number").cast("string"))).otherwise(F.concat(F.lit("<V"), F.col("number").cast("string"), F.lit(">")))
+    final = stored(ranked.select(F.monotonically_increasing_id().alias(ROW), session, "original", token.alias("token"), "category", "uses"), "words")
+
+    meant = final.select(F.col(session).alias("__fs"), F.col("original").alias("__fo"), F.col("token").alias("final"))
+    both = known.select(F.col("__ws").alias(session), F.col("__wt").alias("token"), "original").unionByName(provisional.select(F.col("__ps").alias(session), "token", F.col("__id").alias("original")))
+    mapping = stored(both.join(meant, F.col(session).eqNullSafe(F.col("__fs")) & (F.col("original") == F.col("__fo"))).select(session, "token", "final"), "tokens")
+    payloads = _renamed(folded, ROW, session, "folded", mapping, "numbered").drop("masked", "folded", "code", ROW)
+    told = _renamed(final, ROW, session, "original", mapping, "__o").withColumn("original", F.col("__o")).drop("__o", ROW)
+    return payloads, told
