@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillguard import sources
+from quillguard import sources, streaming
 from quillguard.functions import rules as R
 from quillguard.functions import text as X
 from quillguard.operators import audit, cache, compress, detect, governance, guard, harness, ledger, mask, names, tenancy
@@ -179,8 +179,9 @@ def masked_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, text AS hydrated FROM conversations")
 def hydrate_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    talk = _talk(spark, sf)
-    return mask.hydrate(mask.mask(talk), mask.dictionary(talk)).select("conv_id", "turn", "hydrated")
+    found = mask.detected(_talk(spark, sf))
+    words = mask.dictionary(found)
+    return mask.hydrate(mask.mask(found, words=words), words).select("conv_id", "turn", "hydrated")
 
 
 # a session is masked by first use, which is the order of its shape too
@@ -391,27 +392,11 @@ def line_scan(spark: SparkSession, sf: str) -> DataFrame:
     return sources.lines(_docs(spark, sf), ("doc_id",)).select("doc_id", "line_no")
 
 
-@query("SELECT needed, role, role_no >= needed_no AS ok FROM (VALUES ('caller', 1), ('operator', 2), ('admin', 3)) a(role, role_no), (VALUES ('caller', 1), ('operator', 2), ('admin', 3)) b(needed, needed_no)")
-def role_access(spark: SparkSession, sf: str) -> DataFrame:
-    roles = spark.createDataFrame([(r, n) for r in tenancy.ROLES for n in tenancy.ROLES], "role string, needed string")
-    return roles.withColumn("ok", tenancy.allowed(F.col("role"), F.col("needed")))
-
-
 @query("SELECT tenant, seq, floor(coalesce(sum(octet_length(encode(event)) + 200) OVER (PARTITION BY tenant ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 20000.0)::BIGINT AS segment, seq % 100 = 0 AS checkpoint FROM (SELECT tenant, row_number() OVER (PARTITION BY tenant ORDER BY ts, event_id) AS seq, " + _EVENT + " AS event FROM (" + RECORDS + "))")
 def audit_segments(spark: SparkSession, sf: str) -> DataFrame:
     return audit.segments(audit_events(spark, sf), "tenant", 20_000, 100).select("tenant", "seq", "segment", "checkpoint")
 
 
-@query()
-def guard_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return guard.rule_table(spark, {"rm_recursive_force": "block"})
-
-
-@query()
-def rule_list(spark: SparkSession, sf: str) -> DataFrame:
-    return R.rules_table(spark, list(RULES.values()))
-
-
 @query()
 def name_findings(spark: SparkSession, sf: str) -> DataFrame:
     return names.findings(_docs(spark, sf), ("doc_id",))
@@ -434,29 +419,33 @@ def payload_explained(spark: SparkSession, sf: str) -> DataFrame:
     return harness.explain_payload(_talk(spark, sf)).select("conv_id", "turn", "roundtrip")
 
 
-# Queries over fixtures: tables in which every rule has something to find.
+# Queries over whole tables with a snippet planted in every row, so that each rule finds something.
+
+
+def _planted(spark: SparkSession, sf: str) -> DataFrame:
+    return FX.planted(_talk(spark, sf), FX.TALK_TEXTS)
 
 
 @query(FX.TALK_SQL + f"SELECT conv_id, turn, s AS start, e AS \"end\", val AS text, rule, category FROM ({S.resolved('fixture', 'conv_id, turn')})")
 def fixture_findings(spark: SparkSession, sf: str) -> DataFrame:
-    found = detect.findings(FX.talk(spark), ("conv_id", "turn"))
+    found = detect.findings(_planted(spark, sf), ("conv_id", "turn"))
     return found.select("conv_id", "turn", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text", "rule", "category")
 
 
 @query(FX.TALK_SQL + f"SELECT conv_id, turn, t AS value, bits FROM ({S.entropy('fixture', 'conv_id, turn')})")
 def fixture_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    rows = FX.talk(spark).withColumn("id", F.struct("conv_id", "turn"))
+    rows = _planted(spark, sf).withColumn("id", F.struct("conv_id", "turn"))
     return detect.entropy_tokens(rows, "id").select("id.*", "value", "bits")
 
 
 @query(FX.TALK_SQL + f"SELECT conv_id, token, original, uses FROM ({FX.dictionary(S.resolved('fixture', 'conv_id, turn'))})")
 def fixture_dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    return mask.dictionary(FX.talk(spark)).select("conv_id", "token", "original", "uses")
+    return mask.dictionary(_planted(spark, sf)).select("conv_id", "token", "original", "uses")
 
 
 @query(FX.TALK_SQL + FX.masked("fixture"))
 def fixture_masked(spark: SparkSession, sf: str) -> DataFrame:
-    return mask.mask(FX.talk(spark)).select("conv_id", "turn", "masked")
+    return mask.mask(_planted(spark, sf)).select("conv_id", "turn", "masked")
 
 
 _STRONGEST = f"(SELECT conv_id, val, max({S.LEVEL}) AS level FROM f GROUP BY conv_id, val)"
@@ -467,8 +456,9 @@ _STRONGEST = f"(SELECT conv_id, val, max({S.LEVEL}) AS level FROM f GROUP BY con
     "SELECT conv_id, turn, text AS hydrated, coalesce(n_distinct, 0)::INT AS n_distinct, coalesce(n_total, 0)::INT AS n_total, coalesce(level, 0)::INT AS level FROM fixture LEFT JOIN r USING (conv_id, turn)"
 )
 def fixture_hydrated(spark: SparkSession, sf: str) -> DataFrame:
-    talk = FX.talk(spark)
-    return mask.hydrate(mask.mask(talk), mask.dictionary(talk)).select("conv_id", "turn", "hydrated", "n_distinct", "n_total", "level")
+    found = mask.detected(_planted(spark, sf))
+    words = mask.dictionary(found)
+    return mask.hydrate(mask.mask(found, words=words), words).select("conv_id", "turn", "hydrated", "n_distinct", "n_total", "level")
 
 
 @query(
@@ -476,35 +466,165 @@ def fixture_hydrated(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT conv_id, turn, payload_max, max(payload_max) OVER (PARTITION BY conv_id ORDER BY turn) AS session_max FROM p"
 )
 def fixture_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    return mask.running_sensitivity(FX.talk(spark))
+    return mask.running_sensitivity(_planted(spark, sf))
+
 
+_COUNTED = ", ".join(f"coalesce(sum(n_{c}) OVER w, 0)::BIGINT AS n_{c}" for c in R.CATEGORIES)
+
+
+@query(
+    FX.TALK_SQL.rstrip() + f", f AS MATERIALIZED ({S.resolved('fixture', 'conv_id, turn')}), v AS (SELECT *, row_number() OVER (PARTITION BY conv_id, val ORDER BY turn, s) = 1 AS new_value, row_number() OVER (PARTITION BY conv_id, rule ORDER BY turn, s) = 1 AS new_rule FROM f), "
+    f"r AS (SELECT conv_id, turn, count(*) FILTER (new_value) AS vs, {', '.join(f'count(*) FILTER (category = {S.quote(c)}) AS n_{c}' for c in R.CATEGORIES)}, list(rule) FILTER (new_rule) AS rs, max({S.LEVEL}) AS l FROM v GROUP BY conv_id, turn) "
+    f"SELECT conv_id, turn, coalesce(sum(vs) OVER w, 0)::BIGINT AS values, {_COUNTED}, array_to_string(list_sort(flatten(list(coalesce(rs, [])) OVER w)), ',') AS rules, coalesce(max(l) OVER w, 0)::INT AS level FROM fixture LEFT JOIN r USING (conv_id, turn) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"
+)
+def session_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return mask.running_statistics(_planted(spark, sf)).withColumn("rules", F.array_join("rules", ","))
 
-@query(FX.with_values("fixture", "conv_id, turn, text", FX.STEERED) + "SELECT * FROM (SELECT conv_id, turn, unnest([" + ", ".join(f"CASE WHEN regexp_matches(text, {S.quote(p)}) THEN '{n}' END" for n, p in governance.INJECTION) + "]) AS rule FROM fixture) WHERE rule IS NOT NULL")
+
+@query()
+def session_numbering(spark: SparkSession, sf: str) -> DataFrame:
+    return mask.session_dictionary(_planted(spark, sf))[0].select("conv_id", "turn", "numbered")
+
+
+_STEERED = tuple(t for _, _, t in FX.STEERED)
+
+
+@query(FX.planted_sql(_STEERED) + "SELECT * FROM (SELECT conv_id, turn, unnest([" + ", ".join(f"CASE WHEN regexp_matches(text, {S.quote(p)}) THEN '{n}' END" for n, p in governance.INJECTION) + "]) AS rule FROM fixture) WHERE rule IS NOT NULL")
 def fixture_screen(spark: SparkSession, sf: str) -> DataFrame:
-    return FX.talk(spark, FX.STEERED).select("conv_id", "turn", F.explode(governance.screen(F.col("text"))).alias("rule"))
+    return FX.planted(_talk(spark, sf), _STEERED).select("conv_id", "turn", F.explode(governance.screen(F.col("text"))).alias("rule"))
+
 
+# what the guard must find for each snippet is written by hand; the conversations themselves hold no command
+_GUARDED = tuple(text for text, _ in FX.GUARDED)
+_WANTED = "wanted(case_no, rule, severity) AS (VALUES " + ", ".join(f"({i}, '{rule}', '{severity}')" for i, (_, found) in enumerate(FX.GUARDED) for rule, severity in found) + ")"
 
-@query(FX.with_values("wanted", "case_no, rule, severity", [(i, *f) for i, (_, found) in enumerate(FX.GUARDED) for f in found]) + "SELECT * FROM wanted")
+
+@query(FX.planted_sql(_GUARDED).rstrip() + f", {_WANTED} SELECT conv_id, turn, rule, severity FROM fixture JOIN wanted USING (case_no)")
 def fixture_guard(spark: SparkSession, sf: str) -> DataFrame:
-    found = guard.inspect(FX.numbered(spark, [text for text, _ in FX.GUARDED]))
-    return found.select("case_no", F.explode("guard_findings").alias("f")).select("case_no", "f.rule", "f.severity")
+    found = guard.inspect(FX.planted(_talk(spark, sf), _GUARDED))
+    return found.select("conv_id", "turn", F.explode("guard_findings").alias("f")).select("conv_id", "turn", "f.rule", "f.severity")
 
 
-@query(FX.with_values("wanted", "case_no, text", [(i, kept) for i, (_, kept) in enumerate(FX.WITHHELD)]) + "SELECT * FROM wanted")
+@query(FX.planted_sql(_GUARDED).rstrip() + f", {_WANTED} SELECT rule AS name, CASE rule WHEN 'rm_recursive_force' THEN 'block' ELSE severity END AS severity, count(*) AS n FROM fixture JOIN wanted USING (case_no) GROUP BY ALL")
+def guard_rules(spark: SparkSession, sf: str) -> DataFrame:
+    changed = {"rm_recursive_force": "block"}
+    found = guard.inspect(FX.planted(_talk(spark, sf), _GUARDED), overrides=changed).select(F.explode("guard_findings").alias("f")).groupBy(F.col("f.rule").alias("name")).agg(F.count("*").alias("n"))
+    return guard.rule_table(spark, changed).join(found, "name")
+
+
+_KEPT = ", ".join(S.quote(kept) for _, kept in FX.WITHHELD)
+
+
+@query(FX.planted_sql(tuple(text for text, _ in FX.WITHHELD)) + f"SELECT conv_id, turn, c.text || chr(10) || [{_KEPT}][case_no + 1] AS text FROM conversations c JOIN (SELECT conv_id, turn, case_no FROM fixture) USING (conv_id, turn)")
 def fixture_withheld(spark: SparkSession, sf: str) -> DataFrame:
-    return FX.numbered(spark, [text for text, _ in FX.WITHHELD]).select("case_no", guard.withheld(F.col("text")).alias("text"))
+    return FX.planted(_talk(spark, sf), tuple(text for text, _ in FX.WITHHELD)).select("conv_id", "turn", guard.withheld(F.col("text")).alias("text"))
+
+
+_BLOCKED = ", ".join("true" if any(severity == "block" for _, severity in found) else "false" for _, found in FX.GUARDED)
+
+
+@query(FX.planted_sql(_GUARDED) + f"SELECT f.conv_id * 100 + f.turn AS stream_id, CASE WHEN [{_BLOCKED}][case_no + 1] THEN c.text || chr(10) ELSE f.text END AS released, [{_BLOCKED}][case_no + 1] AS blocked FROM fixture f JOIN conversations c USING (conv_id, turn)")
+def guard_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Every answer as a stream of pieces of 40 characters."""
+    rows = FX.planted(_talk(spark, sf), _GUARDED).withColumn("stream_id", F.col("conv_id") * 100 + F.col("turn"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.char_length("text") / 40).cast("int")), lambda i: F.substring("text", i * 40 + 1, F.lit(40)))
+    deltas = rows.select("stream_id", F.posexplode(pieces).alias("seq", "delta"), F.floor(F.char_length("text") / 40).cast("int").alias("last")).select("stream_id", F.col("seq").cast("long").alias("seq"), "delta", (F.col("seq") == F.col("last")).alias("done"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("seq")).alias("ts"))
+    out = streaming.run_to_end(streaming.guard_stream(streaming.pieces(deltas, "deltas", 2, "seq", "stream_id"), late="1 day"), "guarded").withColumn("at", F.monotonically_increasing_id())
+    return out.groupBy("stream_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ended", "released"))), lambda x: x["released"]), "").alias("released"), (F.max("sealed") != "").alias("blocked"))
 
 
-@query(FX.with_values("wanted", "case_no, text", [(i, "\n".join(shapes)) for i, (_, shapes) in enumerate(FX.SHAPED)]) + "SELECT * FROM wanted")
+@query(FX.planted_sql(tuple("\n".join(texts) for texts, _ in FX.SHAPED)) + f"SELECT conv_id, turn, c.text || chr(10) || [{', '.join(S.quote(chr(10).join(shapes)) for _, shapes in FX.SHAPED)}][case_no + 1] AS text FROM conversations c JOIN (SELECT conv_id, turn, case_no FROM fixture) USING (conv_id, turn)")
 def fixture_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, list(texts)) for i, (texts, _) in enumerate(FX.SHAPED)], "case_no long, texts array<string>")
-    return rows.select("case_no", F.array_join(X.shape(F.col("texts")), "\n").alias("text"))
+    rows = FX.planted(_talk(spark, sf), tuple("\n".join(texts) for texts, _ in FX.SHAPED))
+    return rows.select("conv_id", "turn", F.array_join(X.shape(F.split("text", "\n")), "\n").alias("text"))
 
 
-@query(FX.with_values("wanted", "case_no, start, \"end\", text", [(i, *f) for i, (_, found) in enumerate(FX.NAMED) for f in found]) + "SELECT * FROM wanted")
+_NAMED = "wanted(case_no, s, e, name) AS (VALUES " + ", ".join(f"({i}, {a}, {b}, {S.quote(name)})" for i, (_, found) in enumerate(FX.NAMED) for a, b, name in found) + ")"
+
+
+@query(FX.planted_sql(tuple(text for text, _ in FX.NAMED)).rstrip() + f", {_NAMED} SELECT conv_id, turn, (length(c.text) + 1 + s)::BIGINT AS start, (length(c.text) + 1 + e)::BIGINT AS \"end\", name AS text FROM fixture JOIN wanted USING (case_no) JOIN (SELECT conv_id, turn, text FROM conversations) c USING (conv_id, turn)")
 def fixture_names(spark: SparkSession, sf: str) -> DataFrame:
-    found = names.findings(FX.numbered(spark, [text for text, _ in FX.NAMED]), ("case_no",))
-    return found.select("case_no", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text")
+    found = names.findings(FX.planted(_talk(spark, sf), tuple(text for text, _ in FX.NAMED)), ("conv_id", "turn"))
+    return found.select("conv_id", "turn", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text")
+
+
+_RULE_ROWS = ", ".join(f"({S.quote(r.name)}, {S.quote(r.category)}, {r.priority})" for r in RULES.values())
+
+
+@query(FX.TALK_SQL.rstrip() + f", rules(name, category, priority) AS (VALUES {_RULE_ROWS}), f AS (SELECT rule, count(*) AS n FROM ({S.resolved('fixture', 'conv_id, turn')}) GROUP BY rule) SELECT name, category, priority, coalesce(n, 0)::BIGINT AS n FROM rules LEFT JOIN f ON rule = name")
+def rule_list(spark: SparkSession, sf: str) -> DataFrame:
+    found = detect.leak_sweep(_planted(spark, sf), "rule")
+    return R.rules_table(spark, list(RULES.values())).select("name", "category", "priority").join(found, F.col("name") == F.col("rule"), "left").select("name", "category", "priority", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_ROLE = "CASE user_id % 3 WHEN 0 THEN 'caller' WHEN 1 THEN 'operator' ELSE 'admin' END"
+_NEEDED = "CASE event_type WHEN 'view' THEN 'caller' WHEN 'click' THEN 'caller' WHEN 'error' THEN 'operator' ELSE 'admin' END"
+
+
+@query(f"SELECT event_id, {_ROLE} AS role, {_NEEDED} AS needed, list_position(['caller', 'operator', 'admin'], {_ROLE}) >= list_position(['caller', 'operator', 'admin'], {_NEEDED}) AS ok FROM events")
+def role_access(spark: SparkSession, sf: str) -> DataFrame:
+    e = _events(spark, sf).select("event_id", F.expr(_ROLE).alias("role"), F.expr(_NEEDED).alias("needed"))
+    return e.withColumn("ok", tenancy.allowed(F.col("role"), F.col("needed")))
+
+
+# Streams over whole tables: what a batch gives, dealt out in several batches with state between them.
+
+
+def _stream(df: DataFrame) -> DataFrame:
+    return streaming.pieces(df, "events", 3, "ts", "event_id")
+
+
+@query(_oracles["rate_limits"])
+def rate_limit_stream(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _stream(_records(spark, sf).select("event_id", "ts", "tenant"))
+    return streaming.run_to_end(streaming.rate_limit_stream(rows, "tenant", "ts", "event_id", 0.02, 3), "limits").select("event_id", "allowed")
+
+
+@query(_oracles["budget_admissions"])
+def budget_stream(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _stream(_records(spark, sf).select("event_id", "ts", "tenant", "prompt_tokens")).withColumn("period", ledger.period_start(F.col("ts")))
+    return streaming.run_to_end(streaming.budget_stream(rows, "tenant", "period", "ts", "event_id", "prompt_tokens", 20_000), "budgets").select("event_id", "admitted")
+
+
+@query(_oracles["breaker_states"])
+def breaker_stream(spark: SparkSession, sf: str) -> DataFrame:
+    e = _stream(_events(spark, sf).select("event_id", "ts", (F.col("user_id") % 4).alias("backend"), (F.col("event_type") != "error").alias("ok")))
+    return streaming.run_to_end(streaming.breaker_stream(e, "backend", "ts", "event_id", "ok", 2, 7200.0), "breakers").groupBy("backend", "state").agg(F.count("*").alias("n"))
+
+
+@query(_oracles["budget_periods"])
+def durable_periods(spark: SparkSession, sf: str) -> DataFrame:
+    folder = streaming.shared_folder(spark, "ledger")
+    streaming.feed(_stream(_records(spark, sf)), streaming.spend.writer(folder, snapshot_every=2), f"{folder}/state")
+    return streaming.spend.periods(spark, folder)
+
+
+@query(f"SELECT tenant, count(*) AS events, count(*) // 100 AS checkpoints, (count(*) + count(*) // 100)::BIGINT AS last_seq, 0::BIGINT AS problems FROM ({RECORDS}) GROUP BY tenant")
+def chain_stream(spark: SparkSession, sf: str) -> DataFrame:
+    folder = streaming.shared_folder(spark, "chain")
+    rows = _stream(_records(spark, sf).withColumn("event", audit.event_json(["tenant", "route", "prompt_tokens"])).select("event_id", "ts", "tenant", "event"))
+    streaming.feed(rows, streaming.chain.writer(folder, "tenant", ("ts", "event_id"), every=100, segment_bytes=50_000), f"{folder}/state")
+    kept = audit.verify(streaming.chain.records(spark, folder), "by")
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    return kept.groupBy(F.col("by").alias("tenant")).agg(of("event").alias("events"), of("checkpoint").alias("checkpoints"), F.max("seq").alias("last_seq"), F.count("problem").alias("problems"))
+
+
+def _cache_ops(spark: SparkSession, sf: str) -> DataFrame:
+    e = _events(spark, sf)
+    op = F.when(F.col("event_type").isin("signup", "purchase"), "put").otherwise("get")
+    return e.select("event_id", "ts", op.alias("op"), F.concat(F.lit("k"), (F.col("user_id") % 40).cast("string")).alias("k"), F.concat(F.lit("answer "), F.col("event_id").cast("string")).alias("answer"), F.floor(F.col("value")).cast("long").alias("tokens"))
+
+
+# with room for all, the last put in time answers; the bounded cases are tested against a list kept by hand
+@query(f"WITH o AS ({_OPS}) SELECT g.event_id, coalesce(g.ts - p.ts <= INTERVAL 15 MINUTE, false) AS hit FROM (SELECT * FROM o WHERE NOT put) g ASOF LEFT JOIN (SELECT * FROM o WHERE put) p ON g.k = p.k AND g.ts >= p.ts")
+def cache_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return cache.bounded(_cache_ops(spark, sf), "k", "ts", "event_id", "op", "answer", "tokens", 1000, 900, 8).filter("op = 'get'").select("event_id", "hit")
+
+
+@query()
+def cache_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    out = cache.bounded(_cache_ops(spark, sf), "k", "ts", "event_id", "op", "answer", "tokens", 2, 86_400, 8)
+    return cache.bounded_statistics(out, "op")
 
 
 def queries() -> dict[str, Query]:

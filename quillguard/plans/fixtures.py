@@ -1,13 +1,16 @@
-"""Small tables with something to find for every rule, and the SQL for queries over them.
+"""Snippets with something to find for every rule, planted into the rows of a table.
 
 The driver's tables are prose: their conversations hold no findings, no commands and
 no attempt to steer a model, so queries over them alone would compare empty results.
-Strings shaped like credentials are put together here from parts.
+The ``planted_*`` helpers give every row of such a table one snippet more, chosen by its
+ids, in Spark and in SQL alike.  Strings shaped like credentials are put together here
+from parts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillguard.plans import sql as S
 
@@ -114,7 +117,20 @@ def with_values(name: str, columns: str, rows) -> str:
     return f"WITH {name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ") "
 
 
-TALK_SQL = with_values("fixture", "conv_id, turn, text", TALK)
+def planted(df: DataFrame, texts) -> DataFrame:
+    """The rows of a table of conv_id and turn with ``case_no`` and that snippet at the end of their text."""
+    case = (F.col("conv_id") * 8 + F.col("turn")) % len(texts)
+    return df.withColumn("case_no", case).withColumn("text", F.concat(F.col("text"), F.lit("\n"), F.element_at(F.array(*[F.lit(t) for t in texts]), (case + 1).cast("int"))))
+
+
+def planted_sql(texts, name: str = "fixture") -> str:
+    """The same as the start of a WITH clause."""
+    case = f"(conv_id * 8 + turn) % {len(texts)}"
+    return f"WITH {name} AS (SELECT conv_id, turn, role, {case} AS case_no, text || chr(10) || [{', '.join(map(S.quote, texts))}][{case} + 1] AS text FROM conversations) "
+
+
+TALK_TEXTS = tuple(t for _, _, t in TALK)
+TALK_SQL = planted_sql(TALK_TEXTS)
 
 
 def talk(spark: SparkSession, rows=TALK) -> DataFrame:

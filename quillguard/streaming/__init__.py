@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillguard.operators.stored import shared_folder
+from quillguard.streaming import chain, spend
 from quillguard.streaming.caches import bounded_stream, enumeration_stream
 from quillguard.streaming.guard import Scanner, guard_stream, released
 from quillguard.streaming.limits import breaker_stream, budget_stream, rate_limit_stream
+from quillguard.streaming.tables import feed, pieces, run_to_end
 
-__all__ = ["Scanner", "bounded_stream", "breaker_stream", "budget_stream", "cached_stream", "enumeration_stream", "guard_stream", "rate_limit_stream", "released", "session_stream", "spend_stream"]
+__all__ = ["Scanner", "bounded_stream", "breaker_stream", "budget_stream", "cached_stream", "chain", "enumeration_stream", "feed", "guard_stream", "pieces", "rate_limit_stream", "released", "run_to_end", "session_stream", "shared_folder", "spend", "spend_stream"]
 
 
 def spend_stream(events: DataFrame, at: str = "ts", late: str = "10 minutes") -> DataFrame:

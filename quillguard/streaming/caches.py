@@ -13,7 +13,7 @@ from quillguard.functions.text import placeholders
 from quillguard.operators import cache
 from quillguard.operators.ledger import seconds
 from quillguard.operators.mask import enumeration
-from quillguard.streaming.limits import gathered
+from quillguard.streaming.limits import gathered, keyed
 
 
 class _Shards(StatefulProcessor):
@@ -65,7 +65,7 @@ def bounded_stream(ops: DataFrame, key: str, at: str, tie: str, op: str, answer:
     used = [F.col(op), F.col(key).cast("string"), seconds(F.col(at)), F.col(answer), F.col(tokens).cast("long")]
     source = ops.select("*", cache.shard_of(F.col(key), shards).alias("__s"), *[c.alias(f"__u{i}") for i, c in enumerate(used)]).withWatermark(at, late)
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ops.schema.fields), cache.OPERATED])
-    return source.groupBy("__s").transformWithStateInPandas(_Shards(source.columns, carried, [at, tie], bound, ttl, renew), fields, "append", "EventTime")
+    return keyed(source, "__s", _Shards(source.columns, carried, [at, tie], bound, ttl, renew), fields)
 
 
 class _Recited(StatefulProcessor):
@@ -116,5 +116,5 @@ def enumeration_stream(lines: DataFrame, words: DataFrame, stream: str = "stream
     known = told.join(words.select(F.col(session).alias("__session"), F.col("token").alias("__word")), F.col(session).eqNullSafe(F.col("__session")) & (F.col("__token") == F.col("__word")), "left")
     sized = known.join(sizes.withColumnRenamed(session, "__of"), F.col(session).eqNullSafe(F.col("__of")), "left")
     rows = sized.select(stream, seq, done, at, F.when(F.col("__word").isNotNull(), F.array("__word")).otherwise(F.array().cast("array<string>")).alias("__known"), F.coalesce("__size", F.lit(0)).alias("__size"))
-    out = rows.groupBy(stream).transformWithStateInPandas(_Recited(stream, session, seq, done, at, int(idle * 1000)), f"{stream} {kind}, n_distinct long, size long", "append", "EventTime")
+    out = keyed(rows, stream, _Recited(stream, session, seq, done, at, int(idle * 1000)), f"{stream} {kind}, n_distinct long, size long")
     return out.withColumn("stop", enumeration(F.col("n_distinct"), F.col("size"), least, share))

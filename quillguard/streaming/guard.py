@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quillguard.functions import shell
-from quillguard.streaming.limits import gathered
+from quillguard.streaming.limits import gathered, keyed
 
 #: Characters of an open fence after which it is judged early, and characters that a stream may hold in all.
 BUFFER, HARD_LIMIT = 1 << 20, 1 << 22
@@ -269,7 +269,7 @@ class _Guarded(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self.state.get()
         scanner = Scanner(self.policy, Line(*held) if held else None)
-        frame = gathered(rows, [self.stream, self.seq, self.text, self.done, self.at]).sort_values(self.seq, kind="stable")
+        frame = gathered(rows, [x for x in (self.stream, self.seq, self.text, self.done, self.at) if x]).sort_values(self.seq, kind="stable")
         out, ended = "".join([scanner.write(x) for x in frame[self.text] if isinstance(x, str)]), bool(frame[self.done].fillna(False).any())
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
@@ -278,8 +278,10 @@ class _Guarded(StatefulProcessor):
             self.state.clear()
         else:
             self.state.update(tuple(asdict(scanner.line).values()))
-            newest = frame[self.at].max()
-            if newest == newest:
+            newest = frame[self.at].max() if self.at else None
+            if not self.at:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+            elif newest == newest:
                 self.handle.registerTimer(int(newest.timestamp() * 1000) + self.idle_ms)
         yield self._row(key, out, scanner.sealed, ended)
 
@@ -299,13 +301,15 @@ def guard_stream(deltas: DataFrame, stream: str = "stream_id", seq: str = "seq",
     """stream, released, sealed, ended for every batch of a stream's deltas, and when a stream falls silent.
 
     The state of a stream is what it holds of its current line or fence.  One
-    without news for ``idle`` seconds of event time is closed like one that has
+    without news for ``idle`` seconds (of event time; of the clock where the deltas have none) is closed like one that has
     ended: what it holds is judged and released, nothing is lost.
     """
     kind = deltas.schema[stream].dataType.simpleString()
-    names = (stream, seq, text, done, at)
-    marked = deltas.select(*names).withWatermark(at, late)
-    return marked.groupBy(stream).transformWithStateInPandas(_Guarded(names, mode(policy), int(idle * 1000)), f"{stream} {kind}, released string, sealed string, ended boolean", "append", "EventTime")
+    timed = at in deltas.columns
+    names = (stream, seq, text, done, at if timed else "")
+    rows = deltas.select(*[n for n in names if n])
+    processor = _Guarded(names, mode(policy), int(idle * 1000))
+    return keyed(rows.withWatermark(at, late) if timed else rows, stream, processor, f"{stream} {kind}, released string, sealed string, ended boolean", "EventTime" if timed else "ProcessingTime")
 
 
 def released(df: DataFrame, text_col: str = "text", policy: str = COMMIT) -> DataFrame:

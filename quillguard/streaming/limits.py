@@ -15,6 +15,18 @@ from quillguard.operators import ledger
 IDLE_MS = 24 * 3600 * 1000
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def keyed(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "EventTime") -> DataFrame:
+    """The output of a processor by key.  Such state needs a store on disk, which is chosen where the session names none."""
+    spark = stream.sparkSession
+    if spark.conf.get(PROVIDER, None) is None or "HDFSBacked" in spark.conf.get(PROVIDER):
+        spark.conf.set(PROVIDER, ROCKSDB)
+    return stream.groupBy(key).transformWithStateInPandas(processor, schema, "append", mode)
+
+
 def gathered(rows: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
     """The rows of a key in one frame, under the names the columns had: Spark renames those with leading underscores."""
     frame = pd.concat(list(rows))
@@ -61,7 +73,7 @@ def _folded(df: DataFrame, keys: list[str], at: str, tie: str, used: list[Column
     source = df.select("*", whole.alias("__key"), *[c.alias(f"__u{i}") for i, c in enumerate(used)]).withWatermark(at, late)
     processor = _Folded(source.columns, [at, tie], [f"__u{i}" for i in range(len(used))], carried, out, schema, step, forget)
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"{out} {kind}"])
-    return source.groupBy("__key").transformWithStateInPandas(processor, fields, "append", "EventTime")
+    return keyed(source, "__key", processor, fields)
 
 
 def rate_limit_stream(df: DataFrame, key: str, at: str, tie: str, per_minute: float | Column, burst: float | Column | None = None, late: str = "1 hour") -> DataFrame:

@@ -8,11 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillguard.operators.stored import shared_folder
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
+from quillguard.operators.stored import shared_folder, stored
 
 def _path(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -50,31 +46,21 @@ def pieces(df: DataFrame, name: str, n: int, *by: str) -> DataFrame:
     """The rows as a stream of ``n`` files, dealt by ranges of ``by`` and read one after the other."""
     spark = df.sparkSession
     folder = shared_folder(spark, name)
-    bound = df.repartitionByRange(n, *by).withColumn("__file", F.spark_partition_id())
+    bound = stored(df.repartitionByRange(n, *by).withColumn("__file", F.spark_partition_id()), name)  # ranges are drawn once
     for k in range(n):  # modification times give the order
         bound.filter(F.col("__file") == k).drop("__file").coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def _finish(spark: SparkSession, start: Callable[[], object]) -> None:
-    """Runs a stream over all that is there, with a state store that keeps keyed state on disk."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        start().awaitTermination()
-    finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
-
-
 def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     """What a stream puts out over all that its sources hold now, as a table in the shared folder."""
     spark = stream.sparkSession
     folder = shared_folder(spark, name)
     writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True)
-    _finish(spark, writer.start)
+    writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def feed(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Hands every batch of a stream to a sink, over all that its sources hold now; a later call goes on from there."""
-    _finish(stream.sparkSession, stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start)
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
