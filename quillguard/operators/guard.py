@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillguard.functions import shell
+from quillguard.functions.rules import to_java
+from quillguard.operators.compress import SPACE
 
 #: Without one of these characters or words a text has nothing to execute.
 _MAY_RUN = r"(?im)`|~~~|:\s*\(|^\s*(?:[$#>%]\s+)?(?:[-*+]\s+)?(?:[\w./-]+=\S*\s+)?\S*(?:" + "|".join(sorted(shell.BINARIES | shell.WRAPPERS | {"drop", "truncate", "delete", "update", "alter", "grant", "revoke"})) + r")"
@@ -18,15 +20,134 @@ def rule_table(spark: SparkSession, overrides: dict[str, str] | None = None) ->
     return spark.createDataFrame([(r.name, (overrides or {}).get(r.name, r.severity)) for r in shell.RULES], "name string, severity string")
 
 
-def guard_findings(text: Column, overrides: dict[str, str] | None = None) -> Column:
-    @F.pandas_udf(f"array<{FINDING}>")
+READING = "array<struct<text:string,scope:string,line:int,end_line:int,commands:array<struct<argv:array<string>,name:string,flags:array<string>,operands:array<string>,piped:string>>>>"
+#: White space that Python's strip takes away, in Java's words.
+_SPACE = SPACE + r"\x1c-\x1f"
+
+
+def reading(text: Column) -> Column:
+    """What a text would execute: its segments and their commands, words unquoted; no judgement.
+
+    A command has its words, its real name, the flags before ``--``, its operands,
+    and the name of the command that is piped into it.
+    """
+
+    @F.pandas_udf(READING)
     def run(texts: pd.Series) -> pd.Series:
-        keep = ("rule", "severity", "match", "scope", "line", "end_line")
-        return texts.map(lambda t: [] if not t else [{k: f[k] for k in keep} for f in shell.inspect(t, overrides) if "repeat" not in f])
+        return texts.map(_read)
 
     return run(F.when(text.rlike(_MAY_RUN), text))
 
 
+def _read(text: str | None) -> list[dict]:
+    out = []
+    for s in shell.segments(text) if text else []:
+        commands = []
+        for c in shell.split_commands(s.text):
+            args = c.args
+            flags = args[: args.index("--")] if "--" in args else args
+            commands.append({"argv": c.argv, "name": c.name, "flags": [a for a in flags if a.startswith("-")], "operands": c.operands, "piped": shell.Command(c.piped_from).name if c.piped_from else None})
+        out.append({"text": s.text, "scope": s.scope, "line": s.line, "end_line": s.end_line, "commands": commands})
+    return out
+
+
+def _any(tests: list[Column]) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+def _all(tests: list[Column]) -> Column:
+    out = F.lit(True)
+    for t in tests:
+        out = out & t
+    return out
+
+
+def _dangerous(path: Column) -> Column:
+    p = F.regexp_replace(path, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
+    bare = F.regexp_replace(p, "/+$", "")
+    roots = sorted({r.rstrip("/") for r in shell.DANGEROUS_ROOTS} | {"/"})
+    clean = F.when(bare == "", "/").otherwise(bare)
+    return (p != "") & (p.isin(*shell.DANGEROUS_ROOTS) | clean.isin(*roots) | (p.endswith("/*") & F.substring(p, F.lit(1), F.char_length(p) - 2).isin(*roots)))
+
+
+def command_test(rule: shell.GuardRule, c: Column) -> Column:
+    """A row of the rule table as a predicate over a command of ``reading``."""
+    if rule.alternatives:
+        return _any([command_test(r, c) for r in rule.alternatives])
+    if rule.regex:
+        return F.lit(False)
+    name, argv = c["name"], c["argv"]
+    has = lambda shorts, longs: F.exists(c["flags"], lambda a: F.when(F.startswith(a, F.lit("--")), F.split_part(F.substring(a, F.lit(3), F.char_length(a)), F.lit("="), F.lit(1)).isin(*longs) if longs else F.lit(False)).otherwise(a.rlike(f"^-.*[{shorts}]") if shorts else F.lit(False)))
+    operands = F.slice(c["operands"], F.lit(rule.skip + 1), F.greatest(F.size(c["operands"]) - rule.skip, F.lit(0)))
+    tests = [(name.isin(*rule.names) if rule.names else F.lit(False)) | (F.startswith(name, F.lit(rule.prefix)) if rule.prefix else F.lit(False))]
+    tests += [has(shorts, longs) for shorts, longs in rule.flags]
+    tests += [F.array_contains(argv, w) for w in rule.words]
+    if rule.any_word:
+        tests.append(F.arrays_overlap(argv, F.array(*map(F.lit, rule.any_word))))
+    if rule.word_prefix:
+        tests.append(F.exists(argv, lambda a: F.startswith(a, F.lit(rule.word_prefix))))
+    if rule.text:
+        joined = F.lower(F.array_join(argv, " "))
+        tests.append(_any([F.contains(joined, F.lit(t)) for t in rule.text]))
+    if rule.next_after:
+        follows = lambda a, i: a.isin(*rule.next_after) & F.coalesce(_any([F.endswith(F.get(argv, i + 1), F.lit(e)) for e in rule.next_ends]), F.lit(False))
+        tests.append(F.exists(F.transform(argv, follows), lambda x: x))
+    if rule.operand == "root":
+        tests.append(F.exists(operands, _dangerous))
+    elif rule.operand == "device":
+        tests.append(F.exists(operands, lambda o: F.startswith(o, F.lit("/dev/"))))
+    elif rule.operand == "halt":
+        tests.append(F.coalesce(F.get(operands, 0).isin("0", "6"), F.lit(False)))
+    if rule.piped_from:
+        tests.append(F.coalesce(c["piped"].isin(*rule.piped_from), F.lit(False)))
+    return _all(tests)
+
+
+def segment_test(rule: shell.GuardRule, text: Column) -> Column:
+    """A row of the rule table as a predicate over a segment's text."""
+    if rule.regex == "sql_write":
+        writes = F.regexp_extract_all(text, F.lit("(?is)" + to_java(shell.SQL_WRITE.pattern)), F.lit(0))
+        return F.exists(writes, lambda m: ~m.rlike("(?i)" + to_java(shell.SQL_WHERE.pattern)))
+    return text.rlike("(?is)" + to_java(rule.regex)) if rule.regex else F.lit(False)
+
+
+def _hits(read: Column, overrides: dict[str, str] | None) -> Column:
+    """Every hit in the order it is met: by segment, rule, and within a rule the segment before its commands."""
+    told = "struct<rule:string,severity:string,match:string,scope:string,line:int,end_line:int>"
+
+    def of_rule(rule: shell.GuardRule, s: Column) -> Column:
+        severity = (overrides or {}).get(rule.name, rule.severity)
+        texts = F.when(segment_test(rule, s["text"]), F.array(s["text"])).otherwise(F.array().cast("array<string>")) if rule.regex else F.transform(F.filter(s["commands"], lambda c: command_test(rule, c)), lambda c: F.array_join(c["argv"], " "))
+        stripped = lambda t: F.regexp_replace(t, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
+        cut = lambda t: F.when(F.char_length(t) <= 200, t).otherwise(F.concat(F.substring(t, 1, 200), F.lit("…")))
+        return F.transform(texts, lambda t: F.struct(F.lit(rule.name).alias("rule"), F.lit(severity).alias("severity"), cut(stripped(t)).alias("match"), s["scope"].alias("scope"), s["line"].alias("line"), s["end_line"].alias("end_line")).cast(told))
+
+    return F.flatten(F.transform(read, lambda s: F.flatten(F.array(*[of_rule(r, s) for r in shell.RULES]))))
+
+
+def guard_findings(text: Column, overrides: dict[str, str] | None = None) -> Column:
+    """Findings, each (rule, match) once, the severest first and otherwise in the order they were met.
+
+    Python reads the text into segments and commands; which rules they break is
+    decided by expressions that are made from the rule table.
+    """
+    nothing = F.array().cast(f"array<{FINDING}>")
+    same = lambda a, b: (a["rule"] == b["rule"]) & (a["match"] == b["match"])
+    once = lambda hits: F.aggregate(hits, nothing, lambda kept, h: F.when(F.exists(kept, lambda k: same(k, h)), kept).otherwise(F.concat(kept, F.array(h))))
+    of = lambda found, severity: F.filter(found, lambda f: f["severity"] == severity)
+    ranked = lambda found: F.concat(*[of(found, s) for s in reversed(shell.SEVERITIES)])
+    found = _named(reading(text), lambda read: _named(once(_hits(read, overrides)), ranked))
+    return F.when(text.isNull() | (text == ""), nothing).otherwise(F.coalesce(found, nothing))
+
+
+def _named(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def verdict(findings: Column) -> Column:
     """blocked, severity, rule and match of the first finding of the highest severity."""
     first = F.get(findings, 0)
@@ -39,11 +160,17 @@ def inspect(df: DataFrame, text_col: str = "text", overrides: dict[str, str] | N
 
 
 def withheld(text: Column, overrides: dict[str, str] | None = None) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if not t else shell.withhold(t, overrides))
+    """The text with every blocked range of lines replaced by one notice, which itself is never blocked."""
+
+    def line(blocked: Column, row: Column, i: Column) -> Column:
+        starts = F.filter(blocked, lambda h: h["line"] == i)
+        n = F.array_max(F.transform(starts, lambda h: h["end_line"])) - i + 1
+        notice = F.concat(F.lit("⛔ [withheld "), n.cast("string"), F.when(n > 1, F.lit(" lines")).otherwise(F.lit(" line")), F.lit("; rule "), F.get(starts, 0)["rule"], F.lit("]"))
+        return F.when(F.size(starts) > 0, notice).when(F.exists(blocked, lambda h: (h["line"] < i) & (i <= h["end_line"])), F.lit(None).cast("string")).otherwise(row)
 
-    return F.when(text.rlike(_MAY_RUN), run(text)).otherwise(text)
+    rest = lambda blocked: F.array_join(F.filter(F.transform(F.split(text, "\n", -1), lambda row, i: line(blocked, row, i)), lambda x: x.isNotNull()), "\n")
+    cut = _named(reading(text), lambda read: _named(F.filter(_hits(read, overrides), lambda h: h["severity"] == "block"), lambda blocked: F.when(F.size(blocked) > 0, rest(blocked))))
+    return F.coalesce(cut, text)
 
 
 def segments(df: DataFrame, id_cols: tuple[str, ...], text_col: str = "text") -> DataFrame:
