@@ -51,101 +51,97 @@ def _read(text: str | None) -> list[dict]:
     return out
 
 
-def _any(tests: list[Column]) -> Column:
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _all(tests: list[Column]) -> Column:
-    out = F.lit(True)
-    for t in tests:
-        out = out & t
-    return out
+def _among(value: str, words: tuple[str, ...] | list[str]) -> str:
+    return f"{value} IN ({', '.join(map(_quoted, words))})" if words else "false"
+
+
+def _stripped(value: str) -> str:
+    return f"regexp_replace({value}, {_quoted(f'^[{_SPACE}]+|[{_SPACE}]+$')}, '')"
 
 
-def _dangerous(path: Column) -> Column:
-    p = F.regexp_replace(path, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
-    bare = F.regexp_replace(p, "/+$", "")
+def _dangerous(path: str) -> str:
     roots = sorted({r.rstrip("/") for r in shell.DANGEROUS_ROOTS} | {"/"})
-    clean = F.when(bare == "", "/").otherwise(bare)
-    return (p != "") & (p.isin(*shell.DANGEROUS_ROOTS) | clean.isin(*roots) | (p.endswith("/*") & F.substring(p, F.lit(1), F.char_length(p) - 2).isin(*roots)))
+    p = _stripped(path)
+    clean = f"coalesce(nullif(regexp_replace({p}, '/+$', ''), ''), '/')"
+    return f"({p} <> '' AND ({_among(p, shell.DANGEROUS_ROOTS)} OR {_among(clean, roots)} OR (endswith({p}, '/*') AND {_among(f'left({p}, char_length({p}) - 2)', roots)})))"
 
 
-def command_test(rule: shell.GuardRule, c: Column) -> Column:
-    """A row of the rule table as a predicate over a command of ``reading``."""
+def _has_flag(shorts: str, longs: tuple[str, ...]) -> str:
+    short = f"a RLIKE {_quoted(f'^-.*[{shorts}]')}" if shorts else "false"
+    return f"exists(c.flags, a -> if(startswith(a, '--'), {_among(chr(115) + 'plit_part(substring(a, 3), ' + _quoted('=') + ', 1)', longs)}, {short}))"
+
+
+def command_test(rule: shell.GuardRule) -> str:
+    """A row of the rule table as a predicate over a command ``c`` of ``reading``."""
     if rule.alternatives:
-        return _any([command_test(r, c) for r in rule.alternatives])
+        return " OR ".join(f"({command_test(r)})" for r in rule.alternatives)
     if rule.regex:
-        return F.lit(False)
-    name, argv = c["name"], c["argv"]
-    has = lambda shorts, longs: F.exists(c["flags"], lambda a: F.when(F.startswith(a, F.lit("--")), F.split_part(F.substring(a, F.lit(3), F.char_length(a)), F.lit("="), F.lit(1)).isin(*longs) if longs else F.lit(False)).otherwise(a.rlike(f"^-.*[{shorts}]") if shorts else F.lit(False)))
-    operands = F.slice(c["operands"], F.lit(rule.skip + 1), F.greatest(F.size(c["operands"]) - rule.skip, F.lit(0)))
-    tests = [(name.isin(*rule.names) if rule.names else F.lit(False)) | (F.startswith(name, F.lit(rule.prefix)) if rule.prefix else F.lit(False))]
-    tests += [has(shorts, longs) for shorts, longs in rule.flags]
-    tests += [F.array_contains(argv, w) for w in rule.words]
+        return "false"
+    operands = f"slice(c.operands, {rule.skip + 1}, greatest(size(c.operands) - {rule.skip}, 0))"
+    tests = ["(" + _among("c.name", rule.names) + (f" OR startswith(c.name, {_quoted(rule.prefix)})" if rule.prefix else "") + ")"]
+    tests += [_has_flag(shorts, longs) for shorts, longs in rule.flags]
+    tests += [f"array_contains(c.argv, {_quoted(w)})" for w in rule.words]
     if rule.any_word:
-        tests.append(F.arrays_overlap(argv, F.array(*map(F.lit, rule.any_word))))
+        tests.append(f"exists(c.argv, a -> {_among('a', rule.any_word)})")
     if rule.word_prefix:
-        tests.append(F.exists(argv, lambda a: F.startswith(a, F.lit(rule.word_prefix))))
+        tests.append(f"exists(c.argv, a -> startswith(a, {_quoted(rule.word_prefix)}))")
     if rule.text:
-        joined = F.lower(F.array_join(argv, " "))
-        tests.append(_any([F.contains(joined, F.lit(t)) for t in rule.text]))
+        tests.append("(" + " OR ".join(f"contains(lower(array_join(c.argv, ' ')), {_quoted(t)})" for t in rule.text) + ")")
     if rule.next_after:
-        follows = lambda a, i: a.isin(*rule.next_after) & F.coalesce(_any([F.endswith(F.get(argv, i + 1), F.lit(e)) for e in rule.next_ends]), F.lit(False))
-        tests.append(F.exists(F.transform(argv, follows), lambda x: x))
+        ends = " OR ".join(f"endswith(get(c.argv, i + 1), {_quoted(e)})" for e in rule.next_ends)
+        tests.append(f"exists(transform(c.argv, (a, i) -> {_among('a', rule.next_after)} AND coalesce({ends}, false)), x -> x)")
     if rule.operand == "root":
-        tests.append(F.exists(operands, _dangerous))
+        tests.append(f"exists({operands}, o -> {_dangerous('o')})")
     elif rule.operand == "device":
-        tests.append(F.exists(operands, lambda o: F.startswith(o, F.lit("/dev/"))))
+        tests.append(f"exists({operands}, o -> startswith(o, '/dev/'))")
     elif rule.operand == "halt":
-        tests.append(F.coalesce(F.get(operands, 0).isin("0", "6"), F.lit(False)))
+        tests.append(f"coalesce(get({operands}, 0) IN ('0', '6'), false)")
     if rule.piped_from:
-        tests.append(F.coalesce(c["piped"].isin(*rule.piped_from), F.lit(False)))
-    return _all(tests)
+        tests.append(f"coalesce({_among('c.piped', rule.piped_from)}, false)")
+    return " AND ".join(tests)
 
 
-def segment_test(rule: shell.GuardRule, text: Column) -> Column:
-    """A row of the rule table as a predicate over a segment's text."""
+def segment_test(rule: shell.GuardRule) -> str:
+    """A row of the rule table as a predicate over a segment ``s``."""
     if rule.regex == "sql_write":
-        writes = F.regexp_extract_all(text, F.lit("(?is)" + to_java(shell.SQL_WRITE.pattern)), F.lit(0))
-        return F.exists(writes, lambda m: ~m.rlike("(?i)" + to_java(shell.SQL_WHERE.pattern)))
-    return text.rlike("(?is)" + to_java(rule.regex)) if rule.regex else F.lit(False)
+        return f"exists(regexp_extract_all(s.text, {_quoted('(?is)' + to_java(shell.SQL_WRITE.pattern))}, 0), m -> NOT m RLIKE {_quoted('(?i)' + to_java(shell.SQL_WHERE.pattern))})"
+    return f"s.text RLIKE {_quoted('(?is)' + to_java(rule.regex))}" if rule.regex else "false"
 
 
-def _hits(read: Column, overrides: dict[str, str] | None) -> Column:
-    """Every hit in the order it is met: by segment, rule, and within a rule the segment before its commands."""
-    told = "struct<rule:string,severity:string,match:string,scope:string,line:int,end_line:int>"
+def _hits(read: str, overrides: dict[str, str] | None) -> str:
+    """Every hit in the order it is met: by segment, rule, and within a rule by command."""
 
-    def of_rule(rule: shell.GuardRule, s: Column) -> Column:
-        severity = (overrides or {}).get(rule.name, rule.severity)
-        texts = F.when(segment_test(rule, s["text"]), F.array(s["text"])).otherwise(F.array().cast("array<string>")) if rule.regex else F.transform(F.filter(s["commands"], lambda c: command_test(rule, c)), lambda c: F.array_join(c["argv"], " "))
-        stripped = lambda t: F.regexp_replace(t, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
-        cut = lambda t: F.when(F.char_length(t) <= 200, t).otherwise(F.concat(F.substring(t, 1, 200), F.lit("…")))
-        return F.transform(texts, lambda t: F.struct(F.lit(rule.name).alias("rule"), F.lit(severity).alias("severity"), cut(stripped(t)).alias("match"), s["scope"].alias("scope"), s["line"].alias("line"), s["end_line"].alias("end_line")).cast(told))
+    def of_rule(rule: shell.GuardRule) -> str:
+        severity = _quoted((overrides or {}).get(rule.name, rule.severity))
+        made = lambda text: f"named_struct('rule', {_quoted(rule.name)}, 'severity', {severity}, 'match', {text}, 'scope', s.scope, 'line', s.line, 'end_line', s.end_line)"
+        if rule.regex:
+            return f"transform(filter(array(s.text), t -> {segment_test(rule)}), t -> {made('t')})"
+        return f"transform(filter(s.commands, c -> {command_test(rule)}), c -> {made(f'array_join(c.argv, {_quoted(chr(32))})')})"
 
-    return F.flatten(F.transform(read, lambda s: F.flatten(F.array(*[of_rule(r, s) for r in shell.RULES]))))
+    every = f"flatten(transform({read}, s -> flatten(array({', '.join(map(of_rule, shell.RULES))}))))"
+    match = _stripped("h.match")
+    return f"transform({every}, h -> named_struct('rule', h.rule, 'severity', h.severity, 'match', if(char_length({match}) <= 200, {match}, concat(left({match}, 200), '…')), 'scope', h.scope, 'line', h.line, 'end_line', h.end_line))"
 
 
-def guard_findings(text: Column, overrides: dict[str, str] | None = None) -> Column:
-    """Findings, each (rule, match) once, the severest first and otherwise in the order they were met.
+def with_hits(df: DataFrame, text_col: str = "text", overrides: dict[str, str] | None = None, out: str = "hits") -> DataFrame:
+    """The rows with every hit of a guard rule; null where nothing can be executed.
 
     Python reads the text into segments and commands; which rules they break is
     decided by expressions that are made from the rule table.
     """
-    nothing = F.array().cast(f"array<{FINDING}>")
-    same = lambda a, b: (a["rule"] == b["rule"]) & (a["match"] == b["match"])
-    once = lambda hits: F.aggregate(hits, nothing, lambda kept, h: F.when(F.exists(kept, lambda k: same(k, h)), kept).otherwise(F.concat(kept, F.array(h))))
-    of = lambda found, severity: F.filter(found, lambda f: f["severity"] == severity)
-    ranked = lambda found: F.concat(*[of(found, s) for s in reversed(shell.SEVERITIES)])
-    found = _named(reading(text), lambda read: _named(once(_hits(read, overrides)), ranked))
-    return F.when(text.isNull() | (text == ""), nothing).otherwise(F.coalesce(found, nothing))
+    read = df.withColumn("__read", reading(F.col(text_col)))
+    return read.withColumn(out, F.expr(_hits("__read", overrides))).drop("__read")
 
 
-def _named(value: Column, body) -> Column:
-    """``body(value)`` with the value worked out once."""
-    return F.get(F.transform(F.array(value), body), 0)
+def findings_of(hits: str) -> Column:
+    """Findings, each (rule, match) once, the severest first and otherwise in the order they were met."""
+    once = f"aggregate({hits}, CAST(array() AS array<{FINDING}>), (kept, h) -> if(exists(kept, k -> k.rule = h.rule AND k.match = h.match), kept, array_append(kept, h)))"
+    by = ", ".join(f"filter(f, x -> x.severity = '{s}')" for s in reversed(shell.SEVERITIES))
+    return F.expr(f"coalesce(get(transform(array({once}), f -> concat({by})), 0), CAST(array() AS array<{FINDING}>))")
 
 
 def verdict(findings: Column) -> Column:
@@ -155,22 +151,20 @@ def verdict(findings: Column) -> Column:
 
 
 def inspect(df: DataFrame, text_col: str = "text", overrides: dict[str, str] | None = None) -> DataFrame:
-    found = df.withColumn("guard_findings", guard_findings(F.col(text_col), overrides))
+    """The rows with ``guard_findings`` and their ``verdict``."""
+    found = with_hits(df, text_col, overrides, "__hits").withColumn("guard_findings", findings_of("__hits")).drop("__hits")
     return found.withColumn("verdict", verdict(F.col("guard_findings")))
 
 
-def withheld(text: Column, overrides: dict[str, str] | None = None) -> Column:
-    """The text with every blocked range of lines replaced by one notice, which itself is never blocked."""
-
-    def line(blocked: Column, row: Column, i: Column) -> Column:
-        starts = F.filter(blocked, lambda h: h["line"] == i)
-        n = F.array_max(F.transform(starts, lambda h: h["end_line"])) - i + 1
-        notice = F.concat(F.lit("⛔ [withheld "), n.cast("string"), F.when(n > 1, F.lit(" lines")).otherwise(F.lit(" line")), F.lit("; rule "), F.get(starts, 0)["rule"], F.lit("]"))
-        return F.when(F.size(starts) > 0, notice).when(F.exists(blocked, lambda h: (h["line"] < i) & (i <= h["end_line"])), F.lit(None).cast("string")).otherwise(row)
-
-    rest = lambda blocked: F.array_join(F.filter(F.transform(F.split(text, "\n", -1), lambda row, i: line(blocked, row, i)), lambda x: x.isNotNull()), "\n")
-    cut = _named(reading(text), lambda read: _named(F.filter(_hits(read, overrides), lambda h: h["severity"] == "block"), lambda blocked: F.when(F.size(blocked) > 0, rest(blocked))))
-    return F.coalesce(cut, text)
+def withheld(df: DataFrame, text_col: str = "text", out: str = "withheld", overrides: dict[str, str] | None = None) -> DataFrame:
+    """The rows with their text, every blocked range of lines replaced by one notice, which itself is never blocked."""
+    found = with_hits(df, text_col, overrides, "__hits").withColumn("__blocked", F.expr("filter(__hits, h -> h.severity = 'block')")).withColumn("__lines", F.split(F.col(text_col), "\n", -1))
+    starts = "filter(__blocked, h -> h.line = i)"
+    n = f"(array_max(transform({starts}, h -> h.end_line)) - i + 1)"
+    notice = f"concat('⛔ [withheld ', {n}, if({n} > 1, ' lines', ' line'), '; rule ', get({starts}, 0).rule, ']')"
+    line = f"CASE WHEN size({starts}) > 0 THEN {notice} WHEN exists(__blocked, h -> h.line < i AND i <= h.end_line) THEN CAST(NULL AS string) ELSE row END"
+    rest = F.expr(f"array_join(filter(transform(__lines, (row, i) -> {line}), x -> x IS NOT NULL), '\\n')")
+    return found.withColumn(out, F.when(F.size("__blocked") > 0, rest).otherwise(F.col(text_col))).drop("__hits", "__blocked", "__lines")
 
 
 def segments(df: DataFrame, id_cols: tuple[str, ...], text_col: str = "text") -> DataFrame:

@@ -41,11 +41,11 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _talk(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/conversations.parquet")
+    return spread(spark.read.parquet(f"{sf}/conversations.parquet"))
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spread(spark.read.parquet(f"{sf}/events.parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,7 +256,7 @@ def guard_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def guard_withheld(spark: SparkSession, sf: str) -> DataFrame:
-    return _talk(spark, sf).select("conv_id", "turn", guard.withheld(F.col("text")).alias("text"))
+    return guard.withheld(_talk(spark, sf)).select("conv_id", "turn", F.col("withheld").alias("text"))
 
 
 def _accounted(spark: SparkSession, sf: str) -> DataFrame:
@@ -517,7 +517,7 @@ _KEPT = ", ".join(S.quote(kept) for _, kept in FX.WITHHELD)
 
 @query(FX.planted_sql(tuple(text for text, _ in FX.WITHHELD)) + f"SELECT conv_id, turn, c.text || chr(10) || [{_KEPT}][case_no + 1] AS text FROM conversations c JOIN (SELECT conv_id, turn, case_no FROM fixture) USING (conv_id, turn)")
 def fixture_withheld(spark: SparkSession, sf: str) -> DataFrame:
-    return FX.planted(_talk(spark, sf), tuple(text for text, _ in FX.WITHHELD)).select("conv_id", "turn", guard.withheld(F.col("text")).alias("text"))
+    return guard.withheld(FX.planted(_talk(spark, sf), tuple(text for text, _ in FX.WITHHELD))).select("conv_id", "turn", F.col("withheld").alias("text"))
 
 
 _BLOCKED = ", ".join("true" if any(severity == "block" for _, severity in found) else "false" for _, found in FX.GUARDED)

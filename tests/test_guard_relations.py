@@ -25,7 +25,8 @@ def test_predicates_agree_with_the_reader_of_streams(spark, seed):
     texts = [*cases(seed), *[t for t, _ in fixtures.GUARDED], *[t for t, _ in fixtures.WITHHELD], "", None, "x" * 50 + "\nrm -rf / " + "y" * 300]
     rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(4)
     changed = {"rm_recursive_force": "block", "sql_drop": "warn"}
-    got = {r.i: r for r in rows.select("i", guard.guard_findings(F.col("text")).alias("f"), guard.guard_findings(F.col("text"), changed).alias("g"), guard.withheld(F.col("text")).alias("w")).collect()}
+    found = guard.withheld(guard.inspect(guard.inspect(rows).withColumnRenamed("guard_findings", "f").drop("verdict"), overrides=changed), out="w")
+    got = {r.i: r for r in found.select("i", "f", F.col("guard_findings").alias("g"), "w").collect()}
     plain = lambda found: [tuple(f[k] for k in ("rule", "severity", "match", "scope", "line", "end_line")) for f in found]
     for i, text in enumerate(texts):
         want = [f for f in shell.inspect(text or "") if "repeat" not in f]
