@@ -19,12 +19,15 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillguard.llm.session import quoted
+
 DEFAULT_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: What a worker remembers: encodings of chunks (a space and what follows), of other pieces, and token pairs, each
 #: up to a bound at which it starts anew; together about 100 MB.  Longer keys, in characters, aren't remembered.
@@ -103,6 +106,7 @@ class Coder:
         self.tokens = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
         self.split = regex.compile(pattern).findall
+        self.cuts = pattern == public_tokenizers.PATTERN  # what is said of white space in ``encode`` holds for this one
         self.odd = regex.compile(r"\s\s|[^\S\n ]|^\s|\s$").search
         self.known_pairs: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
@@ -224,11 +228,11 @@ class Coder:
     def encode(self, text: str) -> bytes:
         """The packed ids of a text.
 
-        Where every white space is one space or one line feed between other
+        With the shipped pattern, where every white space is one space or one line feed between other
         characters, the pattern always splits before a space and around a line
         feed; such texts are cut there first and the chunks looked up.
         """
-        if not text or self.odd(text):
+        if not text or not self.cuts or self.odd(text):
             return self.pack(text)
         known, pack, head, pack_head = self._chunks.get, self.pack_chunk, self._heads.get, self.pack_head
         out = []
@@ -261,15 +265,15 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, text_col: str
 
     ``vocabulary`` is the path of a rank file on the driver; Spark ships it to
     every executor.  Narrow: no shuffle, rows are independent, a lost task is
-    simply run again.  Null text counts as empty (no tokens, digests of nothing);
+    simply run again.  Texts are encoded whole, however long.  Null text counts as empty (no tokens, digests of nothing);
     repeated rows give repeated results; an empty table gives an empty result;
     other columns of the input are ignored.
     """
     spark = df.sparkSession
     spark.sparkContext.addFile(vocabulary)
     name = vocabulary.rsplit("/", 1)[-1]
-    source = df.select(*keep, F.col(text_col).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
+    source = df.select(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(keep)], F.col(quoted(text_col)).alias("text"))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
     schema = ", ".join([*fields, "n_tokens long, ids_sha256 string, decoded_sha256 string", *(["token_ids binary"] if with_ids else [])])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +298,8 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, text_col: str
                     names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return source.mapInArrow(encode, schema)
+    made = source.mapInArrow(encode, schema)
+    return made.toDF(*keep, *made.columns[len(keep) :])
 
 
 def decode_ids(df: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:

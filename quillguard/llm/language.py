@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quillguard.llm import textbytes as tb
 from quillguard.llm.native import spread
+from quillguard.llm.session import quoted
 from quillguard.llm.suffix_tree import fold, grams, stream
 
 ORDER, TRAIN_DOCUMENTS, SEED = 3, 1500, 20240305
@@ -99,10 +100,12 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     Null text or text without a letter gives ``und`` and score 0, as does a table
     without labelled training rows.  The score is the winner's share of the
     likelihood; equal code lengths go to the first language by name.  Null ids
-    count as empty text in the fold.  Other columns of the input are ignored.
+    count as empty text in the fold; repeated rows are predicted alike and learned
+    from once; very long texts are read whole.  Other columns of the input are
+    ignored.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), (fold(id_col, parts) == held).alias("held_out"))
+    rows = df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"), F.col(quoted(lang_col)).cast("string").alias("lang"), (fold(quoted(id_col), parts) == held).alias("held_out"))
     trees = train(rows.filter("not held_out"), "lang", "text", per_language)
     names = list(trees)
     shared = spark.sparkContext.broadcast([trees[n] for n in names])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillguard.llm import textbytes as tb
 from quillguard.llm.graph import components, spanning
-from quillguard.llm.session import cut
+from quillguard.llm.session import cut, fresh, quoted
 
 WORDS, PERCENT = 5, 75
 #: With 30 bands of 3 registers a pair of similarity 0.75 is missed once in 14 million times.
@@ -193,11 +193,14 @@ def components_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its rows are kept.  Repeated rows are one class.  An empty table gives an
     empty result.  Other columns of the input are ignored.
     """
-    plain = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *_text_key(F.col(text_col)))
+    text = F.col(quoted(text_col)).cast("string")
+    plain = df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text.alias("text"), *_text_key(text))
     rows = cut(features(plain, ("doc_id", "t1", "t2"), "text", k))
     filled = rows.filter("n_shingles > 0")
     heads = filled.groupBy("cid", "fp", "n_shingles").agg(F.min("doc_id").alias("least"), F.min(F.struct("t1", "t2", "regs")).alias("head"))
-    classes = cut(heads.select("cid", "n_shingles", "least", "head.t1", "head.t2", "head.regs"))
+    # a class has a number of its own from here on; its hashes and size only lead rows back to it
+    same = ["h1", "fp", "n_shingles"]
+    classes = cut(heads.select(F.monotonically_increasing_id().alias("cid"), F.col("cid").alias("h1"), "fp", "n_shingles", "least", "head.t1", "head.t2", "head.regs"))
 
     buckets = _buckets(classes)
     shared = buckets.groupBy("bk").agg(F.count("*").alias("size"), F.min("cid").alias("hub")).filter("size > 1")
@@ -210,10 +213,10 @@ def components_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     extra = cut(_open_links(members, label, texts, k, percent))
     if not extra.isEmpty():
         label = components(links.unionByName(extra))
-    named = classes.select("cid", "least").join(label, classes["cid"] == label["node"], "left").withColumn("label", F.coalesce("label", "cid")).drop("node")
+    named = classes.select("cid", *same, "least").join(label, classes["cid"] == label["node"], "left").withColumn("label", F.coalesce("label", "cid")).drop("node")
     lowest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_class = named.join(lowest, "label").select("cid", "component_id")
-    out = rows.join(by_class, "cid", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    by_class = named.join(lowest, "label").select(*same, "component_id")
+    out = rows.withColumnRenamed("cid", "h1").join(by_class, same, "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "t1", "t2")
 
 
@@ -277,12 +280,13 @@ def linked_pairs(label: np.ndarray, text: pa.Array, k: int = WORDS, percent: int
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with its columns as they were; repeated rows of one id leave one."""
+    """One row of each component, with its columns as they were, whatever their names; repeated rows of one id leave one."""
     verdict = components_of(df, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), "t1", "t2").distinct()
-    t1, t2 = _text_key(F.col(text_col))
-    keyed = df.withColumn("t1__", t1).withColumn("t2__", t2)
-    same = keyed[id_col].cast("long").eqNullSafe(verdict["__id"]) & (keyed["t1__"] == verdict["t1"]) & (keyed["t2__"] == verdict["t2"])
-    return keyed.join(verdict, same, "left_semi").dropDuplicates([id_col, "t1__", "t2__"]).drop("t1__", "t2__")
+    k1, k2, kid = fresh(df, "t1", "t2", "id")
+    t1, t2 = _text_key(F.col(quoted(text_col)).cast("string"))
+    keyed = df.withColumns({k1: t1, k2: t2, kid: F.col(quoted(id_col)).cast("long")})
+    same = keyed[quoted(kid)].eqNullSafe(verdict["__id"]) & (keyed[quoted(k1)] == verdict["t1"]) & (keyed[quoted(k2)] == verdict["t2"])
+    return keyed.join(verdict, same, "left_semi").dropDuplicates([kid, k1, k2]).select(*[F.col(quoted(c)) for c in df.columns])
 
 
 SQL = r"""

@@ -13,10 +13,11 @@ confidence is the share of its *whole* filling, ordinary words included, that
 is sensitive, each find weighed by its score; it is accepted with enough
 confidence and enough different finds.  A seed's score is 1; another value's is
 the best confidence of an accepted pattern that holds it.  So values that
-accepted patterns bring in induce further patterns in the next round, until a
-round accepts none.
-Instances in the place that an accepted pattern points at are reported as kind
-``id``.  All counts are over distinct texts, so copies weigh nothing.
+accepted patterns bring in induce further patterns in the next round, until
+patterns and confidences repeat.
+Instances in the place that an accepted pattern points at are reported: as kind
+``secret`` if they are seeds, as kind ``id`` if the patterns have discovered them.
+All counts are over distinct texts, so copies weigh nothing.
 
 DataFrame functions only.  Matches are counted and placed in rows, not in one
 growing array, so a text of very many matches costs linear time.  The patterns
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from quillguard.llm.session import cut, fresh, quoted, written
 
 KINDS = ("email", "ip", "card", "phone")
-FOUND = "id"
+SEEDED, FOUND = "secret", "id"
 
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -61,8 +62,8 @@ WORD_AFTER = rf"^[^{WHITE}]*+[{WHITE}]++([^{WHITE}]++)"
 CONFIDENCE = {"2": 0.8, "1": 0.9, "r": 0.9, "=": 0.8}
 #: Different finds that a pattern needs, each weighed by its score.
 MIN_FINDS = 3
-#: Rounds of the bootstrap at most; it ends earlier when a round accepts no new pattern.
-ROUNDS = 10
+#: Digits of a confidence, and rounds after which patterns and confidences must repeat; rounds only ever raise them.
+DIGITS, ROUNDS = 6, 100
 
 
 def _keys(text: Column) -> list[Column]:
@@ -191,18 +192,18 @@ def accepted(found: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> DataFr
     open_ = written(able.join(total, "context").withColumn("need", need).filter(F.col("most") >= F.col("need") * F.col("total")).select("context", "total", "need"), "patterns")
     edges = written(edges.join(open_.select("context"), "context", "left_semi"), "edges")
     seeds = edges.filter("seed").select("value", F.lit(1.0).alias("score"))
-    score, sure, before = seeds.distinct(), None, 0
+    score, sure, before = seeds.distinct(), None, None
     for _ in range(rounds):
         got = edges.join(score, "value").groupBy("context").agg(F.sum(F.col("n") * F.col("score")).alias("good"), F.sum("score").alias("finds"))
-        trust = F.least(F.lit(1.0), F.col("good") / F.col("total"))
+        trust = F.round(F.least(F.lit(1.0), F.col("good") / F.col("total")), DIGITS)
         sure = cut(got.join(open_, "context").filter((F.col("finds") >= MIN_FINDS - 1e-9) & (trust >= F.col("need") - 1e-9)).select("context", trust.alias("trust")))
-        now = sure.count()
+        now = tuple(sure.agg(F.count("*"), F.sum(F.xxhash64("context", "trust").cast("decimal(38,0)"))).first())
         if now == before:
-            break
+            return sure
         before = now
         claimed = edges.join(sure, "context").select("value", F.col("trust").alias("score"))
         score = claimed.unionByName(seeds).groupBy("value").agg(F.max("score").alias("score"))
-    return sure
+    raise RuntimeError(f"patterns still changed after {rounds} rounds")
 
 
 def spans_by_text(texts: DataFrame) -> DataFrame:
@@ -214,8 +215,9 @@ def spans_by_text(texts: DataFrame) -> DataFrame:
     base = finds.filter("kind <> 'token'").select("t1", "t2", "kind", "start", "end")
     if sure is None:
         return base
-    claimed = found.filter("not base").select("t1", "t2", "start", "end", F.explode("contexts").alias("context")).join(sure, "context", "left_semi")
-    return base.unionByName(claimed.select("t1", "t2", F.lit(FOUND).alias("kind"), "start", "end").distinct())
+    kind = F.when(F.col("seed"), SEEDED).otherwise(FOUND).alias("kind")
+    claimed = found.filter("not base").select("t1", "t2", kind, "start", "end", F.explode("contexts").alias("context")).join(sure, "context", "left_semi")
+    return base.unionByName(claimed.select("t1", "t2", "kind", "start", "end").distinct())
 
 
 def _ordinal() -> Column:
@@ -226,21 +228,23 @@ def _ordinal() -> Column:
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, counts of base finds, base_sha256, spans.
+    """One row per input row: doc_id, counts of base finds, base_sha256, spans, n_secret, n_id.
 
+    The last two count the added spans: claimed seeds and discovered values.
     Null text is empty and holds nothing; repeated rows hold the same; places are
-    code points, ends exclusive.  An empty table gives an empty result.  Other
-    columns of the input are ignored.
+    code points, ends exclusive; very long texts are read whole, their matches one
+    row each.  An empty table gives an empty result.  Other columns of the input
+    are ignored.
     """
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     rows = df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text.alias("text"), *_keys(text))
     spans = spans_by_text(rows.select("text", "t1", "t2"))
     entry = F.struct("start", _ordinal().alias("o"), F.concat_ws(":", "kind", "start", "end").alias("s"))
-    counted = spans.groupBy("t1", "t2").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in KINDS], F.sort_array(F.collect_list(entry)).alias("all"))
+    counted = spans.groupBy("t1", "t2").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in (*KINDS, SEEDED, FOUND)], F.sort_array(F.collect_list(entry)).alias("all"))
     told = lambda c: F.array_join(F.transform(c, lambda x: x["s"]), ",")
-    texts = counted.select("t1", "t2", *[f"n_{k}" for k in KINDS], told(F.filter("all", lambda x: x["o"] < len(KINDS))).alias("base"), told(F.col("all")).alias("spans"))
+    texts = counted.select("t1", "t2", *[f"n_{k}" for k in (*KINDS, SEEDED, FOUND)], told(F.filter("all", lambda x: x["o"] < len(KINDS))).alias("base"), told(F.col("all")).alias("spans"))
     out = rows.select("doc_id", "t1", "t2").join(texts, ["t1", "t2"], "left")
-    return out.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+    return out.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in (SEEDED, FOUND)])
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:

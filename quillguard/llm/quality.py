@@ -182,13 +182,17 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def cut_lines(df: DataFrame, text_col: str, lines_col: str) -> DataFrame:
     """The rows without the lines whose hashes ``lines_col`` holds, and without that column; no text is null."""
-    schema = df.drop(lines_col).schema
+    names = df.columns
+    at_text, at_lines = names.index(text_col), names.index(lines_col)
+    kept = [c for c in names if c != lines_col]
+    source = df.toDF(*[f"c{k}" for k in range(len(names))])
+    schema = source.drop(f"c{at_lines}").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in tb.blocks(batch.column(text_col)):
+            for block in tb.blocks(batch.column(at_text)):
                 part = batch.slice(block.lo, block.size)
-                wanted = part.column(lines_col)
+                wanted = part.column(at_lines)
                 w = tb.words(block)
                 begin, stop, owner, from_word, to_word = _line_spans(block, w)
                 normal = _normal(block, w, from_word, to_word).view(np.int64)
@@ -200,9 +204,9 @@ def cut_lines(df: DataFrame, text_col: str, lines_col: str) -> DataFrame:
                     base = block.offsets[k]
                     texts[k] = _without(texts[k], list(zip((begin[at][gone] - base).tolist(), (stop[at][gone] - base).tolist())))
                 clean = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([clean if n == text_col else part.column(n) for n in schema.names], names=schema.names)
+                yield pa.RecordBatch.from_arrays([clean if k == at_text else c for k, c in enumerate(part.columns) if k != at_lines], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*kept)
 
 
 def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillguard.llm.native import bits_for, leading, null_last, rank_in, spread
-from quillguard.llm.session import cut
+from quillguard.llm.session import cut, quoted
 
 SHARDS, SEED = 16, 20240301
 
@@ -24,13 +24,14 @@ def interleave(df: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: st
     Null text has size 1 and the checksum of no bytes; null sources form a source
     of their own, after all others; rows with equal id and text are
     interchangeable, so any order among them is the same result.  An empty table
-    gives an empty result.  Other columns of the input are ignored.
+    gives an empty result; very long texts only count by their size.  Other
+    columns of the input are ignored, whatever their names.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     base = cut(
         df.select(
-            F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.col(source_col).cast("string").alias("source"), null_last(source_col).alias("__s"),
+            F.col(quoted(id_col)).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.col(quoted(source_col)).cast("string").alias("source"), null_last(source_col).alias("__s"),
         ).withColumn("__h", spread(F.col("doc_id"), F.col("text_crc32"), F.col("size"), seed=seed))
     )
     total = base.count()

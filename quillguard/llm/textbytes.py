@@ -173,7 +173,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     for j in range(k):
         inside = left > j
         here = np.zeros(n, np.uint64)
-        m = n - j
+        m = max(0, n - j)
         here[:m] = hashes[j:]
         out = np.where(inside, mix(out * _BASE + here + np.uint64(j + 1)), out)
     keep = (left >= k) | ((place == 0) & (counts[document] < k))

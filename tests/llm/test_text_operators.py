@@ -428,7 +428,7 @@ def patterns_brute(texts):
             trust = min(1.0, sum(k * score.get(v, 0) for v, k in held) / total[c])
             if sum(score.get(v, 0) for v, _ in held) >= 3 - 1e-9 and trust >= pii.CONFIDENCE[c[0]] - 1e-9:
                 new[c] = trust
-        done, sure, score = len(new) == len(sure), new, dict(seeds)
+        done, sure, score = new == sure, new, dict(seeds)
         if done:
             break
         for c, v in n:
@@ -450,7 +450,8 @@ def test_graph_against_brute_force(spark):
     assert sure == pytest.approx(want) and {c[0] for c in sure} == set("12r=")
     assert any("k" in t[a:b].lower() for t, a, b in claimed) and any("z" in t[a:b].lower() for t, a, b in claimed)
     for r in pii.find(df).collect():
-        got = {(int(s.split(":")[1]), int(s.split(":")[2])) for s in r.spans.split(",") if s.startswith("id:")}
+        got = {(int(s.split(":")[1]), int(s.split(":")[2])) for s in r.spans.split(",") if s.startswith(("id:", "secret:"))}
+        assert (r.n_secret, r.n_id) == tuple(sum(s.startswith(k) for s in r.spans.split(",")) for k in ("secret:", "id:"))
         assert got == {(a, b) for t, a, b in claimed if t == texts[r.doc_id]}, texts[r.doc_id]
 
 
