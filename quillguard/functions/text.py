@@ -86,8 +86,9 @@ def payload_hash(texts: Column) -> Column:
 
 
 def trim_for_log(text: Column, limit: int) -> Column:
-    """Texts of more bytes than the limit are cut to as many characters and marked."""
-    return F.when(F.octet_length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("…"))).otherwise(text)
+    """Texts of more characters than the limit are cut to as many, white space at the ends taken off, and marked."""
+    head = F.regexp_replace(F.left(text, F.lit(limit)), r"(?U)^\s+|\s+$", "")
+    return F.when(F.char_length(text) > limit, F.concat(head, F.lit("…"))).otherwise(text)
 
 
 def non_blank_lines(text: Column) -> Column:

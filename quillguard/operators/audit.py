@@ -94,3 +94,12 @@ def metrics(df: DataFrame, name: str, labels: list[str], value: str | None = Non
     escape = lambda c: F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
     pairs = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), escape(c), F.lit('"')) for c in labels])
     return counted.select(F.concat(F.lit(name + "{"), pairs, F.lit("} "), F.col("__n").cast("string")).alias("line"))
+
+
+def exposition(df: DataFrame, name: str, labels: list[str], help_text: str, kind: str = "counter", value: str | None = None) -> DataFrame:
+    """no, line of a whole metric: what it is, its type, then its lines in order of their labels."""
+    lines = metrics(df, name, labels, value)
+    told = help_text.replace("\\", "\\\\").replace("\n", "\\n")
+    head = df.sparkSession.createDataFrame([(0, f"# HELP {name} {told}"), (1, f"# TYPE {name} {kind}")], "no long, line string")
+    # few lines: one per label set, already summed
+    return head.unionByName(lines.select((F.row_number().over(Window.orderBy("line")) + 1).cast("long").alias("no"), "line"))

@@ -93,6 +93,19 @@ def screen(text: Column) -> Column:
     return F.filter(named, lambda x: x.isNotNull())
 
 
+def screened(text: Column, limit: int = 120) -> Column:
+    """suspicious, rules, excerpt: the names of all injection rules that are met, and what the first of them found."""
+    first = F.coalesce(*[F.nullif(F.regexp_extract(text, to_java(p), 0), F.lit("")) for _, p in INJECTION])
+    excerpt = F.when(F.char_length(first) > limit, F.concat(F.left(first, F.lit(limit)), F.lit("…"))).otherwise(first)
+    rules = screen(text)
+    return F.struct((F.size(rules) > 0).alias("suspicious"), rules.alias("rules"), excerpt.alias("excerpt"))
+
+
+def screen_notice(rules: Column) -> Column:
+    """What a reader is told of an input that was screened; null for one without a hit."""
+    return F.when(F.size(rules) > 0, F.concat(F.lit("⚠️ The input may try to steer the model ("), F.array_join(rules, ", "), F.lit("). Read the answer with that in mind.")))
+
+
 def decide(df: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", rules: list[Rule] | None = None, cloud_max: int = 1, deny_above: int | None = None) -> DataFrame:
     """What a payload holds, where it may go and which tier takes it."""
     text, t = F.col(text_col), F.col("__t")

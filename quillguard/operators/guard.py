@@ -156,6 +156,41 @@ def inspect(df: DataFrame, text_col: str = "text", overrides: dict[str, str] | N
     return found.withColumn("verdict", verdict(F.col("guard_findings")))
 
 
+#: What each rule stands for, as a reader is told.
+REASONS = {
+    "rm_recursive_force_root": "deletes a system or home folder with all it holds", "rm_recursive_force": "deletes a folder without asking", "find_delete_root": "deletes what it finds below a system folder",
+    "mkfs": "formats a disk", "dd_to_device": "writes over a disk", "write_block_device": "writes over a disk", "disk_partitioning": "changes the partitions of a disk without asking", "fork_bomb": "starts processes without end",
+    "recursive_perm_root": "changes owners or rights of a whole system folder", "pipe_to_shell": "runs what it downloads unseen", "kubectl_delete_all": "deletes all objects of a cluster or namespace", "firewall_flush": "takes the firewall down",
+    "sql_drop": "drops a table, database or schema", "sql_truncate": "empties a table", "sql_write_without_where": "changes all rows of a table", "credential_exfiltration": "sends credentials away", "history_tampering": "removes traces",
+    "user_deletion": "deletes an account or group", "host_power_state": "stops or restarts a machine", "service_stop": "stops a service", "container_prune": "removes containers or images", "terraform_destroy": "destroys infrastructure without asking",
+    "git_force_push": "writes over the history of a branch",
+}
+#: Notices of a guarded answer, by what has happened to it.
+NOTICES = {
+    "warned": "⚠️ This answer holds an operation that can't easily be undone (%s): it %s.",
+    "cut": "⛔ Part of this answer was withheld (%s): it %s. The rest is as the model wrote it.",
+    "dropped": "⛔ The tool calls of this answer were dropped (%s): one %s. Its text is as the model wrote it.",
+    "cut_and_dropped": "⛔ Part of this answer was withheld and its tool calls were dropped (%s): it %s.",
+    "sealed": "⛔ This answer was stopped here (%s): it %s. What stands above was judged before it was sent.",
+    "recited": "⛔ This answer was withheld: it repeats most of what was masked in this session.",
+}
+
+
+def notice(kind: str, rule: Column) -> Column:
+    """What a reader is told of an answer; kind is one of NOTICES."""
+    reason = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv]), rule), F.lit("may do harm"))
+    return F.lit(NOTICES[kind]) if kind == "recited" else F.format_string(NOTICES[kind], rule, reason)
+
+
+def answer_notice(found: Column, calls: Column | None = None) -> Column:
+    """The notice of a whole answer from the verdicts of its text and, if it has any, of its tool calls; null if there is nothing to say."""
+    cut = found["blocked"]
+    dropped = F.coalesce(calls["blocked"], F.lit(False)) if calls is not None else F.lit(False)
+    told = F.when(cut & dropped, notice("cut_and_dropped", found["rule"])).when(cut, notice("cut", found["rule"]))
+    told = told.when(dropped, notice("dropped", calls["rule"])) if calls is not None else told
+    return told.when(found["severity"] == "warn", notice("warned", found["rule"]))
+
+
 def withheld(df: DataFrame, text_col: str = "text", out: str = "withheld", overrides: dict[str, str] | None = None) -> DataFrame:
     """The rows with their text, every blocked range of lines replaced by one notice, which itself is never blocked."""
     found = with_hits(df, text_col, overrides, "__hits").withColumn("__blocked", F.expr("filter(__hits, h -> h.severity = 'block')")).withColumn("__lines", F.split(F.col(text_col), "\n", -1))

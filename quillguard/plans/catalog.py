@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillguard import sources, streaming
 from quillguard.functions import rules as R
 from quillguard.functions import text as X
-from quillguard.operators import audit, cache, compress, detect, governance, guard, harness, ledger, mask, names, tenancy
+from quillguard.operators import audit, cache, compress, detect, governance, guard, harness, json_text, ledger, mask, names, tenancy
 from quillguard.plans import fixtures as FX
 from quillguard.plans import sql as S
 from quillguard.sources import spread
@@ -567,6 +567,55 @@ def role_access(spark: SparkSession, sf: str) -> DataFrame:
     return e.withColumn("ok", tenancy.allowed(F.col("role"), F.col("needed")))
 
 
+_REASONS = "MAP {" + ", ".join(f"'{k}': {S.quote(v)}" for k, v in guard.REASONS.items()) + "}"
+
+
+@query(
+    FX.planted_sql(_GUARDED).rstrip() + f", {_WANTED}, v AS (SELECT conv_id, turn, arg_min(rule, n) FILTER (severity = 'block') AS b, arg_min(rule, n) FILTER (severity = 'warn') AS w FROM fixture JOIN (SELECT *, row_number() OVER () AS n FROM wanted) USING (case_no) GROUP BY conv_id, turn) "
+    f"SELECT conv_id, turn, CASE WHEN b IS NOT NULL THEN printf({S.quote(guard.NOTICES['cut'])}, b, {_REASONS}[b]) ELSE printf({S.quote(guard.NOTICES['warned'])}, w, {_REASONS}[w]) END AS notice FROM v"
+)
+def guard_notices(spark: SparkSession, sf: str) -> DataFrame:
+    found = guard.inspect(FX.planted(_talk(spark, sf), _GUARDED))
+    return found.select("conv_id", "turn", guard.answer_notice(F.col("verdict")).alias("notice")).filter("notice is not null")
+
+
+@query(FX.planted_sql(_STEERED) + "SELECT conv_id, turn, coalesce(" + ", ".join(f"nullif(regexp_extract(text, {S.quote(p)}), '')" for _, p in governance.INJECTION) + ") AS excerpt FROM fixture")
+def screen_excerpts(spark: SparkSession, sf: str) -> DataFrame:
+    return FX.planted(_talk(spark, sf), _STEERED).select("conv_id", "turn", governance.screened(F.col("text"))["excerpt"].alias("excerpt"))
+
+
+def _tools(spark: SparkSession, sf: str) -> DataFrame:
+    item = F.struct(F.col("text").alias("description"), F.array("role", "text").alias("enum"), F.struct(F.array(F.lit("one"), F.lit("a@b.io")).alias("description"), F.col("turn").alias("n")).alias("k@mail.org"))
+    return _planted(spark, sf).select("conv_id", "turn", F.to_json(F.struct(F.col("role").alias("name"), F.array(item, item).alias("items"))).alias("tools"))
+
+
+_TOOLS = "{'name': role, 'items': [{'description': text, 'enum': [role, text], 'k@mail.org': {'description': ['one', 'a@b.io'], 'n': turn}}, {'description': text, 'enum': [role, text], 'k@mail.org': {'description': ['one', 'a@b.io'], 'n': turn}}]}"
+
+
+@query(
+    FX.TALK_SQL.rstrip() + f", j AS (SELECT conv_id, turn, to_json({_TOOLS}) AS t FROM fixture), n AS (SELECT conv_id, turn, e.key AS k, e.type AS type, e.atom->>'$' AS v, regexp_extract(e.path, '[.](\"[^\"]*\"|[^.\"\\[]+)(\\[[0-9]+\\])*$', 1) AS last FROM j, json_tree(t) e), "
+    "s AS (SELECT conv_id, turn, CASE WHEN try_cast(k AS INTEGER) IS NULL THEN k ELSE trim(last, '\"') END AS under, false AS is_key, v AS text FROM n WHERE type = 'VARCHAR' UNION ALL SELECT conv_id, turn, '', true, k FROM n WHERE try_cast(k AS INTEGER) IS NULL AND k IS NOT NULL) "
+    "SELECT is_key, under, count(*) AS n, count(DISTINCT text) AS texts FROM (SELECT is_key, CASE WHEN is_key THEN '' ELSE under END AS under, text FROM s) GROUP BY ALL"
+)
+def tool_strings(spark: SparkSession, sf: str) -> DataFrame:
+    rows = json_text.strings_of(_tools(spark, sf), ("conv_id", "turn"), "tools")
+    return rows.groupBy("is_key", F.when(F.col("is_key"), "").otherwise(F.col("under")).alias("under")).agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"))
+
+
+@query(
+    FX.TALK_SQL.rstrip() + f", f AS (SELECT conv_id, turn, count(*) AS n, list(DISTINCT rule) AS rs FROM ({S.resolved('fixture', 'conv_id, turn')}) GROUP BY conv_id, turn) "
+    "SELECT conv_id, turn, (2 * coalesce(n, 0) + 2)::BIGINT AS n, len(list_distinct(list_concat(coalesce(rs, []), ['email'])))::INT AS n_rules FROM fixture LEFT JOIN f USING (conv_id, turn)"
+)
+def tool_findings(spark: SparkSession, sf: str) -> DataFrame:
+    found = json_text.classified(_tools(spark, sf), ("conv_id", "turn"), "tools")
+    return found.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.countDistinct("rule").cast("int").alias("n_rules"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY line) + 1 AS no, line FROM (SELECT 'requests_total{{tenant=\"' || tenant || '\",route=\"' || route || '\"}} ' || count(*) AS line FROM ({RECORDS}) GROUP BY tenant, route) UNION ALL VALUES (0, '# HELP requests_total Requests by tenant and route.'), (1, '# TYPE requests_total counter')")
+def metrics_exposition(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.exposition(_records(spark, sf), "requests_total", ["tenant", "route"], "Requests by tenant and route.")
+
+
 # Streams over whole tables: what a batch gives, dealt out in several batches with state between them.
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,18 +59,28 @@ def message_texts(message: Column) -> Column:
 
 
 def embedding_inputs(value: Column) -> Column:
-    """Texts of an embeddings input: a string, strings, or token ids (no text)."""
-    strings = F.from_json(value, "array<string>")
-    ids = value.rlike(r"^\s*\[[\s\[\]\d,]*\]\s*$")
-    return F.when(ids, F.array().cast("array<string>")).when(value.rlike(r"^\s*\["), strings).otherwise(F.array(F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v"), value)))
+    """Texts of an embeddings input: a string or strings; token ids and anything else hold no text."""
+    parsed = F.try_parse_json(value)
+    kind = F.schema_of_variant(parsed)
+    one = F.array(F.try_variant_get(parsed, "$", "string"))
+    many = F.try_variant_get(parsed, "$", "array<string>")
+    return F.when(kind == "STRING", one).when(kind == "ARRAY<STRING>", many).when(parsed.isNull() & value.isNotNull(), F.array(value)).otherwise(F.array().cast("array<string>"))
 
 
 def deltas(df: DataFrame, line_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Content and tool fragments of an event stream's ``data:`` lines; bad and empty ones are skipped."""
+    """Content and tool fragments of every choice of an event stream's ``data:`` lines; bad and empty ones are skipped."""
     data = F.trim(F.substring(F.col(line_col), 6, 1 << 30))
     rows = df.filter(F.startswith(F.col(line_col), F.lit("data:")) & (data != "[DONE]")).select(*keep, F.from_json(data, DELTA).alias("d")).filter("d.choices is not null")
-    choice = F.get("d.choices", 0)
-    return rows.select(*keep, choice["delta"]["content"].alias("content"), choice["delta"]["tool_calls"].alias("tool_calls"), choice["finish_reason"].alias("finish_reason")).filter("coalesce(content, '') <> '' or tool_calls is not null or finish_reason is not null")
+    choice = F.col("choice")
+    each = rows.select(*keep, F.posexplode("d.choices").alias("place", "choice"))
+    told = each.select(*keep, choice["delta"]["content"].alias("content"), choice["delta"]["tool_calls"].alias("tool_calls"), choice["finish_reason"].alias("finish_reason"), F.coalesce(choice["index"], F.col("place")).alias("index"))
+    return told.filter("coalesce(content, '') <> '' or tool_calls is not null or finish_reason is not null")
+
+
+def until_error(rows: DataFrame, stream: str, seq: str, error: str = "error") -> DataFrame:
+    """The rows of each stream up to and with its first error; what a stream sends after it is no part of the answer."""
+    before = Window.partitionBy(stream).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("__failed", F.count(error).over(before)).filter("__failed = 0").drop("__failed")
 
 
 BLOCK_EVENT = "struct<type:string,index:int,delta:struct<type:string,text:string,partial_json:string,stop_reason:string>,content_block:struct<type:string,id:string,name:string>,error:struct<type:string,message:string>>"
