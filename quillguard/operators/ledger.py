@@ -95,8 +95,11 @@ def accounted(records: DataFrame, prices: DataFrame, baseline_model: str, local_
     completion_tokens, reported.  A route that is neither local nor cache is cloud.
     """
     kind = F.when(F.col("route").isin("local", "cache"), F.col("route")).otherwise("cloud")
-    rows = priced(records.withColumn("route", kind).withColumn("__base", F.lit(baseline_model)), prices, "model")
-    rows = priced(rows, prices, "__base", "base_")
+    rows = priced(records.withColumn("route", kind), prices, "model")
+    # the one price of the baseline model goes to all rows
+    fits = prices.filter(F.startswith(F.lit(baseline_model.strip().lower()), F.col("prefix")))
+    base = fits.agg(F.max_by(F.struct(F.col("rate_in").alias("base_rate_in"), F.col("rate_out").alias("base_rate_out")), F.struct(F.length("prefix"), -F.col("no"))).alias("b")).select("b.*")
+    rows = rows.join(F.broadcast(base), F.lit(True), "left")
     zero = F.lit(0.0)
     would = F.coalesce(cost(F.col("baseline_tokens"), F.col("completion_tokens"), F.col("base_rate_in"), F.col("base_rate_out")), zero)
     paid = F.when(F.col("route") == "local", cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.lit(local_in), F.lit(local_out))).when(F.col("route") == "cache", zero).otherwise(F.coalesce(cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("rate_in"), F.col("rate_out")), zero))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import queue
 import re
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -32,6 +34,38 @@ def nobody(text: str, candidates: list[str]) -> list[int]:
     return []
 
 
+class Timed:
+    """A recogniser with a deadline: one that is late counts as failed, and one that was late too often isn't asked again.
+
+    A late call can't be stopped; it ends in a thread of its own, of which a
+    worker gathers ``most_late`` at most.
+    """
+
+    def __init__(self, recognise: Recogniser, seconds: float, most_late: int = 3):
+        self.recognise, self.seconds, self.most_late, self.late = recognise, seconds, most_late, 0
+
+    def __call__(self, text: str, candidates: list[str]) -> list[int]:
+        if self.late >= self.most_late:
+            raise TimeoutError("the recogniser was late too often")
+        answer: queue.Queue = queue.Queue(1)
+
+        def ask() -> None:
+            try:
+                answer.put((self.recognise(text, candidates), None))
+            except Exception as error:  # noqa: BLE001  handed on to the caller
+                answer.put(([], error))
+
+        threading.Thread(target=ask, daemon=True).start()
+        try:
+            chosen, error = answer.get(timeout=self.seconds)
+        except queue.Empty:
+            self.late += 1
+            raise TimeoutError(f"the recogniser took more than {self.seconds} s") from None
+        if error:
+            raise error
+        return chosen
+
+
 def candidates(text: str, surnames: tuple[str, ...] = SURNAMES) -> list[tuple[int, int]]:
     """Spans that start with a family name, with up to GIVEN characters of a given name; the search goes on after the family name."""
     family = "|".join(map(re.escape, sorted(surnames, key=len, reverse=True)))
@@ -58,14 +92,16 @@ def with_names(base: list[dict], text: str, recognise: Recogniser, surnames: tup
     return out
 
 
-def findings_with_names(text: Column, recognise: Recogniser = everyone, rules: list[Rule] | None = None, surnames: tuple[str, ...] = SURNAMES) -> Column:
+def findings_with_names(text: Column, recognise: Recogniser = everyone, rules: list[Rule] | None = None, surnames: tuple[str, ...] = SURNAMES, deadline: float | None = None) -> Column:
+    """Findings with confirmed names; a recogniser that fails or takes more than ``deadline`` seconds leaves the base findings."""
     active = build() if rules is None else rules
 
     @F.pandas_udf(f"array<{FINDING}>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         detector = Detector(active)
+        asked = recognise if deadline is None else Timed(recognise, deadline)
         for texts in batches:
-            yield texts.map(lambda t: [] if not t else with_names(detector.detect(t), t, recognise, surnames))
+            yield texts.map(lambda t: [] if not t else with_names(detector.detect(t), t, asked, surnames))
 
     return run(text)
 

@@ -11,6 +11,7 @@ from quillguard import sources, streaming
 from quillguard.functions import rules as R
 from quillguard.functions import text as X
 from quillguard.operators import audit, cache, compress, detect, governance, guard, harness, json_text, ledger, mask, names, tenancy
+from quillguard.operators.stored import stored
 from quillguard.plans import fixtures as FX
 from quillguard.plans import sql as S
 from quillguard.sources import spread
@@ -658,6 +659,16 @@ def chain_stream(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy(F.col("by").alias("tenant")).agg(of("event").alias("events"), of("checkpoint").alias("checkpoints"), F.max("seq").alias("last_seq"), F.count("problem").alias("problems"))
 
 
+@query(FX.TALK_SQL + f"SELECT conv_id, count(DISTINCT val) FILTER (turn < 5) AS n_distinct, count(DISTINCT val) AS size, count(DISTINCT val) >= 12 AND count(DISTINCT val) FILTER (turn < 5) / count(DISTINCT val) > 0.8 AS stop FROM ({S.resolved('fixture', 'conv_id, turn')}) GROUP BY conv_id")
+def enumeration_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """An answer that repeats what was masked in the first turns of its session, sent turn by turn."""
+    found = mask.detected(_planted(spark, sf))
+    words = mask.dictionary(found)
+    lines = mask.mask(found, words=words).filter("turn < 5").select(F.col("conv_id").alias("stream_id"), "conv_id", F.col("turn").alias("seq"), F.col("masked").alias("released"), F.lit(False).alias("done"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("turn")).alias("ts"))
+    told = streaming.run_to_end(streaming.enumeration_stream(streaming.pieces(lines, "lines", 2, "seq", "stream_id"), stored(words, "words"), late="1 day"), "recited")
+    return told.groupBy(F.col("stream_id").alias("conv_id")).agg(F.max("n_distinct").alias("n_distinct"), F.max("size").alias("size"), F.max("stop").alias("stop")).filter("size > 0")
+
+
 def _cache_ops(spark: SparkSession, sf: str) -> DataFrame:
     e = _events(spark, sf)
     op = F.when(F.col("event_type").isin("signup", "purchase"), "put").otherwise("get")

@@ -1,3 +1,4 @@
+import pytest
 from quillguard.operators import harness, names
 
 
@@ -17,3 +18,24 @@ def test_judge_replies(spark):
     df = spark.createDataFrame([('Sure: {"score": 8, "reason": "ok"} done',), ("none",)], "t string")
     got = [r[0] for r in df.select(harness.judged(df.t)).collect()]
     assert got[0].score == 8 and (got[1] is None or got[1].score is None)
+
+
+def test_a_late_recogniser_leaves_the_base_findings(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    def slow(text, found):
+        if "slow" in text:
+            time.sleep(5)
+        return list(range(len(found)))
+
+    rows = spark.createDataFrame([("担当は佐藤太郎です 10.0.0.5",), ("slow 佐藤太郎 10.0.0.6",)], "t string").coalesce(1)
+    began = time.time()
+    got = [[f.rule for f in r[0]] for r in rows.select(names.findings_with_names(F.col("t"), slow, deadline=0.5)).collect()]
+    assert got == [["jp_name", "ipv4"], ["ipv4"]] and time.time() - began < 30
+    late = names.Timed(lambda text, found: time.sleep(1), 0.05, most_late=2)
+    for _ in range(3):
+        with pytest.raises(TimeoutError):
+            late("x", ["y"])
+    assert late.late == 2
