@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,11 +108,18 @@ def screen_notice(rules: Column) -> Column:
     return F.when(F.size(rules) > 0, F.concat(F.lit("⚠️ The input may try to steer the model ("), F.array_join(rules, ", "), F.lit("). Read the answer with that in mind.")))
 
 
-def decide(df: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", rules: list[Rule] | None = None, cloud_max: int = 1, deny_above: int | None = None) -> DataFrame:
-    """What a payload holds, where it may go and which tier takes it."""
+#: What may take the place of the tests above: a column of target and reason, and an estimate of tokens, of a text.
+Router = Callable[[Column], Column]
+Counter = Callable[[Column], Column]
+
+
+def decide(df: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", rules: list[Rule] | None = None, cloud_max: int = 1, deny_above: int | None = None, router: Router | None = None, counter: Counter | None = None) -> DataFrame:
+    """What a payload holds, where it may go and which tier takes it; policy has the last word, whoever routes."""
     text, t = F.col(text_col), F.col("__t")
+    count = counter or token_estimate
     # one estimate a row: the untrimmed text is counted again only where trimming took more than blanks
-    read = df.select(*id_cols, text.alias("__t"), findings_column(text, rules).alias("__f"), token_estimate(trimmed(text)).alias("__n"))
-    decided = read.withColumn("max_sensitivity", max_sensitivity(F.col("__f"))).withColumn("__p", policy(F.col("max_sensitivity"), cloud_max, deny_above)).withColumn("__r", override(route(t, F.col("__n")), F.col("__p.action")))
-    tokens = F.when(trimmed(t) == t, F.col("__n")).otherwise(token_estimate(t))
+    read = df.select(*id_cols, text.alias("__t"), findings_column(text, rules).alias("__f"), count(trimmed(text)).alias("__n"))
+    routed = router(t) if router else route(t, F.col("__n"))
+    decided = read.withColumn("max_sensitivity", max_sensitivity(F.col("__f"))).withColumn("__p", policy(F.col("max_sensitivity"), cloud_max, deny_above)).withColumn("__r", override(routed, F.col("__p.action")))
+    tokens = F.when(trimmed(t) == t, F.col("__n")).otherwise(count(t))
     return decided.select(*id_cols, F.size("__f").cast("long").alias("n_findings"), "max_sensitivity", F.col("__p.action").alias("action"), F.col("__r.target").alias("target"), F.col("__r.reason").alias("reason"), tokens.alias("baseline_tokens"))

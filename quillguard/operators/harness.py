@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quillguard.functions.text import token_estimate
 from quillguard.operators import mask
-from quillguard.operators.governance import route
+from quillguard.operators.compress import pruned
+from quillguard.operators.detect import max_sensitivity
+from quillguard.operators.governance import override, policy, route
 from quillguard.operators.json_text import first_object
 from quillguard.operators.stored import stored
 
@@ -53,3 +55,20 @@ def explain_payload(df: DataFrame, session: str = "conv_id", order: tuple[str, .
     masked = mask.mask(found, session, order, text_col, words=words, keep_findings=True)
     back = mask.hydrate(masked, words, session)
     return back.select(session, *order, F.col(text_col).alias("original"), "masked", "hydrated", "findings", route(F.col("masked")).alias("route"), F.col("hydrated").eqNullSafe(F.col(text_col)).alias("roundtrip"))
+
+
+def compression_view(df: DataFrame, session: str = "conv_id", order: tuple[str, ...] = ("turn",), text_col: str = "text", cloud_max: int = 1, deny_above: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """What all stages make of each payload, and the dictionary that goes with it.
+
+    Payloads have the text after the stages, tokens before and after, the share
+    saved, findings by category and rule, their level, and what policy and router
+    make of it.  The dictionary is masked data: for its owner only.
+    """
+    found = mask.detected(df, text_col)
+    payloads, words = mask.session_dictionary(found, session, order, text_col)
+    before, after = token_estimate(F.col(text_col)), token_estimate(F.col("compressed"))
+    level = max_sensitivity(F.col("findings"))
+    view = payloads.withColumn("compressed", pruned(F.col("numbered"))).withColumn("level", level).withColumn("policy", policy(F.col("level"), cloud_max, deny_above)).withColumn("routed", override(route(F.col("numbered")), F.col("policy.action")))
+    saved = F.when(F.col("tokens") > 0, F.round(100.0 * (F.col("tokens") - F.col("tokens_after")) / F.col("tokens"), 6)).otherwise(0.0)
+    shown = view.select(session, *order, "compressed", before.alias("tokens"), after.alias("tokens_after"), F.size("findings").alias("n_findings"), F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["rule"]))).alias("rules"), "level", F.col("policy.action").alias("action"), F.col("routed.target").alias("target"), F.col("routed.reason").alias("reason"))
+    return shown.withColumn("saved", saved), words

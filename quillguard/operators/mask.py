@@ -181,7 +181,7 @@ def session_dictionary(df: DataFrame, session: str = "conv_id", order: tuple[str
     rows = _with_findings(df, text_col, rules)
     # provisional tokens, one for each value and identifier of a session, tell values apart until all are ranked
     words = dictionary(rows, session, order, text_col)
-    masked = stored(mask(rows, session, order, text_col, words=words).withColumn(ROW, F.monotonically_increasing_id()), "masked")
+    masked = stored(mask(rows, session, order, text_col, words=words, keep_findings=True).withColumn(ROW, F.monotonically_increasing_id()), "masked")
     keys = [session, *order, ROW]
     literal = stored(_literals(rows, session, text_col), "literals")
     candidates = stored(reference_candidates(masked, ROW, "masked").withColumn("at", F.regexp_extract("token", r"\d+", 0).cast("int")).drop("token").join(masked.select(*keys), ROW), "references")

@@ -487,6 +487,15 @@ def session_numbering(spark: SparkSession, sf: str) -> DataFrame:
     return mask.session_dictionary(_planted(spark, sf))[0].select("conv_id", "turn", "numbered")
 
 
+@query(
+    FX.TALK_SQL.rstrip() + f", f AS (SELECT conv_id, turn, count(*) AS n, list_sort(list(DISTINCT rule)) AS rs, max({S.LEVEL}) AS l FROM ({S.resolved('fixture', 'conv_id, turn')}) GROUP BY conv_id, turn) "
+    f"SELECT conv_id, turn, {S.tokens('text')} AS tokens, coalesce(n, 0)::INT AS n_findings, coalesce(array_to_string(rs, ','), '') AS rules, coalesce(l, 0)::INT AS level, CASE WHEN coalesce(l, 0) > 2 THEN 'deny' WHEN coalesce(l, 0) > 1 THEN 'local_only' ELSE 'allow' END AS action FROM fixture LEFT JOIN f USING (conv_id, turn)"
+)
+def compression_view(spark: SparkSession, sf: str) -> DataFrame:
+    view, _ = harness.compression_view(_planted(spark, sf), deny_above=2)
+    return view.select("conv_id", "turn", "tokens", "n_findings", F.array_join("rules", ",").alias("rules"), "level", "action")
+
+
 _STEERED = tuple(t for _, _, t in FX.STEERED)
 
 

@@ -39,3 +39,19 @@ def test_a_late_recogniser_leaves_the_base_findings(spark):
         with pytest.raises(TimeoutError):
             late("x", ["y"])
     assert late.late == 2
+
+
+def test_compression_view_and_seams(spark):
+    from pyspark.sql import functions as F
+
+    from quillguard.operators import governance
+
+    df = spark.createDataFrame([(1, 0, "mail a@b.io twice a@b.io"), (1, 1, 'import x\nprint("a@b.io", 7)  # note'), (2, 0, None), (2, 1, "")], "conv_id long, turn long, text string")
+    view, words = harness.compression_view(df)
+    got = {(r.conv_id, r.turn): r for r in view.collect()}
+    assert got[1, 0].compressed == "mail <V1> twice <V1>" and got[1, 0].n_findings == 2 and got[1, 0].rules == ["email"] and got[1, 0].action == "local_only"
+    assert got[1, 1].compressed == "import <id> <id> (<str>, <int>)" and got[1, 1].tokens_after < got[1, 1].tokens and got[1, 1].saved > 0
+    assert got[2, 0].compressed is None and got[2, 1].saved == 0.0
+    assert {(r.original, r.token) for r in words.collect()} == {("a@b.io", "<V1>"), ('"<V1>"', "<V2>"), ("7", "<V3>")}
+    told = governance.decide(df, ("conv_id", "turn"), router=lambda t: F.struct(F.lit("cloud").alias("target"), F.lit("mine").alias("reason")), counter=lambda t: F.length(t).cast("long")).collect()
+    assert {(r.target, r.reason) for r in told if r.n_findings} == {("local", "mine; policy: local only")} and {r.baseline_tokens for r in told if r.conv_id == 1} == {24, 35}
