@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from quillguard.streaming import tables
 
-QUEUE, CHECKPOINT_EVERY, SEGMENT_BYTES = 100_000, 1000, 64 << 20
+CHECKPOINT_EVERY, SEGMENT_BYTES = 1000, 64 << 20
 
 
 @dataclass
@@ -62,15 +62,15 @@ def accept(head: Head, ts: str | None, event: str | None, every: int, segment_by
         yield append(head, "checkpoint", ts, None, 0, segment_bytes)
 
 
-def writer(folder: str, by: str, order: tuple[str, ...], ts: str = "ts", event: str = "event", queue: int = QUEUE, every: int = CHECKPOINT_EVERY, segment_bytes: int = SEGMENT_BYTES) -> Callable[[DataFrame, int], None]:
+def writer(folder: str, by: str, order: tuple[str, ...], ts: str = "ts", event: str = "event", queue: int | None = None, every: int = CHECKPOINT_EVERY, segment_bytes: int = SEGMENT_BYTES) -> Callable[[DataFrame, int], None]:
     """A sink for ``foreachBatch``: one chain for each value of ``by``, in the order of ``order`` within a batch.
 
     Records of a batch and the heads after it are tables of their own, written
     over on a second attempt; the heads come last and make the batch count.  A
     batch starts from the heads of the one before, so sending it twice leaves one
-    chain, and a restart goes on where the newest batch ended.  Of one batch at
-    most ``queue`` events of a chain are taken; how many were lost is recorded in
-    front of the chain's next event.
+    chain, and a restart goes on where the newest batch ended.  Every event is taken, unless ``queue``
+    says how many of one batch a chain takes at most; how many were lost is then
+    recorded in front of the chain's next event.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
@@ -98,7 +98,7 @@ HEAD_NAMES = [x.split()[0] for x in HEAD.split(", ")]
 HEAD_TYPES = [x.split()[1] for x in HEAD.split(", ")]
 
 
-def _fold(queue: int, every: int, segment_bytes: int):
+def _fold(queue: int | None, every: int, segment_bytes: int):
     """Records of sorted rows, and after each chain a row with its head; what is kept between batches of rows is one head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +124,7 @@ def _fold(queue: int, every: int, segment_bytes: int):
                     key, value, head, taken, started = this, row[0], Head(), 0, True
                 if not row[1]:
                     head = Head(*row[4:])
-                elif taken >= queue:
+                elif queue is not None and taken >= queue:
                     head.lost += 1
                 else:
                     taken += 1

@@ -137,6 +137,14 @@ def test_chain_stream_resumes(spark):
     assert audit.verify(got, "by").filter("problem is not null").count() == 0
 
 
+def test_chain_takes_every_event_of_a_batch(spark):
+    rows = spark.range(100_500).select(F.lit("t").alias("tenant"), F.col("id").alias("i"), F.timestamp_seconds("id").alias("ts"), F.lit("e").alias("event"))
+    folder = tables.shared_folder(spark, "chain")
+    chain.writer(folder, "tenant", ("ts", "i"))(rows, 0)
+    told = chain.records(spark, folder).groupBy("kind").agg(F.count("*").alias("n"), F.sum("dropped").alias("lost")).collect()
+    assert {r.kind: (r.n, r.lost) for r in told} == {"event": (100_500, 0), "checkpoint": (100, 0)} and chain.heads(spark, folder).first().lost == 0
+
+
 def spending(spark, n=400):
     rng = random.Random(3)
     rows = [(rng.choice(["a", "b", None, ""]), at(rng.randrange(60 * 86400)), rng.randrange(50), rng.randrange(9), rng.randrange(99)) for _ in range(n)]
