@@ -28,6 +28,14 @@ def token_estimate(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.lit(0).cast("long")).when(n == 0, F.lit(1).cast("long")).otherwise(n)
 
 
+def holds_any(text: Column, literals: tuple[str, ...]) -> Column:
+    """True for texts that hold one of the literals: a cheap test in front of a pattern that can't match without them."""
+    out = F.contains(text, F.lit(literals[0]))
+    for x in literals[1:]:
+        out = out | F.contains(text, F.lit(x))
+    return out
+
+
 def message_tokens(texts: Column) -> Column:
     """Of an array of messages: 4 more each, and 3 more if there are any."""
     total = F.aggregate(texts, F.lit(0).cast("long"), lambda a, t: a + token_estimate(t) + 4)

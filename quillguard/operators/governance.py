@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillguard.functions.rules import LEVELS, Rule, to_java
-from quillguard.functions.text import non_blank_lines, token_estimate
+from quillguard.functions.text import holds_any, non_blank_lines, token_estimate
 from quillguard.operators.detect import findings_column, max_sensitivity
 
 # What sends a payload to the larger model, and the known simple errors.
@@ -26,6 +26,16 @@ INJECTION = (
     ("placeholder_sweep", r"(?:<V\d+>[^\w<]{0,4}){8,}"),
     ("jp_instruction_override", r"(?:これまでの|以前の|上記の)(?:指示|命令|ルール)[^\n]{0,10}(?:無視|忘れ)"),
 )
+#: In lower case, what a text must hold for a rule to match: one of these.
+INJECTION_HINTS = {
+    "instruction_override": ("ignore", "disregard", "forget"),
+    "system_prompt_probe": ("prompt", "instructions", "rules"),
+    "role_reassignment": ("now", "instruction", "prompt"),
+    "guardrail_bypass": ("mode", "anything", "restriction", "filter", "safety"),
+    "placeholder_enumeration": ("<v", "placeholder", "token", "variable", "value", "#ref"),
+    "placeholder_sweep": ("<v",),
+    "jp_instruction_override": ("無視", "忘れ"),
+}
 
 
 def parse_level(name: str) -> int:
@@ -91,14 +101,19 @@ def override(routed: Column, action: Column) -> Column:
 
 def screen(text: Column) -> Column:
     """Names of the injection rules that a text meets, in the rules' order."""
-    named = F.array(*[F.when(text.rlike(to_java(p)), F.lit(n)) for n, p in INJECTION])
-    return F.filter(named, lambda x: x.isNotNull())
+    return F.coalesce(F.filter(_met(text, lambda n, p: F.when(text.rlike(p), F.lit(n))), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+
+
+def _met(text: Column, told: Callable[[str, str], Column]) -> Column:
+    """``told(name, pattern)`` of each injection rule, null where the text lacks what the rule needs; the text is lowered once."""
+    low = F.array(F.lower(text))
+    return F.get(F.transform(low, lambda t: F.array(*[F.when(holds_any(t, INJECTION_HINTS[n]), told(n, to_java(p))) for n, p in INJECTION])), 0)
 
 
 def screened(text: Column, limit: int = 120) -> Column:
     """suspicious, rules, excerpt: the names of all injection rules that are met, and what the first of them found."""
-    first = F.coalesce(*[F.nullif(F.regexp_extract(text, to_java(p), 0), F.lit("")) for _, p in INJECTION])
-    excerpt = F.when(F.char_length(first) > limit, F.concat(F.left(first, F.lit(limit)), F.lit("…"))).otherwise(first)
+    found = F.filter(_met(text, lambda _, p: F.regexp_extract(text, p, 0)), lambda x: x != "")
+    excerpt = F.get(F.transform(found, lambda x: F.when(F.char_length(x) > limit, F.concat(F.left(x, F.lit(limit)), F.lit("…"))).otherwise(x)), 0)
     rules = screen(text)
     return F.struct((F.size(rules) > 0).alias("suspicious"), rules.alias("rules"), excerpt.alias("excerpt"))
 
