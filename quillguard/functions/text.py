@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Ranges whose characters count as one token each.
 CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}"
 _LETTERS, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_'", "0123456789"
+#: Other letters and digits; what most characters fail comes first.
+_ODD_LETTERS, _ODD_DIGITS = (rf"[[^\x00-\x7F]&&\p{{{kind}}}&&[^{CJK}]]" for kind in ("L", "Nd"))
 #: Runs of four letters, then what is left of them, of three digits likewise, each as one character; blanks go last.
 _RUNS = (("aaaa", "A"), ("aaa", "A"), ("aa", "A"), ("ddd", "D"), ("dd", "D"), (" ", ""))
 PLACEHOLDER = r"<V[0-9]+>|#REF[0-9]+"
@@ -20,7 +22,7 @@ def token_estimate(text: Column) -> Column:
     and runs become single characters by plain replacements, so no match is ever
     copied out of the text.
     """
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, f"[{CJK}]", "\n"), r"[\p{L}&&[^\x00-\x7F]]", "a"), r"[\p{Nd}&&[^\x00-\x7F]]", "0")
+    plain = F.regexp_replace(F.regexp_replace(text, _ODD_LETTERS, "a"), _ODD_DIGITS, "0")
     out = F.translate(F.when(F.octet_length(text) == F.char_length(text), text).otherwise(plain), _LETTERS + _DIGITS, "a" * len(_LETTERS) + "d" * len(_DIGITS))
     for run, one in _RUNS:
         out = F.replace(out, F.lit(run), F.lit(one))

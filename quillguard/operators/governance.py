@@ -13,6 +13,8 @@ from quillguard.operators.detect import findings_column, max_sensitivity
 
 # What sends a payload to the larger model, and the known simple errors.
 CODE_MARKERS = r"<id>|<type>|<str>|\b(func|def|class|return|import)\b"
+#: One of these stands in every text that has a marker.
+CODE_HINTS = ("<id>", "<type>", "<str>", "func", "def", "class", "return", "import")
 SIMPLE_SIGNALS = r"(?i)\b(connection refused|timed? out|timeout|disk (is )?full|no space left|out of memory|oomkilled|permission denied|no such file|cannot connect|refused to connect|502|503|504|gateway timeout|connection reset)\b"
 SIMPLE_SIGNALS_JA = r"接続(が)?(拒否|できません|失敗|リセット)|接続拒否|タイムアウト|(ディスク|ディスク容量|空き容量|容量)(が)?(不足|いっぱい|足りません)|メモリ(ー)?(が)?不足|(アクセス)?(権限|パーミッション)(が)?(ありません|拒否|エラー)|ファイルが(見つかりません|存在しません)|応答(が)?(ありません|しません)|起動(でき|し)ません"
 MAX_LOCAL_LINES, MAX_LOCAL_TOKENS = 3, 120
@@ -72,14 +74,14 @@ def cloud_fallback(action: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.trim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def route(text: Column, tokens: Column | None = None) -> Column:
     """target and reason; the first test that holds decides.  tokens: the estimate of the trimmed text, if known."""
     t = trimmed(text)
     lines, tokens = non_blank_lines(t), token_estimate(t) if tokens is None else tokens
-    code, many, large = t.rlike(to_java(CODE_MARKERS)), lines > MAX_LOCAL_LINES, tokens > MAX_LOCAL_TOKENS
+    code, many, large = holds_any(t, CODE_HINTS) & t.rlike(to_java(CODE_MARKERS)), lines > MAX_LOCAL_LINES, tokens > MAX_LOCAL_TOKENS
     known = t.rlike(to_java(SIMPLE_SIGNALS)) | t.rlike(SIMPLE_SIGNALS_JA)
     reason = (
         F.when(code, F.lit("code or configuration"))
