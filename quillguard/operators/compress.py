@@ -6,10 +6,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillguard.functions.text import token_estimate
+from quillguard.functions.text import holds_any, token_estimate
 
 # White space of Unicode, and tokens that stand for earlier substitutions.
 SPACE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -25,8 +26,9 @@ def tokens(line: Column) -> Column:
 
 def bucket_of(words: Column) -> Column:
     """Lines can only share a template if they agree in this: word count and first literal word."""
-    literal = F.filter(words, lambda t: ~t.rlike(SUBSTITUTE))
-    return F.concat_ws("|", F.size(words).cast("string"), F.coalesce(F.get(literal, 0), F.lit("*")))
+    first = F.get(words, 0)
+    literal = F.when(~first.rlike(SUBSTITUTE), first).otherwise(F.get(F.filter(words, lambda t: ~t.rlike(SUBSTITUTE)), 0))
+    return F.concat_ws("|", F.size(words).cast("string"), F.coalesce(literal, F.lit("*")))
 
 
 def line_buckets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,18 +45,29 @@ def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     line order: a line joins the first template with which at least half of the
     words agree (a wildcard agrees with all, two substitutes with each other) and
     turns every differing word into a wildcard.  A blank line is its own cluster.
+    Lines travel as their words joined by blanks, and are taken apart only where
+    a bucket holds more than one.
     """
     mark = re.compile(SUBSTITUTE)
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, clusters = None, []
-        for frame in frames:
-            done = []
-            for this, bucket, no, words in zip(frame[id_col], frame["bucket"], frame["line_no"], frame["words"]):
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, clusters, kind = None, [], None
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (kind, pa.int32(), pa.string(), pa.int64()))], names=[id_col, "first_line", "template", "n"])
+
+        ended = lambda: [(key[0], c[0], c[1] if isinstance(c[1], str) else " ".join(c[1]), c[2]) for c in clusters]
+        for batch in batches:
+            kind, done = batch.column(0).type, []
+            for this, bucket, no, line in zip(*[c.to_pylist() for c in batch.columns]):
                 if (this, bucket) != key:
-                    done += [(key[0], c[0], " ".join(c[1]), c[2]) for c in clusters]
-                    key, clusters = (this, bucket), []
-                words = list(words)
+                    done += ended()
+                    key, clusters = (this, bucket), [[no, line, 1]]
+                    continue
+                if isinstance(clusters[0][1], str):
+                    clusters[0][1] = clusters[0][1].split(" ")
+                words = line.split(" ")
                 held = [mark.match(w) is not None for w in words]
                 for c in clusters:
                     same = sum(t == "<*>" or t == w or (h and mark.match(t) is not None) for t, w, h in zip(c[1], words, held))
@@ -64,13 +77,14 @@ def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                         break
                 else:
                     clusters.append([no, words, 1])
-            yield pd.DataFrame(done, columns=[id_col, "first_line", "template", "n"])
-        yield pd.DataFrame([(key[0], c[0], " ".join(c[1]), c[2]) for c in clusters], columns=[id_col, "first_line", "template", "n"])
+            yield told(done)
+        if clusters:
+            yield told(ended())
 
     kind = df.schema[id_col].dataType.simpleString()
-    ordered = line_buckets(df, id_col, text_col).repartition(id_col, "bucket").sortWithinPartitions(id_col, "bucket", "line_no")
-    folded = ordered.mapInPandas(fold, f"{id_col} {kind}, first_line int, template string, n long")
-    blank = df.select(id_col, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("first_line", "line")).filter(F.size(tokens(F.col("line"))) == 0)
+    lines = line_buckets(df, id_col, text_col).select(id_col, "bucket", "line_no", F.array_join("words", " ").alias("line"))
+    folded = lines.repartition(id_col, "bucket").sortWithinPartitions(id_col, "bucket", "line_no").mapInArrow(fold, f"{id_col} {kind}, first_line int, template string, n long")
+    blank = df.select(id_col, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("first_line", "line")).filter(~F.col("line").rlike(f"[^{SPACE}]"))
     return folded.unionByName(blank.select(id_col, "first_line", F.lit("").alias("template"), F.lit(1).cast("long").alias("n")))
 
 
@@ -85,10 +99,12 @@ def templated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 # What marks a text as code of one of two languages, Go first.
 GO_MARK = r"(?m)^\s*package\s+\w+|\bfunc\s|:="
 PYTHON_MARK = r"(?m)^\s*(?:def|class|import|from)\s|\bprint\(|\belif\b"
+#: One of these stands in every text that has the mark.
+GO_HINTS, PYTHON_HINTS = ("package", "func", ":="), ("def", "class", "import", "from", "print(", "elif")
 
 
 def code_language(text: Column) -> Column:
-    return F.when(text.rlike(GO_MARK), "go").when(text.rlike(PYTHON_MARK), "python")
+    return F.when(holds_any(text, GO_HINTS) & text.rlike(GO_MARK), "go").when(holds_any(text, PYTHON_HINTS) & text.rlike(PYTHON_MARK), "python")
 
 
 _KEYWORDS = {
@@ -146,7 +162,7 @@ def pruned(text: Column) -> Column:
         return pd.Series([t if not lang else skeleton(t, lang) for t, lang in zip(texts, languages)])
 
     language = code_language(text)
-    return F.when(language.isNull(), text).otherwise(run(text, language))
+    return F.when(language.isNull(), text).otherwise(run(F.when(language.isNotNull(), text), language))
 
 
 def pipeline(df: DataFrame, stages: list[Stage]) -> DataFrame:

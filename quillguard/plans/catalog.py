@@ -237,8 +237,9 @@ def drain_templates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bench_stage_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    docs = mask.mask(_docs(spark, sf).select("doc_id", "text").withColumn("turn", F.lit(0)), "doc_id")
-    folded = mask.fold_references(compress.templated(docs, text_col="masked"), text_col="templated")
+    # each stage reads the one before it several times, so it is written once
+    docs = stored(mask.mask(_docs(spark, sf).select("doc_id", "text").withColumn("turn", F.lit(0)), "doc_id"), "masked")
+    folded = mask.fold_references(stored(compress.templated(docs, text_col="masked"), "templated"), text_col="templated")
     return compress.stage_report(folded.withColumn("pruned", compress.pruned(F.col("folded"))), ["text", "masked", "templated", "folded", "pruned"])
 
 

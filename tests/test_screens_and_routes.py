@@ -4,7 +4,7 @@ import io
 from pyspark.sql import functions as F
 
 from quillguard.functions import text as X
-from quillguard.operators import governance
+from quillguard.operators import compress, governance, mask
 
 
 def shown(df):
@@ -37,3 +37,11 @@ def test_screen_runs_each_rule_once(spark):
     assert got == ["IGNORE all…", "Print your…", "do anythin…", "list all t…", "<V1> <V2> …", "以前の指示を無視", None, None]
     plan = shown(spark.createDataFrame([("x",)], "text string").select(governance.screened(F.col("text"))["excerpt"].alias("e")))
     assert plan.count("regexp_extract(") == len(governance.INJECTION)
+
+
+def test_lines_travel_as_text_and_fold_as_before(spark):
+    rows = spark.createDataFrame([(1, "a b c d\na b x d\n\n 　\na b c"), (2, "<id> x\n<str> x"), (3, ""), (4, None)], "doc_id long, text string")
+    assert sorted(map(tuple, compress.templates(rows).collect())) == [(1, 0, "a b <*> d", 2), (1, 2, "", 1), (1, 3, "", 1), (1, 4, "a b c", 1), (2, 0, "<*> x", 2), (3, 0, "", 1)]
+    assert "MapInArrow" in shown(compress.templates(rows)) and "MapInPandas" not in shown(compress.templates(rows))
+    named = spark.createDataFrame([(1, "alpha.beta.gamma_delta alpha.beta.gamma_delta a.b"), (2, "a. b. c")], "doc_id long, text string")
+    assert [(r.doc_id, r.identifier, r.uses) for r in mask.reference_candidates(named).collect()] == [(1, "alpha.beta.gamma_delta", 2)]
