@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from quillguard.llm.session import quoted
 
 DEFAULT_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: What a worker remembers: encodings of chunks (a space and what follows), of other pieces, and token pairs, each
-#: up to a bound at which it starts anew; together about 100 MB.  Longer keys, in characters, aren't remembered.
-CACHE_CHUNKS, CACHE_PIECES, CACHE_PAIRS, CACHE_CHARS = 250_000, 50_000, 250_000, 48
+#: What a worker remembers: encodings of chunks (a space and what follows), of other pieces, and token pairs.  A memory
+#: that is full becomes the older half of what is known, so what is in use stays.  Longer keys, in characters, aren't remembered.
+CACHE_CHUNKS, CACHE_PIECES, CACHE_PAIRS, CACHE_CHARS = 400_000, 50_000, 500_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -113,8 +113,10 @@ class Coder:
         self._pieces: dict[str, bytes] = {}
         self._chunks: dict[str, bytes] = {}
         self._heads: dict[str, bytes] = {}
+        self._older: dict[int, dict[str, bytes]] = {id(cache): {} for cache in (self._pieces, self._chunks, self._heads)}
         self.table = [self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)]
         self.width = [len(x) for x in self.table]
+        self.bytes_of = pa.array(self.table, pa.large_binary())
         #: 1 for tokens that are known to be what merges make of their bytes.
         self.fine = bytearray(int(len(x) == 1) for x in self.table)
         automaton = ahocorasick.Automaton()
@@ -198,19 +200,43 @@ class Coder:
 
     def piece(self, data: bytes) -> list[int]:
         token = self.ranks.get(data)
-        return [token] if token is not None else PrefixTable(self, data).ids()
+        if token is not None:
+            return [token]
+        # as PrefixTable fills its table, without what appends and edits need
+        width, fine, stays, last, filled = self.width, self.fine, self.known_pairs, [-1], 0
+        for at, token in self.found_in(data.decode("latin-1")):
+            if at < filled or not (fine[token] or self.check(token)):
+                continue
+            before = last[at + 1 - width[token]]
+            if before >= 0:
+                known = stays.get(before << 32 | token)
+                if not (known or known is None and self.stays(before, token)):
+                    continue
+            last.append(token)
+            filled += 1
+        if filled != len(data):
+            raise ValueError("the vocabulary lacks a single byte")
+        out = []
+        while filled:
+            token = last[filled]
+            out.append(token)
+            filled -= width[token]
+        return out[::-1]
 
     def pack_piece(self, piece: str) -> bytes:
         """The ids of one match of the pattern as little-endian unsigned 32-bit integers."""
+        packed = self._older[id(self._pieces)].get(piece)
+        if packed is not None:
+            return self._remember(self._pieces, piece, packed)
         data = piece.encode("utf-8")
         ids = self.piece(data)
         packed = struct.pack(f"<{len(ids)}I", *ids)
         return self._remember(self._pieces, piece, packed)
 
-    @staticmethod
-    def _remember(cache: dict[str, bytes], key: str, packed: bytes, most: int = CACHE_PIECES) -> bytes:
+    def _remember(self, cache: dict[str, bytes], key: str, packed: bytes, most: int = CACHE_PIECES) -> bytes:
         if len(key) <= CACHE_CHARS:
             if len(cache) >= most:
+                self._older[id(cache)] = cache.copy()
                 cache.clear()
             cache[key] = packed
         return packed
@@ -220,10 +246,16 @@ class Coder:
         return b"".join([known(p) or pack(p) for p in self.split(text)])
 
     def pack_chunk(self, chunk: str) -> bytes:
-        return self._remember(self._chunks, chunk, self.pack(" " + chunk), CACHE_CHUNKS)
+        packed = self._older[id(self._chunks)].get(chunk)
+        if packed is None:
+            word = " " + chunk
+            # the pattern takes a space and plain letters as one match
+            packed = (self._pieces.get(word) or self.pack_piece(word)) if self.cuts and chunk.isascii() and chunk.isalpha() else self.pack(word)
+        return self._remember(self._chunks, chunk, packed, CACHE_CHUNKS)
 
     def pack_head(self, chunk: str) -> bytes:
-        return self._remember(self._heads, chunk, self.pack(chunk))
+        packed = self._older[id(self._heads)].get(chunk)
+        return self._remember(self._heads, chunk, self.pack(chunk) if packed is None else packed)
 
     def encode(self, text: str) -> bytes:
         """The packed ids of a text.
@@ -246,7 +278,8 @@ class Coder:
         return b"".join(out)
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.table.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        values = self.bytes_of.take(pa.array(np.frombuffer(packed, "<u4"))).buffers()[2]
+        return values.to_pybytes() if values is not None else b""
 
 
 _coders: dict[tuple[str, str], Coder] = {}

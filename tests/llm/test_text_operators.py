@@ -551,3 +551,19 @@ def test_pipeline_against_the_stages_by_hand(spark, tmp_path, tokenizer):
     shares = {"s0": total / 3, "s1": 2 * total / 3}
     assert all(abs(got[s] - t) < 100 for s, t in shares.items())
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES]) == '["quality_rules", "near_duplicates", "personal_data", "mixture", "token_ids"]'
+
+
+def test_full_memory_keeps_what_is_in_use(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 4)
+    coder = bpe.Coder(bpe.load_ranks(public_tokenizers.path(bpe.DEFAULT_VOCABULARY)), public_tokenizers.PATTERN)
+    made = []
+    pack = coder.pack_piece
+    coder.pack_piece = lambda piece: made.append(piece) or pack(piece)
+    coder.encode("x qwxzv aab bbc ccd")
+    coder._pieces.clear()
+    coder.encode("x ddeq qwxzv")
+    assert made.count(" qwxzv") == 1 and len(coder._chunks) <= 4
+    for text in ("x qwxzv aab", "naïve çava 数据 123abc", "don't  stop\n\n x", ""):
+        assert coder.decode(coder.encode(text)) == text.encode() and coder.encode(text) == b"".join(int(i).to_bytes(4, "little") for p in coder.split(text) for i in coder.merged(p.encode()))
