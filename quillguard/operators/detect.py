@@ -49,6 +49,17 @@ def resolve(candidates: list[tuple]) -> list[tuple]:
     return [chosen[s] for s in starts]
 
 
+#: Texts whose findings a worker holds at once.
+ROWS_AT_ONCE = 256
+
+
+def in_parts(batches: Iterator[pd.Series], most: int = ROWS_AT_ONCE) -> Iterator[pd.Series]:
+    """The batches in smaller ones, so that what is made of one is small too, however many rows come at once."""
+    for texts in batches:
+        for lo in range(0, max(len(texts), 1), most):
+            yield texts.iloc[lo : lo + most]
+
+
 class Detector:
     """Rules compiled for a worker."""
 
@@ -104,7 +115,7 @@ def findings_column(text: Column, rules: list[Rule] | None = None, entropy: bool
     @F.pandas_udf(f"array<{FINDING}>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         detector = Detector(detector_rules, entropy)
-        for texts in batches:
+        for texts in in_parts(batches):
             yield texts.map(detector.detect)
 
     return run(F.when(may_hold(text, detector_rules, entropy), text))

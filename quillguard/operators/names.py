@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillguard.functions.rules import Rule, build
-from quillguard.operators.detect import FINDING, Detector
+from quillguard.operators.detect import FINDING, Detector, in_parts
 
 NAME_RULE, MOST_CANDIDATES = "jp_name", 64
 #: Our own short list of common family names; callers bring a longer one.
@@ -100,7 +100,7 @@ def findings_with_names(text: Column, recognise: Recogniser = everyone, rules: l
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         detector = Detector(active)
         asked = recognise if deadline is None else Timed(recognise, deadline)
-        for texts in batches:
+        for texts in in_parts(batches):
             yield texts.map(lambda t: [] if not t else with_names(detector.detect(t), t, asked, surnames))
 
     return run(text)

@@ -117,3 +117,13 @@ def test_no_text_with_findings_lacks_a_hint(spark):
         found |= {h["rule"] for h in hits}
         assert not hits or text in passed, text
     assert len(found) >= 18 and len(passed) < len(set(texts))
+
+
+def test_findings_are_made_in_small_batches():
+    import pandas as pd
+
+    from quillguard.operators import detect
+
+    texts = pd.Series([f"t{i}" for i in range(1000)])
+    parts = list(detect.in_parts(iter([texts, pd.Series([], dtype=object)])))
+    assert max(map(len, parts)) <= detect.ROWS_AT_ONCE and pd.concat(parts).tolist() == texts.tolist()
