@@ -103,7 +103,7 @@ def features(df: DataFrame, keep: tuple[str, ...], text_col: str = "text", k: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_columns - 1
-            for block in tb.blocks(batch.column(n)):
+            for block in tb.blocks(batch.column(n), tb.SMALL_BLOCK):
                 part = batch.slice(block.lo, block.size)
                 keys, owner = shingle_sets(block, k)
                 first = np.searchsorted(owner, np.arange(block.size + 1))
@@ -160,10 +160,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw_b, at_b = tb.column_bytes(batch.column("t_b"))
-            for block in tb.blocks(batch.column("t_a"), tb.BLOCK // 2):
+            for block in tb.blocks(batch.column("t_a"), tb.SMALL_BLOCK // 2):
                 lo = block.lo
                 while lo < block.hi:  # the other side may be longer
-                    hi = max(lo + 1, min(block.hi, int(np.searchsorted(at_b, at_b[lo] + tb.BLOCK, "right")) - 1))
+                    hi = max(lo + 1, min(block.hi, int(np.searchsorted(at_b, at_b[lo] + tb.SMALL_BLOCK, "right")) - 1))
                     i, j = lo - block.lo, hi - block.lo
                     left = tb.Block(0, hi - lo, block.data[block.offsets[i] : block.offsets[j]], block.offsets[i : j + 1] - block.offsets[i])
                     right = tb.Block(0, hi - lo, raw_b[at_b[lo] : at_b[hi]], at_b[lo : hi + 1] - at_b[lo])
@@ -254,7 +254,7 @@ def _open_links(members: DataFrame, label: DataFrame, texts: DataFrame, k: int,
 def linked_pairs(label: np.ndarray, text: pa.Array, k: int = WORDS, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Places of linked pairs of texts whose labels differ: enough to join all labels that links join."""
     keys, owner = [], []
-    for block in tb.blocks(text):
+    for block in tb.blocks(text, tb.SMALL_BLOCK):
         a, b = shingle_sets(block, k)
         keys.append(a)
         owner.append(b + block.lo)

@@ -125,7 +125,7 @@ def features(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_columns - 1
-            for block in tb.blocks(batch.column(n)):
+            for block in tb.blocks(batch.column(n), tb.SMALL_BLOCK):
                 part = batch.slice(block.lo, block.size)
                 names = [*batch.schema.names[:n], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_key", "lines", "line_words"]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *block_features(block)], names=names)
@@ -190,7 +190,7 @@ def cut_lines(df: DataFrame, text_col: str, lines_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in tb.blocks(batch.column(at_text)):
+            for block in tb.blocks(batch.column(at_text), tb.SMALL_BLOCK):
                 part = batch.slice(block.lo, block.size)
                 wanted = part.column(at_lines)
                 w = tb.words(block)

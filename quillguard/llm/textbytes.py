@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 21
+#: For work that keeps many numbers a byte: a worker holds what a block needed long after its last task.
+SMALL_BLOCK = 1 << 18
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -34,7 +36,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2^64."""
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, BLOCK + (1 << 17))
+        size = n + (n >> 3) + (1 << 12)
         for key, base in (("up", _BASE), ("down", _UNBASE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

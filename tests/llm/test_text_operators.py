@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -553,6 +554,26 @@ def test_pipeline_against_the_stages_by_hand(spark, tmp_path, tokenizer):
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES]) == '["quality_rules", "near_duplicates", "personal_data", "mixture", "token_ids"]'
 
 
+@pytest.mark.parametrize("of, columns", [(lambda df: quality.features(df), ["doc_id", "text"]), (lambda df: neardup.features(df, ("doc_id",)), ["doc_id", "text"]), (lambda df: quality.cut_lines(df, "text", "gone"), ["doc_id", "text", "gone"])])
+def test_workers_hold_little_beside_a_batch(spark, monkeypatch, of, columns):
+    """What a stage leaves in its workers counts beside the next stage's heap: it must not follow the size of a batch."""
+    df, ran = spark.createDataFrame([], "doc_id long, text string, gone array<long>"), []
+    made = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **b: ran.append(f) or made(self, f, *a, **b))
+    of(df)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" + "\n" * (k % 9 == 0) for k in range(400)) for _ in range(2000)]
+    all_columns = {"doc_id": pa.array(range(2000)), "text": pa.array(texts), "gone": pa.array([[]] * 2000, pa.list_(pa.int64()))}
+    batch = pa.RecordBatch.from_pydict({c: all_columns[c] for c in columns})
+    monkeypatch.setattr(tb, "_powers", {})
+    tracemalloc.start()
+    try:
+        assert sum(out.num_rows for out in ran[0](iter([batch]))) == 2000
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_full_memory_keeps_what_is_in_use(monkeypatch):
     import public_tokenizers
 
