@@ -5,7 +5,9 @@ from __future__ import annotations
 import queue
 import re
 import threading
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 from quillguard.functions.rules import Rule, build
 from quillguard.operators.detect import FINDING, Detector, in_parts
 
-NAME_RULE, MOST_CANDIDATES = "jp_name", 64
+NAME_RULE = "jp_name"
+#: Candidates of one question to the recogniser; a text with more of them takes several questions.
+CANDIDATES_AT_ONCE = 64
 #: Our own short list of common family names; callers bring a longer one.
 SURNAMES = ("佐藤", "鈴木", "高橋", "田中", "伊藤", "渡辺", "山本", "中村", "小林", "加藤", "吉田", "山田", "佐々木", "山口", "松本", "井上", "木村", "林", "清水", "山崎")
 # What a given name is made of, how long it gets, and hiragana that can't start one.
@@ -77,14 +81,29 @@ def candidates(text: str, surnames: tuple[str, ...] = SURNAMES) -> list[tuple[in
     return out
 
 
+def untouched(spans: list[tuple[int, int]], base: list[dict]) -> list[tuple[int, int]]:
+    """The spans that touch none of the base findings, which may come in any order."""
+    taken = sorted((b["start"], b["end"]) for b in base)
+    starts, furthest = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    return [s for s in spans if not (before := bisect_left(starts, s[1])) or furthest[before - 1] <= s[0]]
+
+
 def with_names(base: list[dict], text: str, recognise: Recogniser, surnames: tuple[str, ...] = SURNAMES) -> list[dict]:
-    """The base findings and the confirmed names that touch none of them; a recogniser's error means no names."""
-    free = [s for s in candidates(text, surnames)[:MOST_CANDIDATES] if not any(s[0] < b["end"] and b["start"] < s[1] for b in base)]
-    try:
-        chosen = recognise(text, [text[a:b] for a, b in free]) if free else []
-    except Exception:  # noqa: BLE001  a model's failure must not lose the base findings
-        chosen = []
-    names = [{"start": free[i][0], "end": free[i][1], "text": text[free[i][0] : free[i][1]], "rule": NAME_RULE, "category": "pii"} for i in dict.fromkeys(chosen) if 0 <= i < len(free)]
+    """The base findings and the confirmed names that touch none of them.
+
+    Every candidate is asked about, ``CANDIDATES_AT_ONCE`` in a question. A question that
+    fails gives no names; after a late one this text isn't asked about again.
+    """
+    free, names = untouched(candidates(text, surnames), base), []
+    for lo in range(0, len(free), CANDIDATES_AT_ONCE):
+        asked = free[lo : lo + CANDIDATES_AT_ONCE]
+        try:
+            chosen = recognise(text, [text[a:b] for a, b in asked])
+        except TimeoutError:
+            break
+        except Exception:  # noqa: BLE001  a model's failure must not lose the base findings
+            continue
+        names += [{"start": asked[i][0], "end": asked[i][1], "text": text[asked[i][0] : asked[i][1]], "rule": NAME_RULE, "category": "pii"} for i in dict.fromkeys(chosen) if 0 <= i < len(asked)]
     out: list[dict] = []
     for f in sorted([*base, *names], key=lambda f: (f["start"], -f["end"])):
         if not out or f["start"] >= out[-1]["end"]:
@@ -93,7 +112,7 @@ def with_names(base: list[dict], text: str, recognise: Recogniser, surnames: tup
 
 
 def findings_with_names(text: Column, recognise: Recogniser = everyone, rules: list[Rule] | None = None, surnames: tuple[str, ...] = SURNAMES, deadline: float | None = None) -> Column:
-    """Findings with confirmed names; a recogniser that fails or takes more than ``deadline`` seconds leaves the base findings."""
+    """Findings with confirmed names; a question to the recogniser that fails or takes more than ``deadline`` seconds gives none, and the base findings stay."""
     active = build() if rules is None else rules
 
     @F.pandas_udf(f"array<{FINDING}>")

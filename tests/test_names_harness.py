@@ -1,4 +1,7 @@
+import re
+
 import pytest
+from pyspark.sql import functions as F
 from quillguard.operators import harness, names
 
 
@@ -14,6 +17,45 @@ def test_names():
     assert names.with_names(base, text, lambda t, c: 1 / 0) == base
 
 
+def test_every_candidate_is_asked_about(spark):
+    asked = []
+
+    def recorded(text, found):
+        asked.append(len(found))
+        return [*range(len(found)), len(found)]
+
+    text = "、".join(f"佐藤太郎 10.0.0.{i % 250}" for i in range(200))
+    base = [{"start": m.start(), "end": m.end(), "text": m[0], "rule": "ipv4", "category": "network"} for m in re.finditer("[0-9.]+", text)]
+    kept = names.with_names(base, text, recorded)
+    assert [(f["rule"], f["text"]) for f in kept] == [x for i in range(200) for x in (("jp_name", "佐藤太郎"), ("ipv4", f"10.0.0.{i % 250}"))]
+    assert asked == [64, 64, 64, 8] and [text[f["start"] : f["end"]] for f in kept] == [f["text"] for f in kept]
+    # candidates that base findings take up leave room for later ones, in whatever order those come
+    first = {"start": 0, "end": text.index("、", 1200), "text": "", "rule": "r", "category": "pii"}
+    later = names.with_names([*base[::-1], first], text, names.everyone)
+    assert sum(f["rule"] == "jp_name" for f in later) == text[first["end"] :].count("佐藤")
+    df = spark.createDataFrame([(1, text), (2, None), (3, "田中がいない")], "id long, text string")
+    assert {r.id: (r.n, r["last"]) for r in names.findings(df, ("id",)).filter("rule = 'jp_name'").groupBy("id").agg(F.count("*").alias("n"), F.max("start").alias("last")).collect()} == {1: (200, text.rindex("佐藤")), 3: (1, 0)}
+
+
+def test_a_question_that_fails_costs_its_own_names_only():
+    calls = []
+
+    def failing(error):
+        def recognise(text, found):
+            calls.append(found)
+            if len(calls) == 2:
+                raise error
+            return list(range(len(found)))
+
+        return recognise
+
+    text = "、".join(["佐藤太郎"] * 200)
+    assert len(names.with_names([], text, failing(ValueError()))) == 200 - 64 and len(calls) == 4
+    calls.clear()
+    # one late text must not use up all that a worker waits for
+    assert len(names.with_names([], text, failing(TimeoutError()))) == 64 and len(calls) == 2
+
+
 def test_judge_replies(spark):
     df = spark.createDataFrame([('Sure: {"score": 8, "reason": "ok"} done',), ("none",)], "t string")
     got = [r[0] for r in df.select(harness.judged(df.t)).collect()]
